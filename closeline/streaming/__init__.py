@@ -1,0 +1 @@
+"""Empty on purpose: every operator in the inventory is a batch query."""
