@@ -25,8 +25,8 @@ from closeline.constants import (
     STATES,
     TITLE,
 )
-from closeline.functions.ladders import any_of
 from closeline.operators.calendar import Clock, business_days, date_series
+from closeline.sources.schemas import SCHEMAS
 from closeline.sources.tables import LendingTables
 
 ANCHOR = dt.date(1998, 6, 17)
@@ -35,6 +35,7 @@ EVENTS_AS_OF = dt.datetime(2024, 1, 15, 12, 30)
 CALENDAR_FROM, CALENDAR_LENGTH = dt.date(1990, 1, 1), 20_000
 
 LOAN_ID_BASE = 500_000_000_000
+SECOND_LOAN_BASE = 600_000_000_000
 CUSTOMER_CONTACT_BASE = 1_000_000_000_000
 
 col, lit, when = F.col, F.lit, F.when
@@ -118,11 +119,24 @@ def bank_holidays_in(series: DataFrame) -> DataFrame:
 
 
 class StarSchema:
-    """The driver's parquet files as lending tables."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    """The driver's parquet files as lending tables.
+
+    `second_loans` gives three applications in ten a second loan; `repeated` gives
+    an application a projection row per line item.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        sf_dir: str,
+        *,
+        second_loans: bool = False,
+        repeated: bool = False,
+    ) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
+        self.second_loans = second_loans
+        self.repeated = repeated
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -205,6 +219,22 @@ class StarSchema:
         )
 
     def loans(self) -> DataFrame:
+        first = self._first_loans()
+        if not self.second_loans:
+            return first
+        purpose = col("transaction_purpose")
+        second = first.filter(col("application_id") % 10 >= 7).withColumns(
+            {
+                "id": col("application_id") + SECOND_LOAN_BASE,
+                "internal_id": F.concat("internal_id", lit("B")),
+                "settlement_date": F.date_sub("settlement_date", 9),
+                "transaction_purpose": when(purpose == "other", "purchase").otherwise("other"),
+                "properties_count": lit(1),
+            }
+        )
+        return first.unionByName(second)
+
+    def _first_loans(self) -> DataFrame:
         k, u = col("k"), col("u")
         return (
             self._settlements()
@@ -370,6 +400,9 @@ class StarSchema:
         )
 
     def projections(self) -> DataFrame:
+        return self._repeated_projections() if self.repeated else self._projections()
+
+    def _projections(self) -> DataFrame:
         k, u, od = col("k"), col("u"), col("od")
         settlements = self._settlements().select("k", "settles")
         rows = self.orders().join(settlements, "k", "left")
@@ -411,53 +444,45 @@ class StarSchema:
             )
         )
 
-    # --- other shapes of the same data -------------------------------------------
-
-    def repeated_projections(self) -> DataFrame:
-        """Projections with a row per line item, so applications repeat."""
+    def _repeated_projections(self) -> DataFrame:
         lines = self.lines().select(
-            "k", near_anchor(col("sd"), 25).alias("status_date"), (col("part") % 4).alias("part")
+            "k", near_anchor(col("sd"), 25).alias("status_date"), (col("part") % 4).alias("shift")
         )
-        rows = self.projections().join(lines, col("application_id") == col("k"))
+        rows = self._projections().join(lines, col("application_id") == col("k"))
+        shift = col("shift").cast("int")
+        moved = F.date_add("dynamic_settlement_date", shift)
         return rows.withColumns(
             {
                 "closing_status_date": col("status_date"),
-                "deal_stage_date": F.date_sub("deal_stage_date", (col("part") * 9).cast("int")),
-                "dynamic_settlement_date": when(
-                    col("part") != 1, F.date_add("dynamic_settlement_date", col("part").cast("int"))
-                ),
-                "total_amount": (col("total_amount") + col("part")).cast("decimal(18,2)"),
+                "deal_stage_date": F.date_sub("deal_stage_date", shift * 9),
+                "dynamic_settlement_date": when(shift != 1, moved),
+                "total_amount": (col("total_amount") + shift).cast("decimal(18,2)"),
             }
-        ).drop("k", "part", "status_date")
+        ).drop("k", "shift", "status_date")
 
     def event_tables(self) -> LendingTables:
-        """Applications with a time of day, from events; for the hour rule."""
-        events = self.read("events")
+        """Applications and legal records with a time of day, from events."""
+        events = self.read("events").withColumn("day", F.to_date("ts"))
         key = col("event_id")
-        day = F.to_date("ts")
-        applications = self.applications().limit(0)
-        columns = {
-            "id": key,
-            "state": state_of(key),
-            "submitted_to_initial_underwriting_at": col("ts"),
+
+        def shaped(table: str, **columns: Column) -> DataFrame:
+            fields = self.spark.createDataFrame([], SCHEMAS[table]).schema
+            empty = {f.name: lit(None).cast(f.dataType) for f in fields}
+            return events.select(*[c.alias(n) for n, c in {**empty, **columns}.items()])
+
+        frames = {
+            "applications": shaped(
+                "applications",
+                id=key,
+                state=state_of(key),
+                submitted_to_initial_underwriting_at=col("ts"),
+            ),
+            "legal_closing_informations": shaped(
+                "legal_closing_informations",
+                application_id=key,
+                title_commitment_order_date=when(key % 3 != 0, col("day")),
+            ),
         }
-        applications = events.select(
-            *[
-                columns.get(f.name, lit(None).cast(f.dataType)).alias(f.name)
-                for f in applications.schema
-            ]
-        )
-        dates = [
-            c
-            for c in self.legal_closing_informations().columns
-            if c not in ("application_id", "title_commitment_order_date")
-        ]
-        legal = events.select(
-            key.alias("application_id"),
-            when(key % 3 != 0, day).alias("title_commitment_order_date"),
-            *[lit(None).cast("date").alias(c) for c in dates],
-        )
-        frames = {"applications": applications, "legal_closing_informations": legal}
         return LendingTables(frames.__getitem__)
 
     def all_dates(self) -> DataFrame:
@@ -469,9 +494,3 @@ class StarSchema:
         moment_of = as_of_ts or dt.datetime.combine(as_of, dt.time(12, 30))
         days = business_days(self.calendar(), self.holidays())
         return Clock(days, as_of, moment_of)
-
-
-def is_business_day_rule(day: Column) -> Column:
-    """Neither weekend nor a day off, by rule; for checks."""
-    off = holiday_name(day).isNotNull() & (holiday_name(day) != "Founders Day")
-    return ~any_of([F.dayofweek(day).isin(1, 7), off])
