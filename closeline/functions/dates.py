@@ -1,4 +1,4 @@
-"""Date arithmetic with the semantics the queries need."""
+"""Date arithmetic with the semantics the queries need, as SQL text."""
 
 from __future__ import annotations
 
@@ -6,27 +6,24 @@ import calendar
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def hour_index(ts: str) -> str:
+    """SQL: number of clock hours since the epoch, by the wall clock of `ts`."""
+    return f"(datediff(to_date({ts}), DATE '1970-01-01') * 24 + hour({ts}))"
 
-def hour_index(ts: Column) -> Column:
-    """Number of clock hours since the epoch, by the wall clock of `ts`."""
-    return F.datediff(F.to_date(ts), F.lit(dt.date(1970, 1, 1))) * 24 + F.hour(ts)
 
-
-def hour_boundaries(start: Column, end: Column) -> Column:
-    """Hour boundaries crossed between two timestamps.
+def hour_boundaries(start: str, end: str) -> str:
+    """SQL: hour boundaries crossed between two timestamps.
 
     00:59 -> 02:01 crosses two.  Spark's own hour difference counts elapsed
     hours and would say one.
     """
-    return hour_index(end) - hour_index(start)
+    return f"({hour_index(end)} - {hour_index(start)})"
 
 
-def whole_days(days: Column) -> Column:
-    """A possibly fractional day count as an integer, halves away from zero."""
-    return F.round(days).cast("int")
+def whole_days(days: str) -> str:
+    """SQL: a possibly fractional day count as an integer, halves away from zero."""
+    return f"CAST(round({days}) AS INT)"
 
 
 @dataclass(frozen=True)
@@ -52,6 +49,6 @@ class MonthOf:
     def days_left(self) -> int:
         return (self.end - self.as_of).days
 
-    def contains(self, day: Column) -> Column:
-        """`day` falls in the month, time of day included."""
-        return (day >= F.lit(self.start)) & (day < F.lit(self.next_start))
+    def contains(self, day: str) -> str:
+        """SQL: `day` falls in the month, whatever its time of day."""
+        return f"({day} >= DATE '{self.start}' AND {day} < DATE '{self.next_start}')"

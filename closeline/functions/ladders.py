@@ -1,30 +1,29 @@
-"""Label ladders: ordered (label, condition) rungs."""
+"""SQL text of label rules."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def quoted(values: Iterable[str]) -> str:
+    """The values as a list of SQL string literals."""
+    return ", ".join(f"'{value}'" for value in values)
 
-def first_match(rungs: Sequence[tuple[str, Column]], otherwise: str | None = None) -> Column:
-    """Label of the first rung whose condition is true.
 
-    A NULL condition does not match.  Without `otherwise` the label is NULL when
-    no rung matches.
-    """
-    (label, condition), *rest = rungs
-    chain = F.when(condition, F.lit(label))
-    for label, condition in rest:
-        chain = chain.when(condition, F.lit(label))
-    return chain if otherwise is None else chain.otherwise(F.lit(otherwise))
+def either(*conditions: str) -> str:
+    return "(" + " OR ".join(f"({c})" for c in conditions) + ")"
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def both(*conditions: str) -> str:
+    return "(" + " AND ".join(f"({c})" for c in conditions) + ")"
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def first_match(rungs: Sequence[tuple[str, str]], otherwise: str | None = None) -> str:
+    """Label of the first rung whose condition is true.
+
+    A NULL condition does not match.  Without `otherwise` the label is NULL when
+    no rung matches.
+    """
+    arms = " ".join(f"WHEN {condition} THEN '{label}'" for label, condition in rungs)
+    default = "" if otherwise is None else f" ELSE '{otherwise}'"
+    return f"CASE {arms}{default} END"

@@ -1,21 +1,16 @@
-"""Name and label text helpers."""
+"""SQL text of name and label helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def full_name(first: Column, last: Column) -> Column:
+def full_name(first: str, last: str) -> str:
     """'first last'; NULL when either part is NULL."""
-    return F.concat(first, F.lit(" "), last)
+    return f"concat({first}, ' ', {last})"
 
 
-def sentence_case(value: Column) -> Column:
+def sentence_case(value: str) -> str:
     """First letter of the whole text upper case, the rest lower case.
 
     Not `initcap`, which would raise the first letter of every word.
     """
-    head = F.upper(F.left(value, F.lit(1)))
-    tail = F.lower(F.substr(value, F.lit(2)))
-    return F.concat(head, tail)
+    return f"concat(upper(left({value}, 1)), lower(substr({value}, 2)))"

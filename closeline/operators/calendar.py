@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -122,24 +122,26 @@ class Clock:
         self.moment = as_of_ts or dt.datetime.combine(as_of, dt.time())
         self.offsets = as_of_offsets(days, as_of)
 
-    @property
-    def as_of(self) -> Column:
-        return F.lit(self.day)
-
-    @property
-    def as_of_ts(self) -> Column:
-        return F.lit(self.moment.isoformat(sep=" ")).cast("timestamp_ntz")
-
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the offsets to `df`.  Do this after the last shuffle."""
         row = self.offsets.select(F.struct("dateframe", *OFFSET_COLUMNS)).scalar()
         return df.withColumn(self.COLUMN, row)
 
-    def back(self, k: int) -> Column:
-        return F.col(f"{self.COLUMN}.neg_{k}")
+    # SQL text of the moment and its neighbours, for rules on an attached frame.
+
+    @property
+    def as_of(self) -> str:
+        return f"DATE '{self.day}'"
+
+    @property
+    def as_of_ts(self) -> str:
+        return f"TIMESTAMP_NTZ '{self.moment}'"
+
+    def back(self, k: int) -> str:
+        return f"{self.COLUMN}.neg_{k}"
 
-    def ahead(self, k: int) -> Column:
-        return F.col(f"{self.COLUMN}.pos_{k}")
+    def ahead(self, k: int) -> str:
+        return f"{self.COLUMN}.pos_{k}"
 
 
 def as_of_calendar(applications: DataFrame, clock: Clock) -> DataFrame:

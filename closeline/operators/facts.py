@@ -14,15 +14,17 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closeline.constants import BORROWER, TITLE, TRACKED_PURPOSES
+from closeline.functions.ladders import both, either, quoted
 from closeline.operators.calendar import Clock
 from closeline.operators.extracts import latest_follow_up, latest_follow_ups, prelim_review_date
 from closeline.operators.joins import left_join_hot_right
 
 Tables = Mapping[str, DataFrame]
+Facts = dict[str, str]
 
 FACT_DEFAULTS = {
     "settlement_missing": True,
@@ -34,12 +36,6 @@ FACT_DEFAULTS = {
     "commitment_missing": True,
 }
 
-LOAN_COLUMNS = (
-    "settlement_date",
-    "transaction_purpose",
-    "properties_count",
-)
-
 
 def with_defaults(df: DataFrame, facts: Iterable[str]) -> DataFrame:
     """Fill the facts of rows that had no child row to join."""
@@ -48,112 +44,122 @@ def with_defaults(df: DataFrame, facts: Iterable[str]) -> DataFrame:
 
 
 def any_fact(df: DataFrame, key: str, facts: Iterable[str]) -> DataFrame:
-    return df.groupBy(key).agg(*[F.bool_or(f).alias(f) for f in facts])
+    """Per key whether some row satisfies each fact."""
+    return df.groupBy(key).agg(*map(F.expr, any_of({f: f for f in facts})))
+
 
+# --- conditions per child row, as SQL ---------------------------------------
 
-# --- conditions per child row ----------------------------------------------
+SETTLES = "to_date(settlement_date)"
+TRACKED = f"transaction_purpose IN ({quoted(TRACKED_PURPOSES)})"
 
 
-def settlement_facts(clock: Clock) -> dict[str, Column]:
-    settles = F.to_date("settlement_date")
+def settlement_facts(clock: Clock) -> Facts:
     return {
-        "settles_in_two": settles == clock.ahead(2),
-        "settles_next": settles == clock.ahead(1),
-        "settles_today": settles == clock.as_of,
-        "settlement_past": settles < clock.as_of,
-        "settlement_missing": settles.isNull(),
-        "settlement_set": settles.isNotNull(),
+        "settles_in_two": f"{SETTLES} = {clock.ahead(2)}",
+        "settles_next": f"{SETTLES} = {clock.ahead(1)}",
+        "settles_today": f"{SETTLES} = {clock.as_of}",
+        "settlement_past": f"{SETTLES} < {clock.as_of}",
+        "settlement_missing": "settlement_date IS NULL",
+        "settlement_set": "settlement_date IS NOT NULL",
     }
 
 
-def borrower_facts(clock: Clock) -> dict[str, Column]:
+def borrower_facts(clock: Clock) -> Facts:
     """Age of the last borrower contact, by how near the closing is."""
-    contact = F.to_date("borrower_date")
-    settles = F.to_date("settlement_date")
-    tracked = F.col("transaction_purpose").isin(*TRACKED_PURPOSES)
-    near = tracked & (settles <= clock.ahead(10))
-    far = tracked & (settles > clock.ahead(10))
-    undated = settles.isNull()
-
-    def on(k: int) -> Column:
-        return contact == clock.back(k)
-
-    overdue = (
-        (near & (contact <= clock.back(3)))
-        | (far & (contact <= clock.back(4)))
-        | (undated & (contact < clock.back(5)))
+    contact = "to_date(borrower_date)"
+    near = both(TRACKED, f"{SETTLES} <= {clock.ahead(10)}")
+    far = both(TRACKED, f"{SETTLES} > {clock.ahead(10)}")
+    undated = "settlement_date IS NULL"
+
+    def on(k: int) -> str:
+        return f"{contact} = {clock.back(k)}"
+
+    def by(near_age: str, far_age: str, undated_age: str) -> str:
+        return either(both(near, near_age), both(far, far_age), both(undated, undated_age))
+
+    overdue = by(
+        f"{contact} <= {clock.back(3)}",
+        f"{contact} <= {clock.back(4)}",
+        f"{contact} < {clock.back(5)}",
     )
     return {
         "borrower_past_due": overdue,
-        "borrower_due_today": (near & on(2)) | (far & on(3)) | (undated & on(5)),
-        "borrower_due_tomorrow": (near & on(1)) | (far & on(2)) | (undated & on(4)),
+        "borrower_due_today": by(on(2), on(3), on(5)),
+        "borrower_due_tomorrow": by(on(1), on(2), on(4)),
     }
 
 
-def purpose_facts(clock: Clock) -> dict[str, Column]:
-    settles = F.to_date("settlement_date")
-    tracked = F.col("transaction_purpose").isin(*TRACKED_PURPOSES)
-    return {
-        "purpose_tracked": tracked,
-        "purpose_tracked_soon": tracked & settles.between(clock.as_of, clock.ahead(7)),
-    }
+def purpose_facts(clock: Clock) -> Facts:
+    soon = f"{SETTLES} BETWEEN {clock.as_of} AND {clock.ahead(7)}"
+    return {"purpose_tracked": TRACKED, "purpose_tracked_soon": both(TRACKED, soon)}
 
 
-def title_facts(clock: Clock) -> dict[str, Column]:
+def title_facts(clock: Clock) -> Facts:
     """Age of the last title contact, tighter when closing within five days."""
-    contact = F.to_date("title_date")
-    soon = F.to_date("settlement_date").between(clock.as_of, clock.ahead(5))
+    contact = "to_date(title_date)"
+    soon = f"{SETTLES} BETWEEN {clock.as_of} AND {clock.ahead(5)}"
+
+    def by(usual: str, tight: str) -> str:
+        return either(f"{contact} {usual}", both(soon, f"{contact} {tight}"))
+
     return {
-        "title_past_due": (contact < clock.back(5)) | (soon & (contact <= clock.back(2))),
-        "title_due_today": (contact == clock.back(5)) | (soon & (contact == clock.back(1))),
-        "title_due_tomorrow": (contact == clock.back(4)) | (soon & (contact == clock.as_of)),
+        "title_past_due": by(f"< {clock.back(5)}", f"<= {clock.back(2)}"),
+        "title_due_today": by(f"= {clock.back(5)}", f"= {clock.back(1)}"),
+        "title_due_tomorrow": by(f"= {clock.back(4)}", f"= {clock.as_of}"),
     }
 
 
-def title_silence_facts(clock: Clock) -> dict[str, Column]:
-    return {"title_silent": F.col("title_date").isNull()}
+def title_silence_facts(clock: Clock) -> Facts:
+    return {"title_silent": "title_date IS NULL"}
 
 
-def property_count_facts(clock: Clock) -> dict[str, Column]:
-    return {
-        "multi_property": F.col("properties_count") > 1,
-        "single_property": F.col("properties_count") == 1,
-    }
+def property_count_facts(clock: Clock) -> Facts:
+    return {"multi_property": "properties_count > 1", "single_property": "properties_count = 1"}
 
 
-def valuation_facts(clock: Clock) -> dict[str, Column]:
-    no_cda = F.col("cda_order_date").isNull() & F.col("cda_received_date").isNull()
-    received = F.to_date("appraisal_received_date")
+def valuation_facts(clock: Clock) -> Facts:
+    received = f"to_date(appraisal_received_date) <= {clock.back(2)}"
     return {
-        "appraisal_unapproved": F.col("appraisal_approved_date").isNull(),
-        "cda_overdue": no_cda & (received <= clock.back(2)),
+        "appraisal_unapproved": "appraisal_approved_date IS NULL",
+        "cda_overdue": both(received, "cda_order_date IS NULL", "cda_received_date IS NULL"),
     }
 
 
-def legal_facts(clock: Clock) -> dict[str, Column]:
-    ordered = F.to_date("title_commitment_order_date")
-    reordered = F.to_date("title_commitment_most_recent_order_date")
-    kickoff = F.col("kickoff_call_with_borrower_date")
+def legal_facts(clock: Clock) -> Facts:
+    ordered = "to_date(title_commitment_order_date)"
+    reordered = "to_date(title_commitment_most_recent_order_date)"
     return {
-        "kickoff_missing": kickoff.isNull(),
-        "kickoff_done": kickoff.isNotNull(),
-        "terms_unreviewed": F.col("term_sheet_reviewed_with_borrower_date").isNull(),
-        "title_unordered": ordered.isNull() & reordered.isNull(),
-        "title_ordered_before": (ordered < clock.as_of) | (reordered < clock.as_of),
-        "commitment_missing": F.col("preliminary_commitment_received_date").isNull(),
+        "kickoff_missing": "kickoff_call_with_borrower_date IS NULL",
+        "kickoff_done": "kickoff_call_with_borrower_date IS NOT NULL",
+        "terms_unreviewed": "term_sheet_reviewed_with_borrower_date IS NULL",
+        "title_unordered": f"coalesce({ordered}, {reordered}) IS NULL",
+        "title_ordered_before": either(
+            f"{ordered} < {clock.as_of}", f"{reordered} < {clock.as_of}"
+        ),
+        "commitment_missing": "preliminary_commitment_received_date IS NULL",
     }
 
 
-def review_facts(clock: Clock) -> dict[str, Column]:
-    reviewed = F.to_date("preliminary_review_date")
-    ages = {f"reviewed_{k}_back": reviewed == clock.back(k) for k in (1, 2, 3, 4, 5, 6)}
+def review_facts(clock: Clock) -> Facts:
+    reviewed = "to_date(preliminary_review_date)"
     return {
-        "reviewed_today": reviewed == clock.as_of,
-        **ages,
-        "reviewed_by_2_back": reviewed <= clock.back(2),
+        "reviewed_today": f"{reviewed} = {clock.as_of}",
+        **{f"reviewed_{k}_back": f"{reviewed} = {clock.back(k)}" for k in range(1, 7)},
+        "reviewed_by_2_back": f"{reviewed} <= {clock.back(2)}",
     }
 
 
+def named(facts: Facts) -> list[str]:
+    """Select list of the facts."""
+    return [f"{condition} AS {name}" for name, condition in facts.items()]
+
+
+def any_of(facts: Facts) -> list[str]:
+    """Aggregates saying that some row satisfies each fact."""
+    return [f"bool_or({condition}) AS {name}" for name, condition in facts.items()]
+
+
 LOAN_FACTS = {
     "settlement": settlement_facts,
     "borrower": borrower_facts,
@@ -189,28 +195,23 @@ def loans_with_follow_ups(tables: Tables, groups: Iterable[str]) -> DataFrame:
 
 
 def loan_fact_rows(
-    tables: Tables, clock: Clock, groups: Iterable[str], keep: Iterable[str] = ()
+    tables: Tables, clock: Clock, groups: Iterable[str]
 ) -> tuple[DataFrame, list[str]]:
-    """One row per loan: application_id, `keep` columns and the facts."""
+    """One row per loan: its application and the facts; and their names."""
     groups = list(groups)
-    facts: dict[str, Column] = {}
+    facts: Facts = {}
     for group in groups:
         facts.update(LOAN_FACTS[group](clock))
     loans = clock.attach(loans_with_follow_ups(tables, groups))
-    rows = loans.select(
-        "application_id", *keep, *[c.alias(name) for name, c in facts.items()]
-    )
-    return rows, list(facts)
+    return loans.selectExpr("application_id", *named(facts)), list(facts)
 
 
 def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
     """One row per loan, property and valuation, with the valuation facts."""
-    loans = tables["loans"].select("application_id", F.col("id").alias("loan_id"))
-    properties = tables["properties"].select(F.col("id").alias("property_id"), "loan_id")
-    valuations = clock.attach(tables["property_valuations"]).select(
-        "property_id",
-        "appraisal_received_date",
-        *[c.alias(name) for name, c in valuation_facts(clock).items()],
+    loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
+    properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
+    valuations = clock.attach(tables["property_valuations"]).selectExpr(
+        "property_id", "appraisal_received_date", *named(valuation_facts(clock))
     )
     appraised = left_join_hot_right(
         properties, valuations, "property_id", tables["property_valuations"]
@@ -221,26 +222,18 @@ def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:
     """Valuation facts combined per property, then per loan."""
     facts = valuation_facts(clock)
-    valuations = clock.attach(tables["property_valuations"]).select(
-        "property_id", *[c.alias(name) for name, c in facts.items()]
-    )
-    by_property = any_fact(valuations, "property_id", facts)
-    properties = tables["properties"].select(F.col("id").alias("property_id"), "loan_id")
+    valuations = clock.attach(tables["property_valuations"])
+    by_property = valuations.groupBy("property_id").agg(*map(F.expr, any_of(facts)))
+    properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
     appraised = with_defaults(properties.join(by_property, "property_id", "left"), facts)
     return any_fact(appraised, "loan_id", facts)
 
 
-def legal_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
-    facts = legal_facts(clock)
-    rows = tables["legal_closing_informations"].select(
-        "application_id", *[c.alias(name) for name, c in facts.items()]
-    )
-    return any_fact(rows, "application_id", facts)
+def legal_facts_by_application(tables: Tables, clock: Clock, *also: str) -> DataFrame:
+    rows = tables["legal_closing_informations"].groupBy("application_id")
+    return rows.agg(*map(F.expr, [*also, *any_of(legal_facts(clock))]))
 
 
 def review_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
-    facts = review_facts(clock)
-    rows = clock.attach(prelim_review_date(tables)).select(
-        F.col("id").alias("application_id"), *[c.alias(name) for name, c in facts.items()]
-    )
-    return any_fact(rows, "application_id", facts)
+    rows = clock.attach(prelim_review_date(tables)).withColumnRenamed("id", "application_id")
+    return rows.groupBy("application_id").agg(*map(F.expr, any_of(review_facts(clock))))

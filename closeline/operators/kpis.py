@@ -14,11 +14,10 @@ Grains of `classify`:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from closeline.constants import (
     BRIDGE_TYPE,
@@ -39,7 +38,7 @@ from closeline.constants import (
     TITLE_ORDER_HOURS,
 )
 from closeline.functions.dates import hour_boundaries
-from closeline.functions.ladders import first_match
+from closeline.functions.ladders import both, either, first_match, quoted
 from closeline.operators.calendar import Clock
 from closeline.operators.extracts import first_term_sheets
 from closeline.operators.facts import (
@@ -55,16 +54,13 @@ from closeline.operators.facts import (
 from closeline.operators.joins import left_join_hot_right
 
 Tables = Mapping[str, DataFrame]
-Rule = Callable[[Clock], Column]
-
-col = F.col
 
 
 @dataclass(frozen=True)
 class Kpi:
     name: str
-    gate: Rule
-    label: Rule
+    gate: str
+    label: Callable[[Clock], str]
     loan_facts: tuple[str, ...] = ()
     valuations: bool = False
     legal: bool = False
@@ -73,67 +69,46 @@ class Kpi:
     product: bool = False
     key: str = "application_number"
 
-    def gated_label(self, clock: Clock) -> Column:
-        """The label where the gate holds, NULL elsewhere."""
-        return F.when(self.gate(clock), self.label(clock))
-
-
-# --- shared conditions on the application -----------------------------------
-
-
-def submitted_on() -> Column:
-    return F.to_date("submitted_to_initial_underwriting_at")
-
-
-def was_submitted() -> Column:
-    return col("submitted_to_initial_underwriting_at").isNotNull()
-
-
-def outside(states: Iterable[str]) -> Column:
-    return ~col("state").isin(*states)
-
-
-def unconfirmed() -> Column:
-    return col("closing_status").isNull() | col("closing_status").isin(LIKELY, NOT_CONFIRMED)
+    def gated_label(self, clock: Clock) -> str:
+        """SQL: the label where the gate holds, NULL elsewhere."""
+        return f"CASE WHEN {self.gate} THEN {self.label(clock)} END"
 
 
-def in_processing() -> Column:
-    return outside(CLASSIFIER_EXCLUDED_STATES) & was_submitted()
+# --- shared conditions on the application, as SQL ---------------------------
 
+SUBMITTED_ON = "to_date(submitted_to_initial_underwriting_at)"
+WAS_SUBMITTED = "submitted_to_initial_underwriting_at IS NOT NULL"
+UNCONFIRMED_STATUS = f"closing_status IN ({quoted((LIKELY, NOT_CONFIRMED))})"
+UNCONFIRMED = either("closing_status IS NULL", UNCONFIRMED_STATUS)
+CLASSIFIED = f"state NOT IN ({quoted(CLASSIFIER_EXCLUDED_STATES)})"
+PAST_UNDERWRITING = f"state NOT IN ({quoted(TERMS_EXCLUDED_STATES)})"
+IN_PROCESSING = both(CLASSIFIED, WAS_SUBMITTED)
+SINGLE_LOAN = either("NOT portfolio", "single_property")
+HAS_TERMS = "initial_terms_date IS NOT NULL"
 
-def single_loan() -> Column:
-    return (~col("portfolio")) | col("single_property")
 
-
-def ages(clock: Clock, *limits: int, suffix: str, inclusive: bool = False) -> list:
-    """Rungs '>k' for a submission at least (or more than) k business days old."""
-
-    def reached(k: int) -> Column:
-        limit = clock.back(k)
-        return submitted_on() <= limit if inclusive else submitted_on() < limit
-
-    return [(f">{k} {suffix}", reached(k)) for k in limits]
+def ages(clock: Clock, *limits: int, unit: str, compare: str = "<") -> list[tuple[str, str]]:
+    """Rungs '>k' for submissions before (or by) the k-th business day back."""
+    return [(f">{k} {unit}", f"{SUBMITTED_ON} {compare} {clock.back(k)}") for k in limits]
 
 
 # --- preliminary review calls ------------------------------------------------
 
+IN_REVIEW = f"state = '{PRELIMINARY_REVIEW}'"
+IN_UNDERWRITING = f"state = '{INITIAL_UNDERWRITING}'"
+CALL_PENDING = f"kickoff_done AND NOT ({WAS_SUBMITTED})"
 
-def welcome_call_gate(clock: Clock) -> Column:
-    return (
-        col("state").isin(INITIAL_UNDERWRITING, PRELIMINARY_REVIEW)
-        & col("withdrawn_at").isNull()
-        & col("rejected_at").isNull()
-        & col("long_termed_at").isNull()
-        & col("kickoff_missing")
-    )
-
+WELCOME_CALL_GATE = both(
+    either(IN_REVIEW, IN_UNDERWRITING),
+    "coalesce(withdrawn_at, rejected_at, long_termed_at) IS NULL",
+    "kickoff_missing",
+)
 
-def welcome_call_label(clock: Clock) -> Column:
-    underwriting = col("state") == INITIAL_UNDERWRITING
-    reviewing = col("state") == PRELIMINARY_REVIEW
 
-    def started(submitted_at: Column, review_fact: str) -> Column:
-        return (underwriting & (submitted_on() == submitted_at)) | (reviewing & col(review_fact))
+def welcome_call_label(clock: Clock) -> str:
+    def started(submitted_at: str, review_fact: str) -> str:
+        submitted = both(IN_UNDERWRITING, f"{SUBMITTED_ON} = {submitted_at}")
+        return either(submitted, both(IN_REVIEW, review_fact))
 
     return first_match(
         [
@@ -145,34 +120,25 @@ def welcome_call_label(clock: Clock) -> Column:
     )
 
 
-def in_review(clock: Clock) -> Column:
-    return col("state") == PRELIMINARY_REVIEW
-
-
-def call_pending() -> Column:
-    return col("kickoff_done") & ~was_submitted()
-
-
-def follow_up_call_1_label(clock: Clock) -> Column:
+def follow_up_call_1_label(clock: Clock) -> str:
     return first_match(
         [
-            (DUE_TOMORROW, call_pending() & col("reviewed_2_back")),
-            (DUE_TODAY, call_pending() & col("reviewed_3_back")),
-            (PAST_DUE, call_pending() & col("reviewed_4_back")),
+            (DUE_TOMORROW, both(CALL_PENDING, "reviewed_2_back")),
+            (DUE_TODAY, both(CALL_PENDING, "reviewed_3_back")),
+            (PAST_DUE, both(CALL_PENDING, "reviewed_4_back")),
         ]
     )
 
 
-def follow_up_call_2_label(clock: Clock) -> Column:
-    first_call = follow_up_call_1_label(clock)
-    first_call_open = first_call.isNull() | (first_call != PAST_DUE)
+def follow_up_call_2_label(clock: Clock) -> str:
+    first_call_open = f"coalesce({follow_up_call_1_label(clock)}, '') != '{PAST_DUE}'"
     return first_match(
         [
             # Four days back is past due for the first call, so this rung only
             # ever matches where several review dates meet on one application.
-            (DUE_TOMORROW, call_pending() & col("reviewed_4_back") & first_call_open),
-            (DUE_TODAY, call_pending() & col("reviewed_5_back")),
-            (PAST_DUE, call_pending() & col("reviewed_6_back")),
+            (DUE_TOMORROW, both(CALL_PENDING, "reviewed_4_back", first_call_open)),
+            (DUE_TODAY, both(CALL_PENDING, "reviewed_5_back")),
+            (PAST_DUE, both(CALL_PENDING, "reviewed_6_back")),
         ]
     )
 
@@ -180,52 +146,42 @@ def follow_up_call_2_label(clock: Clock) -> Column:
 # --- closing, borrower and terms ---------------------------------------------
 
 
-def processing_gate(clock: Clock) -> Column:
-    return in_processing()
-
-
-def closing_label(clock: Clock) -> Column:
+def closing_label(clock: Clock) -> str:
     return first_match(
         [
-            ("2 Business Days", unconfirmed() & col("settles_in_two")),
-            ("Next Business Day", unconfirmed() & col("settles_next")),
-            ("Today", unconfirmed() & col("settles_today")),
-            (PAST_DUE, unconfirmed() & col("settlement_past")),
-            ("No Settlement Date", unconfirmed() & col("settlement_missing")),
-            ("Not Likely", (col("closing_status") == NOT_CONFIRMED) & col("settlement_set")),
+            ("2 Business Days", both(UNCONFIRMED, "settles_in_two")),
+            ("Next Business Day", both(UNCONFIRMED, "settles_next")),
+            ("Today", both(UNCONFIRMED, "settles_today")),
+            (PAST_DUE, both(UNCONFIRMED, "settlement_past")),
+            ("No Settlement Date", both(UNCONFIRMED, "settlement_missing")),
+            ("Not Likely", both(f"closing_status = '{NOT_CONFIRMED}'", "settlement_set")),
         ],
         otherwise=FUTURE,
     )
 
 
-def has_terms() -> Column:
-    return col("initial_terms_date").isNotNull()
-
+BORROWER_FOLLOW_UP_GATE = both(PAST_UNDERWRITING, UNCONFIRMED, HAS_TERMS)
 
-def borrower_follow_up_gate(clock: Clock) -> Column:
-    return outside(TERMS_EXCLUDED_STATES) & unconfirmed() & has_terms()
 
-
-def borrower_follow_up_label(clock: Clock) -> Column:
+def borrower_follow_up_label(clock: Clock) -> str:
     return first_match(
         [
-            (PAST_DUE, col("borrower_past_due")),
-            (DUE_TODAY, col("borrower_due_today")),
-            (DUE_TOMORROW, col("borrower_due_tomorrow")),
+            (PAST_DUE, "borrower_past_due"),
+            (DUE_TODAY, "borrower_due_today"),
+            (DUE_TOMORROW, "borrower_due_tomorrow"),
         ]
     )
 
 
-def initial_terms_gate(clock: Clock) -> Column:
-    return borrower_follow_up_gate(clock) & col("purpose_tracked")
+INITIAL_TERMS_GATE = both(BORROWER_FOLLOW_UP_GATE, "purpose_tracked")
 
 
-def initial_terms_label(clock: Clock) -> Column:
-    waiting = col("state").isin(*TERM_SHEET_STATES) & col("terms_unreviewed")
-    sent, soon = col("initial_terms_date"), col("purpose_tracked_soon")
+def initial_terms_label(clock: Clock) -> str:
+    waiting = both(f"state IN ({quoted(TERM_SHEET_STATES)})", "terms_unreviewed")
 
-    def rung(by: Column, soon_on: Column) -> Column:
-        return waiting & ((sent <= by) | (soon & (sent == soon_on)))
+    def rung(by: str, soon_on: str) -> str:
+        soon = both("purpose_tracked_soon", f"initial_terms_date = {soon_on}")
+        return both(waiting, either(f"initial_terms_date <= {by}", soon))
 
     return first_match(
         [
@@ -239,25 +195,22 @@ def initial_terms_label(clock: Clock) -> Column:
 # --- title ---------------------------------------------------------------------
 
 
-def title_order_label(clock: Clock) -> Column:
-    waited = hour_boundaries(col("submitted_to_initial_underwriting_at"), clock.as_of_ts)
-    return first_match([(OUTSTANDING, (waited >= TITLE_ORDER_HOURS) & col("title_unordered"))])
-
-
-def title_order_confirmation_label(clock: Clock) -> Column:
-    return first_match([(OUTSTANDING, col("title_ordered_before") & col("title_silent"))])
+def title_order_label(clock: Clock) -> str:
+    waited = hour_boundaries("submitted_to_initial_underwriting_at", clock.as_of_ts)
+    late = f"{waited} >= {TITLE_ORDER_HOURS}"
+    return first_match([(OUTSTANDING, both(late, "title_unordered"))])
 
 
-def title_follow_up_gate(clock: Clock) -> Column:
-    return outside(CLASSIFIER_EXCLUDED_STATES) & has_terms()
+def title_order_confirmation_label(clock: Clock) -> str:
+    return first_match([(OUTSTANDING, both("title_ordered_before", "title_silent"))])
 
 
-def title_follow_up_label(clock: Clock) -> Column:
+def title_follow_up_label(clock: Clock) -> str:
     return first_match(
         [
-            (PAST_DUE, col("commitment_missing") & col("title_past_due")),
-            (DUE_TODAY, col("commitment_missing") & col("title_due_today")),
-            (DUE_TOMORROW, col("commitment_missing") & col("title_due_tomorrow")),
+            (PAST_DUE, both("commitment_missing", "title_past_due")),
+            (DUE_TODAY, both("commitment_missing", "title_due_today")),
+            (DUE_TOMORROW, both("commitment_missing", "title_due_tomorrow")),
         ],
         otherwise=FUTURE,
     )
@@ -265,63 +218,46 @@ def title_follow_up_label(clock: Clock) -> Column:
 
 # --- appraisal and processing times ---------------------------------------------
 
-
-def appraisal_gate(clock: Clock) -> Column:
-    # The portfolio test belongs to the status list alone: applications without
-    # a closing status pass whether or not they are a portfolio.
-    listed = col("closing_status").isin(LIKELY, NOT_CONFIRMED) & ~col("portfolio")
-    return in_processing() & (col("closing_status").isNull() | listed)
-
-
-def appraisal_label(clock: Clock) -> Column:
-    bands = ages(clock, 20, 15, 9, suffix="days", inclusive=True)
-    return first_match([(label, old & col("appraisal_unapproved")) for label, old in bands])
-
-
-def portfolio_gate(clock: Clock) -> Column:
-    return in_processing() & unconfirmed() & (col("portfolio") | col("multi_property"))
-
-
-def new_construction_gate(clock: Clock) -> Column:
-    built = col("product_name") == NEW_CONSTRUCTION
-    return in_processing() & unconfirmed() & single_loan() & built
-
-
-def rental_gate(clock: Clock) -> Column:
-    rental = (col("type") == RENTAL_TYPE) & (col("product_name") != NEW_CONSTRUCTION)
-    return in_processing() & unconfirmed() & single_loan() & rental
-
-
-def bridge_gate(clock: Clock) -> Column:
-    bridge = (col("type") == BRIDGE_TYPE) & (col("product_name") != NEW_CONSTRUCTION)
-    return in_processing() & unconfirmed() & ~col("portfolio") & bridge
+# The portfolio test belongs to the status list alone: applications without a
+# closing status pass whether or not they are a portfolio.
+APPRAISAL_GATE = both(
+    IN_PROCESSING, either("closing_status IS NULL", both(UNCONFIRMED_STATUS, "NOT portfolio"))
+)
+PROCESSED = both(IN_PROCESSING, UNCONFIRMED)
+PORTFOLIO_GATE = both(PROCESSED, either("portfolio", "multi_property"))
+NEW_CONSTRUCTION_GATE = both(PROCESSED, SINGLE_LOAN, f"product_name = '{NEW_CONSTRUCTION}'")
+NOT_NEW = f"product_name != '{NEW_CONSTRUCTION}'"
+RENTAL_GATE = both(PROCESSED, SINGLE_LOAN, f"type = '{RENTAL_TYPE}'", NOT_NEW)
+BRIDGE_GATE = both(PROCESSED, "NOT portfolio", f"type = '{BRIDGE_TYPE}'", NOT_NEW)
+CDA_GATE = both("NOT portfolio", f"type = '{RENTAL_TYPE}'", WAS_SUBMITTED)
 
 
-def long_processing_label(clock: Clock) -> Column:
-    return first_match(ages(clock, 50, 35, 25, suffix="Days"))
+def appraisal_label(clock: Clock) -> str:
+    bands = ages(clock, 20, 15, 9, unit="days", compare="<=")
+    return first_match([(label, both(old, "appraisal_unapproved")) for label, old in bands])
 
 
-def new_construction_label(clock: Clock) -> Column:
-    return first_match(ages(clock, 35, 30, 25, suffix="Days"))
+def long_processing_label(clock: Clock) -> str:
+    return first_match(ages(clock, 50, 35, 25, unit="Days"))
 
 
-def bridge_label(clock: Clock) -> Column:
-    return first_match(ages(clock, 30, 25, 20, suffix="Days"))
+def new_construction_label(clock: Clock) -> str:
+    return first_match(ages(clock, 35, 30, 25, unit="Days"))
 
 
-def cda_gate(clock: Clock) -> Column:
-    return ~col("portfolio") & (col("type") == RENTAL_TYPE) & was_submitted()
+def bridge_label(clock: Clock) -> str:
+    return first_match(ages(clock, 30, 25, 20, unit="Days"))
 
 
-def cda_label(clock: Clock) -> Column:
-    return first_match([(PAST_DUE, col("cda_overdue"))])
+def cda_label(clock: Clock) -> str:
+    return first_match([(PAST_DUE, "cda_overdue")])
 
 
 # --- the fifteen ------------------------------------------------------------------
 
 WELCOME_CALL = Kpi(
     "preliminary_review_welcome_call_kpi",
-    welcome_call_gate,
+    WELCOME_CALL_GATE,
     welcome_call_label,
     legal=True,
     reviews=True,
@@ -329,7 +265,7 @@ WELCOME_CALL = Kpi(
 )
 FOLLOW_UP_CALL_1 = Kpi(
     "preliminary_review_follow_up_call_1_kpi",
-    in_review,
+    IN_REVIEW,
     follow_up_call_1_label,
     legal=True,
     reviews=True,
@@ -337,61 +273,61 @@ FOLLOW_UP_CALL_1 = Kpi(
 )
 FOLLOW_UP_CALL_2 = Kpi(
     "preliminary_review_follow_up_call_2_kpi",
-    in_review,
+    IN_REVIEW,
     follow_up_call_2_label,
     legal=True,
     reviews=True,
     key="id",
 )
-CLOSING = Kpi("closing_kpi", processing_gate, closing_label, loan_facts=("settlement",))
+CLOSING = Kpi("closing_kpi", IN_PROCESSING, closing_label, loan_facts=("settlement",))
 BORROWER_FOLLOW_UP = Kpi(
     "follow_up_kpi",
-    borrower_follow_up_gate,
+    BORROWER_FOLLOW_UP_GATE,
     borrower_follow_up_label,
     loan_facts=("borrower",),
     terms=True,
 )
 INITIAL_TERMS = Kpi(
     "initial_terms_kpi",
-    initial_terms_gate,
+    INITIAL_TERMS_GATE,
     initial_terms_label,
     loan_facts=("purpose",),
     legal=True,
     terms=True,
 )
-TITLE_ORDER = Kpi("title_order", processing_gate, title_order_label, legal=True)
+TITLE_ORDER = Kpi("title_order", IN_PROCESSING, title_order_label, legal=True)
 TITLE_ORDER_CONFIRMATION = Kpi(
     "title_order_confirmation",
-    processing_gate,
+    IN_PROCESSING,
     title_order_confirmation_label,
     loan_facts=("title_silence",),
     legal=True,
 )
 TITLE_FOLLOW_UP = Kpi(
     "title_follow_up",
-    title_follow_up_gate,
+    both(CLASSIFIED, HAS_TERMS),
     title_follow_up_label,
     loan_facts=("title",),
     legal=True,
     terms=True,
 )
-APPRAISAL_MISSING = Kpi("appraisal_kpi", appraisal_gate, appraisal_label, valuations=True)
+APPRAISAL_MISSING = Kpi("appraisal_kpi", APPRAISAL_GATE, appraisal_label, valuations=True)
 PROCESSING_PORTFOLIO = Kpi(
     "processing_times_portfolio",
-    portfolio_gate,
+    PORTFOLIO_GATE,
     long_processing_label,
     loan_facts=("property_count",),
 )
 PROCESSING_NEW_CONSTRUCTION = Kpi(
     "processing_times_new_construction",
-    new_construction_gate,
+    NEW_CONSTRUCTION_GATE,
     new_construction_label,
     loan_facts=("property_count",),
     product=True,
 )
 PROCESSING_RENTAL = Kpi(
     "processing_times_rental",
-    rental_gate,
+    RENTAL_GATE,
     long_processing_label,
     loan_facts=("property_count",),
     product=True,
@@ -399,12 +335,12 @@ PROCESSING_RENTAL = Kpi(
 PROCESSING_BRIDGE = Kpi(
     # Column name as reports know it.
     "progressing_times_bridge",
-    bridge_gate,
+    BRIDGE_GATE,
     bridge_label,
     loan_facts=("property_count",),
     product=True,
 )
-CDA = Kpi("cda_kpi", cda_gate, cda_label, valuations=True)
+CDA = Kpi("cda_kpi", CDA_GATE, cda_label, valuations=True)
 
 KPIS = (
     WELCOME_CALL,
@@ -442,9 +378,7 @@ def with_reviews(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
 
 
 def with_product(tables: Tables, apps: DataFrame) -> DataFrame:
-    products = tables["products"].select(
-        F.col("id").alias("product_id"), F.col("name").alias("product_name")
-    )
+    products = tables["products"].selectExpr("id AS product_id", "name AS product_name")
     return apps.join(products, "product_id", "left")
 
 
@@ -479,15 +413,10 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
         df = df.join(children, "application_id", "left")
     df = with_defaults(df, facts)
 
-    extra = []
+    shown = [f"application_id AS {kpi.key}", f"{kpi.label(clock)} AS {kpi.name}"]
     if kpi is CDA and grain == "row":
-        extra = [clock.as_of.alias("as_of"), F.to_date("appraisal_received_date")]
-        extra[1] = extra[1].alias("appraisal_received_date")
-    return (
-        clock.attach(df.filter(kpi.gate(clock)))
-        .select(
-            F.col("application_id").alias(kpi.key),
-            *extra,
-            kpi.label(clock).alias(kpi.name),
-        )
-    )
+        shown += [
+            f"{clock.as_of} AS as_of",
+            "to_date(appraisal_received_date) AS appraisal_received_date",
+        ]
+    return clock.attach(df.filter(kpi.gate)).selectExpr(*shown)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closeline.constants import CONFIRMED, COORDINATOR_TEAM, FUNDING_STATES
+from closeline.functions.ladders import quoted
 from closeline.functions.text import full_name
 from closeline.operators.joins import left_join_hot_right
 
@@ -19,15 +20,11 @@ def team_contacts(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFrame:
 
     A row per membership; people sharing a name all match, NULL names none.
     """
-    contacts = tables["contacts"].select(
-        F.col("id").alias("contact_id"),
-        full_name(F.col("first_name"), F.col("last_name")).alias("contact_name"),
-    )
-    members = (
-        tables["team_assignments"]
-        .filter(F.col("team") == team)
-        .select(F.col("team_member_name").alias("contact_name"))
+    contacts = tables["contacts"].selectExpr(
+        "id AS contact_id", f"{full_name('first_name', 'last_name')} AS contact_name"
     )
+    members = tables["team_assignments"].filter(F.col("team") == team)
+    members = members.selectExpr("team_member_name AS contact_name")
     return contacts.join(members, "contact_name")
 
 
@@ -38,22 +35,19 @@ def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFr
     """
     applications = (
         tables["applications"]
-        .filter(F.col("state").isin(*FUNDING_STATES) & (F.col("closing_status") == CONFIRMED))
-        .select(
-            F.col("id").alias("application_id"),
-            F.col("project_coordinator_id").alias("contact_id"),
-        )
+        .filter(f"state IN ({quoted(FUNDING_STATES)}) AND closing_status = '{CONFIRMED}'")
+        .selectExpr("id AS application_id", "project_coordinator_id AS contact_id")
     )
-    loans = tables["loans"].select(
-        "application_id", "internal_id", F.to_date("settlement_date").alias("settlement_date")
+    loans = tables["loans"].selectExpr(
+        "application_id", "internal_id", "to_date(settlement_date) AS settlement_date"
     )
     closings = loans.join(
         applications.join(team_contacts(tables, team), "contact_id"), "application_id"
     )
     channels = tables["deal_product_channel"].select("internal_id")
-    return left_join_hot_right(closings, channels, "internal_id").select(
-        F.col("contact_name").alias("project_coordinator_name"),
-        F.col("contact_id").alias("id"),
+    return left_join_hot_right(closings, channels, "internal_id").selectExpr(
+        "contact_name AS project_coordinator_name",
+        "contact_id AS id",
         "settlement_date",
         "internal_id",
     )
@@ -61,9 +55,7 @@ def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFr
 
 def appraisal_payments(loans: DataFrame) -> DataFrame:
     """Loan number and the day its appraisal was paid."""
-    return loans.select(
-        "internal_id", F.to_date("appraisal_paid_at").alias("paid_appraisal_date")
-    )
+    return loans.selectExpr("internal_id", "to_date(appraisal_paid_at) AS paid_appraisal_date")
 
 
 def stage_stats(tables: Tables) -> DataFrame:

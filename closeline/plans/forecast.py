@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -29,13 +29,11 @@ from closeline.constants import (
     RENTAL,
 )
 from closeline.functions.dates import MonthOf, whole_days
-from closeline.functions.ladders import any_of
+from closeline.functions.ladders import both, either, quoted
 from closeline.functions.text import full_name
 
 Tables = Mapping[str, DataFrame]
 
-col = F.col
-
 ROW_COLUMNS = (
     "loan_officer_name",
     "total_amount",
@@ -45,11 +43,12 @@ ROW_COLUMNS = (
     "application_id",
 )
 FLAGS = ("date_range", "status_flag", "stage_flag")
+UNDATED = "dynamic_settlement_date IS NULL"
 
 
 def forecast_base(projections: DataFrame) -> DataFrame:
     """The projection rows the forecast is made of."""
-    return projections.filter(col("table_type") == PROJECTION_ROWS)
+    return projections.filter(F.col("table_type") == PROJECTION_ROWS)
 
 
 def closing_calendar(
@@ -62,40 +61,38 @@ def closing_calendar(
     join, so neither a loan with many costs nor a busy officer is a hot key.
     """
     month = MonthOf(as_of)
+    statuses = quoted((CONFIRMED, LIKELY, NOT_CONFIRMED))
     applications = (
         tables["applications"]
         .filter(
-            col("state").isin(*CLOSING_CALENDAR_STATES)
-            & col("withdrawn_at").isNull()
-            & col("rejection_status").isNull()
-            & col("closing_status").isin(CONFIRMED, LIKELY, NOT_CONFIRMED)
-            & col("loan_officer_id").isNotNull()
+            f"state IN ({quoted(CLOSING_CALENDAR_STATES)}) AND closing_status IN ({statuses}) "
+            "AND withdrawn_at IS NULL AND rejection_status IS NULL"
         )
-        .select(col("id").alias("application_id"), "loan_officer_id")
+        .selectExpr("id AS application_id", "loan_officer_id")
     )
     # Settlement is a date: with a time of day, rows late on the last day of the
     # month fall outside these bounds.
     loans = (
         tables["loans"]
         .filter(
-            col("appraisal_paid_at").isNotNull()
-            & col("settlement_date").between(F.lit(month.start), F.lit(month.end))
+            "appraisal_paid_at IS NOT NULL "
+            f"AND settlement_date BETWEEN DATE '{month.start}' AND DATE '{month.end}'"
         )
-        .select(col("id").alias("loan_id"), "application_id", "total_amount")
+        .selectExpr("id AS loan_id", "application_id", "total_amount")
     )
-    cost_rows = F.lit(1) if dedupe_costs else F.count("*")
     costs = tables["loan_closing_costs"].groupBy("loan_id").agg(
-        cost_rows.cast("int").alias("cost_rows")
+        F.expr("CAST(count(*) AS INT) AS cost_rows")
     )
+    weight = "1" if dedupe_costs else "cost_rows"
     by_officer = (
         applications.join(loans, "application_id")
         .join(costs, "loan_id")
         .groupBy("loan_officer_id")
-        .agg(F.sum(col("total_amount") * col("cost_rows")).alias("amount"))
+        .agg(F.expr(f"sum(total_amount * {weight}) AS amount"))
     )
-    contacts = tables["contacts"].select(
-        col("id").alias("loan_officer_id"),
-        full_name(col("first_name"), col("last_name")).alias("loan_officer_name"),
+    contacts = tables["contacts"].selectExpr(
+        "id AS loan_officer_id",
+        f"{full_name('first_name', 'last_name')} AS loan_officer_name",
     )
     return (
         by_officer.join(contacts, "loan_officer_id")
@@ -104,85 +101,88 @@ def closing_calendar(
     )
 
 
-# --- conditions on a projection row ------------------------------------------
+# --- conditions on a projection row, as SQL ----------------------------------
 
 
-def false_if_null(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
+def false_if_null(condition: str) -> str:
+    return f"coalesce({condition}, false)"
 
 
-def projected_to_close(as_of: dt.date) -> Column:
+def projected_to_close(as_of: dt.date) -> str:
     """Stage date plus the usual days to close falls in the month."""
-    projected = F.date_add(F.to_date("deal_stage_date"), whole_days(col("median_days_to_close")))
+    projected = f"date_add(to_date(deal_stage_date), {whole_days('median_days_to_close')})"
     return false_if_null(MonthOf(as_of).contains(projected))
 
 
-def long_in_stage(as_of: dt.date) -> Column:
+def long_in_stage(as_of: dt.date) -> str:
     """Not a portfolio and LONG_TERM_DAYS or more in its stage."""
-    age = F.datediff(F.lit(as_of), "deal_stage_date")
-    return false_if_null(~col("portfolio") & (age >= LONG_TERM_DAYS))
+    age = f"datediff(DATE '{as_of}', deal_stage_date)"
+    return false_if_null(both("NOT portfolio", f"{age} >= {LONG_TERM_DAYS}"))
 
 
-def settles_in_month(as_of: dt.date) -> Column:
-    return false_if_null(MonthOf(as_of).contains(col("dynamic_settlement_date")))
+def settles_in_month(as_of: dt.date) -> str:
+    return false_if_null(MonthOf(as_of).contains("dynamic_settlement_date"))
 
 
-def closes_in_month(as_of: dt.date) -> Column:
+def closes_in_month(as_of: dt.date) -> str:
     """Settles in the month, or undated but projected to and not long in stage."""
-    undated = col("dynamic_settlement_date").isNull()
-    return settles_in_month(as_of) | (
-        undated & projected_to_close(as_of) & ~long_in_stage(as_of)
-    )
+    hopeful = both(UNDATED, projected_to_close(as_of), f"NOT {long_in_stage(as_of)}")
+    return either(settles_in_month(as_of), hopeful)
 
 
-def likely_to_confirm(as_of: dt.date) -> Column:
+def likely_to_confirm(as_of: dt.date) -> str:
     """Confirmed enough for the days left.
 
     On the last day only confirmed deals are; before it likely ones too.  An
     unconfirmed deal is while its status is younger than it usually takes to be
     confirmed and the month is long enough for it.
     """
-    month = MonthOf(as_of)
-    age = F.datediff(F.lit(as_of), "closing_status_date")
+    left = MonthOf(as_of).days_left
+    age = f"datediff(DATE '{as_of}', closing_status_date)"
 
-    def in_time(product: str, median: Column) -> Column:
-        fits = whole_days(median) <= month.days_left
-        return (col("product") == product) & (age <= median) & fits
+    def in_time(product: str, median: str) -> str:
+        return both(
+            f"product = '{product}'", f"{age} <= {median}", f"{whole_days(median)} <= {left}"
+        )
 
-    pending = (col("closing_status") == NOT_CONFIRMED) & any_of(
-        [
-            in_time(BRIDGE, col("median_days_from_unconfirmed_to_confirmed_bridge")),
-            in_time(RENTAL, col("median_days_from_unconfirmed_to_confirmed_rental")),
-        ]
+    pending = both(
+        f"closing_status = '{NOT_CONFIRMED}'",
+        either(
+            in_time(BRIDGE, "median_days_from_unconfirmed_to_confirmed_bridge"),
+            in_time(RENTAL, "median_days_from_unconfirmed_to_confirmed_rental"),
+        ),
+    )
+    sure = (CONFIRMED, LIKELY) if left > 0 else (CONFIRMED,)
+    return either(
+        false_if_null(pending), false_if_null(f"closing_status IN ({quoted(sure)})")
     )
-    sure = (CONFIRMED, LIKELY) if month.days_left > 0 else (CONFIRMED,)
-    return false_if_null(pending) | false_if_null(col("closing_status").isin(*sure))
 
 
-def stage_can_close(as_of: dt.date) -> Column:
+def stage_can_close(as_of: dt.date) -> str:
     """False for early stages whose usual time to close exceeds the days left.
 
     Late stages always can.
     """
-    days_left = MonthOf(as_of).days_left
+    left = MonthOf(as_of).days_left
 
-    def too_early(product: str, median: Column) -> Column:
-        return (col("product") == product) & (whole_days(median) >= days_left)
+    def too_early(product: str, median: str) -> str:
+        return both(f"product = '{product}'", f"{whole_days(median)} >= {left}")
 
-    late = any_of(
-        [
-            too_early(BRIDGE, col("median_days_to_close_after_final_terms_bridge")),
-            too_early(RENTAL, col("median_days_to_close_after_final_terms_rental")),
-        ]
+    blocked = both(
+        f"state IN ({quoted(EARLY_GATE_STATES)})",
+        either(
+            too_early(BRIDGE, "median_days_to_close_after_final_terms_bridge"),
+            too_early(RENTAL, "median_days_to_close_after_final_terms_rental"),
+        ),
     )
-    return ~false_if_null(col("state").isin(*EARLY_GATE_STATES) & late)
+    return f"NOT {false_if_null(blocked)}"
 
 
 # --- flags as operators ------------------------------------------------------
 
 
-def _flag(base: DataFrame, name: str, condition: Column) -> DataFrame:
-    return base.select("application_id", condition.alias(name))
+def _flag(base: DataFrame, name: str, condition: str) -> DataFrame:
+    return base.selectExpr("application_id", f"{condition} AS {name}")
 
 
 def null_settlement_flag(base: DataFrame, as_of: dt.date) -> DataFrame:
@@ -206,9 +206,8 @@ def date_range_flag(base: DataFrame, as_of: dt.date) -> DataFrame:
 
     An undated row without an application id has no flags to look up: false.
     """
-    known = col("application_id").isNotNull()
-    in_range = settles_in_month(as_of) | (known & closes_in_month(as_of))
-    return _flag(base, "date_range", in_range)
+    known = both("application_id IS NOT NULL", closes_in_month(as_of))
+    return _flag(base, "date_range", either(settles_in_month(as_of), known))
 
 
 # --- enrichment and the forecast ---------------------------------------------
@@ -216,58 +215,59 @@ def date_range_flag(base: DataFrame, as_of: dt.date) -> DataFrame:
 
 def _flags_of_row(base: DataFrame, as_of: dt.date) -> DataFrame:
     """Flags of each row; NULL without an application id, as nothing matches it."""
-    known = col("application_id").isNotNull()
-    return base.select(
+
+    def known(condition: str) -> str:
+        return f"IF(application_id IS NOT NULL, {condition}, NULL)"
+
+    return base.selectExpr(
         *ROW_COLUMNS,
-        F.when(known, closes_in_month(as_of)).alias("date_range"),
-        F.when(known, likely_to_confirm(as_of)).alias("status_flag"),
-        F.when(known, stage_can_close(as_of)).alias("stage_flag"),
+        f"{known(closes_in_month(as_of))} AS date_range",
+        f"{known(likely_to_confirm(as_of))} AS status_flag",
+        f"{known(stage_can_close(as_of))} AS stage_flag",
     ).distinct()
 
 
 def _flag_values(base: DataFrame, as_of: dt.date) -> DataFrame:
     """Per application the values each flag takes over its rows, at most two each."""
-    undated = col("dynamic_settlement_date").isNull()
-    settles, projected = settles_in_month(as_of), projected_to_close(as_of)
-    long_term = long_in_stage(as_of)
-    status, stage = likely_to_confirm(as_of), stage_can_close(as_of)
-    seen = {
-        "settles": settles,
-        "undated": undated,
-        "dated_elsewhere": ~undated & ~settles,
-        "projected": projected,
-        "unprojected": ~projected,
-        "long_term": long_term,
-        "short_term": ~long_term,
-        "status": status,
-        "no_status": ~status,
-        "stage": stage,
-        "no_stage": ~stage,
-    }
-    seen = base.filter(col("application_id").isNotNull()).groupBy("application_id").agg(
-        *[F.bool_or(c).alias(name) for name, c in seen.items()]
+    rows = base.filter("application_id IS NOT NULL").selectExpr(
+        "application_id",
+        f"{UNDATED} AS undated",
+        f"{settles_in_month(as_of)} AS settles",
+        f"{projected_to_close(as_of)} AS projected",
+        f"{long_in_stage(as_of)} AS long_term",
+        f"{likely_to_confirm(as_of)} AS status",
+        f"{stage_can_close(as_of)} AS stage",
+    )
+    seen = rows.groupBy("application_id").agg(
+        F.expr("bool_or(settles) AS settles"),
+        F.expr("bool_or(undated) AS undated"),
+        F.expr("bool_or(NOT undated AND NOT settles) AS dated_elsewhere"),
+        F.expr("bool_or(projected) AS projected"),
+        F.expr("bool_or(NOT projected) AS unprojected"),
+        F.expr("bool_or(long_term) AS long_term"),
+        F.expr("bool_or(NOT long_term) AS short_term"),
+        F.expr("bool_or(status) AS status"),
+        F.expr("bool_or(NOT status) AS no_status"),
+        F.expr("bool_or(stage) AS stage"),
+        F.expr("bool_or(NOT stage) AS no_stage"),
     )
 
-    def values(true: Column, false: Column) -> Column:
-        return F.array_compact(
-            F.array(F.when(true, F.lit(True)), F.when(false, F.lit(False)))
-        )
+    def values(true: str, false: str) -> str:
+        return f"array_compact(array(IF({true}, true, NULL), IF({false}, false, NULL)))"
 
     # Undated rows meet the projection of any row and the stage age of any row.
-    in_range = col("settles") | (col("undated") & col("projected") & col("short_term"))
-    out_of_range = col("dated_elsewhere") | (
-        col("undated") & (col("unprojected") | col("long_term"))
-    )
-    return seen.select(
+    in_range = "settles OR (undated AND projected AND short_term)"
+    out_of_range = "dated_elsewhere OR (undated AND (unprojected OR long_term))"
+    return seen.selectExpr(
         "application_id",
-        values(in_range, out_of_range).alias("date_range"),
-        values(col("status"), col("no_status")).alias("status_flag"),
-        values(col("stage"), col("no_stage")).alias("stage_flag"),
+        f"{values(in_range, out_of_range)} AS date_range",
+        f"{values('status', 'no_status')} AS status_flag",
+        f"{values('stage', 'no_stage')} AS stage_flag",
     )
 
 
 def _with_officer(rows: DataFrame, applications: DataFrame) -> DataFrame:
-    officers = applications.select(col("id").alias("application_id"), "loan_officer_id")
+    officers = applications.selectExpr("id AS application_id", "loan_officer_id")
     return rows.join(officers, "application_id", "left")
 
 
@@ -303,37 +303,33 @@ def loan_officer_monthly_forecast(
     shuffled.  The officer sum is taken before the calendar is joined and again
     after it, because the calendar amount is a group key.
     """
-    base = forecast_base(tables["projections"]).filter(
-        col("application_id").isNotNull()
-        & col("loan_officer_name").isNotNull()
-        & (col("department").isNull() | col("department").isin(*FORECAST_DEPARTMENTS))
+    base = forecast_base(tables["projections"])
+    counted = base.filter(
+        "application_id IS NOT NULL AND loan_officer_name IS NOT NULL AND "
+        f"(department IS NULL OR department IN ({quoted(FORECAST_DEPARTMENTS)}))"
     )
     if excluded_officers:
-        counted = base.filter(~col("loan_officer_name").isin(*excluded_officers))
-    else:
-        counted = base
+        counted = counted.filter(~F.col("loan_officer_name").isin(*excluded_officers))
     if unique_applications:
-        counted = counted.filter(
-            closes_in_month(as_of) & likely_to_confirm(as_of) & stage_can_close(as_of)
+        flags = both(
+            closes_in_month(as_of), likely_to_confirm(as_of), stage_can_close(as_of)
         )
-        rows = counted.select(*ROW_COLUMNS).distinct()
+        rows = counted.filter(flags).select(*ROW_COLUMNS).distinct()
     else:
-        flags = _flag_values(forecast_base(tables["projections"]), as_of)
-        passing = flags.filter(
-            F.array_contains("date_range", True)
-            & F.array_contains("status_flag", True)
-            & F.array_contains("stage_flag", True)
-        ).select("application_id")
+        passing = _flag_values(base, as_of).filter(
+            " AND ".join(f"array_contains({flag}, true)" for flag in FLAGS)
+        )
         rows = counted.select(*ROW_COLUMNS).distinct()
-        rows = rows.join(passing, "application_id", "left_semi")
+        rows = rows.join(passing.select("application_id"), "application_id", "left_semi")
 
-    weighted = F.when(
-        col("state").isin(*EARLY_WEIGHT_STATES), col("total_amount") * F.lit(EARLY_STATE_WEIGHT)
-    ).otherwise(col("total_amount") * col("percent_close"))
+    weight = (
+        f"IF(state IN ({quoted(EARLY_WEIGHT_STATES)}), "
+        f"total_amount * {EARLY_STATE_WEIGHT}, total_amount * percent_close)"
+    )
     by_officer = (
         _with_officer(rows, tables["applications"])
         .groupBy("loan_officer_name", "loan_officer_id")
-        .agg(F.sum(weighted).alias("amount"))
+        .agg(F.expr(f"sum({weight}) AS amount"))
     )
     calendar = closing_calendar(tables, as_of, dedupe_costs=dedupe_costs).select(
         "loan_officer_id", "closing_calendar_amount"

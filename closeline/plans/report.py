@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -20,14 +20,20 @@ from closeline.constants import (
     RENTAL_TYPE,
     REPORT_EXCLUDED_STATES,
 )
+from closeline.functions.ladders import quoted
 from closeline.functions.text import full_name, sentence_case
 from closeline.operators import kpis as k
 from closeline.operators.calendar import Clock
 from closeline.operators.facts import (
     LOAN_FACTS,
     VALUATION_FACTS,
+    Facts,
+    any_fact,
+    any_of,
     legal_facts,
+    legal_facts_by_application,
     loans_with_follow_ups,
+    named,
     review_facts,
     valuation_facts_by_loan,
     with_defaults,
@@ -37,16 +43,20 @@ from closeline.plans.closings import team_contacts
 
 Tables = Mapping[str, DataFrame]
 
-LOAN_DISPLAY = (
-    "loan_number",
-    "appraisal_paid_at",
-    "loan_application_id",
-    "borrower_follow_up_date",
-    "borrower_follow_up_type",
-    "title_follow_up_date",
-    "title_follow_up_type",
-    "closing_date",
-    "transaction_purpose",
+# What the report shows of a loan, as SQL.
+LOAN_DISPLAY = {
+    "loan_number": "internal_id",
+    "appraisal_paid_at": "appraisal_paid_at",
+    "loan_application_id": "application_id",
+    "borrower_follow_up_date": "to_date(borrower_date)",
+    "borrower_follow_up_type": sentence_case("borrower_via"),
+    "title_follow_up_date": "to_date(title_date)",
+    "title_follow_up_type": sentence_case("title_via"),
+    "closing_date": "to_date(settlement_date)",
+    "transaction_purpose": "transaction_purpose",
+}
+DISPLAY = "named_struct({}) AS display".format(
+    ", ".join(f"'{name}', {value}" for name, value in LOAN_DISPLAY.items())
 )
 
 REPORT_COLUMNS = (
@@ -96,11 +106,9 @@ LOAN_BLOCK = 1 << 20
 def reported_applications(tables: Tables, team: str) -> DataFrame:
     """Applications on the report, with the coordinator's name."""
     applications = tables["applications"].filter(
-        F.col("rejected_at").isNull()
-        & F.col("withdrawn_at").isNull()
-        & F.col("type").isin(BRIDGE_TYPE, RENTAL_TYPE)
-        & ~F.col("state").isin(*REPORT_EXCLUDED_STATES)
-        & F.col("project_coordinator_id").isNotNull()
+        "rejected_at IS NULL AND withdrawn_at IS NULL AND project_coordinator_id IS NOT NULL "
+        f"AND type IN ({quoted((BRIDGE_TYPE, RENTAL_TYPE))}) "
+        f"AND state NOT IN ({quoted(REPORT_EXCLUDED_STATES)})"
     )
     coordinators = (
         team_contacts(tables, team)
@@ -122,39 +130,21 @@ def first_borrowers(tables: Tables) -> DataFrame:
     names = (
         tables["contacts"]
         .groupBy(F.col("id").alias("contact_id"))
-        .agg(F.min(full_name(F.col("first_name"), F.col("last_name"))).alias("borrower_name"))
+        .agg(F.expr(f"min({full_name('first_name', 'last_name')}) AS borrower_name"))
     )
     return first.join(names, "contact_id", "left").select("application_id", "borrower_name")
 
 
-def loan_display() -> list[Column]:
-    return [
-        F.col("internal_id").alias("loan_number"),
-        F.col("appraisal_paid_at"),
-        F.col("application_id").alias("loan_application_id"),
-        F.to_date("borrower_date").alias("borrower_follow_up_date"),
-        sentence_case(F.col("borrower_via")).alias("borrower_follow_up_type"),
-        F.to_date("title_date").alias("title_follow_up_date"),
-        sentence_case(F.col("title_via")).alias("title_follow_up_type"),
-        F.to_date("settlement_date").alias("closing_date"),
-        F.col("transaction_purpose"),
-    ]
-
-
 def loan_frame(tables: Tables, clock: Clock) -> tuple[DataFrame, list[str]]:
     """Loans with display columns and every loan and valuation fact."""
-    facts: dict[str, Column] = {}
+    facts: Facts = {}
     for group in LOAN_FACTS.values():
         facts.update(group(clock))
     loans = loans_with_follow_ups(tables, LOAN_FACTS).join(
         valuation_facts_by_loan(tables, clock), "loan_id", "left"
     )
-    loans = clock.attach(with_defaults(loans, VALUATION_FACTS)).select(
-        "application_id",
-        "loan_id",
-        F.struct(*loan_display()).alias("display"),
-        *VALUATION_FACTS,
-        *[c.alias(name) for name, c in facts.items()],
+    loans = clock.attach(with_defaults(loans, VALUATION_FACTS)).selectExpr(
+        "application_id", "loan_id", DISPLAY, *VALUATION_FACTS, *named(facts)
     )
     return loans, [*VALUATION_FACTS, *facts]
 
@@ -163,32 +153,31 @@ def labelled_applications(
     tables: Tables, clock: Clock, by_application: DataFrame, facts: list[str], team: str
 ) -> DataFrame:
     """Reported applications with every label, one row each."""
-    legal_rows = tables["legal_closing_informations"]
-    legal = legal_facts(clock)
-    legal_rows = legal_rows.groupBy("application_id").agg(
-        F.min("kickoff_call_with_borrower_date").alias("kickoff_call_with_borrower_date"),
-        *[F.bool_or(c).alias(name) for name, c in legal.items()],
-    )
+    kickoff = "kickoff_call_with_borrower_date"
+    legal = legal_facts_by_application(tables, clock, f"min({kickoff}) AS {kickoff}")
     df = reported_applications(tables, team)
     df = k.with_product(tables, df)
     df = k.with_terms(tables, df)
-    df = df.join(legal_rows, "application_id", "left")
+    df = df.join(legal, "application_id", "left")
     df = df.join(first_borrowers(tables), "application_id", "left")
     df = df.join(by_application, "application_id", "left")
-    df = with_defaults(df, [*legal, *facts])
+    df = with_defaults(df, [*legal_facts(clock), *facts])
     # The report leaves out the preliminary_review state, the only one whose
     # labels look at review dates; those rules stay, their facts are NULL.
-    for name in review_facts(clock):
-        df = df.withColumn(name, F.lit(None).cast("boolean"))
-    df = clock.attach(df)
-    return df.withColumns({kpi.name: kpi.gated_label(clock) for kpi in k.KPIS})
+    unknown = {name: F.expr("CAST(NULL AS boolean)") for name in review_facts(clock)}
+    df = clock.attach(df.withColumns(unknown))
+    return df.withColumns({kpi.name: F.expr(kpi.gated_label(clock)) for kpi in k.KPIS})
+
+
+def with_display(df: DataFrame) -> DataFrame:
+    return df.select("*", "display.*")
 
 
 def _report(df: DataFrame, clock: Clock) -> DataFrame:
     df = df.withColumnsRenamed(
         {"application_id": "application_number", "loan_application_id": "application_id"}
     )
-    return df.withColumn("as_of_ts", clock.as_of_ts).select(*REPORT_COLUMNS)
+    return df.withColumn("as_of_ts", F.expr(clock.as_of_ts)).select(*REPORT_COLUMNS)
 
 
 def application_report(
@@ -198,11 +187,10 @@ def application_report(
     loans, facts = loan_frame(tables, clock)
     by_application = loans.groupBy("application_id").agg(
         F.min_by("display", "loan_id").alias("display"),
-        *[F.bool_or(f).alias(f) for f in facts],
+        *map(F.expr, any_of({f: f for f in facts})),
     )
     df = labelled_applications(tables, clock, by_application, facts, team)
-    shown = [F.col(f"display.{c}").alias(c) for c in LOAN_DISPLAY]
-    return _report(df.select("*", *shown).withColumn("row_num", F.lit(1)), clock)
+    return _report(with_display(df).withColumn("row_num", F.lit(1)), clock)
 
 
 def numbered_loans(loans: DataFrame) -> DataFrame:
@@ -235,16 +223,9 @@ def application_report_rows(
 ) -> DataFrame:
     """The report before its dedupe: a row per reported application and loan."""
     loans, facts = loan_frame(tables, clock)
-    by_application = loans.groupBy("application_id").agg(
-        *[F.bool_or(f).alias(f) for f in facts]
-    )
+    by_application = any_fact(loans, "application_id", facts)
     df = labelled_applications(tables, clock, by_application, facts, team)
-    shown = loans_with_follow_ups(tables, LOAN_FACTS)
-    shown = numbered_loans(
-        shown.select("application_id", "loan_id", F.struct(*loan_display()).alias("display"))
-    )
-    df = df.drop("row_num")
+    shown = numbered_loans(loans.select("application_id", "loan_id", "display"))
     df = left_join_hot_right(df, shown, "application_id", tables["loans"])
-    columns = [F.col(f"display.{c}").alias(c) for c in LOAN_DISPLAY]
     df = df.withColumn("row_num", F.coalesce("row_num", F.lit(1)))
-    return _report(df.select("*", *columns), clock)
+    return _report(with_display(df), clock)

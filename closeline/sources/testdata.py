@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -38,81 +38,69 @@ LOAN_ID_BASE = 500_000_000_000
 SECOND_LOAN_BASE = 600_000_000_000
 CUSTOMER_CONTACT_BASE = 1_000_000_000_000
 
-col, lit, when = F.col, F.lit, F.when
+STATE_ARRAY = "array({})".format(", ".join(f"'{state}'" for state in STATES))
 
+APPLICATION_TYPE = f"""CASE WHEN priority IN ('1', '2') THEN '{BRIDGE_TYPE}'
+    WHEN priority IN ('3', '4') THEN '{RENTAL_TYPE}' ELSE 'Application::Other' END"""
 
-def near_anchor(date: Column, days: int) -> Column:
-    """Fold a date into the `days` days ending at the anchor."""
-    return F.date_sub(lit(ANCHOR), F.pmod(F.datediff(lit(ANCHOR), date), lit(days)))
-
+CLOSING_STATUS = """CASE WHEN u % 7 != 0 THEN
+    CASE status WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'likely' WHEN 'P' THEN 'not_confirmed' END
+    END"""
 
-def moment(date: Column) -> Column:
-    return date.cast("timestamp_ntz")
+# Rows repeated where the condition holds.
+REPEAT = "explode(sequence(1, IF({}, 2, 1))) AS copy"
 
+PROPERTY_ID = "(k * 8 + line) * 1000000 + part % 1000 * 1000 + supplier % 1000"
 
-def state_of(key: Column) -> Column:
-    return F.element_at(F.array(*map(lit, STATES)), (key % len(STATES) + 1).cast("int"))
 
+def near_anchor(date: str, days: int) -> str:
+    """Fold a date into the `days` days ending at the anchor."""
+    return f"date_sub(DATE '{ANCHOR}', pmod(datediff(DATE '{ANCHOR}', {date}), {days}))"
 
-def twice_if(condition: Column) -> Column:
-    """Generator repeating a row where `condition` holds."""
-    return F.explode(F.sequence(lit(1), when(condition, 2).otherwise(1)))
 
+def moment(date: str) -> str:
+    return f"CAST({date} AS timestamp_ntz)"
 
-# --- named days ----------------------------------------------------------------
 
+def state_of(key: str) -> str:
+    return f"element_at({STATE_ARRAY}, CAST({key} % {len(STATES)} + 1 AS INT))"
 
-def nth_weekday(day: Column, month: int, weekday: int, n: int) -> Column:
-    """`day` is the n-th given weekday (1 = Sunday) of the month."""
-    week = F.ceil(F.dayofmonth(day) / 7)
-    return (F.month(day) == month) & (F.dayofweek(day) == weekday) & (week == n)
 
+# --- named days ----------------------------------------------------------------
 
-def fixed_day(day: Column, month: int, number: int) -> Column:
-    return (F.month(day) == month) & (F.dayofmonth(day) == number)
 
+HOLIDAYS = """CASE
+    WHEN month(d) = 1 AND day(d) = 1 THEN 'New Year\\'s Day'
+    WHEN month(d) = 1 AND dayofweek(d) = 2 AND day(d) BETWEEN 15 AND 21
+        THEN 'Martin Luther King Day'
+    WHEN month(d) = 5 AND dayofweek(d) = 2 AND day(d) > 24 THEN 'Memorial Day'
+    WHEN month(d) = 6 AND day(d) = 16 THEN 'Founders Day'
+    WHEN month(d) = 6 AND day(d) = 19 THEN 'Juneteenth National Independence Day'
+    WHEN month(d) = 7 AND day(d) = 4 THEN 'Independence Day'
+    WHEN month(d) = 9 AND dayofweek(d) = 2 AND day(d) <= 7 THEN 'Labor Day'
+    WHEN month(d) = 11 AND dayofweek(d) = 5 AND day(d) BETWEEN 22 AND 28 THEN 'Thanksgiving'
+    WHEN month(d) = 11 AND dayofweek(d) = 6 AND day(d) BETWEEN 23 AND 29
+        THEN 'Day after Thanksgiving (Black Friday)'
+    WHEN month(d) = 12 AND day(d) = 24 THEN 'Christmas Eve'
+    WHEN month(d) = 12 AND day(d) = 25 THEN 'Christmas Day' END"""
 
-def holiday_name(day: Column) -> Column:
-    last_monday_of_may = (
-        (F.month(day) == 5) & (F.dayofweek(day) == 2) & (F.dayofmonth(day) > 24)
-    )
-    return (
-        when(fixed_day(day, 1, 1), "New Year's Day")
-        .when(nth_weekday(day, 1, 2, 3), "Martin Luther King Day")
-        .when(last_monday_of_may, "Memorial Day")
-        .when(fixed_day(day, 6, 16), "Founders Day")
-        .when(fixed_day(day, 6, 19), "Juneteenth National Independence Day")
-        .when(fixed_day(day, 7, 4), "Independence Day")
-        .when(nth_weekday(day, 9, 2, 1), "Labor Day")
-        .when(nth_weekday(day, 11, 5, 4), "Thanksgiving")
-        .when(
-            nth_weekday(F.date_sub(day, 1), 11, 5, 4), "Day after Thanksgiving (Black Friday)"
-        )
-        .when(fixed_day(day, 12, 24), "Christmas Eve")
-        .when(fixed_day(day, 12, 25), "Christmas Day")
-    )
-
-
-def bank_holiday_name(day: Column) -> Column:
-    return when(fixed_day(day, 11, 11), "Veterans Day").when(
-        nth_weekday(day, 10, 2, 2), "Columbus Day"
-    )
+BANK_HOLIDAYS = """CASE WHEN month(d) = 11 AND day(d) = 11 THEN 'Veterans Day'
+    WHEN month(d) = 10 AND dayofweek(d) = 2 AND day(d) BETWEEN 8 AND 14 THEN 'Columbus Day' END"""
 
 
 def holidays_in(series: DataFrame) -> DataFrame:
     """Holidays among the days of a series; Founders Day is not a day off."""
-    day = col("date_value")
-    named = series.select(day.alias("holiday_date"), holiday_name(day).alias("name"))
-    return named.filter(col("name").isNotNull())
+    days = series.withColumnRenamed("date_value", "d")
+    return days.selectExpr("d AS holiday_date", f"{HOLIDAYS} AS name").filter("name IS NOT NULL")
 
 
 def bank_holidays_in(series: DataFrame) -> DataFrame:
     """Bank holidays among the days of a series, each listed twice."""
-    day = col("date_value")
-    named = series.select(
-        day.alias("holiday_date"), bank_holiday_name(day).alias("holiday_name"), twice_if(lit(True))
+    days = series.withColumnRenamed("date_value", "d")
+    named = days.selectExpr(
+        "d AS holiday_date", f"{BANK_HOLIDAYS} AS holiday_name", REPEAT.format("true")
     )
-    return named.filter(col("holiday_name").isNotNull()).drop("col")
+    return named.filter("holiday_name IS NOT NULL").drop("copy")
 
 
 # --- lending tables --------------------------------------------------------------
@@ -137,185 +125,152 @@ class StarSchema:
         self.sf_dir = sf_dir
         self.second_loans = second_loans
         self.repeated = repeated
+        self._files: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._files:
+            self._files[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._files[name]
 
     def tables(self) -> LendingTables:
         return LendingTables(lambda name: getattr(self, name)())
 
     def orders(self) -> DataFrame:
-        return self.read("orders").select(
-            col("o_orderkey").alias("k"),
-            col("o_custkey").alias("u"),
-            F.to_date("o_orderdate").alias("od"),
-            col("o_orderstatus").alias("status"),
-            F.left("o_orderpriority", lit(1)).alias("priority"),
-            col("o_totalprice").cast("decimal(18,2)").alias("total"),
+        return self.read("orders").selectExpr(
+            "o_orderkey AS k",
+            "o_custkey AS u",
+            "to_date(o_orderdate) AS od",
+            "o_orderstatus AS status",
+            "left(o_orderpriority, 1) AS priority",
+            "CAST(o_totalprice AS decimal(18,2)) AS total",
         )
 
     def lines(self) -> DataFrame:
-        return self.read("lineitem").select(
-            col("l_orderkey").alias("k"),
-            col("l_linenumber").alias("line"),
-            col("l_partkey").alias("part"),
-            col("l_suppkey").alias("supplier"),
-            col("l_returnflag").alias("flag"),
-            col("l_linestatus").alias("status"),
-            F.to_date("l_shipdate").alias("sd"),
-        )
-
-    @staticmethod
-    def type_of(priority: Column) -> Column:
-        return (
-            when(priority.isin("1", "2"), BRIDGE_TYPE)
-            .when(priority.isin("3", "4"), RENTAL_TYPE)
-            .otherwise("Application::Other")
-        )
-
-    @staticmethod
-    def closing_status_of(u: Column, status: Column) -> Column:
-        return when(
-            u % 7 != 0,
-            when(status == "F", "confirmed")
-            .when(status == "O", "likely")
-            .when(status == "P", "not_confirmed"),
+        return self.read("lineitem").selectExpr(
+            "l_orderkey AS k",
+            "l_linenumber AS line",
+            "l_partkey AS part",
+            "l_suppkey AS supplier",
+            "l_returnflag AS flag",
+            "l_linestatus AS status",
+            "to_date(l_shipdate) AS sd",
         )
 
     def applications(self) -> DataFrame:
-        k, u, od = col("k"), col("u"), col("od")
-        return self.orders().select(
-            k.alias("id"),
-            state_of(k).alias("state"),
-            self.type_of(col("priority")).alias("type"),
-            self.closing_status_of(u, col("status")).alias("closing_status"),
-            when(k % 17 == 0, "rejected").alias("rejection_status"),
-            when(k % 17 == 0, moment(od)).alias("rejected_at"),
-            when(k % 13 == 0, moment(od)).alias("withdrawn_at"),
-            when(k % 19 == 0, moment(od)).alias("long_termed_at"),
-            (u % 5 == 0).alias("portfolio"),
-            when(k % 11 == 0, 3).when(k % 2 == 0, 1).otherwise(2).cast("long").alias("product_id"),
-            (u % 10).alias("loan_officer_id"),
-            when(k % 23 != 0, u % 10).alias("project_coordinator_id"),
-            when((k % 20 > 4) & (k % 29 != 0), moment(near_anchor(od, 90))).alias(
-                "submitted_to_initial_underwriting_at"
-            ),
-            moment(od).alias("created_at"),
-            when(k % 4 == 1, moment(near_anchor(od, 45))).alias("in_conditions_review_from"),
-            when(k % 6 == 2, moment(near_anchor(od, 33))).alias("requested_for_ctc"),
+        return self.orders().selectExpr(
+            "k AS id",
+            f"{state_of('k')} AS state",
+            f"{APPLICATION_TYPE} AS type",
+            f"{CLOSING_STATUS} AS closing_status",
+            "IF(k % 17 = 0, 'rejected', NULL) AS rejection_status",
+            f"IF(k % 17 = 0, {moment('od')}, NULL) AS rejected_at",
+            f"IF(k % 13 = 0, {moment('od')}, NULL) AS withdrawn_at",
+            f"IF(k % 19 = 0, {moment('od')}, NULL) AS long_termed_at",
+            "u % 5 = 0 AS portfolio",
+            "CASE WHEN k % 11 = 0 THEN 3L WHEN k % 2 = 0 THEN 1L ELSE 2L END AS product_id",
+            "u % 10 AS loan_officer_id",
+            "IF(k % 23 != 0, u % 10, NULL) AS project_coordinator_id",
+            f"IF(k % 20 > 4 AND k % 29 != 0, {moment(near_anchor('od', 90))}, NULL) "
+            "AS submitted_to_initial_underwriting_at",
+            f"{moment('od')} AS created_at",
+            f"IF(k % 4 = 1, {moment(near_anchor('od', 45))}, NULL) AS in_conditions_review_from",
+            f"IF(k % 6 = 2, {moment(near_anchor('od', 33))}, NULL) AS requested_for_ctc",
         )
 
     def _settlements(self) -> DataFrame:
-        sd = col("sd")
         return (
             self.lines()
             .groupBy("k")
             .agg(
-                F.max(F.date_add(near_anchor(sd, 60), 40)).alias("settles"),
-                F.min(near_anchor(sd, 40)).alias("paid"),
-                F.count("*").cast("int").alias("properties_count"),
+                F.expr(f"max(date_add({near_anchor('sd', 60)}, 40)) AS settles"),
+                F.expr(f"min({near_anchor('sd', 40)}) AS paid"),
+                F.expr("CAST(count(*) AS INT) AS properties_count"),
+            )
+            .selectExpr(
+                "k", "IF(k % 9 != 0, settles, NULL) AS settles", "paid", "properties_count"
             )
-            .withColumn("settles", when(col("k") % 9 != 0, col("settles")))
         )
 
     def loans(self) -> DataFrame:
-        first = self._first_loans()
-        if not self.second_loans:
-            return first
-        purpose = col("transaction_purpose")
-        second = first.filter(col("application_id") % 10 >= 7).withColumns(
-            {
-                "id": col("application_id") + SECOND_LOAN_BASE,
-                "internal_id": F.concat("internal_id", lit("B")),
-                "settlement_date": F.date_sub("settlement_date", 9),
-                "transaction_purpose": when(purpose == "other", "purchase").otherwise("other"),
-                "properties_count": lit(1),
-            }
-        )
-        return first.unionByName(second)
-
-    def _first_loans(self) -> DataFrame:
-        k, u = col("k"), col("u")
-        return (
+        first = (
             self._settlements()
             .join(self.orders().select("k", "u", "total"), "k")
-            .select(
-                (k + LOAN_ID_BASE).alias("id"),
-                k.alias("application_id"),
-                F.concat(lit("L"), k.cast("string")).alias("internal_id"),
-                col("settles").alias("settlement_date"),
-                col("total").alias("total_amount"),
-                when(k % 5 != 0, moment(col("paid"))).alias("appraisal_paid_at"),
-                when(u % 3 == 0, "purchase")
-                .when(u % 3 == 1, "refinance")
-                .otherwise("other")
-                .alias("transaction_purpose"),
+            .selectExpr(
+                f"k + {LOAN_ID_BASE} AS id",
+                "k AS application_id",
+                "concat('L', k) AS internal_id",
+                "settles AS settlement_date",
+                "total AS total_amount",
+                f"IF(k % 5 != 0, {moment('paid')}, NULL) AS appraisal_paid_at",
+                "element_at(array('purchase', 'refinance', 'other'), CAST(u % 3 + 1 AS INT)) "
+                "AS transaction_purpose",
                 "properties_count",
             )
         )
+        if not self.second_loans:
+            return first
+        second = first.filter("application_id % 10 >= 7").selectExpr(
+            f"application_id + {SECOND_LOAN_BASE} AS id",
+            "application_id",
+            "concat(internal_id, 'B') AS internal_id",
+            "date_sub(settlement_date, 9) AS settlement_date",
+            "total_amount",
+            "appraisal_paid_at",
+            "IF(transaction_purpose = 'other', 'purchase', 'other') AS transaction_purpose",
+            "1 AS properties_count",
+        )
+        return first.unionByName(second)
 
     def loan_closing_costs(self) -> DataFrame:
-        return (
-            self.lines()
-            .filter(col("line") <= 2)
-            .select((col("k") + LOAN_ID_BASE).alias("loan_id"))
-        )
+        return self.lines().filter("line <= 2").selectExpr(f"k + {LOAN_ID_BASE} AS loan_id")
 
     def loan_follow_ups(self) -> DataFrame:
-        date = moment(near_anchor(col("sd"), 20))
-        return self.lines().select(
-            (col("k") + LOAN_ID_BASE).alias("loan_id"),
-            when(col("part") % 97 != 0, date).alias("date"),
-            when(col("flag") == "R", "email")
-            .when(col("flag") == "A", "PHONE")
-            .otherwise("text")
-            .alias("via"),
-            when(col("status") == "O", TITLE).otherwise(BORROWER).alias("type"),
+        return self.lines().selectExpr(
+            f"k + {LOAN_ID_BASE} AS loan_id",
+            f"IF(part % 97 != 0, {moment(near_anchor('sd', 20))}, NULL) AS date",
+            "CASE flag WHEN 'R' THEN 'email' WHEN 'A' THEN 'PHONE' ELSE 'text' END AS via",
+            f"IF(status = 'O', '{TITLE}', '{BORROWER}') AS type",
         )
 
     def term_sheets(self) -> DataFrame:
+        kind = f"IF(flag = 'A', '{INITIAL_TERMS_SHEET}', 'TermSheet::FinalTerms')"
         return (
             self.lines()
-            .filter(col("flag") != "R")
-            .select(
-                col("k").alias("application_id"),
-                moment(near_anchor(col("sd"), 10)).alias("created_at"),
-                when(col("flag") == "A", INITIAL_TERMS_SHEET)
-                .otherwise("TermSheet::FinalTerms")
-                .alias("type"),
+            .filter("flag != 'R'")
+            .selectExpr(
+                "k AS application_id",
+                f"{moment(near_anchor('sd', 10))} AS created_at",
+                f"{kind} AS type",
             )
         )
 
     def legal_closing_informations(self) -> DataFrame:
-        k, od = col("k"), col("od")
-        return self.orders().select(
-            k.alias("application_id"),
-            when(k % 3 != 0, near_anchor(od, 15)).alias("kickoff_call_with_borrower_date"),
-            when(k % 3 == 1, near_anchor(od, 12)).alias("term_sheet_reviewed_with_borrower_date"),
-            when(k % 7 >= 4, near_anchor(od, 9)).alias("title_commitment_order_date"),
-            when(k % 7 == 6, near_anchor(od, 6)).alias("title_commitment_most_recent_order_date"),
-            when(k % 3 == 2, near_anchor(od, 8)).alias("preliminary_commitment_received_date"),
+        dates = {
+            "kickoff_call_with_borrower_date": ("k % 3 != 0", 15),
+            "term_sheet_reviewed_with_borrower_date": ("k % 3 = 1", 12),
+            "title_commitment_order_date": ("k % 7 >= 4", 9),
+            "title_commitment_most_recent_order_date": ("k % 7 = 6", 6),
+            "preliminary_commitment_received_date": ("k % 3 = 2", 8),
+        }
+        return self.orders().selectExpr(
+            "k AS application_id",
+            *[
+                f"IF({present}, {near_anchor('od', days)}, NULL) AS {name}"
+                for name, (present, days) in dates.items()
+            ],
         )
 
-    @staticmethod
-    def _property_id() -> Column:
-        line_key = (col("k") * 8 + col("line")) * 1_000_000
-        return line_key + col("part") % 1000 * 1000 + col("supplier") % 1000
-
     def properties(self) -> DataFrame:
-        return self.lines().select(
-            self._property_id().alias("id"), (col("k") + LOAN_ID_BASE).alias("loan_id")
-        )
+        return self.lines().selectExpr(f"{PROPERTY_ID} AS id", f"k + {LOAN_ID_BASE} AS loan_id")
 
     def property_valuations(self) -> DataFrame:
-        sd, part = col("sd"), col("part")
-        cda = when(col("supplier") % 2 != 0, near_anchor(sd, 5))
-        return self.lines().select(
-            self._property_id().alias("property_id"),
-            when(part % 3 == 0, near_anchor(sd, 30)).alias("appraisal_approved_date"),
-            when(part % 4 != 0, near_anchor(sd, 25)).alias("appraisal_received_date"),
-            cda.alias("cda_order_date"),
-            cda.alias("cda_received_date"),
+        cda = f"IF(supplier % 2 != 0, {near_anchor('sd', 5)}, NULL)"
+        return self.lines().selectExpr(
+            f"{PROPERTY_ID} AS property_id",
+            f"IF(part % 3 = 0, {near_anchor('sd', 30)}, NULL) AS appraisal_approved_date",
+            f"IF(part % 4 != 0, {near_anchor('sd', 25)}, NULL) AS appraisal_received_date",
+            f"{cda} AS cda_order_date",
+            f"{cda} AS cda_received_date",
         )
 
     def products(self) -> DataFrame:
@@ -335,101 +290,107 @@ class StarSchema:
 
     def contacts(self) -> DataFrame:
         """Suppliers are staff, customers are borrowers."""
-        last = F.split_part("s_name", lit("#"), lit(2))
-        staff = self.read("supplier").select(
-            col("s_suppkey").alias("id"),
-            F.split_part("s_name", lit("#"), lit(1)).alias("first_name"),
-            when(col("s_suppkey") % 10 != 7, last).alias("last_name"),
+        staff = self.read("supplier").selectExpr(
+            "s_suppkey AS id",
+            "split_part(s_name, '#', 1) AS first_name",
+            "IF(s_suppkey % 10 != 7, split_part(s_name, '#', 2), NULL) AS last_name",
         )
-        borrowers = self.read("customer").select(
-            (col("c_custkey") + CUSTOMER_CONTACT_BASE).alias("id"),
-            F.split_part("c_name", lit("#"), lit(1)).alias("first_name"),
-            F.split_part("c_name", lit("#"), lit(2)).alias("last_name"),
+        borrowers = self.read("customer").selectExpr(
+            f"c_custkey + {CUSTOMER_CONTACT_BASE} AS id",
+            "split_part(c_name, '#', 1) AS first_name",
+            "split_part(c_name, '#', 2) AS last_name",
         )
         return staff.unionByName(borrowers)
 
     def team_assignments(self) -> DataFrame:
-        key = col("s_suppkey")
-        return (
-            self.read("supplier")
-            .select(
-                F.replace("s_name", lit("#"), lit(" ")).alias("team_member_name"),
-                when(key % 3 != 0, COORDINATOR_TEAM).otherwise("Ops").alias("team"),
-                twice_if(key % 10 == 5),
-            )
-            .drop("col")
+        members = self.read("supplier").selectExpr(
+            "replace(s_name, '#', ' ') AS team_member_name",
+            f"IF(s_suppkey % 3 != 0, '{COORDINATOR_TEAM}', 'Ops') AS team",
+            REPEAT.format("s_suppkey % 10 = 5"),
         )
+        return members.drop("copy")
 
     def borrowers(self) -> DataFrame:
-        first = col("u") + CUSTOMER_CONTACT_BASE
-        rows = self.orders().select(
-            col("k").alias("application_id"), first.alias("first"), twice_if(col("k") % 10 == 3)
-        )
-        return rows.select(
-            "application_id",
-            when(col("col") == 2, F.greatest(col("first") - 1, lit(CUSTOMER_CONTACT_BASE)))
-            .otherwise(col("first"))
-            .alias("contact_id"),
+        second = f"greatest(u - 1, 0) + {CUSTOMER_CONTACT_BASE}"
+        return (
+            self.orders()
+            .selectExpr("k", "u", REPEAT.format("k % 10 = 3"))
+            .selectExpr(
+                "k AS application_id",
+                f"IF(copy = 2, {second}, u + {CUSTOMER_CONTACT_BASE}) AS contact_id",
+            )
         )
 
     def deal_stage_dates(self) -> DataFrame:
-        date = when(col("k") % 7 != 0, moment(near_anchor(col("od"), 10)))
-        return self.orders().select(
-            col("k").alias("application_id"), date.alias("preliminary_review_date")
-        )
+        date = f"IF(k % 7 != 0, {moment(near_anchor('od', 10))}, NULL)"
+        return self.orders().selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
 
     def deal_stage_time_stamps(self) -> DataFrame:
-        date = moment(near_anchor(col("od"), 8))
-        return self.orders().select(
-            col("k").alias("application_id"), date.alias("preliminary_review_date")
-        )
+        date = moment(near_anchor("od", 8))
+        return self.orders().selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
 
     def deal_product_channel(self) -> DataFrame:
-        k, u = col("k"), col("u")
-        return (
-            self.orders()
-            .select(
-                k.alias("application_id"),
-                F.concat(lit("L"), k.cast("string")).alias("internal_id"),
-                when(u % 9 == 0, EXCLUDED_CHANNEL)
-                .when(u % 9 != 1, "Retail Channel")
-                .alias("ops_channel"),
-                twice_if(k % 6 == 4),
-            )
-            .drop("col")
+        channel = (
+            f"CASE u % 9 WHEN 0 THEN '{EXCLUDED_CHANNEL}' WHEN 1 THEN NULL "
+            "ELSE 'Retail Channel' END"
         )
+        rows = self.orders().selectExpr(
+            "k AS application_id",
+            "concat('L', k) AS internal_id",
+            f"{channel} AS ops_channel",
+            REPEAT.format("k % 6 = 4"),
+        )
+        return rows.drop("copy")
 
     def projections(self) -> DataFrame:
-        return self._repeated_projections() if self.repeated else self._projections()
+        rows = self._projections()
+        if not self.repeated:
+            return rows
+        lines = self.lines().selectExpr(
+            "k AS application_id",
+            f"{near_anchor('sd', 25)} AS status_date",
+            "CAST(part % 4 AS INT) AS shift",
+        )
+        moved = "IF(shift != 1, date_add(dynamic_settlement_date, shift), NULL)"
+        return (
+            rows.join(lines, "application_id")
+            .withColumns(
+                {
+                    "closing_status_date": F.col("status_date"),
+                    "deal_stage_date": F.expr("date_sub(deal_stage_date, shift * 9)"),
+                    "dynamic_settlement_date": F.expr(moved),
+                    "total_amount": F.expr("CAST(total_amount + shift AS decimal(18,2))"),
+                }
+            )
+            .drop("shift", "status_date")
+        )
 
     def _projections(self) -> DataFrame:
-        k, u, od = col("k"), col("u"), col("od")
         settlements = self._settlements().select("k", "settles")
-        rows = self.orders().join(settlements, "k", "left")
-        return rows.select(
-            when(k % 6 == 5, "static projections").otherwise(PROJECTION_ROWS).alias("table_type"),
-            k.alias("application_id"),
-            when(k % 31 != 0, F.concat(lit("Officer "), (u % 10).cast("string"))).alias(
-                "loan_officer_name"
-            ),
-            col("total").alias("total_amount"),
-            state_of(k).alias("state"),
-            (lit(0.25) * (1 + k % 4)).cast("decimal(9,4)").alias("percent_close"),
-            when(u % 4 == 1, "retail")
-            .when(u % 4 == 2, "tpo")
-            .when(u % 4 == 3, "wholesale")
-            .alias("department"),
-            F.substring_index(self.type_of(col("priority")), "::", -1).alias("product"),
-            (u % 5 == 0).alias("portfolio"),
-            self.closing_status_of(u, col("status")).alias("closing_status"),
-            near_anchor(od, 25).alias("closing_status_date"),
-            near_anchor(od, 80).alias("deal_stage_date"),
-            when(k % 4 != 0, col("settles")).alias("dynamic_settlement_date"),
-            (u % 45 + lit(0.5) * (k % 2)).alias("median_days_to_close"),
-            lit(10.0).alias("median_days_from_unconfirmed_to_confirmed_bridge"),
-            lit(14.0).alias("median_days_from_unconfirmed_to_confirmed_rental"),
-            lit(15.0).alias("median_days_to_close_after_final_terms_bridge"),
-            lit(8.0).alias("median_days_to_close_after_final_terms_rental"),
+        return (
+            self.orders()
+            .join(settlements, "k", "left")
+            .selectExpr(
+                f"IF(k % 6 = 5, 'static projections', '{PROJECTION_ROWS}') AS table_type",
+                "k AS application_id",
+                "IF(k % 31 != 0, concat('Officer ', u % 10), NULL) AS loan_officer_name",
+                "total AS total_amount",
+                f"{state_of('k')} AS state",
+                "CAST(0.25 * (1 + k % 4) AS decimal(9,4)) AS percent_close",
+                "CASE u % 4 WHEN 1 THEN 'retail' WHEN 2 THEN 'tpo' WHEN 3 THEN 'wholesale' END "
+                "AS department",
+                f"substring_index({APPLICATION_TYPE}, '::', -1) AS product",
+                "u % 5 = 0 AS portfolio",
+                f"{CLOSING_STATUS} AS closing_status",
+                f"{near_anchor('od', 25)} AS closing_status_date",
+                f"{near_anchor('od', 80)} AS deal_stage_date",
+                "IF(k % 4 != 0, settles, NULL) AS dynamic_settlement_date",
+                "u % 45 + 0.5D * (k % 2) AS median_days_to_close",
+                "10D AS median_days_from_unconfirmed_to_confirmed_bridge",
+                "14D AS median_days_from_unconfirmed_to_confirmed_rental",
+                "15D AS median_days_to_close_after_final_terms_bridge",
+                "8D AS median_days_to_close_after_final_terms_rental",
+            )
         )
 
     def deal_stage_stats(self) -> DataFrame:
@@ -437,58 +398,42 @@ class StarSchema:
             self.projections()
             .groupBy("state", "product")
             .agg(
-                F.count("*").alias("deals"),
-                F.sum("total_amount").cast("double").alias("total_amount"),
-                F.min("deal_stage_date").alias("first_stage_date"),
-                F.max("deal_stage_date").alias("last_stage_date"),
+                F.expr("count(*) AS deals"),
+                F.expr("CAST(sum(total_amount) AS double) AS total_amount"),
+                F.expr("min(deal_stage_date) AS first_stage_date"),
+                F.expr("max(deal_stage_date) AS last_stage_date"),
             )
         )
 
-    def _repeated_projections(self) -> DataFrame:
-        lines = self.lines().select(
-            "k", near_anchor(col("sd"), 25).alias("status_date"), (col("part") % 4).alias("shift")
-        )
-        rows = self._projections().join(lines, col("application_id") == col("k"))
-        shift = col("shift").cast("int")
-        moved = F.date_add("dynamic_settlement_date", shift)
-        return rows.withColumns(
-            {
-                "closing_status_date": col("status_date"),
-                "deal_stage_date": F.date_sub("deal_stage_date", shift * 9),
-                "dynamic_settlement_date": when(shift != 1, moved),
-                "total_amount": (col("total_amount") + shift).cast("decimal(18,2)"),
-            }
-        ).drop("k", "shift", "status_date")
-
     def event_tables(self) -> LendingTables:
         """Applications and legal records with a time of day, from events."""
-        events = self.read("events").withColumn("day", F.to_date("ts"))
-        key = col("event_id")
+        events = self.read("events")
 
-        def shaped(table: str, **columns: Column) -> DataFrame:
-            fields = self.spark.createDataFrame([], SCHEMAS[table]).schema
-            empty = {f.name: lit(None).cast(f.dataType) for f in fields}
-            return events.select(*[c.alias(n) for n, c in {**empty, **columns}.items()])
+        def shaped(table: str, **columns: str) -> DataFrame:
+            fields = [field.split() for field in SCHEMAS[table].split(", ")]
+            return events.selectExpr(
+                *[f"{columns.get(name, f'CAST(NULL AS {kind})')} AS {name}" for name, kind in fields]
+            )
 
         frames = {
             "applications": shaped(
                 "applications",
-                id=key,
-                state=state_of(key),
-                submitted_to_initial_underwriting_at=col("ts"),
+                id="event_id",
+                state=state_of("event_id"),
+                submitted_to_initial_underwriting_at="ts",
             ),
             "legal_closing_informations": shaped(
                 "legal_closing_informations",
-                application_id=key,
-                title_commitment_order_date=when(key % 3 != 0, col("day")),
+                application_id="event_id",
+                title_commitment_order_date="IF(event_id % 3 != 0, to_date(ts), NULL)",
             ),
         }
         return LendingTables(frames.__getitem__)
 
     def all_dates(self) -> DataFrame:
         """Every order and shipping date."""
-        orders = self.orders().select(col("od").alias("day"))
-        return orders.unionByName(self.lines().select(col("sd").alias("day")))
+        orders = self.orders().selectExpr("od AS day")
+        return orders.unionByName(self.lines().selectExpr("sd AS day"))
 
     def clock(self, as_of: dt.date = AS_OF, as_of_ts: dt.datetime | None = None) -> Clock:
         moment_of = as_of_ts or dt.datetime.combine(as_of, dt.time(12, 30))
