@@ -2,17 +2,20 @@
 
 A rule combines columns of the application with conditions on its loans, their
 follow-ups and appraisals, its legal record and its review dates.  Each condition
-on such a child row is a boolean here.  A rule may then be evaluated per child
-row, or per application after the facts are combined with `bool_or`: "some row
-satisfies this".  That aggregate has a one-byte buffer and combines map-side, so
-neither the number of children nor a hot application matters.
-
-A missing child is a row of NULLs; `FACT_DEFAULTS` holds the facts true of it.
+on such a child row is a fact, and the facts of a row are the bits of one integer.
+A rule may be evaluated per child row, or per application after the integers are
+combined with `bit_or`: "some row satisfies this".  That aggregate has a
+fixed-width buffer and combines map-side, so neither the number of children nor a
+hot application matters, and a row carries eight bytes through a shuffle however
+many facts there are.
+
+A missing child is a row of NULLs; `TRUE_OF_MISSING` names the facts true of it.
+A condition that is NULL is not satisfied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,26 +29,46 @@ from closeline.operators.joins import left_join_hot_right
 Tables = Mapping[str, DataFrame]
 Facts = dict[str, str]
 
-FACT_DEFAULTS = {
-    "settlement_missing": True,
-    "title_silent": True,
-    "appraisal_unapproved": True,
-    "kickoff_missing": True,
-    "terms_unreviewed": True,
-    "title_unordered": True,
-    "commitment_missing": True,
-}
+TRUE_OF_MISSING = frozenset(
+    {
+        "settlement_missing",
+        "title_silent",
+        "appraisal_unapproved",
+        "kickoff_missing",
+        "terms_unreviewed",
+        "title_unordered",
+        "commitment_missing",
+    }
+)
+
+LOAN_MASK = "loan_facts"
+VALUATION_MASK = "valuation_facts"
+LEGAL_MASK = "legal_facts"
+REVIEW_MASK = "review_facts"
+
 
+def pack(facts: Facts, mask: str) -> str:
+    """SQL: the facts of a row as bits of the integer `mask`."""
+    bits = (f"IF({condition}, {1 << i}, 0)" for i, condition in enumerate(facts.values()))
+    return f"{' | '.join(bits)} AS {mask}"
 
-def with_defaults(df: DataFrame, facts: Iterable[str]) -> DataFrame:
-    """Fill the facts of rows that had no child row to join."""
-    fill = {f: FACT_DEFAULTS[f] for f in facts if f in FACT_DEFAULTS}
-    return df.fillna(fill) if fill else df
 
+def filled(mask: str, facts: Iterable[str]) -> str:
+    """SQL: `mask`, or that of a missing child where there is none."""
+    missing = sum(1 << i for i, name in enumerate(facts) if name in TRUE_OF_MISSING)
+    return f"coalesce({mask}, {missing})"
 
-def any_fact(df: DataFrame, key: str, facts: Iterable[str]) -> DataFrame:
-    """Per key whether some row satisfies each fact."""
-    return df.groupBy(key).agg(*map(F.expr, any_of({f: f for f in facts})))
+
+def unpack(df: DataFrame, mask: str, facts: Iterable[str]) -> DataFrame:
+    """Add a boolean column per fact; rows without a child get those of none."""
+    facts = list(facts)
+    bits = {name: F.expr(f"{mask} & {1 << i} != 0") for i, name in enumerate(facts)}
+    return df.withColumn(mask, F.expr(filled(mask, facts))).withColumns(bits).drop(mask)
+
+
+def any_child(df: DataFrame, key: str, mask: str, *also: str) -> DataFrame:
+    """Per key the facts some child row satisfies."""
+    return df.groupBy(key).agg(*map(F.expr, [*also, f"bit_or({mask}) AS {mask}"]))
 
 
 # --- conditions per child row, as SQL ---------------------------------------
@@ -150,16 +173,6 @@ def review_facts(clock: Clock) -> Facts:
     }
 
 
-def named(facts: Facts) -> list[str]:
-    """Select list of the facts."""
-    return [f"{condition} AS {name}" for name, condition in facts.items()]
-
-
-def any_of(facts: Facts) -> list[str]:
-    """Aggregates saying that some row satisfies each fact."""
-    return [f"bool_or({condition}) AS {name}" for name, condition in facts.items()]
-
-
 LOAN_FACTS = {
     "settlement": settlement_facts,
     "borrower": borrower_facts,
@@ -169,41 +182,46 @@ LOAN_FACTS = {
     "property_count": property_count_facts,
 }
 FOLLOW_UP_FACTS = {"title": TITLE, "title_silence": TITLE, "borrower": BORROWER}
-VALUATION_FACTS = ("appraisal_unapproved", "cda_overdue")
 
 
 # --- frames ------------------------------------------------------------------
 
 
-def loans_with_follow_ups(tables: Tables, groups: Iterable[str]) -> DataFrame:
+def loans_with_follow_ups(
+    loans: DataFrame, follow_ups: Callable[[], DataFrame], groups: Iterable[str]
+) -> DataFrame:
     """Loans and the newest follow-ups the fact groups ask for."""
-    loans = tables["loans"].withColumnRenamed("id", "loan_id")
+    loans = loans.withColumnRenamed("id", "loan_id")
     kinds = {FOLLOW_UP_FACTS[g] for g in groups if g in FOLLOW_UP_FACTS}
     if not kinds:
         return loans
-    follow_ups = tables["loan_follow_ups"]
     if len(kinds) == 2:
-        newest = latest_follow_ups(follow_ups)
+        newest = latest_follow_ups(follow_ups())
     else:
         (kind,) = kinds
-        newest = latest_follow_up(follow_ups, kind).select(
-            "loan_id",
-            F.col("date").alias(f"{kind}_date"),
-            F.col("via").alias(f"{kind}_via"),
+        newest = latest_follow_up(follow_ups(), kind).selectExpr(
+            "loan_id", f"date AS {kind}_date", f"via AS {kind}_via"
         )
     return loans.join(newest, "loan_id", "left")
 
 
-def loan_fact_rows(
-    tables: Tables, clock: Clock, groups: Iterable[str]
-) -> tuple[DataFrame, list[str]]:
-    """One row per loan: its application and the facts; and their names."""
-    groups = list(groups)
-    facts: Facts = {}
-    for group in groups:
-        facts.update(LOAN_FACTS[group](clock))
-    loans = clock.attach(loans_with_follow_ups(tables, groups))
-    return loans.selectExpr("application_id", *named(facts)), list(facts)
+def loan_facts(clock: Clock, groups: Iterable[str]) -> Facts:
+    return {name: c for group in groups for name, c in LOAN_FACTS[group](clock).items()}
+
+
+def loan_rows(
+    tables: Tables,
+    clock: Clock,
+    groups: Iterable[str],
+    *also: str,
+    loans: DataFrame | None = None,
+) -> DataFrame:
+    """One row per loan: its application and the facts of some groups."""
+    loans = tables["loans"] if loans is None else loans
+    rows = loans_with_follow_ups(loans, lambda: tables["loan_follow_ups"], groups)
+    return clock.attach(rows).selectExpr(
+        "application_id", *also, pack(loan_facts(clock, groups), LOAN_MASK)
+    )
 
 
 def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
@@ -211,7 +229,7 @@ def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
     loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
     properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
     valuations = clock.attach(tables["property_valuations"]).selectExpr(
-        "property_id", "appraisal_received_date", *named(valuation_facts(clock))
+        "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
     appraised = left_join_hot_right(
         properties, valuations, "property_id", tables["property_valuations"]
@@ -222,18 +240,27 @@ def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:
     """Valuation facts combined per property, then per loan."""
     facts = valuation_facts(clock)
-    valuations = clock.attach(tables["property_valuations"])
-    by_property = valuations.groupBy("property_id").agg(*map(F.expr, any_of(facts)))
+    valuations = clock.attach(tables["property_valuations"]).selectExpr(
+        "property_id", pack(facts, VALUATION_MASK)
+    )
+    by_property = any_child(valuations, "property_id", VALUATION_MASK)
     properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
-    appraised = with_defaults(properties.join(by_property, "property_id", "left"), facts)
-    return any_fact(appraised, "loan_id", facts)
+    appraised = properties.join(by_property, "property_id", "left").selectExpr(
+        "loan_id", f"{filled(VALUATION_MASK, facts)} AS {VALUATION_MASK}"
+    )
+    return any_child(appraised, "loan_id", VALUATION_MASK)
 
 
 def legal_facts_by_application(tables: Tables, clock: Clock, *also: str) -> DataFrame:
-    rows = tables["legal_closing_informations"].groupBy("application_id")
-    return rows.agg(*map(F.expr, [*also, *any_of(legal_facts(clock))]))
+    """Legal facts per application, next to other aggregates of its records."""
+    records = tables["legal_closing_informations"].selectExpr(
+        "*", pack(legal_facts(clock), LEGAL_MASK)
+    )
+    return any_child(records, "application_id", LEGAL_MASK, *also)
 
 
 def review_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
-    rows = clock.attach(prelim_review_date(tables)).withColumnRenamed("id", "application_id")
-    return rows.groupBy("application_id").agg(*map(F.expr, any_of(review_facts(clock))))
+    reviews = clock.attach(prelim_review_date(tables)).selectExpr(
+        "id AS application_id", pack(review_facts(clock), REVIEW_MASK)
+    )
+    return any_child(reviews, "application_id", REVIEW_MASK)

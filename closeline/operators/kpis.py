@@ -18,6 +18,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from closeline.constants import (
     BRIDGE_TYPE,
@@ -42,14 +43,21 @@ from closeline.functions.ladders import both, either, first_match, quoted
 from closeline.operators.calendar import Clock
 from closeline.operators.extracts import first_term_sheets
 from closeline.operators.facts import (
-    VALUATION_FACTS,
-    any_fact,
+    LEGAL_MASK,
+    LOAN_MASK,
+    REVIEW_MASK,
+    VALUATION_MASK,
+    any_child,
+    filled,
     legal_facts,
     legal_facts_by_application,
-    loan_fact_rows,
+    loan_facts,
+    loan_rows,
+    review_facts,
     review_facts_by_application,
+    unpack,
+    valuation_facts,
     valuation_rows,
-    with_defaults,
 )
 from closeline.operators.joins import left_join_hot_right
 
@@ -76,16 +84,25 @@ class Kpi:
 
 # --- shared conditions on the application, as SQL ---------------------------
 
-SUBMITTED_ON = "to_date(submitted_to_initial_underwriting_at)"
-WAS_SUBMITTED = "submitted_to_initial_underwriting_at IS NOT NULL"
+SUBMITTED_ON = "submitted_on"
+WAS_SUBMITTED = "submitted_on IS NOT NULL"
 UNCONFIRMED_STATUS = f"closing_status IN ({quoted((LIKELY, NOT_CONFIRMED))})"
-UNCONFIRMED = either("closing_status IS NULL", UNCONFIRMED_STATUS)
-CLASSIFIED = f"state NOT IN ({quoted(CLASSIFIER_EXCLUDED_STATES)})"
 PAST_UNDERWRITING = f"state NOT IN ({quoted(TERMS_EXCLUDED_STATES)})"
-IN_PROCESSING = both(CLASSIFIED, WAS_SUBMITTED)
 SINGLE_LOAN = either("NOT portfolio", "single_property")
 HAS_TERMS = "initial_terms_date IS NOT NULL"
 
+# Used by many rules, so computed once as columns of the application.
+CONDITIONS = {
+    SUBMITTED_ON: "to_date(submitted_to_initial_underwriting_at)",
+    "classified": f"state NOT IN ({quoted(CLASSIFIER_EXCLUDED_STATES)})",
+    "unconfirmed": f"closing_status IS NULL OR {UNCONFIRMED_STATUS}",
+}
+IN_PROCESSING = both("classified", WAS_SUBMITTED)
+
+
+def with_conditions(apps: DataFrame) -> DataFrame:
+    return apps.withColumns({name: F.expr(c) for name, c in CONDITIONS.items()})
+
 
 def ages(clock: Clock, *limits: int, unit: str, compare: str = "<") -> list[tuple[str, str]]:
     """Rungs '>k' for submissions before (or by) the k-th business day back."""
@@ -149,18 +166,18 @@ def follow_up_call_2_label(clock: Clock) -> str:
 def closing_label(clock: Clock) -> str:
     return first_match(
         [
-            ("2 Business Days", both(UNCONFIRMED, "settles_in_two")),
-            ("Next Business Day", both(UNCONFIRMED, "settles_next")),
-            ("Today", both(UNCONFIRMED, "settles_today")),
-            (PAST_DUE, both(UNCONFIRMED, "settlement_past")),
-            ("No Settlement Date", both(UNCONFIRMED, "settlement_missing")),
+            ("2 Business Days", both("unconfirmed", "settles_in_two")),
+            ("Next Business Day", both("unconfirmed", "settles_next")),
+            ("Today", both("unconfirmed", "settles_today")),
+            (PAST_DUE, both("unconfirmed", "settlement_past")),
+            ("No Settlement Date", both("unconfirmed", "settlement_missing")),
             ("Not Likely", both(f"closing_status = '{NOT_CONFIRMED}'", "settlement_set")),
         ],
         otherwise=FUTURE,
     )
 
 
-BORROWER_FOLLOW_UP_GATE = both(PAST_UNDERWRITING, UNCONFIRMED, HAS_TERMS)
+BORROWER_FOLLOW_UP_GATE = both(PAST_UNDERWRITING, "unconfirmed", HAS_TERMS)
 
 
 def borrower_follow_up_label(clock: Clock) -> str:
@@ -223,7 +240,7 @@ def title_follow_up_label(clock: Clock) -> str:
 APPRAISAL_GATE = both(
     IN_PROCESSING, either("closing_status IS NULL", both(UNCONFIRMED_STATUS, "NOT portfolio"))
 )
-PROCESSED = both(IN_PROCESSING, UNCONFIRMED)
+PROCESSED = both(IN_PROCESSING, "unconfirmed")
 PORTFOLIO_GATE = both(PROCESSED, either("portfolio", "multi_property"))
 NEW_CONSTRUCTION_GATE = both(PROCESSED, SINGLE_LOAN, f"product_name = '{NEW_CONSTRUCTION}'")
 NOT_NEW = f"product_name != '{NEW_CONSTRUCTION}'"
@@ -305,7 +322,7 @@ TITLE_ORDER_CONFIRMATION = Kpi(
 )
 TITLE_FOLLOW_UP = Kpi(
     "title_follow_up",
-    both(CLASSIFIED, HAS_TERMS),
+    both("classified", HAS_TERMS),
     title_follow_up_label,
     loan_facts=("title",),
     legal=True,
@@ -368,13 +385,14 @@ def with_terms(tables: Tables, apps: DataFrame) -> DataFrame:
     return apps.join(first_term_sheets(tables["term_sheets"]), "application_id", "left")
 
 
-def with_legal(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
-    legal = legal_facts_by_application(tables, clock)
-    return with_defaults(apps.join(legal, "application_id", "left"), legal_facts(clock))
+def with_legal(tables: Tables, clock: Clock, apps: DataFrame, *also: str) -> DataFrame:
+    legal = legal_facts_by_application(tables, clock, *also)
+    return unpack(apps.join(legal, "application_id", "left"), LEGAL_MASK, legal_facts(clock))
 
 
 def with_reviews(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
-    return apps.join(review_facts_by_application(tables, clock), "application_id", "left")
+    reviews = review_facts_by_application(tables, clock)
+    return unpack(apps.join(reviews, "application_id", "left"), REVIEW_MASK, review_facts(clock))
 
 
 def with_product(tables: Tables, apps: DataFrame) -> DataFrame:
@@ -390,7 +408,7 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
-    df = tables["applications"].withColumnRenamed("id", "application_id")
+    df = with_conditions(tables["applications"].withColumnRenamed("id", "application_id"))
     if kpi.terms:
         df = with_terms(tables, df)
     if kpi.legal:
@@ -400,18 +418,21 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     if kpi.product:
         df = with_product(tables, df)
 
-    facts: list[str] = []
     if kpi.valuations:
-        children, facts = valuation_rows(tables, clock), list(VALUATION_FACTS)
+        children, mask, facts = valuation_rows(tables, clock), VALUATION_MASK, valuation_facts(clock)
     elif kpi.loan_facts:
-        children, facts = loan_fact_rows(tables, clock, kpi.loan_facts)
-    if facts and grain == "row":
+        children, mask = loan_rows(tables, clock, kpi.loan_facts), LOAN_MASK
+        facts = loan_facts(clock, kpi.loan_facts)
+    else:
+        children = None
+    if children is not None and grain == "row":
         df = left_join_hot_right(df, children, "application_id", tables["loans"])
-    elif facts:
+        df = unpack(df, mask, facts)
+    elif children is not None:
         # A loan without valuations counts as one row of NULLs.
-        children = any_fact(with_defaults(children, facts), "application_id", facts)
-        df = df.join(children, "application_id", "left")
-    df = with_defaults(df, facts)
+        children = children.selectExpr("application_id", f"{filled(mask, facts)} AS {mask}")
+        df = df.join(any_child(children, "application_id", mask), "application_id", "left")
+        df = unpack(df, mask, facts)
 
     shown = [f"application_id AS {kpi.key}", f"{kpi.label(clock)} AS {kpi.name}"]
     if kpi is CDA and grain == "row":

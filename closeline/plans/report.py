@@ -26,17 +26,15 @@ from closeline.operators import kpis as k
 from closeline.operators.calendar import Clock
 from closeline.operators.facts import (
     LOAN_FACTS,
-    VALUATION_FACTS,
-    Facts,
-    any_fact,
-    any_of,
-    legal_facts,
-    legal_facts_by_application,
-    loans_with_follow_ups,
-    named,
+    LOAN_MASK,
+    VALUATION_MASK,
+    filled,
+    loan_facts,
+    loan_rows,
     review_facts,
+    unpack,
+    valuation_facts,
     valuation_facts_by_loan,
-    with_defaults,
 )
 from closeline.operators.joins import left_join_hot_right
 from closeline.plans.closings import team_contacts
@@ -103,21 +101,28 @@ REPORT_COLUMNS = (
 LOAN_BLOCK = 1 << 20
 
 
+def reportable(tables: Tables) -> DataFrame:
+    """Applications the report covers, whoever coordinates them."""
+    return (
+        tables["applications"]
+        .filter(
+            "rejected_at IS NULL AND withdrawn_at IS NULL "
+            "AND project_coordinator_id IS NOT NULL "
+            f"AND type IN ({quoted((BRIDGE_TYPE, RENTAL_TYPE))}) "
+            f"AND state NOT IN ({quoted(REPORT_EXCLUDED_STATES)})"
+        )
+        .withColumnRenamed("id", "application_id")
+    )
+
+
 def reported_applications(tables: Tables, team: str) -> DataFrame:
     """Applications on the report, with the coordinator's name."""
-    applications = tables["applications"].filter(
-        "rejected_at IS NULL AND withdrawn_at IS NULL AND project_coordinator_id IS NOT NULL "
-        f"AND type IN ({quoted((BRIDGE_TYPE, RENTAL_TYPE))}) "
-        f"AND state NOT IN ({quoted(REPORT_EXCLUDED_STATES)})"
-    )
     coordinators = (
         team_contacts(tables, team)
         .groupBy(F.col("contact_id").alias("project_coordinator_id"))
         .agg(F.min("contact_name").alias("project_coordinator"))
     )
-    return applications.withColumnRenamed("id", "application_id").join(
-        coordinators, "project_coordinator_id"
-    )
+    return reportable(tables).join(coordinators, "project_coordinator_id")
 
 
 def first_borrowers(tables: Tables) -> DataFrame:
@@ -135,33 +140,33 @@ def first_borrowers(tables: Tables) -> DataFrame:
     return first.join(names, "contact_id", "left").select("application_id", "borrower_name")
 
 
-def loan_frame(tables: Tables, clock: Clock) -> tuple[DataFrame, list[str]]:
-    """Loans with display columns and every loan and valuation fact."""
-    facts: Facts = {}
-    for group in LOAN_FACTS.values():
-        facts.update(group(clock))
-    loans = loans_with_follow_ups(tables, LOAN_FACTS).join(
-        valuation_facts_by_loan(tables, clock), "loan_id", "left"
-    )
-    loans = clock.attach(with_defaults(loans, VALUATION_FACTS)).selectExpr(
-        "application_id", "loan_id", DISPLAY, *VALUATION_FACTS, *named(facts)
-    )
-    return loans, [*VALUATION_FACTS, *facts]
+def loan_frame(tables: Tables, clock: Clock) -> DataFrame:
+    """Loans of reportable applications: display columns and facts.
+
+    Most applications are long closed; leaving their loans out first keeps them
+    out of every later shuffle.
+    """
+    covered = reportable(tables).select("application_id")
+    loans = tables["loans"].join(covered, "application_id", "left_semi")
+    loans = loan_rows(tables, clock, LOAN_FACTS, "loan_id", DISPLAY, loans=loans)
+    valuations = valuation_facts_by_loan(tables, clock)
+    value = filled(VALUATION_MASK, valuation_facts(clock))
+    return loans.join(valuations, "loan_id", "left").withColumn(VALUATION_MASK, F.expr(value))
 
 
 def labelled_applications(
-    tables: Tables, clock: Clock, by_application: DataFrame, facts: list[str], team: str
+    tables: Tables, clock: Clock, by_application: DataFrame, team: str
 ) -> DataFrame:
     """Reported applications with every label, one row each."""
     kickoff = "kickoff_call_with_borrower_date"
-    legal = legal_facts_by_application(tables, clock, f"min({kickoff}) AS {kickoff}")
-    df = reported_applications(tables, team)
+    df = k.with_conditions(reported_applications(tables, team))
     df = k.with_product(tables, df)
     df = k.with_terms(tables, df)
-    df = df.join(legal, "application_id", "left")
+    df = k.with_legal(tables, clock, df, f"min({kickoff}) AS {kickoff}")
     df = df.join(first_borrowers(tables), "application_id", "left")
     df = df.join(by_application, "application_id", "left")
-    df = with_defaults(df, [*legal_facts(clock), *facts])
+    df = unpack(df, LOAN_MASK, loan_facts(clock, LOAN_FACTS))
+    df = unpack(df, VALUATION_MASK, valuation_facts(clock))
     # The report leaves out the preliminary_review state, the only one whose
     # labels look at review dates; those rules stay, their facts are NULL.
     unknown = {name: F.expr("CAST(NULL AS boolean)") for name in review_facts(clock)}
@@ -184,12 +189,12 @@ def application_report(
     tables: Tables, clock: Clock, team: str = COORDINATOR_TEAM
 ) -> DataFrame:
     """One row per reported application."""
-    loans, facts = loan_frame(tables, clock)
-    by_application = loans.groupBy("application_id").agg(
+    by_application = loan_frame(tables, clock).groupBy("application_id").agg(
         F.min_by("display", "loan_id").alias("display"),
-        *map(F.expr, any_of({f: f for f in facts})),
+        F.bit_or(LOAN_MASK).alias(LOAN_MASK),
+        F.bit_or(VALUATION_MASK).alias(VALUATION_MASK),
     )
-    df = labelled_applications(tables, clock, by_application, facts, team)
+    df = labelled_applications(tables, clock, by_application, team)
     return _report(with_display(df).withColumn("row_num", F.lit(1)), clock)
 
 
@@ -222,9 +227,11 @@ def application_report_rows(
     tables: Tables, clock: Clock, team: str = COORDINATOR_TEAM
 ) -> DataFrame:
     """The report before its dedupe: a row per reported application and loan."""
-    loans, facts = loan_frame(tables, clock)
-    by_application = any_fact(loans, "application_id", facts)
-    df = labelled_applications(tables, clock, by_application, facts, team)
+    loans = loan_frame(tables, clock)
+    by_application = loans.groupBy("application_id").agg(
+        F.bit_or(LOAN_MASK).alias(LOAN_MASK), F.bit_or(VALUATION_MASK).alias(VALUATION_MASK)
+    )
+    df = labelled_applications(tables, clock, by_application, team)
     shown = numbered_loans(loans.select("application_id", "loan_id", "display"))
     df = left_join_hot_right(df, shown, "application_id", tables["loans"])
     df = df.withColumn("row_num", F.coalesce("row_num", F.lit(1)))
