@@ -47,6 +47,7 @@ from closeline.operators.facts import (
     LOAN_MASK,
     REVIEW_MASK,
     VALUATION_MASK,
+    Facts,
     any_child,
     filled,
     legal_facts,
@@ -62,13 +63,14 @@ from closeline.operators.facts import (
 from closeline.operators.joins import left_join_hot_right
 
 Tables = Mapping[str, DataFrame]
+Label = Callable[[Clock], str]
 
 
 @dataclass(frozen=True)
 class Kpi:
     name: str
     gate: str
-    label: Callable[[Clock], str]
+    label: Label
     loan_facts: tuple[str, ...] = ()
     valuations: bool = False
     legal: bool = False
@@ -83,56 +85,81 @@ class Kpi:
 
 
 # --- shared conditions on the application, as SQL ---------------------------
+#
+# Computed once per application, after the joins, as columns that are never NULL:
+# the rules over them then compile to plain boolean code.
 
-SUBMITTED_ON = "submitted_on"
-WAS_SUBMITTED = "submitted_on IS NOT NULL"
+WAS_SUBMITTED = "submitted_to_initial_underwriting_at IS NOT NULL"
 UNCONFIRMED_STATUS = f"closing_status IN ({quoted((LIKELY, NOT_CONFIRMED))})"
-PAST_UNDERWRITING = f"state NOT IN ({quoted(TERMS_EXCLUDED_STATES)})"
-SINGLE_LOAN = either("NOT portfolio", "single_property")
 HAS_TERMS = "initial_terms_date IS NOT NULL"
 
-# Used by many rules, so computed once as columns of the application.
 CONDITIONS = {
-    SUBMITTED_ON: "to_date(submitted_to_initial_underwriting_at)",
     "classified": f"state NOT IN ({quoted(CLASSIFIER_EXCLUDED_STATES)})",
+    "past_underwriting": f"state NOT IN ({quoted(TERMS_EXCLUDED_STATES)})",
+    "in_terms": f"state IN ({quoted(TERM_SHEET_STATES)})",
+    "in_review": f"state = '{PRELIMINARY_REVIEW}'",
+    "in_underwriting": f"state = '{INITIAL_UNDERWRITING}'",
     "unconfirmed": f"closing_status IS NULL OR {UNCONFIRMED_STATUS}",
+    "some_portfolio": "portfolio",
+    "no_portfolio": "NOT portfolio",
+    "rental": f"type = '{RENTAL_TYPE}'",
+    "bridge": f"type = '{BRIDGE_TYPE}'",
+}
+PRODUCT_CONDITIONS = {
+    "new_construction": f"product_name = '{NEW_CONSTRUCTION}'",
+    "other_product": f"product_name != '{NEW_CONSTRUCTION}'",
 }
 IN_PROCESSING = both("classified", WAS_SUBMITTED)
 
 
-def with_conditions(apps: DataFrame) -> DataFrame:
-    return apps.withColumns({name: F.expr(c) for name, c in CONDITIONS.items()})
+def older(k: int) -> str:
+    return f"older_than_{k}"
+
+
+def at_least(k: int) -> str:
+    return f"at_least_{k}"
 
 
-def ages(clock: Clock, *limits: int, unit: str, compare: str = "<") -> list[tuple[str, str]]:
-    """Rungs '>k' for submissions before (or by) the k-th business day back."""
-    return [(f">{k} {unit}", f"{SUBMITTED_ON} {compare} {clock.back(k)}") for k in limits]
+def submission_ages(clock: Clock) -> dict[str, str]:
+    """Age of the submission in business days."""
+    submitted = "to_date(submitted_to_initial_underwriting_at)"
+    return {
+        **{older(k): f"{submitted} < {clock.back(k)}" for k in (20, 25, 30, 35, 50)},
+        **{at_least(k): f"{submitted} <= {clock.back(k)}" for k in (9, 15, 20)},
+        "submitted_today": f"{submitted} = {clock.as_of}",
+        "submitted_1_back": f"{submitted} = {clock.back(1)}",
+        "submitted_2_back": f"{submitted} = {clock.back(2)}",
+    }
+
+
+def with_conditions(df: DataFrame, conditions: dict[str, str]) -> DataFrame:
+    """Add conditions as columns, false where they are NULL."""
+    return df.withColumns(
+        {name: F.expr(f"coalesce({c}, false)") for name, c in conditions.items()}
+    )
 
 
 # --- preliminary review calls ------------------------------------------------
 
-IN_REVIEW = f"state = '{PRELIMINARY_REVIEW}'"
-IN_UNDERWRITING = f"state = '{INITIAL_UNDERWRITING}'"
 CALL_PENDING = f"kickoff_done AND NOT ({WAS_SUBMITTED})"
 
 WELCOME_CALL_GATE = both(
-    either(IN_REVIEW, IN_UNDERWRITING),
+    either("in_review", "in_underwriting"),
     "coalesce(withdrawn_at, rejected_at, long_termed_at) IS NULL",
     "kickoff_missing",
 )
 
 
 def welcome_call_label(clock: Clock) -> str:
-    def started(submitted_at: str, review_fact: str) -> str:
-        submitted = both(IN_UNDERWRITING, f"{SUBMITTED_ON} = {submitted_at}")
-        return either(submitted, both(IN_REVIEW, review_fact))
+    def started(submission: str, review: str) -> str:
+        return either(both("in_underwriting", submission), both("in_review", review))
 
     return first_match(
         [
-            (DUE_TOMORROW, started(clock.as_of, "reviewed_today")),
-            (DUE_TODAY, started(clock.back(1), "reviewed_1_back")),
+            (DUE_TOMORROW, started("submitted_today", "reviewed_today")),
+            (DUE_TODAY, started("submitted_1_back", "reviewed_1_back")),
             # Older reviews stay past due; older submissions drop out.
-            (PAST_DUE, started(clock.back(2), "reviewed_by_2_back")),
+            (PAST_DUE, started("submitted_2_back", "reviewed_by_2_back")),
         ]
     )
 
@@ -177,7 +204,7 @@ def closing_label(clock: Clock) -> str:
     )
 
 
-BORROWER_FOLLOW_UP_GATE = both(PAST_UNDERWRITING, "unconfirmed", HAS_TERMS)
+BORROWER_FOLLOW_UP_GATE = both("past_underwriting", "unconfirmed", HAS_TERMS)
 
 
 def borrower_follow_up_label(clock: Clock) -> str:
@@ -194,7 +221,7 @@ INITIAL_TERMS_GATE = both(BORROWER_FOLLOW_UP_GATE, "purpose_tracked")
 
 
 def initial_terms_label(clock: Clock) -> str:
-    waiting = both(f"state IN ({quoted(TERM_SHEET_STATES)})", "terms_unreviewed")
+    waiting = both("in_terms", "terms_unreviewed")
 
     def rung(by: str, soon_on: str) -> str:
         soon = both("purpose_tracked_soon", f"initial_terms_date = {soon_on}")
@@ -238,32 +265,26 @@ def title_follow_up_label(clock: Clock) -> str:
 # The portfolio test belongs to the status list alone: applications without a
 # closing status pass whether or not they are a portfolio.
 APPRAISAL_GATE = both(
-    IN_PROCESSING, either("closing_status IS NULL", both(UNCONFIRMED_STATUS, "NOT portfolio"))
+    IN_PROCESSING, "unconfirmed", either("closing_status IS NULL", "no_portfolio")
 )
 PROCESSED = both(IN_PROCESSING, "unconfirmed")
-PORTFOLIO_GATE = both(PROCESSED, either("portfolio", "multi_property"))
-NEW_CONSTRUCTION_GATE = both(PROCESSED, SINGLE_LOAN, f"product_name = '{NEW_CONSTRUCTION}'")
-NOT_NEW = f"product_name != '{NEW_CONSTRUCTION}'"
-RENTAL_GATE = both(PROCESSED, SINGLE_LOAN, f"type = '{RENTAL_TYPE}'", NOT_NEW)
-BRIDGE_GATE = both(PROCESSED, "NOT portfolio", f"type = '{BRIDGE_TYPE}'", NOT_NEW)
-CDA_GATE = both("NOT portfolio", f"type = '{RENTAL_TYPE}'", WAS_SUBMITTED)
+SINGLE_LOAN = either("no_portfolio", "single_property")
+PORTFOLIO_GATE = both(PROCESSED, either("some_portfolio", "multi_property"))
+NEW_CONSTRUCTION_GATE = both(PROCESSED, SINGLE_LOAN, "new_construction")
+RENTAL_GATE = both(PROCESSED, SINGLE_LOAN, "rental", "other_product")
+BRIDGE_GATE = both(PROCESSED, "no_portfolio", "bridge", "other_product")
+CDA_GATE = both("no_portfolio", "rental", WAS_SUBMITTED)
 
 
 def appraisal_label(clock: Clock) -> str:
-    bands = ages(clock, 20, 15, 9, unit="days", compare="<=")
-    return first_match([(label, both(old, "appraisal_unapproved")) for label, old in bands])
-
-
-def long_processing_label(clock: Clock) -> str:
-    return first_match(ages(clock, 50, 35, 25, unit="Days"))
-
-
-def new_construction_label(clock: Clock) -> str:
-    return first_match(ages(clock, 35, 30, 25, unit="Days"))
+    return first_match(
+        [(f">{k} days", both(at_least(k), "appraisal_unapproved")) for k in (20, 15, 9)]
+    )
 
 
-def bridge_label(clock: Clock) -> str:
-    return first_match(ages(clock, 30, 25, 20, unit="Days"))
+def processing_label(*limits: int) -> Label:
+    """Label by the longest limit, in business days, the submission is older than."""
+    return lambda clock: first_match([(f">{k} Days", older(k)) for k in limits])
 
 
 def cda_label(clock: Clock) -> str:
@@ -282,7 +303,7 @@ WELCOME_CALL = Kpi(
 )
 FOLLOW_UP_CALL_1 = Kpi(
     "preliminary_review_follow_up_call_1_kpi",
-    IN_REVIEW,
+    "in_review",
     follow_up_call_1_label,
     legal=True,
     reviews=True,
@@ -290,7 +311,7 @@ FOLLOW_UP_CALL_1 = Kpi(
 )
 FOLLOW_UP_CALL_2 = Kpi(
     "preliminary_review_follow_up_call_2_kpi",
-    IN_REVIEW,
+    "in_review",
     follow_up_call_2_label,
     legal=True,
     reviews=True,
@@ -332,20 +353,20 @@ APPRAISAL_MISSING = Kpi("appraisal_kpi", APPRAISAL_GATE, appraisal_label, valuat
 PROCESSING_PORTFOLIO = Kpi(
     "processing_times_portfolio",
     PORTFOLIO_GATE,
-    long_processing_label,
+    processing_label(50, 35, 25),
     loan_facts=("property_count",),
 )
 PROCESSING_NEW_CONSTRUCTION = Kpi(
     "processing_times_new_construction",
     NEW_CONSTRUCTION_GATE,
-    new_construction_label,
+    processing_label(35, 30, 25),
     loan_facts=("property_count",),
     product=True,
 )
 PROCESSING_RENTAL = Kpi(
     "processing_times_rental",
     RENTAL_GATE,
-    long_processing_label,
+    processing_label(50, 35, 25),
     loan_facts=("property_count",),
     product=True,
 )
@@ -353,7 +374,7 @@ PROCESSING_BRIDGE = Kpi(
     # Column name as reports know it.
     "progressing_times_bridge",
     BRIDGE_GATE,
-    bridge_label,
+    processing_label(30, 25, 20),
     loan_facts=("property_count",),
     product=True,
 )
@@ -387,17 +408,21 @@ def with_terms(tables: Tables, apps: DataFrame) -> DataFrame:
 
 def with_legal(tables: Tables, clock: Clock, apps: DataFrame, *also: str) -> DataFrame:
     legal = legal_facts_by_application(tables, clock, *also)
-    return unpack(apps.join(legal, "application_id", "left"), LEGAL_MASK, legal_facts(clock))
+    return apps.join(legal, "application_id", "left")
 
 
 def with_reviews(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
-    reviews = review_facts_by_application(tables, clock)
-    return unpack(apps.join(reviews, "application_id", "left"), REVIEW_MASK, review_facts(clock))
+    return apps.join(review_facts_by_application(tables, clock), "application_id", "left")
 
 
 def with_product(tables: Tables, apps: DataFrame) -> DataFrame:
     products = tables["products"].selectExpr("id AS product_id", "name AS product_name")
-    return apps.join(products, "product_id", "left")
+    return with_conditions(apps.join(products, "product_id", "left"), PRODUCT_CONDITIONS)
+
+
+def at(clock: Clock, df: DataFrame) -> DataFrame:
+    """Add what the labels need to know of the clock; after the last shuffle."""
+    return with_conditions(clock.attach(df), submission_ages(clock))
 
 
 def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> DataFrame:
@@ -408,7 +433,7 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
-    df = with_conditions(tables["applications"].withColumnRenamed("id", "application_id"))
+    df = tables["applications"].withColumnRenamed("id", "application_id")
     if kpi.terms:
         df = with_terms(tables, df)
     if kpi.legal:
@@ -418,20 +443,25 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     if kpi.product:
         df = with_product(tables, df)
 
+    masks: dict[str, Facts] = {}
+    if kpi.legal:
+        masks[LEGAL_MASK] = legal_facts(clock)
+    if kpi.reviews:
+        masks[REVIEW_MASK] = review_facts(clock)
     if kpi.valuations:
         children, mask, facts = valuation_rows(tables, clock), VALUATION_MASK, valuation_facts(clock)
     elif kpi.loan_facts:
         children, mask = loan_rows(tables, clock, kpi.loan_facts), LOAN_MASK
         facts = loan_facts(clock, kpi.loan_facts)
-    else:
-        children = None
-    if children is not None and grain == "row":
+    if (kpi.valuations or kpi.loan_facts) and grain == "row":
         df = left_join_hot_right(df, children, "application_id", tables["loans"])
-        df = unpack(df, mask, facts)
-    elif children is not None:
+        masks[mask] = facts
+    elif kpi.valuations or kpi.loan_facts:
         # A loan without valuations counts as one row of NULLs.
         children = children.selectExpr("application_id", f"{filled(mask, facts)} AS {mask}")
         df = df.join(any_child(children, "application_id", mask), "application_id", "left")
+        masks[mask] = facts
+    for mask, facts in masks.items():
         df = unpack(df, mask, facts)
 
     shown = [f"application_id AS {kpi.key}", f"{kpi.label(clock)} AS {kpi.name}"]
@@ -440,4 +470,5 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
             f"{clock.as_of} AS as_of",
             "to_date(appraisal_received_date) AS appraisal_received_date",
         ]
-    return clock.attach(df.filter(kpi.gate)).selectExpr(*shown)
+    covered = with_conditions(df, CONDITIONS).filter(kpi.gate)
+    return at(clock, covered).selectExpr(*shown)

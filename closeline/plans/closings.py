@@ -15,17 +15,22 @@ from closeline.operators.joins import left_join_hot_right
 Tables = Mapping[str, DataFrame]
 
 
-def team_contacts(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFrame:
-    """Contacts whose display name is on the team: (contact_id, contact_name).
-
-    A row per membership; people sharing a name all match, NULL names none.
-    """
-    contacts = tables["contacts"].selectExpr(
+def named_contacts(tables: Tables) -> DataFrame:
+    """(contact_id, contact_name); no name where a part of it is NULL."""
+    return tables["contacts"].selectExpr(
         "id AS contact_id", f"{full_name('first_name', 'last_name')} AS contact_name"
     )
+
+
+def on_team(contacts: DataFrame, tables: Tables, team: str, how: str = "inner") -> DataFrame:
+    """Contacts whose display name is on the team, a row per membership if inner.
+
+    People sharing a name all match, those without one never do.
+    """
     members = tables["team_assignments"].filter(F.col("team") == team)
-    members = members.selectExpr("team_member_name AS contact_name")
-    return contacts.join(members, "contact_name")
+    return contacts.join(
+        members.selectExpr("team_member_name AS contact_name"), "contact_name", how
+    )
 
 
 def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFrame:
@@ -41,8 +46,9 @@ def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFr
     loans = tables["loans"].selectExpr(
         "application_id", "internal_id", "to_date(settlement_date) AS settlement_date"
     )
+    coordinators = on_team(named_contacts(tables), tables, team)
     closings = loans.join(
-        applications.join(team_contacts(tables, team), "contact_id"), "application_id"
+        applications.join(coordinators, "contact_id"), "application_id"
     )
     channels = tables["deal_product_channel"].select("internal_id")
     return left_join_hot_right(closings, channels, "internal_id").selectExpr(

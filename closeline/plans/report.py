@@ -4,7 +4,8 @@ Grain by construction: every table hanging off an application is reduced to one
 row per application before it is joined, so the joins never multiply and the
 final dedupe has nothing left to throw away.  Per application the report shows
 the loan with the lowest id and the borrower with the lowest contact id, and each
-classifier the first rung of its ladder that any child row satisfies.
+classifier the first rung of its ladder that any child row satisfies.  Ids of
+applications, loans and contacts are keys of their tables.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from closeline.constants import (
     REPORT_EXCLUDED_STATES,
 )
 from closeline.functions.ladders import quoted
-from closeline.functions.text import full_name, sentence_case
+from closeline.functions.text import sentence_case
 from closeline.operators import kpis as k
 from closeline.operators.calendar import Clock
 from closeline.operators.facts import (
+    LEGAL_MASK,
     LOAN_FACTS,
     LOAN_MASK,
     VALUATION_MASK,
     filled,
+    legal_facts,
     loan_facts,
     loan_rows,
     review_facts,
@@ -37,7 +40,7 @@ from closeline.operators.facts import (
     valuation_facts_by_loan,
 )
 from closeline.operators.joins import left_join_hot_right
-from closeline.plans.closings import team_contacts
+from closeline.plans.closings import named_contacts, on_team
 
 Tables = Mapping[str, DataFrame]
 
@@ -117,10 +120,8 @@ def reportable(tables: Tables) -> DataFrame:
 
 def reported_applications(tables: Tables, team: str) -> DataFrame:
     """Applications on the report, with the coordinator's name."""
-    coordinators = (
-        team_contacts(tables, team)
-        .groupBy(F.col("contact_id").alias("project_coordinator_id"))
-        .agg(F.min("contact_name").alias("project_coordinator"))
+    coordinators = on_team(named_contacts(tables), tables, team, "left_semi").selectExpr(
+        "contact_id AS project_coordinator_id", "contact_name AS project_coordinator"
     )
     return reportable(tables).join(coordinators, "project_coordinator_id")
 
@@ -132,11 +133,7 @@ def first_borrowers(tables: Tables) -> DataFrame:
         .groupBy("application_id")
         .agg(F.min("contact_id").alias("contact_id"))
     )
-    names = (
-        tables["contacts"]
-        .groupBy(F.col("id").alias("contact_id"))
-        .agg(F.expr(f"min({full_name('first_name', 'last_name')}) AS borrower_name"))
-    )
+    names = named_contacts(tables).withColumnRenamed("contact_name", "borrower_name")
     return first.join(names, "contact_id", "left").select("application_id", "borrower_name")
 
 
@@ -159,18 +156,19 @@ def labelled_applications(
 ) -> DataFrame:
     """Reported applications with every label, one row each."""
     kickoff = "kickoff_call_with_borrower_date"
-    df = k.with_conditions(reported_applications(tables, team))
+    df = reported_applications(tables, team)
     df = k.with_product(tables, df)
     df = k.with_terms(tables, df)
     df = k.with_legal(tables, clock, df, f"min({kickoff}) AS {kickoff}")
     df = df.join(first_borrowers(tables), "application_id", "left")
     df = df.join(by_application, "application_id", "left")
+    df = unpack(df, LEGAL_MASK, legal_facts(clock))
     df = unpack(df, LOAN_MASK, loan_facts(clock, LOAN_FACTS))
     df = unpack(df, VALUATION_MASK, valuation_facts(clock))
     # The report leaves out the preliminary_review state, the only one whose
     # labels look at review dates; those rules stay, their facts are NULL.
     unknown = {name: F.expr("CAST(NULL AS boolean)") for name in review_facts(clock)}
-    df = clock.attach(df.withColumns(unknown))
+    df = k.at(clock, k.with_conditions(df.withColumns(unknown), k.CONDITIONS))
     return df.withColumns({kpi.name: F.expr(kpi.gated_label(clock)) for kpi in k.KPIS})
 
 
