@@ -1,0 +1,228 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+
+from closeline.operators import kpis as k
+from closeline.plans import closings, report
+from closeline.sources.testdata import StarSchema
+from oracle.queries import CALLS, KPI_SOURCES, Oracle
+
+from .compare import connect
+from .conftest import AS_OF, SF_DIR, at_noon, day, labels
+
+D = dt.date
+BRIDGE = "Application::Bridge"
+CONTACTS = [
+    {"id": 1, "first_name": "Ann", "last_name": "Lee"},
+    {"id": 2, "first_name": "Bob", "last_name": None},
+    {"id": 3, "first_name": "Cy", "last_name": "Fox"},
+    # Shares a name with a team member.
+    {"id": 4, "first_name": "Ann", "last_name": "Lee"},
+    {"id": 11, "first_name": "Zoe", "last_name": "Zed"},
+    {"id": 12, "first_name": "Amy", "last_name": "Ash"},
+]
+TEAMS = [
+    {"team_member_name": "Ann Lee", "team": "PC"},
+    {"team_member_name": "Ann Lee", "team": "PC"},
+    {"team_member_name": "Cy Fox", "team": "Ops"},
+]
+
+
+def application(n, coordinator=1, **columns):
+    row = {
+        "id": n,
+        "state": "initial_terms",
+        "type": BRIDGE,
+        "project_coordinator_id": coordinator,
+        "submitted_to_initial_underwriting_at": at_noon(day(-30)),
+        "created_at": at_noon(D(1998, 1, n)),
+        "portfolio": False,
+    }
+    return {**row, **columns}
+
+
+@pytest.fixture
+def tables(lending):
+    return lending(
+        contacts=CONTACTS,
+        team_assignments=TEAMS,
+        applications=[
+            application(1),
+            application(2, coordinator=2),
+            application(3, coordinator=3),
+            application(4, coordinator=4),
+            application(5, coordinator=None),
+            application(6, rejected_at=at_noon(AS_OF)),
+            application(7, withdrawn_at=at_noon(AS_OF)),
+            application(8, type="Application::Other"),
+            application(9, state="preliminary_review"),
+            application(10, state="closed"),
+            application(11, state="clear_to_close"),
+        ],
+        loans=[
+            {
+                "id": 102,
+                "application_id": 1,
+                "internal_id": "B",
+                "settlement_date": AS_OF,
+                "transaction_purpose": "purchase",
+            },
+            {
+                "id": 101,
+                "application_id": 1,
+                "internal_id": "A",
+                "settlement_date": D(1998, 9, 1),
+                "appraisal_paid_at": at_noon(AS_OF),
+                "transaction_purpose": "other",
+            },
+            {"id": 111, "application_id": 11, "internal_id": "C"},
+        ],
+        borrowers=[
+            {"application_id": 1, "contact_id": 12},
+            {"application_id": 1, "contact_id": 11},
+            {"application_id": 1, "contact_id": None},
+        ],
+        loan_follow_ups=[
+            {"loan_id": 101, "date": at_noon(D(1998, 6, 1)), "via": "eMAIL x", "type": "title"},
+            {"loan_id": 101, "date": at_noon(D(1998, 6, 2)), "via": "", "type": "borrower"},
+            {"loan_id": 111, "date": at_noon(D(1998, 6, 2)), "via": None, "type": "title"},
+        ],
+        legal_closing_informations=[
+            {"application_id": 1, "kickoff_call_with_borrower_date": D(1998, 6, 3)}
+        ],
+        properties=[{"id": n, "loan_id": 101} for n in (1, 2)],
+        property_valuations=[
+            {"property_id": 1, "appraisal_approved_date": AS_OF},
+            {"property_id": 2, "appraisal_approved_date": None},
+        ],
+    )
+
+
+def test_report_has_one_row_per_reported_application(tables, clock):
+    df = report.application_report(tables, clock())
+    assert tuple(df.columns) == report.REPORT_COLUMNS and len(df.columns) == 36
+    rows = {r["application_number"]: r for r in df.collect()}
+    assert sorted(rows) == [1, 4, 11]
+    assert {r["row_num"] for r in rows.values()} == {1}
+
+    first = rows[1]
+    assert first["project_coordinator"] == "Ann Lee"
+    assert (first["loan_number"], first["application_id"]) == ("A", 1)
+    assert first["borrower_name"] == "Zoe Zed"
+    assert first["title_follow_up_type"] == "Email x"
+    assert first["borrower_follow_up_type"] == ""
+    assert first["title_follow_up_date"] == D(1998, 6, 1)
+    assert first["closing_date"] == D(1998, 9, 1)
+    assert first["kickoff_call_with_borrower_date"] == D(1998, 6, 3)
+    assert first["as_of_ts"] == dt.datetime(1998, 6, 17, 12, 30)
+    # Labels look at every loan and property.
+    assert first["closing_kpi"] == "Today"
+    assert first["appraisal_kpi"] == ">20 days"
+    assert first["preliminary_review_follow_up_call_1_kpi"] is None
+
+    bare = rows[4]
+    assert bare["loan_number"] is None and bare["borrower_name"] is None
+    assert bare["closing_kpi"] == "No Settlement Date"
+    assert rows[11]["title_follow_up_type"] is None
+    # Reported, but in none of the classifiers.
+    assert rows[11]["closing_kpi"] is None
+
+
+def test_report_rows_number_the_loans(tables, clock):
+    rows = report.application_report_rows(tables, clock()).collect()
+    found = sorted((r["application_number"], r["row_num"], str(r["loan_number"])) for r in rows)
+    assert found == [(1, 1, "A"), (1, 2, "B"), (4, 1, "None"), (11, 1, "C")]
+
+
+def test_first_rows_are_the_report(tables, clock):
+    rows = report.application_report_rows(tables, clock()).filter("row_num = 1")
+    assert sorted(map(str, rows.collect())) == sorted(
+        map(str, report.application_report(tables, clock()).collect())
+    )
+
+
+def test_numbering_crosses_blocks(spark, monkeypatch):
+    monkeypatch.setattr(report, "LOAN_BLOCK", 4)
+    loans = spark.range(50).selectExpr("id * 3 AS loan_id", "id % 2 AS application_id")
+    found = report.numbered_loans(loans).collect()
+    for application_id in (0, 1):
+        mine = [r for r in found if r["application_id"] == application_id]
+        ordered = [r["row_num"] for r in sorted(mine, key=lambda r: r["loan_id"])]
+        assert ordered == list(range(1, 26))
+
+
+def test_report_labels_exist_among_the_joined_rows(spark):
+    """Each label is one some row of the separate relations would have shown."""
+    star = StarSchema(spark, SF_DIR, second_loans=True)
+    ours = report.application_report(star.tables(), star.clock()).collect()
+    con, oracle = connect(SF_DIR), Oracle(AS_OF, second_loans=True)
+    sources = {**KPI_SOURCES, **CALLS}
+    assert {kpi.name for kpi in k.KPIS} == set(sources)
+    for column, relation in sources.items():
+        key = "id" if column in CALLS else "application_number"
+        shown: dict[int, set] = {}
+        for n, label in con.execute(
+            oracle.sql(f"SELECT {key}, {column} FROM {relation}")
+        ).fetchall():
+            shown.setdefault(n, set()).add(label)
+        for row in ours:
+            assert row[column] in shown.get(row["application_number"], {None})
+
+
+@pytest.mark.parametrize("kpi", k.KPIS, ids=lambda kpi: kpi.name)
+def test_both_grains_agree(spark, kpi):
+    """An application's label is the first rung any of its rows carries."""
+    from oracle.queries import LADDERS
+
+    star = StarSchema(spark, SF_DIR, second_loans=True)
+    tables, clock = star.tables(), star.clock()
+    calls = ["Due Tomorrow", "Due Today", "Past Due"]
+    ladder = [*LADDERS.get(kpi.name, calls), None]
+    first: dict[int, str | None] = {}
+    for row in k.classify(tables, clock, kpi).collect():
+        n, label = row[kpi.key], row[kpi.name]
+        first[n] = min(first.get(n), label, key=ladder.index) if n in first else label
+    assert labels(k.classify(tables, clock, kpi, "application")) == first
+
+
+def test_coordinator_closings(lending):
+    def app(n, state="funding_sent", status="confirmed", coordinator=1):
+        return {
+            "id": n,
+            "state": state,
+            "closing_status": status,
+            "project_coordinator_id": coordinator,
+        }
+
+    tables = lending(
+        contacts=CONTACTS,
+        team_assignments=TEAMS + [{"team_member_name": None, "team": "PC"}],
+        applications=[
+            app(1),
+            app(2, status="likely"),
+            app(3, state="issued"),
+            app(4, coordinator=2),
+            app(5, coordinator=3),
+            app(6, coordinator=4, state="closed"),
+        ],
+        loans=[
+            {"id": n, "application_id": n, "internal_id": f"L{n}", "settlement_date": AS_OF}
+            for n in range(1, 7)
+        ],
+        deal_product_channel=[{"internal_id": "L6"}, {"internal_id": "L6"}],
+    )
+    rows = sorted(map(tuple, closings.coordinator_closings(tables).collect()))
+    # Two team rows, and for the last loan two channel rows on top.
+    assert rows == [("Ann Lee", 1, AS_OF, "L1")] * 2 + [("Ann Lee", 4, AS_OF, "L6")] * 4
+
+
+def test_appraisal_payments(lending):
+    loans = lending(
+        loans=[
+            {"id": 1, "internal_id": "A", "appraisal_paid_at": at_noon(AS_OF)},
+            {"id": 2, "internal_id": "B"},
+        ]
+    )["loans"]
+    assert labels(closings.appraisal_payments(loans)) == {"A": AS_OF, "B": None}
