@@ -74,46 +74,36 @@ def initial_terms_date(applications: DataFrame, term_sheets: DataFrame) -> DataF
     )
 
 
-def _stage_dates(table: DataFrame, name: str) -> DataFrame:
-    return table.select(
-        F.col("application_id").alias("id"), F.col("preliminary_review_date").alias(name)
-    )
+def _stage_dates(table: DataFrame) -> DataFrame:
+    return table.selectExpr("application_id AS id", "preliminary_review_date")
+
+
+def _open_reviews(applications: DataFrame) -> DataFrame:
+    return applications.filter(
+        f"state = '{PRELIMINARY_REVIEW}' "
+        "AND coalesce(rejected_at, withdrawn_at, long_termed_at) IS NULL"
+    ).select("id")
 
 
 def prelim_review_primary(tables: Tables) -> DataFrame:
     """Open preliminary-review applications outside one channel, with their date."""
-    open_reviews = (
-        tables["applications"]
-        .filter(
-            (F.col("state") == PRELIMINARY_REVIEW)
-            & F.col("rejected_at").isNull()
-            & F.col("withdrawn_at").isNull()
-            & F.col("long_termed_at").isNull()
-        )
-        .select("id")
-    )
+    reviews = _open_reviews(tables["applications"])
     # One channel row outside the excluded channel is enough; further rows of the
     # same application must not repeat it.
     served = (
         tables["deal_product_channel"]
         .filter(F.col("ops_channel") != EXCLUDED_CHANNEL)
-        .select(F.col("application_id").alias("id"))
+        .selectExpr("application_id AS id")
     )
-    dates = _stage_dates(tables["deal_stage_dates"], "preliminary_review_date")
-    return left_join_hot_right(
-        open_reviews.join(served, "id", "left_semi"), dates, "id"
-    ).select("id", "preliminary_review_date")
+    dates = _stage_dates(tables["deal_stage_dates"])
+    return left_join_hot_right(reviews.join(served, "id", "left_semi"), dates, "id", reviews)
 
 
 def prelim_review_fallback(tables: Tables) -> DataFrame:
     """Fallback stage date of the applications whose primary date is NULL."""
-    undated = (
-        prelim_review_primary(tables)
-        .filter(F.col("preliminary_review_date").isNull())
-        .select("id")
-    )
-    dates = _stage_dates(tables["deal_stage_time_stamps"], "preliminary_review_date")
-    return left_join_hot_right(undated, dates, "id").select("id", "preliminary_review_date")
+    undated = prelim_review_primary(tables).filter("preliminary_review_date IS NULL").select("id")
+    dates = _stage_dates(tables["deal_stage_time_stamps"])
+    return left_join_hot_right(undated, dates, "id", _open_reviews(tables["applications"]))
 
 
 def prelim_review_date(tables: Tables) -> DataFrame:

@@ -232,9 +232,9 @@ def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
         "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
     appraised = left_join_hot_right(
-        properties, valuations, "property_id", tables["property_valuations"]
+        properties, valuations, "property_id", properties, tables["property_valuations"]
     )
-    return left_join_hot_right(loans, appraised, "loan_id", properties)
+    return left_join_hot_right(loans, appraised, "loan_id", loans, properties)
 
 
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:

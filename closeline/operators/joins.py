@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def left_join_hot_right(
-    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    left_keys: DataFrame,
+    right_keys: DataFrame | None = None,
+    *,
+    null_keys: bool = False,
 ) -> DataFrame:
     """`left` LEFT OUTER JOIN `right` on `key`, safe when `right` has a hot key.
 
     Adaptive execution can split a skewed partition of an inner join on either
-    side, but never the right side of a left outer join.  So the matched rows
-    come from an inner join and the unmatched rows from an anti join against the
-    distinct right keys, which are combined map-side before they are shuffled.
+    side, but never the right side of a left outer join.  So `right` is given one
+    empty row per key it lacks and joined inner.  The lacking keys come from the
+    distinct keys of both sides, which are combined map-side before the shuffle,
+    and `left` itself is computed once.
 
-    `right_keys` may name a cheaper frame holding the same keys as `right`.
+    `left_keys` and `right_keys` hold the keys of either side, from wherever they
+    are cheapest; `left_keys` may hold more than `left`.  With `null_keys` rows of
+    `left` without a key are kept, as an outer join would; otherwise there must be
+    none.
     """
-    keys = (right if right_keys is None else right_keys).select(key).distinct()
-    matched = left.join(right, key)
-    unmatched = left.join(keys, key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    present = (right if right_keys is None else right_keys).select(key).distinct()
+    lacking = left_keys.select(key).distinct().join(present, key, "left_anti")
+    padded = right.filter(F.col(key).isNotNull()).unionByName(lacking, allowMissingColumns=True)
+    if not null_keys:
+        return left.join(padded, key)
+    padded = padded.withColumnRenamed(key, f"_{key}")
+    return left.join(padded, left[key].eqNullSafe(padded[f"_{key}"])).drop(f"_{key}")

@@ -433,7 +433,8 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
-    df = tables["applications"].withColumnRenamed("id", "application_id")
+    applications = tables["applications"].withColumnRenamed("id", "application_id")
+    df = applications
     if kpi.terms:
         df = with_terms(tables, df)
     if kpi.legal:
@@ -454,7 +455,7 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
         children, mask = loan_rows(tables, clock, kpi.loan_facts), LOAN_MASK
         facts = loan_facts(clock, kpi.loan_facts)
     if (kpi.valuations or kpi.loan_facts) and grain == "row":
-        df = left_join_hot_right(df, children, "application_id", tables["loans"])
+        df = left_join_hot_right(df, children, "application_id", applications, tables["loans"])
         masks[mask] = facts
     elif kpi.valuations or kpi.loan_facts:
         # A loan without valuations counts as one row of NULLs.

@@ -166,12 +166,21 @@ def test_a_hot_application_is_split(spark, clock, small_partitions):
     loans = tables["loans"].select("application_id", "internal_id")
     shown = ["application_id", F.hash("internal_id")]
     plain = applications.join(loans, "application_id", "left").select(shown)
-    split = left_join_hot_right(applications, loans, "application_id").select(shown)
+    split = left_join_hot_right(applications, loans, "application_id", applications)
+    split = split.select(shown)
     found, expected = split.collect(), plain.collect()
     assert Counter(r[0] for r in found) == Counter(r[0] for r in expected)
     assert "skew=true" in plan(split) and "skew=true" not in plan(plain)
 
 
+def test_left_join_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "n int, k string")
+    right = spark.createDataFrame([("b", 7), ("b", 8), (None, 9), ("x", 5)], "k string, v int")
+    expected = left.join(right, "k", "left").select("n", "k", "v").collect()
+    found = left_join_hot_right(left, right, "k", left, null_keys=True)
+    assert sorted(map(str, found.select("n", "k", "v").collect())) == sorted(map(str, expected))
+
+
 def test_a_hot_application_reaches_the_shuffle_combined(spark, clock):
     """Per application grain, no task sees more than a row per map task of it."""
     tables = hot_loans(spark, 30_000)
