@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -82,10 +82,12 @@ def business_days(
 
 def business_day_offsets(days: DataFrame) -> DataFrame:
     """Per business day its k-th neighbours: (dateframe, neg_k..., pos_k...)."""
-    by_day = Window.orderBy("dateframe")
-    back = [F.lag("dateframe", k).over(by_day).alias(f"neg_{k}") for k in BACK_OFFSETS]
-    ahead = [F.lead("dateframe", k).over(by_day).alias(f"pos_{k}") for k in AHEAD_OFFSETS]
-    return days.select("dateframe", *back, *ahead)
+    by_day = "OVER (ORDER BY dateframe)"
+    return days.selectExpr(
+        "dateframe",
+        *[f"lag(dateframe, {k}) {by_day} AS neg_{k}" for k in BACK_OFFSETS],
+        *[f"lead(dateframe, {k}) {by_day} AS pos_{k}" for k in AHEAD_OFFSETS],
+    )
 
 
 def as_of_offsets(days: DataFrame, as_of: dt.date) -> DataFrame:
@@ -94,15 +96,17 @@ def as_of_offsets(days: DataFrame, as_of: dt.date) -> DataFrame:
     Same row as `business_day_offsets(days)` filtered to `as_of`, without a
     window over the calendar: one pass splits the days around `as_of`.
     """
-    day, now = F.col("dateframe"), F.lit(as_of)
+    now = f"DATE '{as_of}'"
     split = days.agg(
-        F.bool_or(day == now).alias("open"),
-        F.sort_array(F.collect_list(F.when(day < now, day)), asc=False).alias("past"),
-        F.sort_array(F.collect_list(F.when(day > now, day))).alias("coming"),
-    ).filter("open")
-    back = [F.get("past", F.lit(k - 1)).alias(f"neg_{k}") for k in BACK_OFFSETS]
-    ahead = [F.get("coming", F.lit(k - 1)).alias(f"pos_{k}") for k in AHEAD_OFFSETS]
-    return split.select(now.alias("dateframe"), *back, *ahead)
+        F.expr(f"bool_or(dateframe = {now}) AS open"),
+        F.expr(f"sort_array(collect_list(IF(dateframe < {now}, dateframe, NULL)), false) AS past"),
+        F.expr(f"sort_array(collect_list(IF(dateframe > {now}, dateframe, NULL))) AS coming"),
+    )
+    return split.filter("open").selectExpr(
+        f"{now} AS dateframe",
+        *[f"get(past, {k - 1}) AS neg_{k}" for k in BACK_OFFSETS],
+        *[f"get(coming, {k - 1}) AS pos_{k}" for k in AHEAD_OFFSETS],
+    )
 
 
 class Clock:
@@ -124,8 +128,8 @@ class Clock:
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the offsets to `df`.  Do this after the last shuffle."""
-        row = self.offsets.select(F.struct("dateframe", *OFFSET_COLUMNS)).scalar()
-        return df.withColumn(self.COLUMN, row)
+        row = f"struct({', '.join(['dateframe', *OFFSET_COLUMNS])}) AS offsets"
+        return df.withColumn(self.COLUMN, self.offsets.selectExpr(row).scalar())
 
     # SQL text of the moment and its neighbours, for rules on an attached frame.
 
@@ -146,10 +150,6 @@ class Clock:
 
 def as_of_calendar(applications: DataFrame, clock: Clock) -> DataFrame:
     """The as-of offsets row on every application; empty on a non-business day."""
-    ids = applications.select(F.col("id").alias("application_id")).distinct()
-    offsets = [f"{Clock.COLUMN}.{c}" for c in ["dateframe", *OFFSET_COLUMNS]]
-    return (
-        clock.attach(ids)
-        .filter(F.col(Clock.COLUMN).isNotNull())
-        .select(*offsets, "application_id")
-    )
+    ids = applications.selectExpr("id AS application_id").distinct()
+    on_business_days = clock.attach(ids).filter(f"{Clock.COLUMN} IS NOT NULL")
+    return on_business_days.select(f"{Clock.COLUMN}.*", "application_id")

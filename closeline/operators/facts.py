@@ -62,8 +62,8 @@ def filled(mask: str, facts: Iterable[str]) -> str:
 def unpack(df: DataFrame, mask: str, facts: Iterable[str]) -> DataFrame:
     """Add a boolean column per fact; rows without a child get those of none."""
     facts = list(facts)
-    bits = {name: F.expr(f"{mask} & {1 << i} != 0") for i, name in enumerate(facts)}
-    return df.withColumn(mask, F.expr(filled(mask, facts))).withColumns(bits).drop(mask)
+    bits = [f"{mask} & {1 << i} != 0 AS {name}" for i, name in enumerate(facts)]
+    return df.withColumn(mask, F.expr(filled(mask, facts))).selectExpr("*", *bits).drop(mask)
 
 
 def any_child(df: DataFrame, key: str, mask: str, *also: str) -> DataFrame:

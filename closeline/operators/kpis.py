@@ -18,7 +18,6 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from closeline.constants import (
     BRIDGE_TYPE,
@@ -134,9 +133,7 @@ def submission_ages(clock: Clock) -> dict[str, str]:
 
 def with_conditions(df: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """Add conditions as columns, false where they are NULL."""
-    return df.withColumns(
-        {name: F.expr(f"coalesce({c}, false)") for name, c in conditions.items()}
-    )
+    return df.selectExpr("*", *[f"coalesce({c}, false) AS {n}" for n, c in conditions.items()])
 
 
 # --- preliminary review calls ------------------------------------------------
