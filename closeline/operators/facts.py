@@ -224,17 +224,22 @@ def loan_rows(
     )
 
 
-def valuation_rows(tables: Tables, clock: Clock) -> DataFrame:
-    """One row per loan, property and valuation, with the valuation facts."""
+def with_valuation_rows(
+    tables: Tables, clock: Clock, apps: DataFrame, application_ids: DataFrame
+) -> DataFrame:
+    """A row per application, loan, property and valuation, with valuation facts.
+
+    Joined from the application down, so that a filter on it thins every step.
+    """
     loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
     properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
-    valuations = clock.attach(tables["property_valuations"]).selectExpr(
+    valuations = tables["property_valuations"]
+    facts = clock.attach(valuations).selectExpr(
         "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
-    appraised = left_join_hot_right(
-        properties, valuations, "property_id", properties, tables["property_valuations"]
-    )
-    return left_join_hot_right(loans, appraised, "loan_id", loans, properties)
+    df = left_join_hot_right(apps, loans, "application_id", application_ids)
+    df = left_join_hot_right(df, properties, "loan_id", loans, null_keys=True)
+    return left_join_hot_right(df, facts, "property_id", properties, valuations, null_keys=True)
 
 
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:
@@ -251,6 +256,13 @@ def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:
     return any_child(appraised, "loan_id", VALUATION_MASK)
 
 
+def loans_with_valuations(tables: Tables, clock: Clock, loans: DataFrame) -> DataFrame:
+    """Add to each loan the facts of its valuations, or those of none."""
+    joined = loans.join(valuation_facts_by_loan(tables, clock), "loan_id", "left")
+    value = filled(VALUATION_MASK, valuation_facts(clock))
+    return joined.withColumn(VALUATION_MASK, F.expr(value))
+
+
 def legal_facts_by_application(tables: Tables, clock: Clock, *also: str) -> DataFrame:
     """Legal facts per application, next to other aggregates of its records."""
     records = tables["legal_closing_informations"].selectExpr(

@@ -19,19 +19,22 @@ def left_join_hot_right(
 
     Adaptive execution can split a skewed partition of an inner join on either
     side, but never the right side of a left outer join.  So `right` is given one
-    empty row per key it lacks and joined inner.  The lacking keys come from the
-    distinct keys of both sides, which are combined map-side before the shuffle,
-    and `left` itself is computed once.
+    empty row per key it lacks and joined inner.  The keys it has are combined
+    map-side before they are shuffled, and `left` itself is computed once.
 
-    `left_keys` and `right_keys` hold the keys of either side, from wherever they
-    are cheapest; `left_keys` may hold more than `left`.  With `null_keys` rows of
-    `left` without a key are kept, as an outer join would; otherwise there must be
-    none.
+    `left_keys` holds the keys of `left`, each once, from wherever that is
+    cheapest; it may hold more.  `right_keys` holds those of `right`.  With
+    `null_keys` rows of `left` without a key are kept, as an outer join would;
+    otherwise there must be none.
     """
     present = (right if right_keys is None else right_keys).select(key).distinct()
-    lacking = left_keys.select(key).distinct().join(present, key, "left_anti")
-    padded = right.filter(F.col(key).isNotNull()).unionByName(lacking, allowMissingColumns=True)
+    lacking = left_keys.select(key).join(present, key, "left_anti")
+    right = right.filter(F.col(key).isNotNull())
     if not null_keys:
-        return left.join(padded, key)
+        return left.join(right.unionByName(lacking, allowMissingColumns=True), key)
+    kind = left_keys.schema[key].dataType
+    no_key = left_keys.sparkSession.range(1).select(F.lit(None).cast(kind).alias(key))
+    lacking = lacking.filter(F.col(key).isNotNull()).unionByName(no_key)
+    padded = right.unionByName(lacking, allowMissingColumns=True)
     padded = padded.withColumnRenamed(key, f"_{key}")
     return left.join(padded, left[key].eqNullSafe(padded[f"_{key}"])).drop(f"_{key}")

@@ -48,16 +48,16 @@ from closeline.operators.facts import (
     VALUATION_MASK,
     Facts,
     any_child,
-    filled,
     legal_facts,
     legal_facts_by_application,
     loan_facts,
     loan_rows,
+    loans_with_valuations,
     review_facts,
     review_facts_by_application,
     unpack,
     valuation_facts,
-    valuation_rows,
+    with_valuation_rows,
 )
 from closeline.operators.joins import left_join_hot_right
 
@@ -447,18 +447,22 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     if kpi.reviews:
         masks[REVIEW_MASK] = review_facts(clock)
     if kpi.valuations:
-        children, mask, facts = valuation_rows(tables, clock), VALUATION_MASK, valuation_facts(clock)
-    elif kpi.loan_facts:
-        children, mask = loan_rows(tables, clock, kpi.loan_facts), LOAN_MASK
-        facts = loan_facts(clock, kpi.loan_facts)
-    if (kpi.valuations or kpi.loan_facts) and grain == "row":
-        df = left_join_hot_right(df, children, "application_id", applications, tables["loans"])
-        masks[mask] = facts
-    elif kpi.valuations or kpi.loan_facts:
-        # A loan without valuations counts as one row of NULLs.
-        children = children.selectExpr("application_id", f"{filled(mask, facts)} AS {mask}")
-        df = df.join(any_child(children, "application_id", mask), "application_id", "left")
-        masks[mask] = facts
+        masks[VALUATION_MASK] = valuation_facts(clock)
+        if grain == "row":
+            df = with_valuation_rows(tables, clock, df, applications)
+        else:
+            loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
+            children = loans_with_valuations(tables, clock, loans)
+            children = any_child(children, "application_id", VALUATION_MASK)
+            df = df.join(children, "application_id", "left")
+    if kpi.loan_facts:
+        masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
+        loans = loan_rows(tables, clock, kpi.loan_facts)
+        if grain == "row":
+            df = left_join_hot_right(df, loans, "application_id", applications, tables["loans"])
+        else:
+            loans = any_child(loans, "application_id", LOAN_MASK)
+            df = df.join(loans, "application_id", "left")
     for mask, facts in masks.items():
         df = unpack(df, mask, facts)
 

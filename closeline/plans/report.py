@@ -30,14 +30,13 @@ from closeline.operators.facts import (
     LOAN_FACTS,
     LOAN_MASK,
     VALUATION_MASK,
-    filled,
     legal_facts,
     loan_facts,
     loan_rows,
+    loans_with_valuations,
     review_facts,
     unpack,
     valuation_facts,
-    valuation_facts_by_loan,
 )
 from closeline.operators.joins import left_join_hot_right
 from closeline.plans.closings import named_contacts, on_team
@@ -146,9 +145,7 @@ def loan_frame(tables: Tables, clock: Clock) -> DataFrame:
     covered = reportable(tables).select("application_id")
     loans = tables["loans"].join(covered, "application_id", "left_semi")
     loans = loan_rows(tables, clock, LOAN_FACTS, "loan_id", DISPLAY, loans=loans)
-    valuations = valuation_facts_by_loan(tables, clock)
-    value = filled(VALUATION_MASK, valuation_facts(clock))
-    return loans.join(valuations, "loan_id", "left").withColumn(VALUATION_MASK, F.expr(value))
+    return loans_with_valuations(tables, clock, loans)
 
 
 def labelled_applications(
