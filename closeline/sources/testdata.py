@@ -124,8 +124,8 @@ def bank_holidays_in(series: DataFrame) -> DataFrame:
 class StarSchema:
     """The driver's parquet files as lending tables.
 
-    `second_loans` gives three applications in ten a second loan; `repeated` gives
-    an application a projection row per line item.
+    `second_loans` gives applications with many properties a second loan; `repeated`
+    gives an application a projection row per line item.
     """
 
     def __init__(
@@ -226,7 +226,7 @@ class StarSchema:
         )
         if not self.second_loans:
             return first
-        second = first.filter("application_id % 10 >= 7").selectExpr(
+        second = first.filter("properties_count > 3").selectExpr(
             f"application_id + {SECOND_LOAN_BASE} AS id",
             "application_id",
             "concat(internal_id, 'B') AS internal_id",

@@ -168,7 +168,7 @@ def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]
     SELECT application_id + {SECOND_LOAN_BASE}, application_id, internal_id || 'B',
         settlement_date - 9, total_amount, appraisal_paid_at,
         CASE transaction_purpose WHEN 'other' THEN 'purchase' ELSE 'other' END, 1
-    FROM first_loans WHERE application_id % 10 >= 7"""
+    FROM first_loans WHERE properties_count > 3"""
     if repeated:
         tables["projections"] = f"""
     SELECT p.* REPLACE (
