@@ -428,9 +428,8 @@ class StarSchema:
 
         def shaped(table: str, **columns: str) -> DataFrame:
             fields = [field.split() for field in SCHEMAS[table].split(", ")]
-            return events.selectExpr(
-                *[f"{columns.get(name, f'CAST(NULL AS {kind})')} AS {name}" for name, kind in fields]
-            )
+            values = [(columns.get(name, f"CAST(NULL AS {kind})"), name) for name, kind in fields]
+            return events.selectExpr(*[f"{value} AS {name}" for value, name in values])
 
         frames = {
             "applications": shaped(

@@ -385,7 +385,8 @@ def report_ctes(as_of_ts: str) -> dict[str, str]:
         JOIN team_assignments m ON m.team_member_name = c.name
         LEFT JOIN channels h ON h.internal_id = l.internal_id
     WHERE a.closing_status = 'confirmed' AND m.team = 'PC'
-        AND (a.state LIKE 'funding_%' OR a.state IN ('closed', 'clear_to_close', 'setup_servicing'))""",
+        AND (a.state LIKE 'funding_%'
+            OR a.state IN ('closed', 'clear_to_close', 'setup_servicing'))""",
     }
 
 

@@ -363,7 +363,7 @@ def test_appraisal_missing(lending, clock):
             submitted(25, old),
         ],
         loans=[loan(24), loan(25)],
-        properties=[{"id": 1, "loan_id": 124}, {"id": 2, "loan_id": 124}, {"id": 3, "loan_id": 125}],
+        properties=[{"id": n, "loan_id": loan_id} for n, loan_id in ((1, 124), (2, 124), (3, 125))],
         property_valuations=[
             {"property_id": 1, "appraisal_approved_date": old},
             {"property_id": 2, "appraisal_approved_date": None},
