@@ -81,17 +81,25 @@ def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(there, match, how).drop(*(f"{n}__r" for n in on))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir.
 
-    Only a local session without `spark.checkpoint.dir` gets a folder of its own.
+    Only a local session that sets none gets one of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local["):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -74,8 +74,25 @@ SELECT d.doc_id, d.size::bigint AS size, t.n::bigint AS source_size, t.target::d
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN tk USING (rid)
 """
 
+#: All pairs that share a shingle, counted; components by the smallest id that is reached.
+OP9 = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, CASE WHEN len(w) < 2 THEN w[1] ELSE w[s] || ' ' || w[s + 1] END AS g
+      FROM (SELECT rid, w, unnest(range(1, greatest(len(w), 2))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+i AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM g x JOIN g y USING (g) WHERE x.rid <> y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
+r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontaminate": OP2,
     "op4_url_filter": OP4,
     "op6_mixing": OP6,
+    "op9_near_dedup": OP9,
 }
