@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -86,21 +87,20 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session that sets none gets one of its own.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """`df` computed once: written to the shared folder as a compressed table and read again."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_few(df: DataFrame, most_rows: int) -> DataFrame:
