@@ -36,6 +36,8 @@ from closeline.llm.word_hash import runs, words
 LEAST_WORDS = 50
 #: Words of the runs whose hashes select suffixes, and runs among which one is selected.
 RUN, SPACING = 8, 24
+#: Texts whose suffixes make one batch.
+TEXTS = 1000
 
 
 def minimisers(hashes: np.ndarray) -> np.ndarray:
@@ -54,17 +56,25 @@ def suffixes(docs: DataFrame, least_words: int) -> DataFrame:
     if prefix < RUN:
         raise ValueError(f"passages need {SPACING + RUN - 1} words or more")
 
+    def of_text(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes = words(text)
+        whole = runs(hashes, prefix)
+        at = minimisers(runs(hashes, RUN)[: len(whole)])
+        longer = np.zeros(len(whole), dtype=np.uint64)
+        both = runs(hashes, prefix + SPACING)
+        longer[: len(both)] = both
+        return whole[at].view(np.int64), longer[at].view(np.int64), at
+
     def retained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
-                hashes = words(text)
-                whole = runs(hashes, prefix)
-                at = minimisers(runs(hashes, RUN)[: len(whole)] if len(whole) else whole)
-                longer = np.zeros(len(whole), dtype=np.uint64)
-                both = runs(hashes, prefix + SPACING)
-                longer[: len(both)] = both
-                out = pd.DataFrame({"prefix": whole[at].view(np.int64), "longer": longer[at].view(np.int64), "place": at})
-                out["doc_id"], out["text_hash"] = pd.array([doc_id] * len(at), dtype="Int64"), text_hash
+        for whole_batch in batches:
+            for i in range(0, len(whole_batch), TEXTS):
+                batch = whole_batch.iloc[i : i + TEXTS]
+                found = [of_text(text) for text in batch["text"]]
+                counts = [len(f[2]) for f in found]
+                columns = [np.concatenate(column) for column in zip(*found)]
+                out = pd.DataFrame(dict(zip(("prefix", "longer", "place"), columns)))
+                out["doc_id"] = batch["doc_id"].astype("Int64").repeat(counts).array
+                out["text_hash"] = batch["text_hash"].repeat(counts).array
                 yield out
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"])
@@ -123,7 +133,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """
     rows = suffixes(docs, least_words)
     order = ["prefix", "longer", "doc_id", "text_hash", "place"]
-    pairs = neighbour_pairs(rows.select(*order), order, _matches, 2, PAIR)
+    pairs = neighbour_pairs(checkpointed(rows.select(*order)), order, _matches, 2, PAIR)
     shift = F.col("place_a") - F.col("place_b")
     one, two = ("doc_a", "hash_a"), ("doc_b", "hash_b")
     forward = F.struct(F.coalesce("doc_a", F.lit(0)), "hash_a") <= F.struct(F.coalesce("doc_b", F.lit(0)), "hash_b")
