@@ -5,8 +5,8 @@ tags by their name; the scores are log-odds of standing in the article, counted
 pages, which are pages that mark their article.  Words of content blocks come out positive,
 tags negative.  One linear scan finds the contiguous run with the largest sum: the article.
 Words in elements that are never content (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) score below zero anywhere and are left out of the
-run's text.
+adverts, forms, scripts, styles, comments) score a little below zero anywhere, and are left
+out of the run's text; tags in such elements do not score.
 
 At most `LABELLED_PAGES` pages train the weights, the first by hash of the id; every page
 is extracted from the whole of its HTML.  The driver gets a score per known tag and kind.
@@ -33,6 +33,9 @@ LABELLED_PAGES = 2000
 #: Limits of a word's score, and of a tag's.
 WORD_SCORE, TAG_SCORE = (-4.0, 2.0), (-1.0, -0.02)
 UNKNOWN_WORD, UNKNOWN_TAG = 1.0, -0.2
+#: Words that are never content cost little, as an advert may stand within an article; they
+#: are left out of its text.
+NEVER_WORD = -0.2
 
 #: Elements whose text is not shown, that never hold content, that do not
 #: interrupt a word, and that start the content anew.
@@ -78,7 +81,8 @@ def _is_marked(attributes: str) -> bool:
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """(what, kind, text): tags with their name, text with the kind of its block.
 
-    `what` is tag, inline, text or never; never is text that cannot be content.
+    `what` is tag, inline, text, never or edge.  Never is text that cannot be content, edge
+    a tag in or around it.
     """
     never, depth, block = "", 0, "body"
     for m in TOKEN.finditer(page):
@@ -88,14 +92,17 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             name, ends = m["tag"].lower(), bool(m["end"])
             if never and not ends and name in RESTART:
                 never = ""
+            hidden = bool(never)
             if never:
                 if name == never:
                     depth += -1 if ends else 1
                     never = never if depth else ""
             elif not ends and (name in NEVER or name != "body" and name != "html" and _is_marked(m["attributes"])):
                 if not m["attributes"].endswith("/") and name not in ("br", "hr", "img", "input"):
-                    never, depth = name, 1
-            if name in INLINE:
+                    never, depth, hidden = name, 1, True
+            if hidden:
+                yield "edge", name, ""
+            elif name in INLINE:
                 yield "inline", name, ""
             else:
                 block = "body" if ends else name if name not in ("br", "hr", "img") else block
@@ -112,6 +119,8 @@ def counted(page: str, counts: Counter) -> None:
             inside = not inside
             continue
         label = kind if kind in KNOWN else "other"
+        if m_what == "edge":
+            continue
         if m_what in ("text", "never"):
             counts["word", "never" if m_what == "never" else label, inside] += len(text.split())
         else:
@@ -161,9 +170,11 @@ def extracted(page: str | None, scores: dict[tuple[str, str], float]) -> str:
             total += scores.get(("tag", known), UNKNOWN_TAG)
             if what == "tag":
                 parts.append((" ", True))
+        elif what == "edge":
+            parts.append((" ", True))
         else:
             decoded = html.unescape(text)
-            score = WORD_SCORE[0] if what == "never" else scores.get(("word", known), UNKNOWN_WORD)
+            score = NEVER_WORD if what == "never" else scores.get(("word", known), UNKNOWN_WORD)
             total += score * len(decoded.split())
             parts.append((decoded, what == "text"))
         if total <= 0:
