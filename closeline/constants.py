@@ -34,14 +34,48 @@ STATES = (
 
 # States a loan must be in to count in the closing calendar: everything from
 # initial underwriting on.
-CLOSING_CALENDAR_STATES = STATES[5:]
+CLOSING_CALENDAR_STATES = (
+    "initial_underwriting",
+    "pending_approval",
+    "initial_terms",
+    "initial_signed_term_sheet",
+    "final_terms",
+    "final_signed_term_sheet",
+    "clear_to_close",
+    "funding_requested",
+    "funding_reviewed",
+    "funding_submitted",
+    "funding_sent",
+    "funding_authorized",
+    "issued",
+    "setup_servicing",
+    "closed",
+)
 
 # States weighted at EARLY_STATE_WEIGHT in the forecast.
-EARLY_WEIGHT_STATES = STATES[:7]
+EARLY_WEIGHT_STATES = (
+    "application",
+    "lead",
+    "incomplete_app",
+    "quote",
+    "preliminary_review",
+    "initial_underwriting",
+    "pending_approval",
+)
 EARLY_STATE_WEIGHT = Decimal("0.10")
 
 # States too early to close near the end of the month.  Two more than above.
-EARLY_GATE_STATES = STATES[:9]
+EARLY_GATE_STATES = (
+    "application",
+    "lead",
+    "incomplete_app",
+    "quote",
+    "preliminary_review",
+    "initial_underwriting",
+    "pending_approval",
+    "initial_terms",
+    "initial_signed_term_sheet",
+)
 
 # States of the coordinator closings list.
 FUNDING_STATES = (

@@ -1,8 +1,7 @@
 """Business calendar: day series, business days, offsets, as-of clock.
 
 The calendar is the only part of the library that is ordered globally.  Its size
-is the number of days asked for (100,000 by default, `MAX_CALENDAR_DAYS` at
-most), never a function of the lending tables.
+is the number of days asked for (100,000 by default), never a function of the lending tables.
 """
 
 from __future__ import annotations
@@ -22,8 +21,6 @@ from closeline.constants import (
     HOLIDAY_NAMES,
 )
 
-MAX_CALENDAR_DAYS = 1_000_000
-
 OFFSET_COLUMNS = [f"neg_{k}" for k in BACK_OFFSETS] + [f"pos_{k}" for k in AHEAD_OFFSETS]
 
 
@@ -33,8 +30,8 @@ def date_series(
     days: int = CALENDAR_DAYS,
 ) -> DataFrame:
     """`days` consecutive days from `start`: (date_value)."""
-    if not 0 < days <= MAX_CALENDAR_DAYS:
-        raise ValueError(f"a calendar holds 1 to {MAX_CALENDAR_DAYS} days, not {days}")
+    if days <= 0:
+        raise ValueError(f"a calendar holds 1 day or more, not {days}")
     first = F.lit(str(start)).cast("date")
     return spark.range(0, days, 1, 1).select(
         F.date_add(first, F.col("id").cast("int")).alias("date_value")

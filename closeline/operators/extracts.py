@@ -96,14 +96,14 @@ def prelim_review_primary(tables: Tables) -> DataFrame:
         .selectExpr("application_id AS id")
     )
     dates = _stage_dates(tables["deal_stage_dates"])
-    return left_join_hot_right(reviews.join(served, "id", "left_semi"), dates, "id", reviews)
+    return left_join_hot_right(reviews.join(served, "id", "left_semi"), dates, "id")
 
 
 def prelim_review_fallback(tables: Tables) -> DataFrame:
     """Fallback stage date of the applications whose primary date is NULL."""
     undated = prelim_review_primary(tables).filter("preliminary_review_date IS NULL").select("id")
     dates = _stage_dates(tables["deal_stage_time_stamps"])
-    return left_join_hot_right(undated, dates, "id", _open_reviews(tables["applications"]))
+    return left_join_hot_right(undated, dates, "id")
 
 
 def prelim_review_date(tables: Tables) -> DataFrame:

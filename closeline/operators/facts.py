@@ -237,9 +237,9 @@ def with_valuation_rows(
     facts = clock.attach(valuations).selectExpr(
         "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
-    df = left_join_hot_right(apps, loans, "application_id", application_ids)
-    df = left_join_hot_right(df, properties, "loan_id", loans, null_keys=True)
-    return left_join_hot_right(df, facts, "property_id", properties, valuations, null_keys=True)
+    df = left_join_hot_right(apps, loans, "application_id")
+    df = left_join_hot_right(df, properties, "loan_id")
+    return left_join_hot_right(df, facts, "property_id", valuations)
 
 
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:

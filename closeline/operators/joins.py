@@ -7,34 +7,18 @@ from pyspark.sql import functions as F
 
 
 def left_join_hot_right(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    left_keys: DataFrame,
-    right_keys: DataFrame | None = None,
-    *,
-    null_keys: bool = False,
+    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
 ) -> DataFrame:
     """`left` LEFT OUTER JOIN `right` on `key`, safe when `right` has a hot key.
 
     Adaptive execution can split a skewed partition of an inner join on either
-    side, but never the right side of a left outer join.  So `right` is given one
-    empty row per key it lacks and joined inner.  The keys it has are combined
-    map-side before they are shuffled, and `left` itself is computed once.
-
-    `left_keys` holds the keys of `left`, each once, from wherever that is
-    cheapest; it may hold more.  `right_keys` holds those of `right`.  With
-    `null_keys` rows of `left` without a key are kept, as an outer join would;
-    otherwise there must be none.
+    side, but never the right side of a left outer join.  So the rows that meet
+    are joined inner, and those of `left` whose key `right` lacks, or that have
+    none, are added by an anti join with its distinct keys, which combine
+    map-side before they are shuffled.  `right_keys` holds the keys of `right`
+    where they are cheaper to read.
     """
-    present = (right if right_keys is None else right_keys).select(key).distinct()
-    lacking = left_keys.select(key).join(present, key, "left_anti")
-    right = right.filter(F.col(key).isNotNull())
-    if not null_keys:
-        return left.join(right.unionByName(lacking, allowMissingColumns=True), key)
-    kind = left_keys.schema[key].dataType
-    no_key = left_keys.sparkSession.range(1).select(F.lit(None).cast(kind).alias(key))
-    lacking = lacking.filter(F.col(key).isNotNull()).unionByName(no_key)
-    padded = right.unionByName(lacking, allowMissingColumns=True)
-    padded = padded.withColumnRenamed(key, f"_{key}")
-    return left.join(padded, left[key].eqNullSafe(padded[f"_{key}"])).drop(f"_{key}")
+    present = (right if right_keys is None else right_keys).select(key)
+    present = present.filter(F.col(key).isNotNull()).distinct()
+    alone = left.join(present, key, "left_anti")
+    return left.join(right, key).unionByName(alone, allowMissingColumns=True)

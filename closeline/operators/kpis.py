@@ -459,7 +459,7 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
         masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
         loans = loan_rows(tables, clock, kpi.loan_facts)
         if grain == "row":
-            df = left_join_hot_right(df, loans, "application_id", applications, tables["loans"])
+            df = left_join_hot_right(df, loans, "application_id", tables["loans"])
         else:
             loans = any_child(loans, "application_id", LOAN_MASK)
             df = df.join(loans, "application_id", "left")

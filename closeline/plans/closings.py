@@ -51,8 +51,7 @@ def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFr
         applications.join(coordinators, "contact_id"), "application_id"
     )
     channels = tables["deal_product_channel"].select("internal_id")
-    numbers = tables["loans"].select("internal_id").distinct()
-    listed = left_join_hot_right(closings, channels, "internal_id", numbers, null_keys=True)
+    listed = left_join_hot_right(closings, channels, "internal_id")
     return listed.selectExpr(
         "contact_name AS project_coordinator_name",
         "contact_id AS id",

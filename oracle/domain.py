@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
-from closeline.constants import STATES
 
 ANCHOR = "DATE '1998-06-17'"
 LOAN_ID_BASE = 500_000_000_000
 SECOND_LOAN_BASE = 600_000_000_000
+# Application states, in lifecycle order (fixed values).
+STATES = (
+    "application",
+    "lead",
+    "incomplete_app",
+    "quote",
+    "preliminary_review",
+    "initial_underwriting",
+    "pending_approval",
+    "initial_terms",
+    "initial_signed_term_sheet",
+    "final_terms",
+    "final_signed_term_sheet",
+    "clear_to_close",
+    "funding_requested",
+    "funding_reviewed",
+    "funding_submitted",
+    "funding_sent",
+    "funding_authorized",
+    "issued",
+    "setup_servicing",
+    "closed",
+)
+
 CONTACT_BASE = 1_000_000_000_000
 
 STATE_LIST = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"

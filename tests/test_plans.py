@@ -18,7 +18,8 @@ from closeline.sources.tables import from_catalog, from_files, from_frames
 
 from .conftest import AS_OF, SF_DIR, frame
 
-QUERIES = entry.queries()
+# The optional corpus queries choose their plans on their own.
+QUERIES = {k: q for k, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
 
 
 def plan(df) -> str:
@@ -166,7 +167,7 @@ def test_a_hot_application_is_split(spark, clock, small_partitions):
     loans = tables["loans"].select("application_id", "internal_id")
     shown = ["application_id", F.hash("internal_id")]
     plain = applications.join(loans, "application_id", "left").select(shown)
-    split = left_join_hot_right(applications, loans, "application_id", applications)
+    split = left_join_hot_right(applications, loans, "application_id")
     split = split.select(shown)
     found, expected = split.collect(), plain.collect()
     assert Counter(r[0] for r in found) == Counter(r[0] for r in expected)
@@ -177,7 +178,7 @@ def test_left_join_keeps_rows_without_a_key(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None)], "n int, k string")
     right = spark.createDataFrame([("b", 7), ("b", 8), (None, 9), ("x", 5)], "k string, v int")
     expected = left.join(right, "k", "left").select("n", "k", "v").collect()
-    found = left_join_hot_right(left, right, "k", left.select("k").distinct(), null_keys=True)
+    found = left_join_hot_right(left, right, "k")
     assert sorted(map(str, found.select("n", "k", "v").collect())) == sorted(map(str, expected))
 
 
