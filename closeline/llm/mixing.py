@@ -7,7 +7,8 @@ Each slot draws its output shard, so the numbers of a source's slots in the shar
 multinomial draw, and a shard's composition follows the target weights.  Slot i of a pass
 takes block (a * (i + 1) - 1) mod n, a permutation for `a` prime to n, with another `a` in
 each pass and source; it leaves the short block last.  Slots and blocks meet in a join by
-source and block index, where no key has more rows than a block has documents.
+source and block index, where no key has more rows than a block has documents.  That join
+is a sort-merge one: slots come of few rows, and would look small enough to broadcast.
 
 A stream's offsets come from sums over chunks of documents at three levels, so that a source
 with a third of all rows is never one window.  Slots are spread out in two steps for the
@@ -141,7 +142,7 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = S
     sources = checkpointed(targets(sizes))
     rows = streams(sizes, sources)
     drawn = slots(quotas(sources, block_words), block_words, shard_blocks, seed)
-    taken = pieces(rows, block_words).join(drawn, ["number", "block"])
+    taken = pieces(rows, block_words).join(drawn.hint("merge"), ["number", "block"])
     taken = taken.withColumn("words", F.least("to", "take") - F.col("from")).where("words > 0")
     first = F.expr(f"block * {block_words} + `from` - start")
     return taken.withColumn("first_word", first)
@@ -154,7 +155,7 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     rows = checkpointed(streams(sizes, sources))
     drawn = slots(quotas(sources))
     key = ["number", "start", "doc_id", "size", "text_hash"]
-    taken = pieces(rows).select(*key, "block", "from", "to").join(drawn, ["number", "block"])
+    taken = pieces(rows).select(*key, "block", "from", "to").join(drawn.hint("merge"), ["number", "block"])
     words = F.greatest(F.least("to", "take") - F.col("from"), F.lit(0))
     summed = taken.groupBy("number", "start", "size", "text_hash").agg(F.sum(words).alias("taken"))
     wordy = rows.where("size > 0").join(summed, ["number", "start", "size", "text_hash"], "left")
