@@ -90,16 +90,25 @@ def business_day_offsets(days: DataFrame) -> DataFrame:
 def as_of_offsets(days: DataFrame, as_of: dt.date) -> DataFrame:
     """The offsets row of one day, or no row when it is not a business day.
 
-    Same row as `business_day_offsets(days)` filtered to `as_of`, without a
-    window over the calendar: one pass splits the days around `as_of`.
+    Same row as `business_day_offsets(days)` filtered to `as_of`, from the nearest
+    days on either side only.  A day before the first or after the last of `days`
+    raises: without neighbours it could not be told from a weekend.
     """
     now = f"DATE '{as_of}'"
-    split = days.agg(
+    back, ahead = max(BACK_OFFSETS), max(AHEAD_OFFSETS)
+    until = days.filter(f"dateframe <= {now}").orderBy(F.desc("dateframe")).limit(back + 1)
+    after = days.filter(f"dateframe > {now}").orderBy("dateframe").limit(ahead)
+    split = until.unionByName(after).agg(
         F.expr(f"bool_or(dateframe = {now}) AS open"),
         F.expr(f"sort_array(collect_list(IF(dateframe < {now}, dateframe, NULL)), false) AS past"),
         F.expr(f"sort_array(collect_list(IF(dateframe > {now}, dateframe, NULL))) AS coming"),
     )
-    return split.filter("open").selectExpr(
+    outside = f"raise_error('{as_of} lies outside the business days of the calendar')"
+    is_open = (
+        "CASE WHEN open THEN true WHEN size(past) > 0 AND size(coming) > 0 THEN false "
+        f"ELSE CAST({outside} AS boolean) END"
+    )
+    return split.filter(is_open).selectExpr(
         f"{now} AS dateframe",
         *[f"get(past, {k - 1}) AS neg_{k}" for k in BACK_OFFSETS],
         *[f"get(coming, {k - 1}) AS pos_{k}" for k in AHEAD_OFFSETS],

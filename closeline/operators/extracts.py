@@ -55,6 +55,19 @@ def latest_follow_ups(follow_ups: DataFrame) -> DataFrame:
     )
 
 
+def newest_dates(follow_ups: DataFrame, kind: str) -> DataFrame:
+    """Date of the newest follow-up of one kind per loan: (loan_id, date).
+
+    Fixed-width buffers, so it is a hash aggregate where `latest_follow_up`, which
+    also tells `via`, has to sort.
+    """
+    return (
+        follow_ups.filter(F.col("type") == kind)
+        .groupBy("loan_id")
+        .agg(F.expr("IF(bool_or(date IS NULL), NULL, max(date)) AS date"))
+    )
+
+
 def first_term_sheets(term_sheets: DataFrame) -> DataFrame:
     """Earliest initial-terms date: (application_id, initial_terms_date)."""
     return (
@@ -85,28 +98,52 @@ def _open_reviews(applications: DataFrame) -> DataFrame:
     ).select("id")
 
 
-def prelim_review_primary(tables: Tables) -> DataFrame:
-    """Open preliminary-review applications outside one channel, with their date."""
-    reviews = _open_reviews(tables["applications"])
-    # One channel row outside the excluded channel is enough; further rows of the
-    # same application must not repeat it.
+def served_reviews(tables: Tables) -> DataFrame:
+    """Open preliminary-review applications outside one channel: (id).
+
+    One channel row outside the excluded channel is enough; further rows of the
+    same application do not repeat it.
+    """
     served = (
         tables["deal_product_channel"]
         .filter(F.col("ops_channel") != EXCLUDED_CHANNEL)
         .selectExpr("application_id AS id")
     )
+    return _open_reviews(tables["applications"]).join(served, "id", "left_semi")
+
+
+def prelim_review_primary(tables: Tables) -> DataFrame:
+    """Open preliminary-review applications outside one channel, with their date."""
     dates = _stage_dates(tables["deal_stage_dates"])
-    return left_join_hot_right(reviews.join(served, "id", "left_semi"), dates, "id")
+    return left_join_hot_right(served_reviews(tables), dates, "id")
 
 
 def prelim_review_fallback(tables: Tables) -> DataFrame:
     """Fallback stage date of the applications whose primary date is NULL."""
-    undated = prelim_review_primary(tables).filter("preliminary_review_date IS NULL").select("id")
+    # A review is looked up once per primary row without a date, or once without rows.
+    primary = _stage_dates(tables["deal_stage_dates"]).groupBy("id").agg(
+        F.expr("count_if(preliminary_review_date IS NULL) AS undated")
+    )
+    lookups = (
+        served_reviews(tables)
+        .join(primary, "id", "left")
+        .filter("coalesce(undated, 1) > 0")
+        .selectExpr("id", "explode(sequence(1L, coalesce(undated, 1L))) AS lookup")
+        .select("id")
+    )
     dates = _stage_dates(tables["deal_stage_time_stamps"])
-    return left_join_hot_right(undated, dates, "id")
+    return left_join_hot_right(lookups, dates, "id")
 
 
 def prelim_review_date(tables: Tables) -> DataFrame:
     """Primary date where there is one, else the fallback."""
-    dated = prelim_review_primary(tables).filter(F.col("preliminary_review_date").isNotNull())
+    dates = _stage_dates(tables["deal_stage_dates"]).filter("preliminary_review_date IS NOT NULL")
+    dated = served_reviews(tables).join(dates, "id")
     return dated.unionByName(prelim_review_fallback(tables))
+
+
+def stage_rows(tables: Tables) -> DataFrame:
+    """Rows of both stage tables: (id, preliminary_review_date, fallback)."""
+    primary = _stage_dates(tables["deal_stage_dates"]).withColumn("fallback", F.lit(False))
+    stamps = _stage_dates(tables["deal_stage_time_stamps"]).withColumn("fallback", F.lit(True))
+    return primary.unionByName(stamps)

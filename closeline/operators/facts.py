@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from closeline.constants import BORROWER, TITLE, TRACKED_PURPOSES
 from closeline.functions.ladders import both, either, quoted
 from closeline.operators.calendar import Clock
-from closeline.operators.extracts import latest_follow_up, latest_follow_ups, prelim_review_date
-from closeline.operators.joins import left_join_hot_right
+from closeline.operators.extracts import (
+    latest_follow_ups,
+    newest_dates,
+    served_reviews,
+    stage_rows,
+)
+from closeline.operators.joins import left_join_chain
 
 Tables = Mapping[str, DataFrame]
 Facts = dict[str, str]
@@ -199,9 +204,7 @@ def loans_with_follow_ups(
         newest = latest_follow_ups(follow_ups())
     else:
         (kind,) = kinds
-        newest = latest_follow_up(follow_ups(), kind).selectExpr(
-            "loan_id", f"date AS {kind}_date", f"via AS {kind}_via"
-        )
+        newest = newest_dates(follow_ups(), kind).withColumnRenamed("date", f"{kind}_date")
     return loans.join(newest, "loan_id", "left")
 
 
@@ -224,22 +227,48 @@ def loan_rows(
     )
 
 
-def with_valuation_rows(
-    tables: Tables, clock: Clock, apps: DataFrame, application_ids: DataFrame
-) -> DataFrame:
+# Rows of one application that a rule cannot tell apart travel as one row and
+# their number, `COPIES`: combined map-side, so that no hot key reaches a join.
+COPIES = "copies"
+COPY_BLOCK = 1 << 16
+
+
+def counted(rows: DataFrame, key: str, *shown: str) -> DataFrame:
+    """Equal rows of a key as one row and their number."""
+    return rows.groupBy(key, *shown).agg(F.count("*").alias(COPIES))
+
+
+def spelt_out(df: DataFrame, key: str) -> DataFrame:
+    """Each row as often as its `COPIES` says; once without one.
+
+    Many copies of a row are dealt out in blocks, so one task spells out no more than
+    a few blocks of any key.
+    """
+    columns = [c for c in df.columns if c != COPIES]
+    last = f"CAST((coalesce({COPIES}, 1L) - 1) DIV {COPY_BLOCK} AS bigint)"
+    blocks = df.selectExpr("*", f"explode(sequence(0L, {last})) AS block")
+    rest = f"coalesce({COPIES}, 1L) - block * {COPY_BLOCK}"
+    size = f"least({rest}, {COPY_BLOCK}L)"
+    dealt = blocks.repartition(key, "block")
+    return dealt.selectExpr(*columns, f"explode(sequence(1L, {size})) AS copy").drop("copy")
+
+
+def with_valuation_rows(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
     """A row per application, loan, property and valuation, with valuation facts.
 
     Joined from the application down, so that a filter on it thins every step.
     """
     loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
     properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
-    valuations = tables["property_valuations"]
-    facts = clock.attach(valuations).selectExpr(
+    valuations = clock.attach(tables["property_valuations"]).selectExpr(
         "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
-    df = left_join_hot_right(apps, loans, "application_id")
-    df = left_join_hot_right(df, properties, "loan_id")
-    return left_join_hot_right(df, facts, "property_id", valuations)
+    return left_join_chain(
+        apps,
+        (loans, "application_id"),
+        (properties, "loan_id"),
+        (valuations, "property_id"),
+    )
 
 
 def valuation_facts_by_loan(tables: Tables, clock: Clock) -> DataFrame:
@@ -272,7 +301,24 @@ def legal_facts_by_application(tables: Tables, clock: Clock, *also: str) -> Data
 
 
 def review_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
-    reviews = clock.attach(prelim_review_date(tables)).selectExpr(
-        "id AS application_id", pack(review_facts(clock), REVIEW_MASK)
+    """Facts of the review dates: primary ones, and fallbacks where one is NULL or none is.
+
+    The facts of both stage tables are combined in one pass; which count is decided per
+    application afterwards.
+    """
+    rows = clock.attach(stage_rows(tables)).selectExpr(
+        "id",
+        "fallback",
+        "NOT fallback AND preliminary_review_date IS NULL AS undated",
+        pack(review_facts(clock), REVIEW_MASK),
+    )
+    seen = rows.groupBy("id").agg(
+        F.expr("bit_or(IF(fallback, 0, review_facts)) AS primary_facts"),
+        F.expr("bit_or(IF(fallback, review_facts, 0)) AS fallback_facts"),
+        F.expr("bool_or(undated) OR bool_and(fallback) AS looks_up"),
+    )
+    reviews = seen.join(served_reviews(tables), "id", "left_semi")
+    return reviews.selectExpr(
+        "id AS application_id",
+        f"primary_facts | IF(looks_up, fallback_facts, 0) AS {REVIEW_MASK}",
     )
-    return any_child(reviews, "application_id", REVIEW_MASK)

@@ -6,19 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_hot_right(
-    left: DataFrame, right: DataFrame, key: str, right_keys: DataFrame | None = None
-) -> DataFrame:
-    """`left` LEFT OUTER JOIN `right` on `key`, safe when `right` has a hot key.
+def left_join_chain(left: DataFrame, *steps: tuple[DataFrame, str]) -> DataFrame:
+    """`left` LEFT OUTER JOIN every (right, key) in turn, safe when a right has a hot key.
 
-    Adaptive execution can split a skewed partition of an inner join on either
-    side, but never the right side of a left outer join.  So the rows that meet
-    are joined inner, and those of `left` whose key `right` lacks, or that have
-    none, are added by an anti join with its distinct keys, which combine
-    map-side before they are shuffled.  `right_keys` holds the keys of `right`
-    where they are cheaper to read.
+    Adaptive execution can split a skewed partition of an inner join on either side,
+    but never the right side of a left outer join.  So the rows that meet are joined
+    inner, all the way, and at every step those whose key the right side lacks, or that
+    have none, are added by an anti join with its distinct keys, which combine map-side
+    before they are shuffled.  Both joins of a step read the same shuffle of its left.
     """
-    present = (right if right_keys is None else right_keys).select(key)
-    present = present.filter(F.col(key).isNotNull()).distinct()
-    alone = left.join(present, key, "left_anti")
-    return left.join(right, key).unionByName(alone, allowMissingColumns=True)
+    alone = []
+    for right, key in steps:
+        present = right.select(key).filter(F.col(key).isNotNull()).distinct()
+        alone.append(left.join(present, key, "left_anti"))
+        left = left.join(right, key)
+    for rows in reversed(alone):
+        left = left.unionByName(rows, allowMissingColumns=True)
+    return left
+
+
+def left_join_hot_right(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """`left` LEFT OUTER JOIN `right` on `key`, safe when `right` has a hot key."""
+    return left_join_chain(left, (right, key))

@@ -14,6 +14,7 @@ Grains of `classify`:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -42,12 +43,14 @@ from closeline.functions.ladders import both, either, first_match, quoted
 from closeline.operators.calendar import Clock
 from closeline.operators.extracts import first_term_sheets
 from closeline.operators.facts import (
+    COPIES,
     LEGAL_MASK,
     LOAN_MASK,
     REVIEW_MASK,
     VALUATION_MASK,
     Facts,
     any_child,
+    counted,
     legal_facts,
     legal_facts_by_application,
     loan_facts,
@@ -55,11 +58,11 @@ from closeline.operators.facts import (
     loans_with_valuations,
     review_facts,
     review_facts_by_application,
+    spelt_out,
     unpack,
     valuation_facts,
     with_valuation_rows,
 )
-from closeline.operators.joins import left_join_hot_right
 
 Tables = Mapping[str, DataFrame]
 Label = Callable[[Clock], str]
@@ -67,7 +70,10 @@ Label = Callable[[Clock], str]
 
 @dataclass(frozen=True)
 class Kpi:
+    """`scope` is the part of `gate` that looks at the application row alone."""
+
     name: str
+    scope: str
     gate: str
     label: Label
     loan_facts: tuple[str, ...] = ()
@@ -111,6 +117,12 @@ PRODUCT_CONDITIONS = {
 IN_PROCESSING = both("classified", WAS_SUBMITTED)
 
 
+def bare(scope: str) -> str:
+    """SQL: a scope over the table's own columns, which a file scan can filter by."""
+    names = re.compile(rf"\b({'|'.join(CONDITIONS)})\b")
+    return names.sub(lambda m: f"({CONDITIONS[m.group()]})", scope)
+
+
 def older(k: int) -> str:
     return f"older_than_{k}"
 
@@ -140,11 +152,11 @@ def with_conditions(df: DataFrame, conditions: dict[str, str]) -> DataFrame:
 
 CALL_PENDING = f"kickoff_done AND NOT ({WAS_SUBMITTED})"
 
-WELCOME_CALL_GATE = both(
+WELCOME_CALL_SCOPE = both(
     either("in_review", "in_underwriting"),
     "coalesce(withdrawn_at, rejected_at, long_termed_at) IS NULL",
-    "kickoff_missing",
 )
+WELCOME_CALL_GATE = both(WELCOME_CALL_SCOPE, "kickoff_missing")
 
 
 def welcome_call_label(clock: Clock) -> str:
@@ -201,7 +213,8 @@ def closing_label(clock: Clock) -> str:
     )
 
 
-BORROWER_FOLLOW_UP_GATE = both("past_underwriting", "unconfirmed", HAS_TERMS)
+IN_TERMS_SCOPE = both("past_underwriting", "unconfirmed")
+BORROWER_FOLLOW_UP_GATE = both(IN_TERMS_SCOPE, HAS_TERMS)
 
 
 def borrower_follow_up_label(clock: Clock) -> str:
@@ -292,6 +305,7 @@ def cda_label(clock: Clock) -> str:
 
 WELCOME_CALL = Kpi(
     "preliminary_review_welcome_call_kpi",
+    WELCOME_CALL_SCOPE,
     WELCOME_CALL_GATE,
     welcome_call_label,
     legal=True,
@@ -301,6 +315,7 @@ WELCOME_CALL = Kpi(
 FOLLOW_UP_CALL_1 = Kpi(
     "preliminary_review_follow_up_call_1_kpi",
     "in_review",
+    "in_review",
     follow_up_call_1_label,
     legal=True,
     reviews=True,
@@ -309,14 +324,18 @@ FOLLOW_UP_CALL_1 = Kpi(
 FOLLOW_UP_CALL_2 = Kpi(
     "preliminary_review_follow_up_call_2_kpi",
     "in_review",
+    "in_review",
     follow_up_call_2_label,
     legal=True,
     reviews=True,
     key="id",
 )
-CLOSING = Kpi("closing_kpi", IN_PROCESSING, closing_label, loan_facts=("settlement",))
+CLOSING = Kpi(
+    "closing_kpi", IN_PROCESSING, IN_PROCESSING, closing_label, loan_facts=("settlement",)
+)
 BORROWER_FOLLOW_UP = Kpi(
     "follow_up_kpi",
+    IN_TERMS_SCOPE,
     BORROWER_FOLLOW_UP_GATE,
     borrower_follow_up_label,
     loan_facts=("borrower",),
@@ -324,37 +343,44 @@ BORROWER_FOLLOW_UP = Kpi(
 )
 INITIAL_TERMS = Kpi(
     "initial_terms_kpi",
+    IN_TERMS_SCOPE,
     INITIAL_TERMS_GATE,
     initial_terms_label,
     loan_facts=("purpose",),
     legal=True,
     terms=True,
 )
-TITLE_ORDER = Kpi("title_order", IN_PROCESSING, title_order_label, legal=True)
+TITLE_ORDER = Kpi("title_order", IN_PROCESSING, IN_PROCESSING, title_order_label, legal=True)
 TITLE_ORDER_CONFIRMATION = Kpi(
     "title_order_confirmation",
     IN_PROCESSING,
+    IN_PROCESSING,
     title_order_confirmation_label,
     loan_facts=("title_silence",),
     legal=True,
 )
 TITLE_FOLLOW_UP = Kpi(
     "title_follow_up",
+    "classified",
     both("classified", HAS_TERMS),
     title_follow_up_label,
     loan_facts=("title",),
     legal=True,
     terms=True,
 )
-APPRAISAL_MISSING = Kpi("appraisal_kpi", APPRAISAL_GATE, appraisal_label, valuations=True)
+APPRAISAL_MISSING = Kpi(
+    "appraisal_kpi", APPRAISAL_GATE, APPRAISAL_GATE, appraisal_label, valuations=True
+)
 PROCESSING_PORTFOLIO = Kpi(
     "processing_times_portfolio",
+    PROCESSED,
     PORTFOLIO_GATE,
     processing_label(50, 35, 25),
     loan_facts=("property_count",),
 )
 PROCESSING_NEW_CONSTRUCTION = Kpi(
     "processing_times_new_construction",
+    PROCESSED,
     NEW_CONSTRUCTION_GATE,
     processing_label(35, 30, 25),
     loan_facts=("property_count",),
@@ -362,6 +388,7 @@ PROCESSING_NEW_CONSTRUCTION = Kpi(
 )
 PROCESSING_RENTAL = Kpi(
     "processing_times_rental",
+    both(PROCESSED, "rental"),
     RENTAL_GATE,
     processing_label(50, 35, 25),
     loan_facts=("property_count",),
@@ -370,12 +397,13 @@ PROCESSING_RENTAL = Kpi(
 PROCESSING_BRIDGE = Kpi(
     # Column name as reports know it.
     "progressing_times_bridge",
+    both(PROCESSED, "no_portfolio", "bridge"),
     BRIDGE_GATE,
     processing_label(30, 25, 20),
     loan_facts=("property_count",),
     product=True,
 )
-CDA = Kpi("cda_kpi", CDA_GATE, cda_label, valuations=True)
+CDA = Kpi("cda_kpi", CDA_GATE, CDA_GATE, cda_label, valuations=True)
 
 KPIS = (
     WELCOME_CALL,
@@ -425,13 +453,15 @@ def at(clock: Clock, df: DataFrame) -> DataFrame:
 def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> DataFrame:
     """Label the applications one KPI covers: (key, label).
 
-    Child tables of the application are reduced to one row per application before
-    they are joined, except for the loans and valuations a "row" grain spells out.
+    Only the applications in the scope of the KPI are read.  Child tables are reduced
+    to one row per application before they are joined; for a "row" grain, loans to
+    one row per application and set of facts, with the number of rows it stands for,
+    which are spelt out at the end, and valuations not at all.
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
-    applications = tables["applications"].withColumnRenamed("id", "application_id")
-    df = applications
+    by_row = grain == "row"
+    df = tables["applications"].filter(bare(kpi.scope)).withColumnRenamed("id", "application_id")
     if kpi.terms:
         df = with_terms(tables, df)
     if kpi.legal:
@@ -448,8 +478,8 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
         masks[REVIEW_MASK] = review_facts(clock)
     if kpi.valuations:
         masks[VALUATION_MASK] = valuation_facts(clock)
-        if grain == "row":
-            df = with_valuation_rows(tables, clock, df, applications)
+        if by_row:
+            df = with_valuation_rows(tables, clock, df)
         else:
             loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
             children = loans_with_valuations(tables, clock, loans)
@@ -458,19 +488,22 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     if kpi.loan_facts:
         masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
         loans = loan_rows(tables, clock, kpi.loan_facts)
-        if grain == "row":
-            df = left_join_hot_right(df, loans, "application_id", tables["loans"])
+        if by_row:
+            loans = counted(loans, "application_id", LOAN_MASK)
         else:
             loans = any_child(loans, "application_id", LOAN_MASK)
-            df = df.join(loans, "application_id", "left")
+        df = df.join(loans, "application_id", "left")
     for mask, facts in masks.items():
         df = unpack(df, mask, facts)
 
     shown = [f"application_id AS {kpi.key}", f"{kpi.label(clock)} AS {kpi.name}"]
-    if kpi is CDA and grain == "row":
+    if kpi is CDA and by_row:
         shown += [
             f"{clock.as_of} AS as_of",
             "to_date(appraisal_received_date) AS appraisal_received_date",
         ]
     covered = with_conditions(df, CONDITIONS).filter(kpi.gate)
-    return at(clock, covered).selectExpr(*shown)
+    labelled = at(clock, covered)
+    if COPIES not in df.columns:
+        return labelled.selectExpr(*shown)
+    return spelt_out(labelled.selectExpr(*shown, COPIES), kpi.key)

@@ -228,6 +228,6 @@ def application_report_rows(
     )
     df = labelled_applications(tables, clock, by_application, team)
     shown = numbered_loans(loans.select("application_id", "loan_id", "display"))
-    df = left_join_hot_right(df, shown, "application_id", tables["loans"])
+    df = left_join_hot_right(df, shown, "application_id")
     df = df.withColumn("row_num", F.coalesce("row_num", F.lit(1)))
     return _report(with_display(df), clock)

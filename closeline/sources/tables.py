@@ -8,9 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from closeline.sources.schemas import SCHEMAS, columns_of
 
+# Types that stand for each other: no result depends on which of them a column has.
+ALIKE = {
+    **dict.fromkeys(("tinyint", "smallint", "int", "long"), "bigint"),
+    "timestamp_ntz": "timestamp",
+}
+
+
+def _kind(name: str) -> str:
+    """A type without its width; decimals of any precision are alike."""
+    return "decimal" if name.startswith("decimal") else ALIKE.get(name, name)
+
+
+def mistyped(name: str, table: DataFrame) -> list[str]:
+    """Columns of a table whose type would change results, as `column found, not wanted`."""
+    found = dict(table.dtypes)
+    wanted = (field.split() for field in SCHEMAS[name].split(", ") if field)
+    return [
+        f"{column} {found[column]}, not {kind}"
+        for column, kind in wanted
+        if _kind(found[column]) != _kind(kind)
+    ]
+
 
 class LendingTables(Mapping[str, DataFrame]):
-    """Lending tables by name, opened on first use and checked for their columns."""
+    """Lending tables by name, opened on first use, their columns and types checked."""
 
     def __init__(self, open_table: Callable[[str], DataFrame]) -> None:
         self._open = open_table
@@ -24,6 +46,8 @@ class LendingTables(Mapping[str, DataFrame]):
             missing = set(columns_of(name)) - set(table.columns)
             if missing:
                 raise ValueError(f"table {name} lacks columns {sorted(missing)}")
+            if wrong := mistyped(name, table):
+                raise ValueError(f"table {name} has columns of other types: {'; '.join(wrong)}")
             self._opened[name] = table
         return self._opened[name]
 

@@ -239,7 +239,7 @@ class StarSchema:
         return first.unionByName(second)
 
     def loan_closing_costs(self) -> DataFrame:
-        return self.lines().filter("line <= 2").selectExpr(f"k + {LOAN_ID_BASE} AS loan_id")
+        return self.lines().selectExpr(f"k + {LOAN_ID_BASE} AS loan_id")
 
     def loan_follow_ups(self) -> DataFrame:
         return self.lines().selectExpr(
@@ -250,15 +250,14 @@ class StarSchema:
         )
 
     def term_sheets(self) -> DataFrame:
-        kind = f"IF(flag = 'A', '{INITIAL_TERMS_SHEET}', 'TermSheet::FinalTerms')"
-        return (
-            self.lines()
-            .filter("flag != 'R'")
-            .selectExpr(
-                "k AS application_id",
-                f"{moment(near_anchor('sd', 10))} AS created_at",
-                f"{kind} AS type",
-            )
+        kind = (
+            f"CASE flag WHEN 'A' THEN '{INITIAL_TERMS_SHEET}' "
+            "WHEN 'R' THEN 'TermSheet::Revised' ELSE 'TermSheet::FinalTerms' END"
+        )
+        return self.lines().selectExpr(
+            "k AS application_id",
+            f"{moment(near_anchor('sd', 10))} AS created_at",
+            f"{kind} AS type",
         )
 
     def legal_closing_informations(self) -> DataFrame:

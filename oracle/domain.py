@@ -97,7 +97,7 @@ def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]
     FROM settlements JOIN orders ON o_orderkey = k""",
         "loans": "\n    SELECT * FROM first_loans",
         "loan_closing_costs": f"""
-    SELECT l_orderkey + {LOAN_ID_BASE} AS loan_id FROM lineitem WHERE l_linenumber <= 2""",
+    SELECT l_orderkey + {LOAN_ID_BASE} AS loan_id FROM lineitem""",
         "loan_follow_ups": f"""
     SELECT l_orderkey + {LOAN_ID_BASE} AS loan_id,
         CASE WHEN l_partkey % 97 <> 0 THEN {ts(near("l_shipdate", 20))} END AS date,
@@ -107,8 +107,8 @@ def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]
         "term_sheets": f"""
     SELECT l_orderkey AS application_id, {ts(near("l_shipdate", 10))} AS created_at,
         CASE l_returnflag WHEN 'A' THEN 'TermSheet::InitialTerms'
-            ELSE 'TermSheet::FinalTerms' END AS type
-    FROM lineitem WHERE l_returnflag <> 'R'""",
+            WHEN 'R' THEN 'TermSheet::Revised' ELSE 'TermSheet::FinalTerms' END AS type
+    FROM lineitem""",
         "legal": f"""
     SELECT o_orderkey AS application_id,
         CASE WHEN o_orderkey % 3 <> 0 THEN {near("o_orderdate", 15)} END AS kickoff,

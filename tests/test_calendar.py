@@ -99,6 +99,14 @@ def test_as_of_offsets_equal_the_window(spark, holidays, as_of):
     assert cal.as_of_offsets(days, as_of).collect() == expected
 
 
+@pytest.mark.parametrize("outside", [D(1997, 12, 31), D(1999, 1, 1)])
+def test_a_day_outside_the_calendar_raises(spark, holidays, outside):
+    days = cal.business_days(cal.date_series(spark, "1998-01-01", 365), holidays)
+    with pytest.raises(Exception, match="outside the business days"):
+        cal.as_of_offsets(days, outside).collect()
+    assert cal.as_of_offsets(days, D(1998, 6, 20)).collect() == []
+
+
 @pytest.mark.parametrize("closed", [D(1998, 6, 20), D(1998, 5, 25)])
 def test_as_of_calendar_is_empty_on_closed_days(spark, lending, clock, closed):
     apps = lending(applications=[{"id": 1}, {"id": 2}])["applications"]

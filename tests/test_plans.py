@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from closeline.operators import facts
 from closeline.operators import kpis as k
 from closeline.operators.extracts import latest_follow_ups
 from closeline.operators.joins import left_join_hot_right
@@ -87,6 +88,43 @@ def test_forecast_prunes_before_it_shuffles(spark, stored):
     assert "GreaterThanOrEqual(settlement_date,1998-06-01)" in loans
 
 
+@pytest.mark.parametrize("kpi", [k.CLOSING, k.APPRAISAL_MISSING, k.CDA], ids=lambda kpi: kpi.name)
+def test_gates_reach_the_files(spark, stored, clock, kpi):
+    lines = scans(k.classify(from_files(spark, stored), clock(), kpi))["applications"]
+    for line in lines:
+        pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", line).group(1)
+        assert ("type" if kpi is k.CDA else "Not(In(state") in pushed
+
+
+@pytest.mark.parametrize(
+    "kpi",
+    [k.CLOSING, k.BORROWER_FOLLOW_UP, k.TITLE_ORDER_CONFIRMATION, k.TITLE_FOLLOW_UP],
+    ids=lambda kpi: kpi.name,
+)
+def test_loans_are_counted_by_hash_before_they_are_joined(spark, stored, clock, kpi):
+    """A row per set of facts of an application reaches the join, whoever is hot."""
+    df = k.classify(from_files(spark, stored), clock(), kpi)
+    text = plan(df)
+    assert "SortAggregate" not in text
+    assert re.search(r"keys=\[application_id#\w+, loan_facts#\w+\], functions=\[partial_count", text)
+    found = scans(df)
+    assert len(found["loans"]) == 1 and len(found["applications"]) == 1
+
+
+def test_counted_rows_are_spelt_out(spark, monkeypatch):
+    monkeypatch.setattr(facts, "COPY_BLOCK", 3)
+    rows = spark.createDataFrame([(1, 7), (2, 3), (3, 1), (4, None)], "n int, copies long")
+    found = Counter(r.n for r in facts.spelt_out(rows, "n").collect())
+    assert found == {1: 7, 2: 3, 3: 1, 4: 1}
+
+
+def test_reviews_scan_each_stage_table_once(spark, stored, clock):
+    found = scans(k.classify(from_files(spark, stored), clock(), k.WELCOME_CALL))
+    # The open reviews prune each stage table before its facts are combined.
+    assert len(found["applications"]) <= 3
+    assert len(found["deal_stage_dates"]) == len(found["deal_stage_time_stamps"]) == 1
+
+
 def test_report_scans_each_table_once(spark, stored, clock):
     found = scans(report.application_report(from_files(spark, stored), clock()))
     counts = {table: len(lines) for table, lines in found.items()}
@@ -118,6 +156,14 @@ def test_missing_columns_are_reported(spark):
         tables["unknown"]
 
 
+def test_other_types_are_reported(spark):
+    costs = spark.createDataFrame([("1",)], "loan_id string")
+    with pytest.raises(ValueError, match="loan_id string, not long"):
+        from_frames({"loan_closing_costs": costs})["loan_closing_costs"]
+    narrow = spark.createDataFrame([(1,)], "loan_id int")
+    assert from_frames({"loan_closing_costs": narrow})["loan_closing_costs"].count() == 1
+
+
 @pytest.fixture
 def small_partitions(spark):
     """Thresholds under which a few megabytes count as a skewed partition."""
