@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from closeline.llm.common import joined
+
 KINDS = ("email", "ip", "card", "phone")
 #: Characters a window shows, and how far the next one is.
 WINDOW, STEP = 64, 32
@@ -321,7 +323,11 @@ def spans_of(texts: list[str], w: Weights | None) -> list[tuple[list[Span], list
 def fitted(docs: DataFrame) -> Weights | None:
     """Weights trained on a bounded sample of windows, or None without windows."""
     texts = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    sample = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(TRAIN_TEXTS).select("text")
+    keyed = texts.withColumn("place", F.xxhash64("doc_id", "text"))
+    # Ids are sorted before the texts of the first few are fetched.
+    first = keyed.select("place", "doc_id").orderBy("place", "doc_id").limit(TRAIN_TEXTS).distinct()
+    chosen = joined(keyed, F.broadcast(first), ["place", "doc_id"], "left_semi")
+    sample = chosen.orderBy("place", "doc_id").limit(TRAIN_TEXTS).select("text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
