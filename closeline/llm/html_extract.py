@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from closeline.llm.common import joined
+
 #: Pages the weights are fitted on.
 LABELLED_PAGES = 2000
 #: Limits of a word's score, and of a tag's.
@@ -138,7 +140,11 @@ def _marked_article(page: str) -> str:
 def fitted(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[tuple[str, str], float]:
     """Scores by (word or tag, kind), from pages with one marked article."""
     labelled = pages.select("page_id", "html").where(F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1)
-    sample = labelled.orderBy(F.xxhash64("page_id"), "page_id").limit(most).select("html")
+    keyed = labelled.withColumn("place", F.xxhash64("page_id"))
+    # Ids are sorted before the pages of the first few are fetched.
+    first = keyed.select("place", "page_id").orderBy("place", "page_id").limit(most).distinct()
+    chosen = joined(keyed, F.broadcast(first), ["place", "page_id"], "left_semi")
+    sample = chosen.orderBy("place", "page_id").limit(most).select("html")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
