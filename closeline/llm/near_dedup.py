@@ -7,10 +7,19 @@ candidates.  The depth adapts to the region: where few classes share the least p
 all are candidates of each other (at most `REACH` rows away), where many do, neighbours in
 the order, which share more labels, are.
 
-Candidates are confirmed on the full sets, remade from the texts.  First the neighbours of
-some trees are, and give components; then all candidates whose classes are not yet in one
-component, so large groups of copies are not compared pair by pair, and no candidate is
-left out that could still join two components.
+Candidates are confirmed on the full sets, remade from the texts, in three steps; each gives
+components, and the next one looks only at classes that are not yet in one component, so
+large groups of copies are not compared pair by pair.
+
+1. The next neighbours of some trees.
+2. Hubs: copies of one text may be far from each other and near that text alone, which no
+   number of neighbours shows.  In every crowded region that holds several components the
+   class with the most links so far is compared with all others of the region.
+3. All other candidates, and those of `DEEP_TREES` more orders of the same labels, `DEEP`
+   labels deep, which sort only the classes of crowded regions with several components.
+
+Pairs whose labels agree in less than `percent` - `MARGIN` percent, four standard deviations
+under the similarity asked for, are not read.
 
 A null text, or one without words, has the empty set and is linked with nothing.  Repeated
 rows are in one class.  A class's component is named by the smallest doc_id in it (null ids
@@ -34,12 +43,18 @@ from closeline.llm.word_hash import mixed, shingles
 TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 8
 #: Trees whose next neighbours are confirmed first.
 FIRST_TREES = 4
+#: Further orders for crowded regions, and their depth.
+DEEP_TREES, DEEP = 64, 12
+#: Percent of labels by which a pair may fall short of the similarity before it is read.
+MARGIN = 16
 #: Shingles hashed together.
 BLOCK = 4096
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+#: The places of the labels of every further order.
+DEEP_PLACES = np.stack([_rng.permutation(TREES * DEPTH)[:DEEP] for _ in range(DEEP_TREES)])
 
 
 def labels_of(hashes: np.ndarray) -> bytes:
@@ -97,8 +112,8 @@ def _tree_pairs(chunk: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b, first): candidate pairs of classes, a < b, each once."""
+def tree_rows(classes: DataFrame) -> DataFrame:
+    """`classes` once for every tree, with `tree` and the tree's part of the labels."""
     size = 2 * DEPTH
     cut = F.explode(
         F.transform(
@@ -106,19 +121,97 @@ def candidates(classes: DataFrame) -> DataFrame:
             lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * size + 1, F.lit(size)).alias("labels")),
         )
     )
-    rows = classes.select(cut.alias("t"), "class").select("t.tree", "t.labels", "class")
+    kept = [c for c in classes.columns if c != "labels"]
+    return classes.select(cut.alias("t"), *kept).select("t.tree", "t.labels", *kept)
+
+
+def ordered_pairs(pairs: DataFrame, *others: str) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *others).where("a <> b")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b, first): candidate pairs of classes, a < b, each once."""
+    rows = tree_rows(classes.select("labels", "class"))
     pairs = neighbour_pairs(rows, ["tree", "labels", "class"], _tree_pairs, REACH, "a binary, b binary, first boolean")
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "first").where("a <> b")
-    return ordered.groupBy("a", "b").agg(F.max("first").alias("first"))
+    return ordered_pairs(pairs, "first").groupBy("a", "b").agg(F.max("first").alias("first"))
+
+
+def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` with `label`, the component that the links give it; its own class without any."""
+    labels = components(links).withColumnRenamed("node", "class")
+    return classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+
+def crowded(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, label, hub, hub_label) of the classes in crowded regions with several components.
+
+    `classes` has class, labels and label.  A region is counted by hash before its rows are
+    looked at; its hub, one row, is joined back to them.
+    """
+    degrees = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
+    known = classes.select("class", "labels", "label").join(degrees, "class", "left").na.fill(0, ["degree"])
+    rows = tree_rows(known).withColumn("region", F.xxhash64("tree", F.substring("labels", 1, 2 * LEAST_DEPTH)))
+    mark = F.xxhash64("label")
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    regions = checkpointed(sizes.where(f"n > {REACH} AND low <> high").select("region"))
+    held = checkpointed(rows.join(regions, "region").select("region", "class", "label", "degree"))
+    hubs = held.groupBy("region").agg(F.max(F.struct("degree", "class", "label")).alias("hub"))
+    hubs = checkpointed(hubs.select("region", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label")))
+    return held.join(hubs, "region").select("class", "label", "hub", "hub_label")
+
+
+def _deep_pairs(chunk: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components near each other that share the least depth."""
+    trees, classes, components_ = (chunk[c].to_numpy() for c in ("tree", "class", "label"))
+    least = np.frombuffer(b"".join(chunk["labels"]), dtype=">u2").reshape(len(chunk), DEEP)[:, :LEAST_DEPTH]
+    parts = []
+    for step in range(1, REACH + 1):
+        alike = (trees[step:] == trees[:-step]) & (least[step:] == least[:-step]).all(axis=1)
+        at = np.flatnonzero(alike & (components_[step:] != components_[:-step]))
+        parts.append(pd.DataFrame({"a": classes[at], "b": classes[at + step]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def deep_candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): candidates of the further orders among `classes` (class, labels, label)."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), BLOCK):
+                batch = whole.iloc[i : i + BLOCK]
+                labels = np.frombuffer(b"".join(batch["labels"]), dtype=">u2").reshape(len(batch), TREES * DEPTH)
+                for tree, places in enumerate(DEEP_PLACES):
+                    cut = [row.tobytes() for row in labels[:, places]]
+                    yield pd.DataFrame({"tree": tree, "labels": cut, "class": batch["class"], "label": batch["label"]})
+
+    rows = classes.select("class", "labels", "label").mapInPandas(deal, "tree int, labels binary, class binary, label binary")
+    pairs = neighbour_pairs(rows, ["tree", "labels", "class"], _deep_pairs, REACH, "a binary, b binary")
+    return ordered_pairs(pairs).distinct()
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and labels leave the similarity possible."""
+    known = classes.select("class", "n_shingles", "labels")
+    one, two = (known.toDF(n, f"n_{n}", f"labels_{n}") for n in "ab")
+    least = max(0, percent - MARGIN) * TREES * DEPTH
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            signs = [np.frombuffer(b"".join(batch[f"labels_{n}"]), dtype="u2").reshape(len(batch), TREES * DEPTH) for n in "ab"]
+            yield batch.loc[100 * (signs[0] == signs[1]).sum(axis=1) >= least, ["a", "b"]]
+
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    both = both.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    return both.select("a", "b", "labels_a", "labels_b").mapInPandas(agree, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough.
 
-    `texts` has a text of every class.  Sizes alone rule out pairs before texts are fetched.
+    `texts` has class, n_shingles, labels and a text of every class; texts are fetched last.
     """
-    one = texts.withColumnsRenamed({"class": "a", "text": "text_a", "n_shingles": "n_a"})
-    two = texts.withColumnsRenamed({"class": "b", "text": "text_b", "n_shingles": "n_b"})
+    one, two = (texts.select(F.col("class").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
+    pairs = checkpointed(agreeing(pairs, texts, percent))
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,7 +222,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 kept.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield batch.loc[kept, ["a", "b"]]
 
-    both = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
+    both = pairs.join(one, "a").join(two, "b")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(confirm, "a binary, b binary")
 
 
@@ -141,17 +234,26 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -
     holders = checkpointed(holders)
     pairs = checkpointed(candidates(holders))
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    needed = holders.join(needed, "class").select("class", "n_shingles", "at.doc_id", "at.text_hash")
+    needed = holders.join(needed, "class").select("class", "n_shingles", "labels", "at.doc_id", "at.text_hash")
     plain = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    texts = joined(plain, needed, ["doc_id", "text_hash"]).select("class", "n_shingles", "text").dropDuplicates(["class"])
-    texts = checkpointed(texts)
-    links = checkpointed(confirmed(pairs.where("first").select("a", "b"), texts, width, percent))
-    early = components(links)
-    left, right = (early.toDF(n, f"label_{n}") for n in "ab")
-    apart = pairs.where("NOT first").join(left, "a", "left").join(right, "b", "left")
-    apart = apart.where("NOT coalesce(label_a = label_b, false)").select("a", "b")
-    more = checkpointed(confirmed(apart, texts, width, percent))
-    return components(links.unionByName(more)).withColumnRenamed("node", "class")
+    texts = joined(plain, needed, ["doc_id", "text_hash"]).dropDuplicates(["class"])
+    texts = checkpointed(texts.select("class", "n_shingles", "labels", "text"))
+    classes = texts.select("class", "labels")
+    links = checkpointed(confirmed(pairs.where("first"), texts, width, percent))
+
+    early = checkpointed(with_components(classes, links))
+    packed = crowded(early, links).where("label <> hub_label")
+    spokes = ordered_pairs(packed.select(F.col("class").alias("a"), F.col("hub").alias("b"))).distinct()
+    links = checkpointed(links.unionByName(confirmed(spokes, texts, width, percent)))
+
+    middle = checkpointed(with_components(classes, links))
+    dense = crowded(middle, links).select("class").distinct()
+    deep = deep_candidates(middle.join(dense, "class"))
+    left, right = (middle.select("class", "label").toDF(n, f"label_{n}") for n in "ab")
+    apart = pairs.where("NOT first").select("a", "b").unionByName(deep).distinct()
+    apart = apart.join(left, "a").join(right, "b").where("label_a <> label_b").select("a", "b")
+    links = checkpointed(links.unionByName(confirmed(apart, texts, width, percent)))
+    return components(links).withColumnRenamed("node", "class")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

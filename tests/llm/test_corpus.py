@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import math
+import random
 import re
 import string
 from collections import Counter, defaultdict
@@ -321,6 +322,43 @@ def test_near_duplicates_of_edge_rows(edge, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_links_of_crowded_regions(spark):
+    """Copies near one text alone, and near copies among many texts that are alike but not linked."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = rng.choice(vocabulary)
+        return out
+
+    hub, form = ([rng.choice(vocabulary) for _ in range(120)] for _ in range(2))
+    rows = [hub] + [edited(hub, 6) for _ in range(400)]
+    forms = [edited(form, 10) for _ in range(200)]
+    rows += forms + [edited(rng.choice(forms), 4) for _ in range(30)]
+    sets = [set(zip(w, w[1:])) for w in rows]
+    held = defaultdict(list)
+    label = list(range(len(rows)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, one in enumerate(sets):
+        shared = Counter(j for gram in one for j in held[gram])
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(one) + len(sets[j]) - n):
+                low, high = sorted((find(i), find(j)))
+                label[high] = low
+        for gram in one:
+            held[gram].append(i)
+    docs = documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width=2).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b").where("id <> 99")
     got = {r.node: r.label for r in components(links).collect()}
