@@ -149,6 +149,32 @@ def test_passages_of_edge_rows(edge, none):
     assert suffix_dedup.repeated_passages(none).count() == 0
 
 
+def test_passages_behind_a_common_boilerplate(spark):
+    """45 words that 100 documents of 1,000 each hold; two of each go on alike, one document holds a passage twice."""
+    rng = random.Random(3)
+
+    def own(n):
+        return [str(rng.random()) for _ in range(n)]
+
+    rows = []
+    for _ in range(10):
+        form, tail = own(45), own(6)
+        rows += [own(20) + form + (tail if i in (30, 70) else []) + own(20) for i in range(100)]
+    rows.append(rows[30][20:73] * 2)
+    split = dict(enumerate(rows))
+    holders = defaultdict(set)
+    for i, w in split.items():
+        for s in range(len(w) - 49):
+            holders[tuple(w[s : s + 50])].add(i)
+    expected = {(i, s + k) for i, w in split.items() for s in range(len(w) - 49) if len(holders[tuple(w[s : s + 50])]) > 1 for k in range(50)}
+    found = set()
+    docs = documents(spark, [(i, " ".join(w)) for i, w in split.items()])
+    for r in suffix_dedup.repeated_passages(docs).collect():
+        assert split[r.doc_id][r.start : r.start + r.n_words] == split[r.other_doc_id][r.other_start : r.other_start + r.n_words]
+        found |= {(r.doc_id, r.start + k) for k in range(r.n_words)} | {(r.other_doc_id, r.other_start + k) for k in range(r.n_words)}
+    assert expected and found == expected
+
+
 # 4
 
 
