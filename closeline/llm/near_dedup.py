@@ -256,12 +256,25 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -
     return components(links).withColumnRenamed("node", "class")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, text_hash, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(class, doc_id, text_hash, n_shingles, label) of every document; label, its group, is null for empty sets."""
     rows = checkpointed(described(docs, width))
     labels = linked_classes(docs, rows, width, percent)
     named = rows.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = checkpointed(named.drop("labels"))
+    return checkpointed(named.drop("labels"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_hash) of one document of each group, the smallest (null ids last), and of all with empty sets."""
+    named = grouped(docs, width, percent)
+    first = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("at"))
+    empty = named.where("label IS NULL").select("doc_id", "text_hash").distinct()
+    return first.select("at.doc_id", "at.text_hash").unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document: doc_id, text_hash, n_shingles, component_id, kept."""
+    named = grouped(docs, width, percent)
     smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     out = named.join(smallest, "label", "left")
     component = F.coalesce("smallest", "doc_id")

@@ -41,10 +41,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(*KEY).distinct()
-    rows = joined(_hashed(docs), kept, KEY, "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id (null ids last), then text hash.
+
+    Documents without words are in no group; those with equal ids and texts are one.
+    """
+    rows = joined(_hashed(docs), near_dedup.representatives(docs), KEY, "left_semi")
+    return rows.dropDuplicates(KEY).select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

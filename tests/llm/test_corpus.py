@@ -488,3 +488,21 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     assert ids(before["mixing"]) == ids(before["pii"])
     assert not any(pii.base_spans(r.text) for r in before["mixing"].collect())
     assert ids(docs) <= ids(before["mixing"]) and docs.count() > 0
+
+
+def test_stages_of_edge_rows(spark, edge):
+    """Null ids and an id of two texts are documents of their own in every stage."""
+    rows = [(i, t) for i, t in edge.select("doc_id", "text").collect()] + [(None, "two words"), (None, "two words"), (8, "two words")]
+    docs = documents(spark, rows)
+    expected = [(1, None), (2, ""), (3, WORDS), (3, "other"), (5, " \n"), (6, rows[7][1]), (8, "two words"), (None, "one")]
+    texts = {i: {t for j, t in rows if j == i} for i, _ in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_DIR).select("doc_id", "text").collect()
+        if name in ("near_dedup", "decontaminate"):
+            assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, expected if name == "near_dedup" else rows))
+        elif name == "quality":
+            assert {(r.doc_id, r.text) for r in out} <= set(rows)
+        elif name == "pii":
+            assert len(out) == len(rows)
+        elif name == "mixing":
+            assert all(any(r.text in " ".join((t or "").split()) for t in texts[r.doc_id]) for r in out)
