@@ -7,17 +7,19 @@ calibrate the thresholds: a logistic curve over the largest, the mean of the thr
 and the mean distance, and the share of windows over the ordinary texts' 99th percentile.
 
 Labels are learned only from rows whose crc32 of the id modulo 5 is not 0, from at most
-`TRAIN_DOCUMENTS` texts a class, the first by hash of the id, and at most `TRAIN_WINDOWS`
-evenly spread windows of each.  Scores use the text alone, the whole of it.  Classes weigh
-the same in the calibration.
+`TRAIN_DOCUMENTS` different texts a class, the first by hash of the id.  Dictionaries see at
+most `TRAIN_WINDOWS` evenly spread windows of each; the calibration counts the distances of
+all windows of these texts, as scores do.  Scores use the text
+alone, the whole of it.  Classes weigh the same in the calibration.
 
 Null and empty texts have one window, the empty one, and get its score.  Ids with several
 labels count as toxic if any label says so.  Repeated rows repeat; an empty table stays empty;
-without texts of both classes every score is 0.  Extra columns are ignored.
+without `LEAST_WINDOWS` windows of each class every score is 0.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +29,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from closeline.llm.common import checkpointed
+
 WINDOW, STEP = 64, 48
 DICTIONARY_BYTES, LEVEL = 4096, 3
 FOLDS = 5
+#: Windows from which a dictionary is trained.
+LEAST_WINDOWS = 100
 TRAIN_DOCUMENTS, TRAIN_WINDOWS = 1500, 40
 FIT_STEPS = 2000
 
+#: Distances of a text: ascending values, and how often each occurs.
+Counts = tuple[np.ndarray, np.ndarray]
+
 
 @dataclass(frozen=True)
 class Model:
@@ -86,20 +95,38 @@ def features(distances: np.ndarray, high: float) -> list[float]:
     return [top[0], top[:3].mean(), distances.mean(), (distances > high).mean()]
 
 
-def fit(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
-    """A model of texts given as lists of windows."""
+def counted_features(values: np.ndarray, counts: np.ndarray, high: float) -> list[float]:
+    """`features` of distances given as ascending values and how often each occurs."""
+    top = np.repeat(values[::-1], np.minimum(counts[::-1], 3))[:3]
+    return [top[0], top.mean(), values @ counts / counts.sum(), counts[values > high].sum() / counts.sum()]
+
+
+def counted_percentile(values: np.ndarray, counts: np.ndarray, percent: float) -> float:
+    """numpy's percentile of distances given as ascending values and how often each occurs."""
+    ends = np.cumsum(counts)
+    at = percent / 100 * (ends[-1] - 1)
+    low, high = (values[np.searchsorted(ends, k, side="right")] for k in (np.floor(at), np.ceil(at)))
+    return float(low + (high - low) * (at - np.floor(at)))
+
+
+def trained(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
+    """Dictionaries of texts given as lists of windows: one pair, none where windows are few."""
     samples = [[w for text in texts for w in text if len(w) >= 8] for texts in (toxic, ordinary)]
-    if min(map(len, samples)) < 100:
-        return Model()
     most = min(map(len, samples))
-    raw = [
-        zstandard.train_dictionary(DICTIONARY_BYTES, _spread(s, most), k=16, d=6).as_bytes()
-        for s in samples
-    ]
-    distance = Distance(*raw)
-    by_text = [[distance.of(text) for text in texts] for texts in (toxic, ordinary)]
-    high = float(np.percentile(np.concatenate(by_text[1]), 99))
-    rows = np.array([features(d, high) for texts in by_text for d in texts])
+    if most < LEAST_WINDOWS:
+        return []
+    raw = [zstandard.train_dictionary(DICTIONARY_BYTES, _spread(s, most), k=16, d=6).as_bytes() for s in samples]
+    return [(raw[0], raw[1])]
+
+
+def calibrated(raw: tuple[bytes, bytes], toxic: list[Counts], ordinary: list[Counts]) -> Model:
+    """A model of the dictionaries and the distances of every text, as ascending values and counts."""
+    every: Counter = Counter()
+    for values, counts in ordinary:
+        every.update(dict(zip(values.tolist(), counts.tolist())))
+    values = np.array(sorted(every))
+    high = counted_percentile(values, np.array([every[v] for v in values.tolist()]), 99)
+    rows = np.array([counted_features(*text, high) for texts in (toxic, ordinary) for text in texts])
     label = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
     share = np.where(label == 1, 0.5 / len(toxic), 0.5 / len(ordinary))
     centre, scale = rows.mean(0), rows.std(0) + 1e-9
@@ -118,25 +145,49 @@ def score(distances: np.ndarray, model: Model) -> float:
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of the bounded training sample; its windows pass by the driver."""
+    """The model of the bounded training sample; its spread windows and counts of its distances pass by the driver."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id")))
-    order = (F.xxhash64("doc_id"), "doc_id")
+    plain = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    known = plain.drop("text").join(marks, "doc_id").distinct()
+    # Ids are sorted before the texts of the first few are fetched.
     chosen = None
     for label in (1, 0):
-        part = marks.where(F.col("toxic") == label).orderBy(*order).limit(TRAIN_DOCUMENTS)
+        part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(TRAIN_DOCUMENTS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = checkpointed(plain.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pieces = [_spread(windows(t), TRAIN_WINDOWS) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "windows": pieces})
+            yield batch[["doc_id", "text_hash", "toxic"]].assign(windows=pieces)
 
-    rows = texts.mapInPandas(cut, "doc_id long, toxic int, windows array<binary>").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.windows))
-    by_label = [[list(map(bytes, r.windows)) for r in rows if r.toxic == label] for label in (1, 0)]
-    return fit(*by_label)
+    rows = texts.mapInPandas(cut, "doc_id long, text_hash long, toxic int, windows array<binary>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text_hash))
+    by_label = [[r for r in rows if r.toxic == label] for label in (1, 0)]
+    if min(map(len, by_label)) < 2:
+        return Model()
+    pairs = trained(*([list(map(bytes, r.windows)) for r in part] for part in by_label))
+    if not pairs:
+        return Model()
+    folds = {(r.doc_id, r.text_hash): i % FOLDS for part in by_label for i, r in enumerate(part)}
+    shared = docs.sparkSession.sparkContext.broadcast((pairs, folds))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known_pairs, known_folds = shared.value
+        distances = [Distance(*pair) for pair in known_pairs]
+        for batch in batches:
+            found = []
+            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"]):
+                distance = distances[1 + known_folds[doc_id, text_hash] if len(distances) > 1 else 0]
+                found.append(np.unique(distance.of(windows(text)), return_counts=True))
+            values, counts = zip(*found) if found else ((), ())
+            yield batch[["doc_id", "text_hash", "toxic"]].assign(values=list(values), counts=list(counts))
+
+    rows = texts.mapInPandas(count, "doc_id long, text_hash long, toxic int, values array<double>, counts array<long>").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text_hash))
+    toxic, ordinary = ([(np.array(r["values"]), np.array(r["counts"])) for r in rows if r.toxic == label] for label in (1, 0))
+    return calibrated(pairs[0], toxic, ordinary)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

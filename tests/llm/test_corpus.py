@@ -337,6 +337,29 @@ def test_toxicity_of_edge_rows(edge, none, labels):
     assert toxicity.scored(none, labels).count() == 0
 
 
+def test_toxicity_is_calibrated_on_whole_texts(spark):
+    """Toxic words of long texts lie between the windows that train the dictionaries."""
+    rng = random.Random(2)
+    plain = [f"plain{i}" for i in range(400)]
+
+    def text(i):
+        found = rng.choices(plain, k=1200)
+        if i % 2:
+            found[600] = "idiot moron scum trash loser"
+        return " ".join(found)
+
+    rows = [(i, text(i)) for i in range(60)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.fitted(documents(spark, rows), marks)
+    trained = spark.createDataFrame(rows, "doc_id long, text string").where(~toxicity.held_out(F.col("doc_id"))).collect()
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+    found = {r.doc_id: distance.of(toxicity.windows(r.text)) for r in trained}
+    high = sorted(d for i, ds in found.items() if i % 2 == 0 for d in ds)
+    assert high[int(0.99 * (len(high) - 1))] <= model.high <= high[math.ceil(0.99 * (len(high) - 1))]
+    features = [toxicity.features(ds, model.high) for ds in found.values()]
+    assert model.centre == pytest.approx([sum(column) / len(column) for column in zip(*features)])
+
+
 # 9
 
 
