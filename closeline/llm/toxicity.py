@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on windows of toxic texts and one on windows of
-ordinary ones.  Every overlapping window of a text is compressed with both; its distance is
+ordinary ones; from fewer than `LEAST_WINDOWS` windows of a class none can be trained, and the
+windows themselves are the dictionaries.  Every overlapping window of a text is compressed with both; its distance is
 how many bytes shorter the toxic dictionary makes it.  Distances of the training texts
 calibrate the thresholds: a logistic curve over the largest, the mean of the three largest
 and the mean distance, and the share of windows over the ordinary texts' 99th percentile.
@@ -9,12 +10,13 @@ and the mean distance, and the share of windows over the ordinary texts' 99th pe
 Labels are learned only from rows whose crc32 of the id modulo 5 is not 0, from at most
 `TRAIN_DOCUMENTS` different texts a class, the first by hash of the id.  Dictionaries see at
 most `TRAIN_WINDOWS` evenly spread windows of each; the calibration counts the distances of
-all windows of these texts, as scores do.  Scores use the text
+all windows of these texts, as scores do.  Where windows themselves are the dictionaries, a
+text is calibrated without its own: its fold's windows are left out.  Scores use the text
 alone, the whole of it.  Classes weigh the same in the calibration.
 
 Null and empty texts have one window, the empty one, and get its score.  Ids with several
 labels count as toxic if any label says so.  Repeated rows repeat; an empty table stays empty;
-without `LEAST_WINDOWS` windows of each class every score is 0.  Extra columns are ignored.
+without two texts of each class, one to learn from and one to calibrate with, every score is 0.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,13 +112,23 @@ def counted_percentile(values: np.ndarray, counts: np.ndarray, percent: float) -
 
 
 def trained(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[tuple[bytes, bytes]]:
-    """Dictionaries of texts given as lists of windows: one pair, none where windows are few."""
+    """Dictionaries of texts given as lists of windows: one pair, or where windows are few also one without each fold."""
     samples = [[w for text in texts for w in text if len(w) >= 8] for texts in (toxic, ordinary)]
     most = min(map(len, samples))
-    if most < LEAST_WINDOWS:
-        return []
-    raw = [zstandard.train_dictionary(DICTIONARY_BYTES, _spread(s, most), k=16, d=6).as_bytes() for s in samples]
-    return [(raw[0], raw[1])]
+    if most >= LEAST_WINDOWS:
+        try:
+            raw = [zstandard.train_dictionary(DICTIONARY_BYTES, _spread(s, most), k=16, d=6).as_bytes() for s in samples]
+            return [(raw[0], raw[1])]
+        except zstandard.ZstdError:
+            pass
+
+    def without(fold: int | None) -> tuple[bytes, bytes]:
+        left = [[w for i, text in enumerate(texts) if i % FOLDS != fold for w in text] for texts in (toxic, ordinary)]
+        fewest = min(map(len, left))
+        one, two = (b"".join(_spread(found, fewest)) or b" " for found in left)
+        return one, two
+
+    return [without(fold) for fold in (None, *range(FOLDS))]
 
 
 def calibrated(raw: tuple[bytes, bytes], toxic: list[Counts], ordinary: list[Counts]) -> Model:
@@ -168,8 +180,6 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     if min(map(len, by_label)) < 2:
         return Model()
     pairs = trained(*([list(map(bytes, r.windows)) for r in part] for part in by_label))
-    if not pairs:
-        return Model()
     folds = {(r.doc_id, r.text_hash): i % FOLDS for part in by_label for i, r in enumerate(part)}
     shared = docs.sparkSession.sparkContext.broadcast((pairs, folds))
 

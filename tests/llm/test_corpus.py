@@ -360,6 +360,14 @@ def test_toxicity_is_calibrated_on_whole_texts(spark):
     assert model.centre == pytest.approx([sum(column) / len(column) for column in zip(*features)])
 
 
+def test_toxicity_of_few_short_texts(spark):
+    bad = ["idiot", "moron", "scum", "trash", "loser"]
+    rows = [(i, f"you {bad[i % 5]} and {bad[i % 4]}, number {i}" if i < 60 else f"the weather of day {i} is fine") for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, int(i < 60)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(documents(spark, rows), marks).where("held_out").collect()
+    assert len(got) > 30 and all(r.predicted == int(r.doc_id < 60) for r in got)
+
+
 # 9
 
 
