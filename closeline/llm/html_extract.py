@@ -6,7 +6,10 @@ pages, which are pages that mark their article.  Words of content blocks come ou
 tags negative.  One linear scan finds the contiguous run with the largest sum: the article.
 Words in elements that are never content (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) score a little below zero anywhere, and are left
-out of the run's text; tags in such elements do not score.
+out of the run's text; tags in such elements do not score.  An element is such by its
+name or by a whole word of its class, id or role, articles and mains by none; where only a
+part of such a word says so, as in `header-large`, its words score half as well and are
+shown.  Elements whose end tag may be left out (`OPTIONAL`) end as HTML says.
 
 At most `LABELLED_PAGES` pages train the weights, the first by hash of the id; every page
 is extracted from the whole of its HTML.  The driver gets a score per known tag and kind.
@@ -56,6 +59,27 @@ MARKS = (
     "replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget"
 ).split()
 
+#: Fixed values of HTML: elements without content, elements whose end tag may be left out,
+#: tags that end an open p, and for other tags the elements they end, up to which one.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+OPTIONAL = frozenset("p li dt dd td th tr tbody thead tfoot".split())
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split()
+)
+CELLS, ROWS, GROUPS = ("td", "th"), ("td", "th", "tr"), ("td", "th", "tr", "tbody", "thead", "tfoot")
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (CELLS, ("tr", "table")),
+    "th": (CELLS, ("tr", "table")),
+    "tr": (ROWS, ("table",)),
+    "tbody": (GROUPS, ("table",)),
+    "thead": (GROUPS, ("table",)),
+    "tfoot": (GROUPS, ("table",)),
+}
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -73,35 +97,83 @@ KNOWN = frozenset(
 ) | frozenset(INLINE)
 
 
-def _is_marked(attributes: str) -> bool:
+def _mark(attributes: str) -> str:
+    """never where a whole word of class, id or role is a mark, marked where a part of one is, else empty."""
+    found = ""
     for value in ATTRIBUTE.findall(attributes):
-        if not set(re.split(r"[^a-z0-9]+", value.lower())).isdisjoint(MARKS):
-            return True
-    return False
+        value = value.lower()
+        if not set(value.strip("\"'").split()).isdisjoint(MARKS):
+            return "never"
+        if not set(re.split(r"[^a-z0-9]+", value)).isdisjoint(MARKS):
+            found = "marked"
+    return found
+
+
+class Region:
+    """The open elements from one that is never content, or is marked, to the innermost."""
+
+    def __init__(self) -> None:
+        self.open: list[str] = []
+
+    def _end(self, names: tuple[str, ...], bounds: tuple[str, ...]) -> None:
+        """End the outermost of `names` that is open within the innermost of `bounds`."""
+        at = None
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] in bounds:
+                break
+            if self.open[i] in names:
+                at = i
+        if at is not None:
+            del self.open[at:]
+
+    def start(self, name: str) -> None:
+        """End what a start tag ends."""
+        if name in ENDS_P:
+            self._end(("p",), ("table", "td", "th", "button"))
+        if name in ENDS:
+            self._end(*ENDS[name])
+
+    def end(self, name: str) -> None:
+        if name in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(name) :]
+        elif self.open[0] in OPTIONAL and name not in INLINE and name not in VOID and name != "p":
+            # The end of an element around the region.
+            self.open.clear()
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """(what, kind, text): tags with their name, text with the kind of its block.
 
-    `what` is tag, inline, text, never or edge.  Never is text that cannot be content, edge
-    a tag in or around it.
+    `what` is tag, inline, text, marked, never or edge.  Never is text that cannot be content,
+    edge a tag in or around it; marked is text in an element that a part of a word marks.
     """
-    never, depth, block = "", 0, "body"
+    never, marked, block = Region(), Region(), "body"
     for m in TOKEN.finditer(page):
         if m["text"] is not None:
-            yield ("never" if never else "text", block, m["text"])
+            yield ("never" if never.open else "marked" if marked.open else "text", block, m["text"])
         elif m["tag"]:
             name, ends = m["tag"].lower(), bool(m["end"])
-            if never and not ends and name in RESTART:
-                never = ""
-            hidden = bool(never)
-            if never:
-                if name == never:
-                    depth += -1 if ends else 1
-                    never = never if depth else ""
-            elif not ends and (name in NEVER or name != "body" and name != "html" and _is_marked(m["attributes"])):
-                if not m["attributes"].endswith("/") and name not in ("br", "hr", "img", "input"):
-                    never, depth, hidden = name, 1, True
+            opens = not ends and name not in VOID and not m["attributes"].endswith("/")
+            hidden = bool(never.open)
+            for region in (never, marked):
+                if region.open:
+                    if not ends and name in RESTART:
+                        region.open.clear()
+                    elif ends:
+                        region.end(name)
+                    else:
+                        region.start(name)
+                    if region.open and opens and (name not in INLINE or name == region.open[0]):
+                        region.open.append(name)
+            if not ends:
+                hidden = bool(never.open)
+                if not hidden and name not in ("body", "html", *RESTART):
+                    mark = "never" if name in NEVER else _mark(m["attributes"])
+                    hidden = mark == "never" and opens
+                    if hidden:
+                        never.open.append(name)
+                    elif mark == "marked" and opens and not marked.open:
+                        marked.open.append(name)
             if hidden:
                 yield "edge", name, ""
             elif name in INLINE:
@@ -123,7 +195,7 @@ def counted(page: str, counts: Counter) -> None:
         label = kind if kind in KNOWN else "other"
         if m_what == "edge":
             continue
-        if m_what in ("text", "never"):
+        if m_what in ("text", "marked", "never"):
             counts["word", "never" if m_what == "never" else label, inside] += len(text.split())
         else:
             counts["tag", label, inside] += 1
@@ -181,8 +253,9 @@ def extracted(page: str | None, scores: dict[tuple[str, str], float]) -> str:
         else:
             decoded = html.unescape(text)
             score = NEVER_WORD if what == "never" else scores.get(("word", known), UNKNOWN_WORD)
+            score -= abs(score) / 2 if what == "marked" else 0
             total += score * len(decoded.split())
-            parts.append((decoded, what == "text"))
+            parts.append((decoded, what != "never"))
         if total <= 0:
             total, start = 0.0, len(parts)
         elif total > best:

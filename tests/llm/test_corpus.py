@@ -105,6 +105,24 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post with-comments'><p>one two three</p></article>", "one two three"),
+        ("<main class=has-sidebar><p>one two three</p></main>", "one two three"),
+        ("<article class='comments'><p>one two three</p></article>", "one two three"),
+        ("<div class=header-large><p>one two three</p></div>", "one two three"),
+        ("<article><p class=notice>Beware<p>one two three<p>four five</article>", "one two three four five"),
+        ("<article><ul><li class=share>Share<ul><li>it<li>now</ul><li>one two</ul><p>three four</article>", "one two three four"),
+        ("<article><dl><dt class=ad>Buy<dd>one two three</dl><p>four five six</article>", "one two three four five six"),
+        ("<article><table><tr><td class=ad>Buy<td>one two three<tr class=promo><td>Get<tr><td>four five</table></article>", "one two three four five"),
+        ("<article><p>one two three<span class=ad><span>a</span> b</span> four</p></article>", "one two three four"),
+    ],
+)
+def test_extraction_beside_marked_elements(page, text):
+    assert html_extract.extracted(page, {}) == text
+
+
 # 2
 
 
