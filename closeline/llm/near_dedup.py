@@ -7,7 +7,7 @@ candidates.  The depth adapts to the region: where few classes share the least p
 all are candidates of each other (at most `REACH` rows away), where many do, neighbours in
 the order, which share more labels, are.
 
-Candidates are confirmed on the full sets, remade from the texts, in three steps; each gives
+Candidates are confirmed on the full sets, remade from the texts, in four steps; each gives
 components, and the next one looks only at classes that are not yet in one component, so
 large groups of copies are not compared pair by pair.
 
@@ -17,8 +17,10 @@ large groups of copies are not compared pair by pair.
    class with the most links so far is compared with all others of the region.
 3. All other candidates, and those of `DEEP_TREES` more orders of the same labels, `DEEP`
    labels deep, which sort only the classes of crowded regions with several components.
+4. The classes of crowded regions that still lie in several components, by an exact
+   set-similarity join: a pair similar enough shares one of the rarest shingles of each.
 
-Pairs whose labels agree in less than `percent` - `MARGIN` percent, four standard deviations
+In steps 1 to 3 pairs whose labels agree in less than `percent` - `MARGIN` percent, four standard deviations
 under the similarity asked for, are not read.
 
 A null text, or one without words, has the empty set and is linked with nothing.  Repeated
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closeline.llm.common import checkpointed, joined
@@ -45,6 +47,8 @@ TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 8
 FIRST_TREES = 4
 #: Further orders for crowded regions, and their depth.
 DEEP_TREES, DEEP = 64, 12
+#: Ratio of the sizes in one bucket of the exact join.
+SIZE_STEP = 1.05
 #: Percent of labels by which a pair may fall short of the similarity before it is read.
 MARGIN = 16
 #: Shingles hashed together.
@@ -189,6 +193,49 @@ def deep_candidates(classes: DataFrame) -> DataFrame:
     return ordered_pairs(pairs).distinct()
 
 
+def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of `classes` (class, label, n_shingles, text) in different components that may be similar enough.
+
+    Sets of n and m shingles need to share (n + m) * percent / (100 + percent) of them, so in
+    one order of all shingles, the rarest first, one of the first n - that + 1 is shared.
+    Classes meet by such a shingle and the buckets of both sizes, whose least partner size
+    bounds the number of shingles; the places of a shared shingle bound what may follow.
+    """
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for class_, text in zip(batch["class"], batch["text"]):
+                hashes = shingles(text, width).view(np.int64)
+                yield pd.DataFrame({"class": class_, "n": len(hashes), "shingle": hashes})
+
+    spelled = checkpointed(classes.select("class", "text").mapInPandas(spell, "class binary, n long, shingle long"))
+    often = spelled.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
+    # Shingles of one holder come first and match nothing; their number is the places before the others.
+    shared = spelled.join(often, "shingle")
+    by_class = Window.partitionBy("class")
+    place = F.row_number().over(by_class.orderBy("holders", "shingle")) + F.col("n") - F.count("*").over(by_class)
+    rows = shared.withColumn("place", place).drop("holders")
+
+    def bucket(size: str) -> str:
+        return f"cast(floor(ln({size}) / ln({SIZE_STEP}D)) AS int)"
+
+    least = f"(({percent} * n + 99) div 100)"
+    rows = rows.withColumn("bucket", F.expr(bucket("n")))
+    rows = rows.withColumn("other", F.explode(F.expr(f"sequence({bucket(least)}, {bucket(f'greatest(n, 100 * n div {percent})')})")))
+    partner = f"greatest({least}, cast(floor(pow({SIZE_STEP}D, other)) AS bigint))"
+    rows = rows.where(F.expr(f"place <= n + 1 - ({percent} * (n + {partner}) + {99 + percent}) div {100 + percent}"))
+    rows = rows.withColumn("key", F.xxhash64("shingle", F.least("bucket", "other"), F.greatest("bucket", "other")))
+    rows = rows.select("key", "class", "n", "place", "bucket", "other").join(classes.select("class", "label"), "class")
+    rows = checkpointed(rows)
+    mark = F.xxhash64("label")
+    mixed_keys = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high")
+    rows = checkpointed(rows.join(mixed_keys.select("key"), "key"))
+    one, two = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
+    both = one.join(two, "key").where("class_a < class_b AND label_a <> label_b AND bucket_a = other_b AND bucket_b = other_a")
+    both = both.where(f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)")
+    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
 def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and labels leave the similarity possible."""
     known = classes.select("class", "n_shingles", "labels")
@@ -205,13 +252,14 @@ def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "labels_a", "labels_b").mapInPandas(agree, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, by_labels: bool = True) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough.
 
-    `texts` has class, n_shingles, labels and a text of every class; texts are fetched last.
+    `texts` has class, n_shingles, labels and a text of every class; texts are fetched last,
+    and unless `by_labels` is off only of the pairs that are `agreeing`.
     """
     one, two = (texts.select(F.col("class").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    pairs = checkpointed(agreeing(pairs, texts, percent))
+    pairs = checkpointed(agreeing(pairs, texts, percent) if by_labels else pairs)
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -253,6 +301,12 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -
     apart = pairs.where("NOT first").select("a", "b").unionByName(deep).distinct()
     apart = apart.join(left, "a").join(right, "b").where("label_a <> label_b").select("a", "b")
     links = checkpointed(links.unionByName(confirmed(apart, texts, width, percent)))
+
+    late = checkpointed(with_components(classes, links))
+    dense = crowded(late, links).select("class", "label").distinct()
+    dense = checkpointed(texts.join(dense, "class").select("class", "label", "n_shingles", "text"))
+    exact = exact_candidates(dense, width, percent)
+    links = checkpointed(links.unionByName(confirmed(exact, texts, width, percent, by_labels=False)))
     return components(links).withColumnRenamed("node", "class")
 
 

@@ -434,6 +434,30 @@ def test_links_of_crowded_regions(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_links_of_crowded_regions_are_exact(spark, monkeypatch):
+    """Pairs among texts at similarity 0.7 to 0.79, though no further order shows them."""
+    monkeypatch.setattr(near_dedup, "deep_candidates", lambda classes: classes.selectExpr("class AS a", "class AS b").limit(0))
+    rng = random.Random(9)
+    form = [f"f{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        rows.append(form[: 172 + i % 3] + [f"own{i}_{k}" for k in range(26)])
+        if i % 10 == 0:
+            rows.append(rows[-1][:-10] + [f"new{i}_{k}" for k in range(10 + i % 4)])
+    rng.shuffle(rows)
+    sets = [set(zip(w, w[1:])) for w in rows]
+    label = list(range(len(rows)))
+    for j, two in enumerate(sets):
+        for i in range(j):
+            shared = len(sets[i] & two)
+            if 100 * shared >= 80 * (len(sets[i]) + len(two) - shared):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert len(set(label)) == 300
+    docs = documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width=2).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(200).selectExpr("id AS a", "id + 1 AS b").where("id <> 99")
     got = {r.node: r.label for r in components(links).collect()}
