@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from closeline.llm import decontaminate, html_extract, license_scan, mixing, near_dedup, pii, quality, suffix_dedup, toxicity, url_filter
+from closeline.llm import (
+    conversation_repair,
+    decontaminate,
+    html_extract,
+    license_scan,
+    manifest,
+    mixing,
+    near_dedup,
+    pii,
+    quality,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from closeline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +85,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.digested(conversation_repair.damaged(conversations), ids=conversations)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.every_fifth())
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_extract": op1_html_extract,
     "op2_decontaminate": op2_decontaminate,
@@ -82,4 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_simhash": op12_simhash,
+    "op13_manifest": op13_manifest,
 }
