@@ -14,6 +14,7 @@ from closeline.constants import (
     PRELIMINARY_REVIEW,
     TITLE,
 )
+from closeline.operators.copies import COPIES, spelt_out
 from closeline.operators.joins import left_join_hot_right
 
 Tables = Mapping[str, DataFrame]
@@ -135,11 +136,50 @@ def prelim_review_fallback(tables: Tables) -> DataFrame:
     return left_join_hot_right(lookups, dates, "id")
 
 
+REVIEW_TOTALS = {
+    "_primary": "sum(IF(fallback, 0, n))",
+    "_undated": "sum(IF(undated, n, 0))",
+    "_stamps": "sum(IF(fallback, n, 0))",
+}
+
+
+def review_copies(groups: DataFrame) -> DataFrame:
+    """How often a counted row of the stage tables stands among the review dates.
+
+    `groups` counts, as `n`, rows of one application (`id`) that agree in all other
+    columns, `fallback` and `undated` among them, and has `REVIEW_TOTALS` of the
+    application.  Every primary row meets every fallback, of which there are as many as
+    primary rows without a date times the rows of the fallback table, and shows it where
+    it has no date itself.  A primary row without a date is left out where a fallback
+    stands for it.
+    """
+    # An application without a primary row has one without a date.
+    undated = "IF(_primary = 0, 1, _undated)"
+    copies = f"""CASE
+        WHEN fallback THEN {undated} * {undated} * n
+        WHEN NOT undated THEN n * greatest({undated} * greatest(_stamps, 1), 1)
+        WHEN _stamps = 0 THEN n * {undated}
+        ELSE 0 END"""
+    counted = groups.withColumn(COPIES, F.expr(copies)).filter(f"{COPIES} > 0")
+    return counted.drop("n", *REVIEW_TOTALS)
+
+
 def prelim_review_date(tables: Tables) -> DataFrame:
-    """Primary date where there is one, else the fallback."""
-    dates = _stage_dates(tables["deal_stage_dates"]).filter("preliminary_review_date IS NOT NULL")
-    dated = served_reviews(tables).join(dates, "id")
-    return dated.unionByName(prelim_review_fallback(tables))
+    """Primary date where there is one, else the fallback.
+
+    Equal dates of an application are counted, their numbers multiplied where the stage
+    tables meet, and spelt out at the end.
+    """
+    rows = stage_rows(tables).withColumn(
+        "undated", F.expr("NOT fallback AND preliminary_review_date IS NULL")
+    )
+    served = served_reviews(tables)
+    groups = rows.join(served, "id", "left_semi")
+    groups = groups.groupBy("id", "fallback", "undated", "preliminary_review_date")
+    groups = groups.agg(F.count("*").alias("n"))
+    totals = groups.groupBy("id").agg(*[F.expr(e).alias(c) for c, e in REVIEW_TOTALS.items()])
+    dates = review_copies(groups.join(totals, "id")).drop("fallback", "undated")
+    return spelt_out(left_join_hot_right(served, dates, "id"), "id")
 
 
 def stage_rows(tables: Tables) -> DataFrame:

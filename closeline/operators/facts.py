@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from closeline.constants import BORROWER, TITLE, TRACKED_PURPOSES
 from closeline.functions.ladders import both, either, quoted
 from closeline.operators.calendar import Clock
+from closeline.operators.copies import COPIES, copies_of
 from closeline.operators.extracts import (
+    REVIEW_TOTALS,
     latest_follow_ups,
     newest_dates,
+    review_copies,
     served_reviews,
     stage_rows,
 )
@@ -43,6 +46,7 @@ TRUE_OF_MISSING = frozenset(
         "terms_unreviewed",
         "title_unordered",
         "commitment_missing",
+        "reviewed_on_other_day",
     }
 )
 
@@ -175,6 +179,7 @@ def review_facts(clock: Clock) -> Facts:
         "reviewed_today": f"{reviewed} = {clock.as_of}",
         **{f"reviewed_{k}_back": f"{reviewed} = {clock.back(k)}" for k in range(1, 7)},
         "reviewed_by_2_back": f"{reviewed} <= {clock.back(2)}",
+        "reviewed_on_other_day": f"NOT coalesce({reviewed} = {clock.back(4)}, false)",
     }
 
 
@@ -227,32 +232,6 @@ def loan_rows(
     )
 
 
-# Rows of one application that a rule cannot tell apart travel as one row and
-# their number, `COPIES`: combined map-side, so that no hot key reaches a join.
-COPIES = "copies"
-COPY_BLOCK = 1 << 16
-
-
-def counted(rows: DataFrame, key: str, *shown: str) -> DataFrame:
-    """Equal rows of a key as one row and their number."""
-    return rows.groupBy(key, *shown).agg(F.count("*").alias(COPIES))
-
-
-def spelt_out(df: DataFrame, key: str) -> DataFrame:
-    """Each row as often as its `COPIES` says; once without one.
-
-    Many copies of a row are dealt out in blocks, so one task spells out no more than
-    a few blocks of any key.
-    """
-    columns = [c for c in df.columns if c != COPIES]
-    last = f"CAST((coalesce({COPIES}, 1L) - 1) DIV {COPY_BLOCK} AS bigint)"
-    blocks = df.selectExpr("*", f"explode(sequence(0L, {last})) AS block")
-    rest = f"coalesce({COPIES}, 1L) - block * {COPY_BLOCK}"
-    size = f"least({rest}, {COPY_BLOCK}L)"
-    dealt = blocks.repartition(key, "block")
-    return dealt.selectExpr(*columns, f"explode(sequence(1L, {size})) AS copy").drop("copy")
-
-
 def with_valuation_rows(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
     """A row per application, loan, property and valuation, with valuation facts.
 
@@ -292,12 +271,15 @@ def loans_with_valuations(tables: Tables, clock: Clock, loans: DataFrame) -> Dat
     return joined.withColumn(VALUATION_MASK, F.expr(value))
 
 
+def legal_rows(tables: Tables, clock: Clock) -> DataFrame:
+    """Legal records with their facts."""
+    records = tables["legal_closing_informations"]
+    return records.selectExpr("*", pack(legal_facts(clock), LEGAL_MASK))
+
+
 def legal_facts_by_application(tables: Tables, clock: Clock, *also: str) -> DataFrame:
     """Legal facts per application, next to other aggregates of its records."""
-    records = tables["legal_closing_informations"].selectExpr(
-        "*", pack(legal_facts(clock), LEGAL_MASK)
-    )
-    return any_child(records, "application_id", LEGAL_MASK, *also)
+    return any_child(legal_rows(tables, clock), "application_id", LEGAL_MASK, *also)
 
 
 def review_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
@@ -313,12 +295,35 @@ def review_facts_by_application(tables: Tables, clock: Clock) -> DataFrame:
         pack(review_facts(clock), REVIEW_MASK),
     )
     seen = rows.groupBy("id").agg(
-        F.expr("bit_or(IF(fallback, 0, review_facts)) AS primary_facts"),
+        F.expr("bit_or(IF(fallback OR undated, 0, review_facts)) AS primary_facts"),
         F.expr("bit_or(IF(fallback, review_facts, 0)) AS fallback_facts"),
         F.expr("bool_or(undated) OR bool_and(fallback) AS looks_up"),
+        F.expr("bool_or(fallback) AS has_fallback"),
     )
     reviews = seen.join(served_reviews(tables), "id", "left_semi")
+    looked_up = f"IF(has_fallback, fallback_facts, {filled('NULL', review_facts(clock))})"
     return reviews.selectExpr(
         "id AS application_id",
-        f"primary_facts | IF(looks_up, fallback_facts, 0) AS {REVIEW_MASK}",
+        f"primary_facts | IF(looks_up, {looked_up}, 0) AS {REVIEW_MASK}",
+    )
+
+
+def review_rows_by_application(tables: Tables, clock: Clock) -> DataFrame:
+    """Facts of the review dates, and how many rows of `prelim_review_date` have them.
+
+    Rows of the stage tables with equal facts are counted first; `review_copies` then
+    says how often a counted row stands, so no row meets another one.
+    """
+    rows = clock.attach(stage_rows(tables)).selectExpr(
+        "id",
+        "fallback",
+        "NOT fallback AND preliminary_review_date IS NULL AS undated",
+        pack(review_facts(clock), REVIEW_MASK),
     )
+    groups = rows.groupBy("id", "fallback", "undated", REVIEW_MASK).agg(F.count("*").alias("n"))
+    groups = groups.join(served_reviews(tables), "id", "left_semi")
+    # An application has no more groups than there are sets of facts.
+    own = [f"{total} OVER (PARTITION BY id) AS {c}" for c, total in REVIEW_TOTALS.items()]
+    reviews = review_copies(groups.selectExpr("*", *own)).groupBy("id", REVIEW_MASK)
+    reviews = reviews.agg(F.sum(COPIES).alias(copies_of(REVIEW_MASK)))
+    return reviews.withColumnRenamed("id", "application_id")

@@ -19,6 +19,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from closeline.constants import (
     BRIDGE_TYPE,
@@ -41,24 +42,24 @@ from closeline.constants import (
 from closeline.functions.dates import hour_boundaries
 from closeline.functions.ladders import both, either, first_match, quoted
 from closeline.operators.calendar import Clock
+from closeline.operators.copies import COPIES, counted, spelt_out, with_copies
 from closeline.operators.extracts import first_term_sheets
 from closeline.operators.facts import (
-    COPIES,
     LEGAL_MASK,
     LOAN_MASK,
     REVIEW_MASK,
     VALUATION_MASK,
     Facts,
     any_child,
-    counted,
     legal_facts,
     legal_facts_by_application,
+    legal_rows,
     loan_facts,
     loan_rows,
     loans_with_valuations,
     review_facts,
     review_facts_by_application,
-    spelt_out,
+    review_rows_by_application,
     unpack,
     valuation_facts,
     with_valuation_rows,
@@ -70,7 +71,11 @@ Label = Callable[[Clock], str]
 
 @dataclass(frozen=True)
 class Kpi:
-    """`scope` is the part of `gate` that looks at the application row alone."""
+    """`scope` is the part of `gate` that looks at the application row alone.
+
+    `follows` is a KPI whose rows, of the same tables, meet those of this one, which
+    looks at their labels as `first_call_open`.
+    """
 
     name: str
     scope: str
@@ -82,6 +87,7 @@ class Kpi:
     reviews: bool = False
     terms: bool = False
     product: bool = False
+    follows: Kpi | None = None
     key: str = "application_number"
 
     def gated_label(self, clock: Clock) -> str:
@@ -183,13 +189,22 @@ def follow_up_call_1_label(clock: Clock) -> str:
     )
 
 
+def first_call_open(clock: Clock) -> str:
+    """SQL: a row of the first call is not past due."""
+    return f"coalesce({follow_up_call_1_label(clock)}, '') != '{PAST_DUE}'"
+
+
+# Some row of the first call is not past due: that of a record without a kickoff, or
+# of a review on another day than the one past due.
+SOME_FIRST_CALL_OPEN = either(WAS_SUBMITTED, "kickoff_missing", "reviewed_on_other_day")
+
+
 def follow_up_call_2_label(clock: Clock) -> str:
-    first_call_open = f"coalesce({follow_up_call_1_label(clock)}, '') != '{PAST_DUE}'"
     return first_match(
         [
             # Four days back is past due for the first call, so this rung only
-            # ever matches where several review dates meet on one application.
-            (DUE_TOMORROW, both(CALL_PENDING, "reviewed_4_back", first_call_open)),
+            # ever matches where several records or review dates meet on one application.
+            (DUE_TOMORROW, both(CALL_PENDING, "reviewed_4_back", "first_call_open")),
             (DUE_TODAY, both(CALL_PENDING, "reviewed_5_back")),
             (PAST_DUE, both(CALL_PENDING, "reviewed_6_back")),
         ]
@@ -328,6 +343,7 @@ FOLLOW_UP_CALL_2 = Kpi(
     follow_up_call_2_label,
     legal=True,
     reviews=True,
+    follows=FOLLOW_UP_CALL_1,
     key="id",
 )
 CLOSING = Kpi(
@@ -436,10 +452,6 @@ def with_legal(tables: Tables, clock: Clock, apps: DataFrame, *also: str) -> Dat
     return apps.join(legal, "application_id", "left")
 
 
-def with_reviews(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
-    return apps.join(review_facts_by_application(tables, clock), "application_id", "left")
-
-
 def with_product(tables: Tables, apps: DataFrame) -> DataFrame:
     products = tables["products"].selectExpr("id AS product_id", "name AS product_name")
     return with_conditions(apps.join(products, "product_id", "left"), PRODUCT_CONDITIONS)
@@ -450,13 +462,31 @@ def at(clock: Clock, df: DataFrame) -> DataFrame:
     return with_conditions(clock.attach(df), submission_ages(clock))
 
 
+def meeting_first_calls(df: DataFrame, clock: Clock) -> DataFrame:
+    """Rows of the second call with those of the first, told apart by `first_call_open`.
+
+    Both have the rows of `df`, counted by their facts, of which an application has few;
+    each meets the number of open and of past due first calls of its application.
+    """
+    own = "OVER (PARTITION BY application_id)"
+    calls = df.selectExpr(
+        "*",
+        f"sum(IF({first_call_open(clock)}, {COPIES}, 0)) {own} AS open_calls",
+        f"sum({COPIES}) {own} AS calls",
+    )
+    met = "inline(array(struct(true, 0L + open_calls), struct(false, calls - open_calls)))"
+    rows = calls.selectExpr("*", f"{met} AS (first_call_open, met)").filter("met > 0")
+    return rows.withColumn(COPIES, F.col(COPIES) * F.col("met")).drop("open_calls", "calls", "met")
+
+
 def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> DataFrame:
     """Label the applications one KPI covers: (key, label).
 
     Only the applications in the scope of the KPI are read.  Child tables are reduced
-    to one row per application before they are joined; for a "row" grain, loans to
-    one row per application and set of facts, with the number of rows it stands for,
-    which are spelt out at the end, and valuations not at all.
+    to one row per application before they are joined; for a "row" grain, loans, legal
+    records and review dates to one row per application and set of facts, with the
+    number of rows it stands for.  Those numbers are multiplied where the tables meet
+    and the rows spelt out at the end; valuations are not reduced at all.
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
@@ -464,37 +494,44 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     df = tables["applications"].filter(bare(kpi.scope)).withColumnRenamed("id", "application_id")
     if kpi.terms:
         df = with_terms(tables, df)
-    if kpi.legal:
-        df = with_legal(tables, clock, df)
-    if kpi.reviews:
-        df = with_reviews(tables, clock, df)
     if kpi.product:
         df = with_product(tables, df)
 
     masks: dict[str, Facts] = {}
+    children: dict[str, DataFrame] = {}
     if kpi.legal:
         masks[LEGAL_MASK] = legal_facts(clock)
+        if by_row:
+            children[LEGAL_MASK] = counted(legal_rows(tables, clock), "application_id", LEGAL_MASK)
+        else:
+            children[LEGAL_MASK] = legal_facts_by_application(tables, clock)
     if kpi.reviews:
         masks[REVIEW_MASK] = review_facts(clock)
+        reviews = review_rows_by_application if by_row else review_facts_by_application
+        children[REVIEW_MASK] = reviews(tables, clock)
+    if kpi.loan_facts:
+        masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
+        loans = loan_rows(tables, clock, kpi.loan_facts)
+        reduced = counted if by_row else any_child
+        children[LOAN_MASK] = reduced(loans, "application_id", LOAN_MASK)
+    for child in children.values():
+        df = df.join(child, "application_id", "left")
+    if by_row and children:
+        df = with_copies(df, children)
     if kpi.valuations:
         masks[VALUATION_MASK] = valuation_facts(clock)
         if by_row:
             df = with_valuation_rows(tables, clock, df)
         else:
             loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
-            children = loans_with_valuations(tables, clock, loans)
-            children = any_child(children, "application_id", VALUATION_MASK)
-            df = df.join(children, "application_id", "left")
-    if kpi.loan_facts:
-        masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
-        loans = loan_rows(tables, clock, kpi.loan_facts)
-        if by_row:
-            loans = counted(loans, "application_id", LOAN_MASK)
-        else:
-            loans = any_child(loans, "application_id", LOAN_MASK)
-        df = df.join(loans, "application_id", "left")
+            valued = loans_with_valuations(tables, clock, loans)
+            valued = any_child(valued, "application_id", VALUATION_MASK)
+            df = df.join(valued, "application_id", "left")
     for mask, facts in masks.items():
         df = unpack(df, mask, facts)
+    if kpi.follows:
+        some = with_conditions(df, {"first_call_open": SOME_FIRST_CALL_OPEN})
+        df = meeting_first_calls(df, clock) if by_row else some
 
     shown = [f"application_id AS {kpi.key}", f"{kpi.label(clock)} AS {kpi.name}"]
     if kpi is CDA and by_row:

@@ -164,7 +164,9 @@ def labelled_applications(
     df = unpack(df, VALUATION_MASK, valuation_facts(clock))
     # The report leaves out the preliminary_review state, the only one whose
     # labels look at review dates; those rules stay, their facts are NULL.
-    unknown = [f"CAST(NULL AS boolean) AS {name}" for name in review_facts(clock)]
+    unknown = [
+        f"CAST(NULL AS boolean) AS {name}" for name in (*review_facts(clock), "first_call_open")
+    ]
     df = k.at(clock, k.with_conditions(df.selectExpr("*", *unknown), k.CONDITIONS))
     return df.selectExpr("*", *[f"{kpi.gated_label(clock)} AS {kpi.name}" for kpi in k.KPIS])
 

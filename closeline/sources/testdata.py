@@ -125,7 +125,8 @@ class StarSchema:
     """The driver's parquet files as lending tables.
 
     `second_loans` gives applications with many properties a second loan; `repeated`
-    gives an application a projection row per line item.
+    gives an application a projection row per line item; `repeated_records` gives some
+    applications several legal records, stage dates and stage time stamps.
     """
 
     def __init__(
@@ -135,11 +136,13 @@ class StarSchema:
         *,
         second_loans: bool = False,
         repeated: bool = False,
+        repeated_records: bool = False,
     ) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
         self.second_loans = second_loans
         self.repeated = repeated
+        self.repeated_records = repeated_records
         self._files: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
@@ -260,15 +263,25 @@ class StarSchema:
             f"{kind} AS type",
         )
 
+    def _records(self, copies: str) -> DataFrame:
+        """Orders, `copies` times each where records are repeated; `copy` counts from 0.
+
+        A copy's dates lie `copy` days earlier.  Where an order's date is left out follows
+        from `r`, its key moved on by a copy, so that copies differ in that as well.
+        """
+        last = f"{copies} - 1" if self.repeated_records else "0"
+        rows = self.orders().selectExpr("*", f"explode(sequence(0, CAST({last} AS int))) AS copy")
+        return rows.selectExpr("k", "k + copy AS r", "date_sub(od, copy) AS od")
+
     def legal_closing_informations(self) -> DataFrame:
         dates = {
-            "kickoff_call_with_borrower_date": ("k % 3 != 0", 15),
-            "term_sheet_reviewed_with_borrower_date": ("k % 3 = 1", 12),
-            "title_commitment_order_date": ("k % 7 >= 4", 9),
-            "title_commitment_most_recent_order_date": ("k % 7 = 6", 6),
-            "preliminary_commitment_received_date": ("k % 3 = 2", 8),
+            "kickoff_call_with_borrower_date": ("r % 3 != 0", 15),
+            "term_sheet_reviewed_with_borrower_date": ("r % 3 = 1", 12),
+            "title_commitment_order_date": ("r % 7 >= 4", 9),
+            "title_commitment_most_recent_order_date": ("r % 7 = 6", 6),
+            "preliminary_commitment_received_date": ("r % 3 = 2", 8),
         }
-        return self.orders().selectExpr(
+        return self._records("k % 4 + 1").selectExpr(
             "k AS application_id",
             *[
                 f"IF({present}, {near_anchor('od', days)}, NULL) AS {name}"
@@ -338,12 +351,14 @@ class StarSchema:
         )
 
     def deal_stage_dates(self) -> DataFrame:
-        date = f"IF(k % 7 != 0, {moment(near_anchor('od', 10))}, NULL)"
-        return self.orders().selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
+        date = f"IF(r % 7 != 0, {moment(near_anchor('od', 10))}, NULL)"
+        rows = self._records("(k + 1) % 3 + 1")
+        return rows.selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
 
     def deal_stage_time_stamps(self) -> DataFrame:
         date = moment(near_anchor("od", 8))
-        return self.orders().selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
+        rows = self._records("k % 5 % 3 + 1")
+        return rows.selectExpr("k AS application_id", f"{date} AS preliminary_review_date")
 
     def deal_product_channel(self) -> DataFrame:
         channel = (

@@ -57,8 +57,21 @@ PROPERTY_ID = """(l_orderkey * 8 + l_linenumber) * 1000000
         + l_partkey % 1000 * 1000 + l_suppkey % 1000"""
 
 
-def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]:
+def records(copies: str) -> str:
+    """Orders with copies, whose dates lie a day earlier each and whose `r` is one more."""
+    return f"""
+    (SELECT o_orderkey AS k, o_orderkey + i AS r, o_orderdate::DATE - i::INT AS od
+    FROM orders, range({copies}) AS copies(i))"""
+
+
+def domain(
+    second_loans: bool = False, repeated: bool = False, repeated_records: bool = False
+) -> dict[str, str]:
     """CTE bodies by table name."""
+    legal, dates, stamps = (
+        records(copies if repeated_records else "1")
+        for copies in ("o_orderkey % 4 + 1", "(o_orderkey + 1) % 3 + 1", "o_orderkey % 5 % 3 + 1")
+    )
     tables = {
         "applications": f"""
     SELECT o_orderkey AS id,
@@ -110,13 +123,13 @@ def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]
             WHEN 'R' THEN 'TermSheet::Revised' ELSE 'TermSheet::FinalTerms' END AS type
     FROM lineitem""",
         "legal": f"""
-    SELECT o_orderkey AS application_id,
-        CASE WHEN o_orderkey % 3 <> 0 THEN {near("o_orderdate", 15)} END AS kickoff,
-        CASE WHEN o_orderkey % 3 = 1 THEN {near("o_orderdate", 12)} END AS reviewed,
-        CASE WHEN o_orderkey % 7 >= 4 THEN {near("o_orderdate", 9)} END AS ordered,
-        CASE WHEN o_orderkey % 7 = 6 THEN {near("o_orderdate", 6)} END AS reordered,
-        CASE WHEN o_orderkey % 3 = 2 THEN {near("o_orderdate", 8)} END AS commitment
-    FROM orders""",
+    SELECT k AS application_id,
+        CASE WHEN r % 3 <> 0 THEN {near("od", 15)} END AS kickoff,
+        CASE WHEN r % 3 = 1 THEN {near("od", 12)} END AS reviewed,
+        CASE WHEN r % 7 >= 4 THEN {near("od", 9)} END AS ordered,
+        CASE WHEN r % 7 = 6 THEN {near("od", 6)} END AS reordered,
+        CASE WHEN r % 3 = 2 THEN {near("od", 8)} END AS commitment
+    FROM {legal}""",
         "properties": f"""
     SELECT {PROPERTY_ID} AS id, l_orderkey + {LOAN_ID_BASE} AS loan_id FROM lineitem""",
         "property_valuations": f"""
@@ -148,12 +161,10 @@ def domain(second_loans: bool = False, repeated: bool = False) -> dict[str, str]
     SELECT o_orderkey, greatest(o_custkey - 1, 0) + {CONTACT_BASE} FROM orders
     WHERE o_orderkey % 10 = 3""",
         "stage_dates": f"""
-    SELECT o_orderkey AS application_id,
-        CASE WHEN o_orderkey % 7 <> 0 THEN {ts(near("o_orderdate", 10))} END AS reviewed_at
-    FROM orders""",
+    SELECT k AS application_id, CASE WHEN r % 7 <> 0 THEN {ts(near("od", 10))} END AS reviewed_at
+    FROM {dates}""",
         "stage_time_stamps": f"""
-    SELECT o_orderkey AS application_id, {ts(near("o_orderdate", 8))} AS reviewed_at
-    FROM orders""",
+    SELECT k AS application_id, {ts(near("od", 8))} AS reviewed_at FROM {stamps}""",
         "channels": """
     SELECT o_orderkey AS application_id, 'L' || o_orderkey AS internal_id,
         CASE o_custkey % 9 WHEN 0 THEN 'Private Client Group' WHEN 1 THEN NULL

@@ -37,12 +37,12 @@ OUT = f"state NOT IN ({EARLY}, 'setup_servicing', 'closed', 'clear_to_close')"
 OPEN_STATUS = "coalesce(closing_status, 'likely') IN ('likely', 'not_confirmed')"
 
 
-def worst(kpi: str, column: str, labels: list[str]) -> str:
+def worst(kpi: str, column: str, labels: list[str], key: str = "application_number") -> str:
     """Per application the first of `labels` any of its rows carries."""
     listed = "[" + ", ".join(f"'{x}'" for x in labels) + "]"
     return f"""
-    SELECT application_number, {listed}[min(list_position({listed}, {column}))] AS {column}
-    FROM {kpi} GROUP BY application_number"""
+    SELECT {key}, {listed}[min(list_position({listed}, {column}))] AS {column}
+    FROM {kpi} GROUP BY {key}"""
 
 
 LADDERS = {
@@ -169,11 +169,11 @@ def kpi_ctes(as_of: str, as_of_ts: str) -> dict[str, str]:
     WHERE a.state IN ('initial_underwriting', 'preliminary_review') AND g.kickoff IS NULL
         AND coalesce(a.withdrawn_at, a.rejected_at, a.long_termed_at) IS NULL""",
         "call_1": """
-    SELECT a.id, CASE WHEN g.kickoff IS NOT NULL AND a.submitted_at IS NULL
+    SELECT a.id, CASE WHEN g.kickoff IS NOT NULL AND a.submitted_at IS NULL AND r.age_on > 1
         THEN ['Due Tomorrow', 'Due Today', 'Past Due'][CAST(r.age_on AS INT) - 1] END
             AS preliminary_review_follow_up_call_1_kpi
     FROM applications a LEFT JOIN legal g ON g.application_id = a.id
-        LEFT JOIN (SELECT * FROM reviews WHERE age_on BETWEEN 2 AND 4) r ON r.id = a.id
+        LEFT JOIN reviews r ON r.id = a.id
     WHERE a.state = 'preliminary_review'""",
         "call_2": """
     SELECT a.id, CASE
@@ -334,9 +334,11 @@ def report_ctes(as_of_ts: str) -> dict[str, str]:
     joins = "\n        ".join(
         f"LEFT JOIN top_{c} ON top_{c}.application_number = a.id" for c in KPI_SOURCES
     )
-    calls = "\n        ".join(f"LEFT JOIN {cte} ON {cte}.id = a.id" for cte in CALLS.values())
+    calls = "\n        ".join(f"LEFT JOIN top_{cte} ON top_{cte}.id = a.id" for cte in CALLS.values())
+    dues = ["Due Tomorrow", "Due Today", "Past Due"]
     return {
         **tops,
+        **{f"top_{cte}": worst(cte, column, dues, "id") for column, cte in CALLS.items()},
         # Every loan, borrower and team row of an application, ranked.
         "report_rows": f"""
     SELECT c.name AS project_coordinator, l.internal_id AS loan_number, l.appraisal_paid_at,
@@ -367,7 +369,8 @@ def report_ctes(as_of_ts: str) -> dict[str, str]:
         "report": """
     SELECT * EXCLUDE (loan_id, contact_id, place), CAST(place AS INT) AS row_num FROM (
         SELECT *, row_number() OVER (PARTITION BY application_number
-            ORDER BY loan_id NULLS LAST, contact_id NULLS LAST) AS place
+            ORDER BY loan_id NULLS LAST, contact_id NULLS LAST,
+                kickoff_call_with_borrower_date NULLS LAST) AS place
         FROM report_rows)
     WHERE place = 1""",
         "report_by_loan": """
@@ -375,7 +378,7 @@ def report_ctes(as_of_ts: str) -> dict[str, str]:
             PARTITION BY application_number ORDER BY loan_id) AS INT) AS row_num
     FROM (
         SELECT *, row_number() OVER (PARTITION BY application_number, loan_id
-            ORDER BY contact_id NULLS LAST) AS place
+            ORDER BY contact_id NULLS LAST, kickoff_call_with_borrower_date NULLS LAST) AS place
         FROM report_rows)
     WHERE place = 1""",
         "closings": """
@@ -489,13 +492,14 @@ class Oracle:
         as_of: dt.date,
         second_loans: bool = False,
         repeated: bool = False,
+        repeated_records: bool = False,
         days: str = FIXED_DAYS,
     ) -> None:
         next_month = (as_of.replace(day=28) + dt.timedelta(days=4)).replace(day=1)
         left = (next_month - as_of).days - 1
         day, moment = f"DATE '{as_of}'", f"TIMESTAMP '{as_of} 12:30:00'"
         self.ctes = {
-            **domain(second_loans, repeated),
+            **domain(second_loans, repeated, repeated_records),
             **business_calendar(days, day),
             **calendar_ctes(),
             **extract_ctes(),
@@ -569,6 +573,12 @@ def oracle_queries() -> dict[str, str]:
     queries["application_report_several_loans"] = shared.sql(report)
     queries["application_report_rows"] = shared.sql("SELECT * FROM report_by_loan")
 
+    # Several legal records and stage dates of an application, joined as they are.
+    recorded = Oracle(day, second_loans=True, repeated_records=True)
+    for key, relation in RECORD_KEYS.items():
+        queries[f"{key}_repeated_records"] = recorded.sql(f"SELECT * FROM {relation}")
+    queries["application_report_repeated_records"] = recorded.sql(report)
+
     for key, relation in FORECAST_KEYS.items():
         queries[key] = base.sql(f"SELECT * FROM {relation}")
     queries["forecast_base"] = base.sql(MONEY.format("SELECT * FROM base", "percent_close"))
@@ -610,6 +620,19 @@ KPI_KEYS = {
     "cda_kpi": "cda",
 }
 
+RECORD_KEYS = {
+    "prelim_review_primary": "review_primary",
+    "prelim_review_fallback": "review_fallback",
+    "prelim_review_date": "review_date",
+    "welcome_call_kpi": "welcome_call",
+    "follow_up_call_1_kpi": "call_1",
+    "follow_up_call_2_kpi": "call_2",
+    "initial_terms_kpi": "initial_terms",
+    "title_order_kpi": "title_orders",
+    "title_order_confirmation_kpi": "title_confirmation",
+    "title_follow_up_kpi": "title_follow",
+}
+
 FORECAST_KEYS = {
     "null_settlement_flag": "projected",
     "long_term_flag": "long_term",

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from closeline.operators import facts
+from closeline.operators import copies
 from closeline.operators import kpis as k
 from closeline.operators.extracts import latest_follow_ups
 from closeline.operators.joins import left_join_hot_right
@@ -112,9 +112,9 @@ def test_loans_are_counted_by_hash_before_they_are_joined(spark, stored, clock,
 
 
 def test_counted_rows_are_spelt_out(spark, monkeypatch):
-    monkeypatch.setattr(facts, "COPY_BLOCK", 3)
+    monkeypatch.setattr(copies, "COPY_BLOCK", 3)
     rows = spark.createDataFrame([(1, 7), (2, 3), (3, 1), (4, None)], "n int, copies long")
-    found = Counter(r.n for r in facts.spelt_out(rows, "n").collect())
+    found = Counter(r.n for r in copies.spelt_out(rows, "n").collect())
     assert found == {1: 7, 2: 3, 3: 1, 4: 1}
 
 
