@@ -50,7 +50,9 @@ def coordinator_closings(tables: Tables, team: str = COORDINATOR_TEAM) -> DataFr
     closings = loans.join(
         applications.join(coordinators, "contact_id"), "application_id"
     )
+    # The numbers of one team's loans thin the channel rows of all.
     channels = tables["deal_product_channel"].select("internal_id")
+    channels = channels.join(closings.select("internal_id"), "internal_id", "left_semi")
     listed = left_join_hot_right(closings, channels, "internal_id")
     return listed.selectExpr(
         "contact_name AS project_coordinator_name",

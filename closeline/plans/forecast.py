@@ -31,6 +31,7 @@ from closeline.constants import (
 from closeline.functions.dates import MonthOf, whole_days
 from closeline.functions.ladders import both, either, quoted
 from closeline.functions.text import full_name
+from closeline.operators.copies import COPIES, spelt_out
 
 Tables = Mapping[str, DataFrame]
 
@@ -43,6 +44,12 @@ ROW_COLUMNS = (
     "application_id",
 )
 FLAGS = ("date_range", "status_flag", "stage_flag")
+FORECAST_COLUMNS = (
+    "loan_officer_name",
+    "closing_calendar_amount",
+    "loan_officer_id",
+    "forecast_amount",
+)
 UNDATED = "dynamic_settlement_date IS NULL"
 
 
@@ -51,45 +58,50 @@ def forecast_base(projections: DataFrame) -> DataFrame:
     return projections.filter(F.col("table_type") == PROJECTION_ROWS)
 
 
+OPEN_FOR_CLOSING = (
+    f"state IN ({quoted(CLOSING_CALENDAR_STATES)}) "
+    f"AND closing_status IN ({quoted((CONFIRMED, LIKELY, NOT_CONFIRMED))}) "
+    "AND withdrawn_at IS NULL AND rejection_status IS NULL"
+)
+
+
+def settles_paid(as_of: dt.date) -> str:
+    """SQL: a loan with a paid appraisal settles in the month.
+
+    Settlement is a date: with a time of day, rows late on the last day of the month
+    fall outside these bounds.
+    """
+    month = MonthOf(as_of)
+    settles = f"settlement_date BETWEEN DATE '{month.start}' AND DATE '{month.end}'"
+    return f"appraisal_paid_at IS NOT NULL AND {settles}"
+
+
 def closing_calendar(
     tables: Tables, as_of: dt.date, *, dedupe_costs: bool = False
 ) -> DataFrame:
     """Amount settling in the as-of month per officer.
 
     A loan counts once per closing-cost row it has, or once if `dedupe_costs`.
-    Cost rows are counted per loan and amounts summed per officer before the next
-    join, so neither a loan with many costs nor a busy officer is a hot key.
+    Amounts are summed per officer before the next join, so that a busy officer is no
+    hot key.
     """
-    month = MonthOf(as_of)
-    statuses = quoted((CONFIRMED, LIKELY, NOT_CONFIRMED))
     applications = (
         tables["applications"]
-        .filter(
-            f"state IN ({quoted(CLOSING_CALENDAR_STATES)}) AND closing_status IN ({statuses}) "
-            "AND withdrawn_at IS NULL AND rejection_status IS NULL"
-        )
+        .filter(OPEN_FOR_CLOSING)
         .selectExpr("id AS application_id", "loan_officer_id")
     )
-    # Settlement is a date: with a time of day, rows late on the last day of the
-    # month fall outside these bounds.
     loans = (
         tables["loans"]
-        .filter(
-            "appraisal_paid_at IS NOT NULL "
-            f"AND settlement_date BETWEEN DATE '{month.start}' AND DATE '{month.end}'"
-        )
+        .filter(settles_paid(as_of))
         .selectExpr("id AS loan_id", "application_id", "total_amount")
     )
-    costs = tables["loan_closing_costs"].groupBy("loan_id").agg(
-        F.expr("CAST(count(*) AS INT) AS cost_rows")
-    )
-    weight = "1" if dedupe_costs else "cost_rows"
-    by_officer = (
-        applications.join(loans, "application_id")
-        .join(costs, "loan_id")
-        .groupBy("loan_officer_id")
-        .agg(F.expr(f"sum(total_amount * {weight}) AS amount"))
+    # One month's loans thin the costs of all before anything is summed; the inner join
+    # can be split where one loan has very many.
+    settling = applications.join(loans, "application_id")
+    counted = settling.join(
+        tables["loan_closing_costs"], "loan_id", "left_semi" if dedupe_costs else "inner"
     )
+    by_officer = counted.groupBy("loan_officer_id").agg(F.sum("total_amount").alias("amount"))
     contacts = tables["contacts"].selectExpr(
         "id AS loan_officer_id",
         f"{full_name('first_name', 'last_name')} AS loan_officer_name",
@@ -201,13 +213,34 @@ def deal_stage_flag(base: DataFrame, as_of: dt.date) -> DataFrame:
     return _flag(base, "stage_flag", stage_can_close(as_of))
 
 
-def date_range_flag(base: DataFrame, as_of: dt.date) -> DataFrame:
-    """Requires one row per application in `base`.
+def date_range_flag(
+    base: DataFrame, as_of: dt.date, *, unique_applications: bool = False
+) -> DataFrame:
+    """Whether a projection row closes in the month.
 
-    An undated row without an application id has no flags to look up: false.
+    Every row meets the projection and the age in stage of every row of its application,
+    itself included.  Rows, and rows that close by them, are counted per application,
+    their numbers multiplied and spelt out.  `unique_applications=True` states that an
+    application has one row, which needs no shuffle.  A row without an application id
+    meets nothing: it closes in the month if it settles there.
     """
-    known = both("application_id IS NOT NULL", closes_in_month(as_of))
-    return _flag(base, "date_range", either(settles_in_month(as_of), known))
+    if unique_applications:
+        known = both("application_id IS NOT NULL", closes_in_month(as_of))
+        return _flag(base, "date_range", either(settles_in_month(as_of), known))
+    rows = {
+        "settles": settles_in_month(as_of),
+        "undated": UNDATED,
+        "projected": projected_to_close(as_of),
+        "short_term": f"NOT {long_in_stage(as_of)}",
+    }
+    counts = [F.expr(f"count_if({condition}) AS {name}") for name, condition in rows.items()]
+    seen = base.groupBy("application_id").agg(F.count("*").alias("n"), *counts)
+    closing = "settles * n * n + undated * projected * short_term"
+    met = f"IF(application_id IS NULL, settles, {closing})"
+    whole = "IF(application_id IS NULL, n, n * n * n)"
+    values = f"inline(array(struct(true, {met}), struct(false, {whole} - {met})))"
+    counted = seen.selectExpr("application_id", f"{values} AS (date_range, {COPIES})")
+    return spelt_out(counted.filter(f"{COPIES} > 0"), "application_id")
 
 
 # --- enrichment and the forecast ---------------------------------------------
@@ -227,9 +260,9 @@ def _flags_of_row(base: DataFrame, as_of: dt.date) -> DataFrame:
     ).distinct()
 
 
-def _flag_values(base: DataFrame, as_of: dt.date) -> DataFrame:
-    """Per application the values each flag takes over its rows, at most two each."""
-    rows = base.filter("application_id IS NOT NULL").selectExpr(
+def _flag_rows(as_of: dt.date) -> list[str]:
+    """SQL: conditions of a row that the flags of its application follow from."""
+    return [
         "application_id",
         f"{UNDATED} AS undated",
         f"{settles_in_month(as_of)} AS settles",
@@ -237,30 +270,38 @@ def _flag_values(base: DataFrame, as_of: dt.date) -> DataFrame:
         f"{long_in_stage(as_of)} AS long_term",
         f"{likely_to_confirm(as_of)} AS status",
         f"{stage_can_close(as_of)} AS stage",
-    )
-    seen = rows.groupBy("application_id").agg(
-        F.expr("bool_or(settles) AS settles"),
-        F.expr("bool_or(undated) AS undated"),
-        F.expr("bool_or(NOT undated AND NOT settles) AS dated_elsewhere"),
-        F.expr("bool_or(projected) AS projected"),
-        F.expr("bool_or(NOT projected) AS unprojected"),
-        F.expr("bool_or(long_term) AS long_term"),
-        F.expr("bool_or(NOT long_term) AS short_term"),
-        F.expr("bool_or(status) AS status"),
-        F.expr("bool_or(NOT status) AS no_status"),
-        F.expr("bool_or(stage) AS stage"),
-        F.expr("bool_or(NOT stage) AS no_stage"),
-    )
+    ]
+
+
+SEEN_FLAGS = (
+    "bool_or(settles) AS settles",
+    "bool_or(undated) AS undated",
+    "bool_or(NOT undated AND NOT settles) AS dated_elsewhere",
+    "bool_or(projected) AS projected",
+    "bool_or(NOT projected) AS unprojected",
+    "bool_or(long_term) AS long_term",
+    "bool_or(NOT long_term) AS short_term",
+    "bool_or(status) AS status",
+    "bool_or(NOT status) AS no_status",
+    "bool_or(stage) AS stage",
+    "bool_or(NOT stage) AS no_stage",
+)
+# Undated rows meet the projection of any row and the stage age of any row.
+IN_RANGE = "settles OR (undated AND projected AND short_term)"
+OUT_OF_RANGE = "dated_elsewhere OR (undated AND (unprojected OR long_term))"
+
+
+def _flag_values(base: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per application the values each flag takes over its rows, at most two each."""
+    rows = base.filter("application_id IS NOT NULL").selectExpr(*_flag_rows(as_of))
+    seen = rows.groupBy("application_id").agg(*map(F.expr, SEEN_FLAGS))
 
     def values(true: str, false: str) -> str:
         return f"array_compact(array(IF({true}, true, NULL), IF({false}, false, NULL)))"
 
-    # Undated rows meet the projection of any row and the stage age of any row.
-    in_range = "settles OR (undated AND projected AND short_term)"
-    out_of_range = "dated_elsewhere OR (undated AND (unprojected OR long_term))"
     return seen.selectExpr(
         "application_id",
-        f"{values(in_range, out_of_range)} AS date_range",
+        f"{values(IN_RANGE, OUT_OF_RANGE)} AS date_range",
         f"{values('status', 'no_status')} AS status_flag",
         f"{values('stage', 'no_stage')} AS stage_flag",
     )
@@ -289,6 +330,70 @@ def forecast_enriched(
     return _with_officer(rows, applications).select("loan_officer_id", *ROW_COLUMNS, *FLAGS)
 
 
+def counts_in_forecast(excluded_officers: Sequence[str]) -> str:
+    """SQL: a projection row of an officer and department the forecast shows."""
+    shown = (
+        "application_id IS NOT NULL AND loan_officer_name IS NOT NULL AND "
+        f"(department IS NULL OR department IN ({quoted(FORECAST_DEPARTMENTS)}))"
+    )
+    if not excluded_officers:
+        return shown
+    escaped = [name.replace("\\", "\\\\").replace("'", "\\'") for name in excluded_officers]
+    return f"{shown} AND loan_officer_name NOT IN ({quoted(escaped)})"
+
+
+WEIGHTED_AMOUNT = (
+    f"IF(state IN ({quoted(EARLY_WEIGHT_STATES)}), "
+    f"total_amount * {EARLY_STATE_WEIGHT}, total_amount * percent_close)"
+)
+
+
+def monthly_forecast_sql(
+    names: Mapping[str, str],
+    as_of: dt.date,
+    *,
+    excluded_officers: Sequence[str] = (),
+    dedupe_costs: bool = False,
+) -> str:
+    """The forecast as SQL over catalog tables, for a view that outlives the session.
+
+    `names` maps the lending tables to their qualified names.  The conditions are those of
+    `loan_officer_monthly_forecast`, and so are the results.
+    """
+    costs = f"{names['loan_closing_costs']} c ON c.loan_id = s.loan_id"
+    passing = f"({IN_RANGE}) AND status AND stage"
+    return f"""
+WITH base AS (SELECT * FROM {names["projections"]} WHERE table_type = '{PROJECTION_ROWS}'),
+seen AS (
+    SELECT application_id, {", ".join(SEEN_FLAGS)}
+    FROM (SELECT {", ".join(_flag_rows(as_of))} FROM base WHERE application_id IS NOT NULL)
+    GROUP BY application_id),
+counted AS (
+    SELECT DISTINCT {", ".join(ROW_COLUMNS)} FROM base
+    WHERE {counts_in_forecast(excluded_officers)}
+        AND application_id IN (SELECT application_id FROM seen WHERE {passing})),
+settling AS (
+    SELECT l.id AS loan_id, a.loan_officer_id, l.total_amount
+    FROM (SELECT * FROM {names["loans"]} WHERE {settles_paid(as_of)}) l
+        JOIN (SELECT * FROM {names["applications"]} WHERE {OPEN_FOR_CLOSING}) a
+            ON a.id = l.application_id),
+amounts AS (
+    SELECT loan_officer_id, sum(total_amount) AS amount
+    FROM settling s {"LEFT SEMI" if dedupe_costs else ""} JOIN {costs}
+    GROUP BY loan_officer_id),
+calendar AS (
+    SELECT loan_officer_id, sum(amount) AS closing_calendar_amount
+    FROM amounts JOIN {names["contacts"]} c ON c.id = loan_officer_id
+    GROUP BY loan_officer_id, {full_name("c.first_name", "c.last_name")})
+SELECT loan_officer_name, closing_calendar_amount, loan_officer_id,
+    sum({WEIGHTED_AMOUNT}) AS forecast_amount
+FROM (
+    SELECT r.*, a.loan_officer_id FROM counted r
+        LEFT JOIN {names["applications"]} a ON a.id = r.application_id) rows
+    LEFT JOIN calendar USING (loan_officer_id)
+GROUP BY loan_officer_name, closing_calendar_amount, loan_officer_id"""
+
+
 def loan_officer_monthly_forecast(
     tables: Tables,
     as_of: dt.date,
@@ -304,12 +409,7 @@ def loan_officer_monthly_forecast(
     after it, because the calendar amount is a group key.
     """
     base = forecast_base(tables["projections"])
-    counted = base.filter(
-        "application_id IS NOT NULL AND loan_officer_name IS NOT NULL AND "
-        f"(department IS NULL OR department IN ({quoted(FORECAST_DEPARTMENTS)}))"
-    )
-    if excluded_officers:
-        counted = counted.filter(~F.col("loan_officer_name").isin(*excluded_officers))
+    counted = base.filter(counts_in_forecast(excluded_officers))
     if unique_applications:
         flags = both(
             closes_in_month(as_of), likely_to_confirm(as_of), stage_can_close(as_of)
@@ -322,14 +422,10 @@ def loan_officer_monthly_forecast(
         rows = counted.select(*ROW_COLUMNS).distinct()
         rows = rows.join(passing.select("application_id"), "application_id", "left_semi")
 
-    weight = (
-        f"IF(state IN ({quoted(EARLY_WEIGHT_STATES)}), "
-        f"total_amount * {EARLY_STATE_WEIGHT}, total_amount * percent_close)"
-    )
     by_officer = (
         _with_officer(rows, tables["applications"])
         .groupBy("loan_officer_name", "loan_officer_id")
-        .agg(F.expr(f"sum({weight}) AS amount"))
+        .agg(F.expr(f"sum({WEIGHTED_AMOUNT}) AS amount"))
     )
     calendar = closing_calendar(tables, as_of, dedupe_costs=dedupe_costs).select(
         "loan_officer_id", "closing_calendar_amount"

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closeline.constants import (
@@ -38,7 +38,6 @@ from closeline.operators.facts import (
     unpack,
     valuation_facts,
 )
-from closeline.operators.joins import left_join_hot_right
 from closeline.plans.closings import named_contacts, on_team
 
 Tables = Mapping[str, DataFrame]
@@ -98,7 +97,7 @@ REPORT_COLUMNS = (
     "row_num",
 )
 
-# Application ids of a loan are numbered in blocks of this many loan ids, so no
+# Loans of an application are numbered in blocks of this many loan ids, so no
 # task numbers more than one block however many loans an application has.
 LOAN_BLOCK = 1 << 20
 
@@ -195,41 +194,54 @@ def application_report(
     return _report(with_display(df).withColumn("row_num", F.lit(1)), clock)
 
 
-def numbered_loans(loans: DataFrame) -> DataFrame:
-    """Number the loans of each application by loan id: (..., row_num).
+def loan_blocks(loans: DataFrame) -> DataFrame:
+    """`loans` numbered by loan id in blocks: (..., block, nth, block_loans and the block's facts).
 
-    Numbers run within blocks of loan ids and are shifted by the sizes of the
-    blocks before, so an application with very many loans is spread over tasks.
+    An application with very many loans is spread over tasks by its blocks of loan ids, of
+    which none has more loans than ids.  All columns stand in the order, though ids alone
+    decide it: so whoever reads only some of the columns still reads the same shuffle.
     """
-    block = F.floor(F.col("loan_id") / LOAN_BLOCK).alias("block")
-    loans = loans.select("*", block)
-    sizes = loans.groupBy("application_id", "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("application_id").orderBy("block")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
+    block = f"CAST(floor(loan_id / {LOAN_BLOCK}) AS bigint) AS block"
+    order = f"PARTITION BY application_id, block ORDER BY loan_id, {LOAN_MASK}, {VALUATION_MASK}, display"
+    whole = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    keyed = loans.selectExpr("*", block).filter("application_id IS NOT NULL AND block IS NOT NULL")
+    # Dealt by both, even where the loans already are by application alone.
+    return keyed.repartition("application_id", "block").selectExpr(
         "application_id",
         "block",
-        F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"),
+        "display",
+        f"row_number() OVER ({order}) AS nth",
+        f"count(*) {whole} AS block_loans",
+        f"bit_or({LOAN_MASK}) {whole} AS {LOAN_MASK}",
+        f"bit_or({VALUATION_MASK}) {whole} AS {VALUATION_MASK}",
     )
-    within = Window.partitionBy("application_id", "block").orderBy("loan_id")
-    return (
-        loans.withColumn("row_num", F.row_number().over(within))
-        .join(shifts, ["application_id", "block"])
-        .withColumn("row_num", (F.col("row_num") + F.col("shift")).cast("int"))
-        .drop("block", "shift")
+
+
+def summed_blocks(blocks: DataFrame) -> DataFrame:
+    """A row per application and block: loans in the blocks before, facts of all loans."""
+    own = "PARTITION BY application_id"
+    before = f"({own} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return blocks.filter("nth = 1").selectExpr(
+        "application_id",
+        "block",
+        f"coalesce(sum(block_loans) OVER {before}, 0L) AS earlier_loans",
+        f"bit_or({LOAN_MASK}) OVER ({own}) AS {LOAN_MASK}",
+        f"bit_or({VALUATION_MASK}) OVER ({own}) AS {VALUATION_MASK}",
     )
 
 
 def application_report_rows(
     tables: Tables, clock: Clock, team: str = COORDINATOR_TEAM
 ) -> DataFrame:
-    """The report before its dedupe: a row per reported application and loan."""
-    loans = loan_frame(tables, clock)
-    by_application = loans.groupBy("application_id").agg(
-        F.bit_or(LOAN_MASK).alias(LOAN_MASK), F.bit_or(VALUATION_MASK).alias(VALUATION_MASK)
-    )
-    df = labelled_applications(tables, clock, by_application, team)
-    shown = numbered_loans(loans.select("application_id", "loan_id", "display"))
-    df = left_join_hot_right(df, shown, "application_id")
-    df = df.withColumn("row_num", F.coalesce("row_num", F.lit(1)))
+    """The report before its dedupe: a row per reported application and loan.
+
+    The loan frame is shuffled once, by application and block.  Blocks are summed up to
+    label the applications, a row for each of their blocks, which then meet the loans of
+    that block where these already are: a hot application is split by its blocks.
+    """
+    blocks = loan_blocks(loan_frame(tables, clock))
+    df = labelled_applications(tables, clock, summed_blocks(blocks), team)
+    shown = blocks.select("application_id", "block", "nth", "display")
+    df = df.join(shown, ["application_id", "block"], "left")
+    df = df.withColumn("row_num", F.expr("CAST(coalesce(nth + earlier_loans, 1) AS int)"))
     return _report(with_display(df), clock)

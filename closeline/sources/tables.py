@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,6 +78,19 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def publish_catalog_view(
+    spark: SparkSession, name: str, columns: Sequence[str], query: str
+) -> DataFrame:
+    """Create or replace a view in the catalog and return it.
+
+    `query` is SQL over catalog tables, as a view that outlives its session cannot name
+    what the session alone knows.  Its columns are renamed to `columns` by position.
+    """
+    listed = ", ".join(f"`{c}`" for c in columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} ({listed}) AS {query}")
+    return spark.table(name)
+
+
 def publish_table(df: DataFrame, name: str, file_format: str = "parquet") -> DataFrame:
     """Write a result as a catalog table and return it."""
     df.write.format(file_format).mode("overwrite").saveAsTable(name)

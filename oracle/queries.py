@@ -600,6 +600,7 @@ def oracle_queries() -> dict[str, str]:
         MONEY.format("SELECT * FROM enriched", "percent_close")
     )
     queries["loan_officer_monthly_forecast_repeated_applications"] = repeated.sql(FORECAST)
+    queries["date_range_flag_repeated_applications"] = repeated.sql("SELECT * FROM in_range")
     return queries
 
 

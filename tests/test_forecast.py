@@ -8,7 +8,7 @@ import pytest
 from closeline.constants import EARLY_GATE_STATES, EARLY_WEIGHT_STATES, STATES
 from closeline.functions.dates import MonthOf
 from closeline.plans import forecast as f
-from closeline.sources.tables import publish_table, publish_view
+from closeline.sources.tables import publish_catalog_view, publish_table, publish_view
 
 from .conftest import AS_OF, at_noon, frame, labels
 
@@ -371,3 +371,46 @@ def test_publish_table(spark, forecast_tables, tmp_path):
     for _ in range(2):
         assert publish_table(df, "reports.officer_forecast").count() == 3
     spark.sql("DROP DATABASE reports CASCADE")
+
+
+def test_a_catalog_view_is_seen_by_other_sessions(spark, forecast_tables, tmp_path):
+    spark.sql(f"CREATE DATABASE lending LOCATION '{tmp_path}'")
+    try:
+        names = {}
+        for table in ("projections", "applications", "loans", "loan_closing_costs", "contacts"):
+            names[table] = f"lending.{table}"
+            forecast_tables[table].write.saveAsTable(names[table])
+        excluded = ["Officer A", "O'Brien \\ Sons"]
+        for officers in ((), excluded):
+            query = f.monthly_forecast_sql(names, AS_OF, excluded_officers=officers)
+            columns = [f"{c}_shown" for c in f.FORECAST_COLUMNS]
+            publish_catalog_view(spark, "lending.forecast", columns, query)
+            other = spark.newSession().table("lending.forecast")
+            assert other.columns == columns
+            want = f.loan_officer_monthly_forecast(forecast_tables, AS_OF, excluded_officers=officers)
+            assert tuple(want.columns) == f.FORECAST_COLUMNS
+            assert sorted(map(repr, map(tuple, other.collect()))) == sorted(
+                map(repr, map(tuple, want.collect()))
+            )
+        # The view reads the tables anew.
+        spark.sql("TRUNCATE TABLE lending.projections")
+        assert spark.newSession().table("lending.forecast").count() == 0
+    finally:
+        spark.sql("DROP DATABASE lending CASCADE")
+
+
+def test_date_range_of_repeated_applications(lending):
+    """Rows meet the projections and ages of all rows of their application, with repeats."""
+    rows = [projection(1), projection(1, **undated(AS_OF, 1)), projection(1, **undated(D(1998, 1, 1), 3))]
+    rows += [projection(2, **undated(D(1998, 1, 1), 400)), projection(2, **undated(AS_OF, 400))]
+    rows += [projection(3, dynamic_settlement_date=D(1999, 1, 1))]
+    rows += [projection(None), projection(None), projection(None, **undated(AS_OF, 1))]
+    base = f.forecast_base(lending(projections=rows)["projections"])
+    facts = f.null_settlement_flag(base, AS_OF).selectExpr("application_id", "null_settlement_date AS n")
+    ages = f.long_term_flag(base, AS_OF).selectExpr("application_id", "long_term_deals AS d")
+    met = base.join(facts, "application_id", "left").join(ages, "application_id", "left")
+    settles = f"coalesce({f.settles_in_month(AS_OF)}, false)"
+    want = met.selectExpr("application_id", f"{settles} OR ({f.UNDATED} AND coalesce(n AND NOT d, false)) AS date_range")
+    found = f.date_range_flag(base, AS_OF)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert found.count() == 27 + 8 + 1 + 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections import Counter
 
@@ -136,6 +137,83 @@ def test_report_scans_each_table_once(spark, stored, clock):
     assert not {"deal_stage_dates", "deal_product_channel"} & set(counts)
 
 
+def test_report_rows_plan_the_loans_once(spark, stored, clock):
+    """Blocks are summed up and joined from one shuffle by application and block."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = report.application_report_rows(from_files(spark, stored), clock())
+        text, found = plan(df), scans(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert all(len(found[t]) == 1 for t in ("loans", "loan_follow_ups", "property_valuations"))
+    dealt = r"hashpartitioning\(application_id#\w+, block#\w+, \d+\), REPARTITION_BY_COL"
+    assert len(re.findall(rf"(?<!ReusedExchange )\+- Exchange {dealt}", text)) == 1
+    assert re.search(rf"ReusedExchange \[.*Exchange {dealt}", text)
+    # The last join is by application and block, so that a hot application is split.
+    (join, *_) = re.findall(r"(?:SortMergeJoin|HashJoin) \[([^\]]*)\]", text)
+    assert "application_id" in join and "block" in join
+
+
+def input_rows(spark, df, aggregate: str) -> int:
+    """Rows that came out of the child of the aggregate whose text holds `aggregate`."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fresh = df.select("*")
+        # Run once, so that its nodes have counted their rows.
+        nodes = [fresh._jdf.queryExecution().executedPlan()]
+        nodes[0].executeCollect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "Aggregate" in node.nodeName() and aggregate in node.simpleString(100):
+            while True:
+                node = node.children().apply(0)
+                rows = node.metrics().get("numOutputRows")
+                if rows.isDefined():
+                    return rows.get().value()
+    raise AssertionError(f"no aggregate of {aggregate}")
+
+
+def test_costs_and_channels_are_thinned_before_they_are_counted(spark, lending):
+    tables = lending(
+        applications=[
+            {"id": n, "state": "final_terms", "closing_status": "confirmed", "loan_officer_id": 1}
+            for n in range(4)
+        ],
+        loans=[
+            {
+                "id": n,
+                "application_id": n,
+                "total_amount": 5,
+                "appraisal_paid_at": dt.datetime(1998, 6, 1),
+                "settlement_date": AS_OF if n == 2 else dt.date(1998, 1, 1),
+            }
+            for n in range(4)
+        ],
+        loan_closing_costs=[{"loan_id": n} for n in range(4) for _ in range(7)],
+        contacts=[{"id": 1, "first_name": "Ann", "last_name": "Lee"}],
+    )
+    df = forecast.closing_calendar(tables, AS_OF)
+    assert [r.closing_calendar_amount for r in df.collect()] == [35]
+    assert input_rows(spark, df, "partial_sum(total_amount") == 7
+    numbers = [{"id": n, "application_id": n, "internal_id": f"L{n}"} for n in range(9)]
+    tables = lending(
+        applications=[
+            {"id": n, "state": "closed", "closing_status": "confirmed", "project_coordinator_id": 1}
+            for n in (2, 5)
+        ],
+        loans=numbers,
+        contacts=[{"id": 1, "first_name": "Ann", "last_name": "Lee"}],
+        team_assignments=[{"team_member_name": "Ann Lee", "team": "PC"}],
+        deal_product_channel=[{"internal_id": n["internal_id"]} for n in numbers for _ in range(3)],
+    )
+    df = closings.coordinator_closings(tables)
+    assert len(df.collect()) == 6
+    assert input_rows(spark, df, "keys=[internal_id") <= 6 < 27
+
+
 def test_aggregates_combine_before_the_shuffle(spark, stored):
     text = plan(latest_follow_ups(from_files(spark, stored)["loan_follow_ups"]))
     before = text.split("Exchange hashpartitioning", 1)[1]

@@ -144,14 +144,33 @@ def test_first_rows_are_the_report(tables, clock):
     )
 
 
-def test_numbering_crosses_blocks(spark, monkeypatch):
+def test_numbering_crosses_blocks(tables, clock, spark, monkeypatch):
+    """Loans of an application in several blocks: numbers go on, facts are those of all."""
+    whole = report.application_report_rows(tables, clock()).collect()
     monkeypatch.setattr(report, "LOAN_BLOCK", 4)
-    loans = spark.range(50).selectExpr("id * 3 AS loan_id", "id % 2 AS application_id")
-    found = report.numbered_loans(loans).collect()
-    for application_id in (0, 1):
-        mine = [r for r in found if r["application_id"] == application_id]
-        ordered = [r["row_num"] for r in sorted(mine, key=lambda r: r["loan_id"])]
-        assert ordered == list(range(1, 26))
+    assert sorted(map(str, report.application_report_rows(tables, clock()).collect())) == sorted(
+        map(str, whole)
+    )
+    loans = spark.range(50).selectExpr(
+        "id * 3 AS loan_id",
+        "id % 2 AS application_id",
+        "named_struct('loan_number', id) AS display",
+        "1L << CAST(id % 40 AS int) AS loan_facts",
+        "id AS valuation_facts",
+    )
+    blocks = report.loan_blocks(loans)
+    assert blocks.select("block").distinct().count() == 37
+    sums = report.summed_blocks(blocks)
+    found = blocks.join(sums, ["application_id", "block"]).selectExpr(
+        "application_id", "display.loan_number AS n", "nth + earlier_loans AS row_num"
+    )
+    for own in (0, 1):
+        mine = found.filter(f"application_id = {own}").orderBy("n").collect()
+        assert [r["row_num"] for r in mine] == list(range(1, 26))
+    facts = {(r["loan_facts"], r["valuation_facts"], r["application_id"]) for r in sums.collect()}
+    assert facts == {
+        (sum(1 << i for i in range(own, 40, 2)), 62 + own, own) for own in (0, 1)
+    }
 
 
 def test_report_labels_exist_among_the_joined_rows(spark):
