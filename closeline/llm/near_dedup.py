@@ -7,21 +7,17 @@ candidates.  The depth adapts to the region: where few classes share the least p
 all are candidates of each other (at most `REACH` rows away), where many do, neighbours in
 the order, which share more labels, are.
 
-Candidates are confirmed on the full sets, remade from the texts, in four steps; each gives
-components, and the next one looks only at classes that are not yet in one component, so
-large groups of copies are not compared pair by pair.
-
-1. The next neighbours of some trees.
-2. Hubs: copies of one text may be far from each other and near that text alone, which no
-   number of neighbours shows.  In every crowded region that holds several components the
-   class with the most links so far is compared with all others of the region.
-3. All other candidates, and those of `DEEP_TREES` more orders of the same labels, `DEEP`
-   labels deep, which sort only the classes of crowded regions with several components.
-4. The classes of crowded regions that still lie in several components, by an exact
-   set-similarity join: a pair similar enough shares one of the rarest shingles of each.
-
-In steps 1 to 3 pairs whose labels agree in less than `percent` - `MARGIN` percent, four standard deviations
-under the similarity asked for, are not read.
+Candidates are confirmed on the full sets, remade from the texts, in two steps.
+
+1. The next neighbours of some trees.  Their links give components, and the next step only
+   looks at pairs of different ones, so large groups of copies are not compared pair by pair.
+2. All other candidates; and, as no number of neighbours shows all links of a crowded region
+   (copies of one text may be far from each other and near that text alone), the classes of
+   crowded regions that lie in several components, by an exact set-similarity join: a pair
+   similar enough shares one of the rarest shingles of each.
+
+Candidates of the trees whose labels agree in less than `percent` - `MARGIN` percent, six standard
+deviations under the similarity asked for, are not read; those of the exact join all are.
 
 A null text, or one without words, has the empty set and is linked with nothing.  Repeated
 rows are in one class.  A class's component is named by the smallest doc_id in it (null ids
@@ -45,20 +41,16 @@ from closeline.llm.word_hash import mixed, shingles
 TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 8
 #: Trees whose next neighbours are confirmed first.
 FIRST_TREES = 4
-#: Further orders for crowded regions, and their depth.
-DEEP_TREES, DEEP = 64, 12
 #: Ratio of the sizes in one bucket of the exact join.
 SIZE_STEP = 1.05
 #: Percent of labels by which a pair may fall short of the similarity before it is read.
-MARGIN = 16
+MARGIN = 24
 #: Shingles hashed together.
 BLOCK = 4096
 
 _rng = np.random.default_rng(11)
 FACTORS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-#: The places of the labels of every further order.
-DEEP_PLACES = np.stack([_rng.permutation(TREES * DEPTH)[:DEEP] for _ in range(DEEP_TREES)])
 
 
 def labels_of(hashes: np.ndarray) -> bytes:
@@ -146,51 +138,18 @@ def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def crowded(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(class, label, hub, hub_label) of the classes in crowded regions with several components.
+def crowded(classes: DataFrame) -> DataFrame:
+    """(class, label) of the classes in crowded regions that hold several components.
 
     `classes` has class, labels and label.  A region is counted by hash before its rows are
-    looked at; its hub, one row, is joined back to them.
+    looked at.
     """
-    degrees = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
-    known = classes.select("class", "labels", "label").join(degrees, "class", "left").na.fill(0, ["degree"])
-    rows = tree_rows(known).withColumn("region", F.xxhash64("tree", F.substring("labels", 1, 2 * LEAST_DEPTH)))
+    rows = tree_rows(classes.select("class", "labels", "label"))
+    rows = rows.withColumn("region", F.xxhash64("tree", F.substring("labels", 1, 2 * LEAST_DEPTH)))
     mark = F.xxhash64("label")
     sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
     regions = checkpointed(sizes.where(f"n > {REACH} AND low <> high").select("region"))
-    held = checkpointed(rows.join(regions, "region").select("region", "class", "label", "degree"))
-    hubs = held.groupBy("region").agg(F.max(F.struct("degree", "class", "label")).alias("hub"))
-    hubs = checkpointed(hubs.select("region", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label")))
-    return held.join(hubs, "region").select("class", "label", "hub", "hub_label")
-
-
-def _deep_pairs(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components near each other that share the least depth."""
-    trees, classes, components_ = (chunk[c].to_numpy() for c in ("tree", "class", "label"))
-    least = np.frombuffer(b"".join(chunk["labels"]), dtype=">u2").reshape(len(chunk), DEEP)[:, :LEAST_DEPTH]
-    parts = []
-    for step in range(1, REACH + 1):
-        alike = (trees[step:] == trees[:-step]) & (least[step:] == least[:-step]).all(axis=1)
-        at = np.flatnonzero(alike & (components_[step:] != components_[:-step]))
-        parts.append(pd.DataFrame({"a": classes[at], "b": classes[at + step]}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def deep_candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): candidates of the further orders among `classes` (class, labels, label)."""
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for i in range(0, len(whole), BLOCK):
-                batch = whole.iloc[i : i + BLOCK]
-                labels = np.frombuffer(b"".join(batch["labels"]), dtype=">u2").reshape(len(batch), TREES * DEPTH)
-                for tree, places in enumerate(DEEP_PLACES):
-                    cut = [row.tobytes() for row in labels[:, places]]
-                    yield pd.DataFrame({"tree": tree, "labels": cut, "class": batch["class"], "label": batch["label"]})
-
-    rows = classes.select("class", "labels", "label").mapInPandas(deal, "tree int, labels binary, class binary, label binary")
-    pairs = neighbour_pairs(rows, ["tree", "labels", "class"], _deep_pairs, REACH, "a binary, b binary")
-    return ordered_pairs(pairs).distinct()
+    return rows.join(regions, "region").select("class", "label").distinct()
 
 
 def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -252,14 +211,10 @@ def agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "labels_a", "labels_b").mapInPandas(agree, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int, by_labels: bool = True) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough.
-
-    `texts` has class, n_shingles, labels and a text of every class; texts are fetched last,
-    and unless `by_labels` is off only of the pairs that are `agreeing`.
-    """
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough; `texts` has class and text."""
     one, two = (texts.select(F.col("class").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
-    pairs = checkpointed(agreeing(pairs, texts, percent) if by_labels else pairs)
+    pairs = checkpointed(pairs.select("a", "b"))
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -287,26 +242,15 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -
     texts = joined(plain, needed, ["doc_id", "text_hash"]).dropDuplicates(["class"])
     texts = checkpointed(texts.select("class", "n_shingles", "labels", "text"))
     classes = texts.select("class", "labels")
-    links = checkpointed(confirmed(pairs.where("first"), texts, width, percent))
+    links = checkpointed(confirmed(agreeing(pairs.where("first"), texts, percent), texts, width, percent))
 
     early = checkpointed(with_components(classes, links))
-    packed = crowded(early, links).where("label <> hub_label")
-    spokes = ordered_pairs(packed.select(F.col("class").alias("a"), F.col("hub").alias("b"))).distinct()
-    links = checkpointed(links.unionByName(confirmed(spokes, texts, width, percent)))
-
-    middle = checkpointed(with_components(classes, links))
-    dense = crowded(middle, links).select("class").distinct()
-    deep = deep_candidates(middle.join(dense, "class"))
-    left, right = (middle.select("class", "label").toDF(n, f"label_{n}") for n in "ab")
-    apart = pairs.where("NOT first").select("a", "b").unionByName(deep).distinct()
-    apart = apart.join(left, "a").join(right, "b").where("label_a <> label_b").select("a", "b")
-    links = checkpointed(links.unionByName(confirmed(apart, texts, width, percent)))
-
-    late = checkpointed(with_components(classes, links))
-    dense = crowded(late, links).select("class", "label").distinct()
-    dense = checkpointed(texts.join(dense, "class").select("class", "label", "n_shingles", "text"))
+    left, right = (early.select("class", "label").toDF(n, f"label_{n}") for n in "ab")
+    apart = pairs.where("NOT first").select("a", "b").join(left, "a").join(right, "b")
+    apart = agreeing(apart.where("label_a <> label_b"), texts, percent)
+    dense = checkpointed(texts.join(crowded(early), "class").select("class", "label", "n_shingles", "text"))
     exact = exact_candidates(dense, width, percent)
-    links = checkpointed(links.unionByName(confirmed(exact, texts, width, percent, by_labels=False)))
+    links = checkpointed(links.unionByName(confirmed(apart.unionByName(exact).distinct(), texts, width, percent)))
     return components(links).withColumnRenamed("node", "class")
 
 
