@@ -7,14 +7,16 @@ candidates.  The depth adapts to the region: where few classes share the least p
 all are candidates of each other (at most `REACH` rows away), where many do, neighbours in
 the order, which share more labels, are.
 
-Candidates are confirmed on the full sets, remade from the texts, in two steps.
+Candidates are confirmed on the full sets, remade from the texts, in three steps; each gives
+components, and the next one looks only at classes that are not yet in one component, so
+large groups of copies are not compared pair by pair.
 
-1. The next neighbours of some trees.  Their links give components, and the next step only
-   looks at pairs of different ones, so large groups of copies are not compared pair by pair.
-2. All other candidates; and, as no number of neighbours shows all links of a crowded region
-   (copies of one text may be far from each other and near that text alone), the classes of
-   crowded regions that lie in several components, by an exact set-similarity join: a pair
-   similar enough shares one of the rarest shingles of each.
+1. The next neighbours of some trees.
+2. All other candidates, and hubs: copies of one text may be far from each other and near that
+   text alone, which no number of neighbours shows.  In every crowded region that holds several
+   components the class with the most links so far is compared with all others of the region.
+3. The classes of crowded regions that still lie in several components, by an exact
+   set-similarity join: a pair similar enough shares one of the rarest shingles of each.
 
 Candidates of the trees whose labels agree in less than `percent` - `MARGIN` percent, six standard
 deviations under the similarity asked for, are not read; those of the exact join all are.
@@ -43,6 +45,8 @@ TREES, DEPTH, LEAST_DEPTH, REACH = 16, 6, 3, 8
 FIRST_TREES = 4
 #: Ratio of the sizes in one bucket of the exact join.
 SIZE_STEP = 1.05
+#: Shingles in front of a shared one that tell whether a pair has met before.
+BEFORE = 4
 #: Percent of labels by which a pair may fall short of the similarity before it is read.
 MARGIN = 24
 #: Shingles hashed together.
@@ -138,18 +142,22 @@ def with_components(classes: DataFrame, links: DataFrame) -> DataFrame:
     return classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
-def crowded(classes: DataFrame) -> DataFrame:
-    """(class, label) of the classes in crowded regions that hold several components.
+def crowded(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, label, hub, hub_label) of the classes in crowded regions with several components.
 
     `classes` has class, labels and label.  A region is counted by hash before its rows are
-    looked at.
+    looked at; its hub, one row, is joined back to them.
     """
-    rows = tree_rows(classes.select("class", "labels", "label"))
-    rows = rows.withColumn("region", F.xxhash64("tree", F.substring("labels", 1, 2 * LEAST_DEPTH)))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("degree"))
+    known = classes.select("class", "labels", "label").join(degrees, "class", "left").na.fill(0, ["degree"])
+    rows = tree_rows(known).withColumn("region", F.xxhash64("tree", F.substring("labels", 1, 2 * LEAST_DEPTH)))
     mark = F.xxhash64("label")
     sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high"))
     regions = checkpointed(sizes.where(f"n > {REACH} AND low <> high").select("region"))
-    return rows.join(regions, "region").select("class", "label").distinct()
+    held = checkpointed(rows.join(regions, "region").select("region", "class", "label", "degree"))
+    hubs = held.groupBy("region").agg(F.max(F.struct("degree", "class", "label")).alias("hub"))
+    hubs = checkpointed(hubs.select("region", F.col("hub.class").alias("hub"), F.col("hub.label").alias("hub_label")))
+    return held.join(hubs, "region").select("class", "label", "hub", "hub_label")
 
 
 def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -159,6 +167,7 @@ def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
     one order of all shingles, the rarest first, one of the first n - that + 1 is shared.
     Classes meet by such a shingle and the buckets of both sizes, whose least partner size
     bounds the number of shingles; the places of a shared shingle bound what may follow.
+    Where they also share one of the `BEFORE` shingles in front of it, they have met by that.
     """
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,8 +181,11 @@ def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
     # Shingles of one holder come first and match nothing; their number is the places before the others.
     shared = spelled.join(often, "shingle")
     by_class = Window.partitionBy("class")
-    place = F.row_number().over(by_class.orderBy("holders", "shingle")) + F.col("n") - F.count("*").over(by_class)
-    rows = shared.withColumn("place", place).drop("holders")
+    ordered = by_class.orderBy("holders", "shingle")
+    place = F.row_number().over(ordered) + F.col("n") - F.count("*").over(by_class)
+    # Where two classes share a shingle just before this one, they have met by it already.
+    before = F.collect_list("shingle").over(ordered.rowsBetween(-BEFORE, -1))
+    rows = shared.withColumns({"place": place, "before": before}).drop("holders")
 
     def bucket(size: str) -> str:
         return f"cast(floor(ln({size}) / ln({SIZE_STEP}D)) AS int)"
@@ -184,7 +196,7 @@ def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
     partner = f"greatest({least}, cast(floor(pow({SIZE_STEP}D, other)) AS bigint))"
     rows = rows.where(F.expr(f"place <= n + 1 - ({percent} * (n + {partner}) + {99 + percent}) div {100 + percent}"))
     rows = rows.withColumn("key", F.xxhash64("shingle", F.least("bucket", "other"), F.greatest("bucket", "other")))
-    rows = rows.select("key", "class", "n", "place", "bucket", "other").join(classes.select("class", "label"), "class")
+    rows = rows.select("key", "class", "n", "place", "before", "bucket", "other").join(classes.select("class", "label"), "class")
     rows = checkpointed(rows)
     mark = F.xxhash64("label")
     mixed_keys = rows.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high")
@@ -192,6 +204,7 @@ def exact_candidates(classes: DataFrame, width: int, percent: int) -> DataFrame:
     one, two = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
     both = one.join(two, "key").where("class_a < class_b AND label_a <> label_b AND bucket_a = other_b AND bucket_b = other_a")
     both = both.where(f"{100 + percent} * (1 + least(n_a - place_a, n_b - place_b)) >= {percent} * (n_a + n_b)")
+    both = both.where(~F.arrays_overlap("before_a", "before_b"))
     return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -245,12 +258,18 @@ def linked_classes(docs: DataFrame, rows: DataFrame, width: int, percent: int) -
     links = checkpointed(confirmed(agreeing(pairs.where("first"), texts, percent), texts, width, percent))
 
     early = checkpointed(with_components(classes, links))
+    spokes = crowded(early, links).where("label <> hub_label")
+    spokes = ordered_pairs(spokes.select(F.col("class").alias("a"), F.col("hub").alias("b")))
     left, right = (early.select("class", "label").toDF(n, f"label_{n}") for n in "ab")
     apart = pairs.where("NOT first").select("a", "b").join(left, "a").join(right, "b")
-    apart = agreeing(apart.where("label_a <> label_b"), texts, percent)
-    dense = checkpointed(texts.join(crowded(early), "class").select("class", "label", "n_shingles", "text"))
+    apart = apart.where("label_a <> label_b").select("a", "b").unionByName(spokes).distinct()
+    links = checkpointed(links.unionByName(confirmed(agreeing(apart, texts, percent), texts, width, percent)))
+
+    late = checkpointed(with_components(classes, links))
+    dense = crowded(late, links).select("class", "label").distinct()
+    dense = checkpointed(texts.join(dense, "class").select("class", "label", "n_shingles", "text"))
     exact = exact_candidates(dense, width, percent)
-    links = checkpointed(links.unionByName(confirmed(apart.unionByName(exact).distinct(), texts, width, percent)))
+    links = checkpointed(links.unionByName(confirmed(exact, texts, width, percent)))
     return components(links).withColumnRenamed("node", "class")
 
 
