@@ -45,6 +45,7 @@ from closeline.operators.calendar import Clock
 from closeline.operators.copies import COPIES, counted, spelt_out, with_copies
 from closeline.operators.extracts import first_term_sheets
 from closeline.operators.facts import (
+    FOLLOW_UP_FACTS,
     LEGAL_MASK,
     LOAN_MASK,
     REVIEW_MASK,
@@ -64,6 +65,7 @@ from closeline.operators.facts import (
     valuation_facts,
     with_valuation_rows,
 )
+from closeline.operators.reducers import reduced
 
 Tables = Mapping[str, DataFrame]
 Label = Callable[[Clock], str]
@@ -479,7 +481,23 @@ def meeting_first_calls(df: DataFrame, clock: Clock) -> DataFrame:
     return rows.withColumn(COPIES, F.col(COPIES) * F.col("met")).drop("open_calls", "calls", "met")
 
 
-def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> DataFrame:
+def children_of(kpi: Kpi) -> set[str]:
+    """Tables hanging off an application that a KPI reads by its key."""
+    found = {"legal_closing_informations"} if kpi.legal else set()
+    if kpi.terms:
+        found.add("term_sheets")
+    if kpi.loan_facts or kpi.valuations:
+        found.add("loans")
+    if any(group in FOLLOW_UP_FACTS for group in kpi.loan_facts):
+        found.add("loan_follow_ups")
+    if kpi.valuations:
+        found |= {"properties", "property_valuations"}
+    return found
+
+
+def classify(
+    tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row", *, reduce_up_to: int = 0
+) -> DataFrame:
     """Label the applications one KPI covers: (key, label).
 
     Only the applications in the scope of the KPI are read.  Child tables are reduced
@@ -487,11 +505,16 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     records and review dates to one row per application and set of facts, with the
     number of rows it stands for.  Those numbers are multiplied where the tables meet
     and the rows spelt out at the end; valuations are not reduced at all.
+
+    With `reduce_up_to`, the applications are counted first, and if they are at most that
+    many their ids thin the child tables before these are shuffled.
     """
     if grain not in ("row", "application"):
         raise ValueError(f"unknown grain {grain!r}")
     by_row = grain == "row"
     df = tables["applications"].filter(bare(kpi.scope)).withColumnRenamed("id", "application_id")
+    if reduce_up_to:
+        tables = reduced(tables, df, reduce_up_to, *children_of(kpi))
     if kpi.terms:
         df = with_terms(tables, df)
     if kpi.product:
@@ -512,8 +535,8 @@ def classify(tables: Tables, clock: Clock, kpi: Kpi, grain: str = "row") -> Data
     if kpi.loan_facts:
         masks[LOAN_MASK] = loan_facts(clock, kpi.loan_facts)
         loans = loan_rows(tables, clock, kpi.loan_facts)
-        reduced = counted if by_row else any_child
-        children[LOAN_MASK] = reduced(loans, "application_id", LOAN_MASK)
+        combined = counted if by_row else any_child
+        children[LOAN_MASK] = combined(loans, "application_id", LOAN_MASK)
     for child in children.values():
         df = df.join(child, "application_id", "left")
     if by_row and children:

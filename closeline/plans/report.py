@@ -38,6 +38,7 @@ from closeline.operators.facts import (
     unpack,
     valuation_facts,
 )
+from closeline.operators.reducers import reduced
 from closeline.plans.closings import named_contacts, on_team
 
 Tables = Mapping[str, DataFrame]
@@ -181,10 +182,27 @@ def _report(df: DataFrame, clock: Clock) -> DataFrame:
     return df.withColumn("as_of_ts", F.expr(clock.as_of_ts)).select(*REPORT_COLUMNS)
 
 
+CHILDREN = (
+    "loans",
+    "loan_follow_ups",
+    "properties",
+    "property_valuations",
+    "legal_closing_informations",
+    "term_sheets",
+    "borrowers",
+)
+
+
 def application_report(
-    tables: Tables, clock: Clock, team: str = COORDINATOR_TEAM
+    tables: Tables, clock: Clock, team: str = COORDINATOR_TEAM, *, reduce_up_to: int = 0
 ) -> DataFrame:
-    """One row per reported application."""
+    """One row per reported application.
+
+    With `reduce_up_to`, the reported applications are counted first, and if they are at
+    most that many their ids thin the child tables before these are shuffled.
+    """
+    if reduce_up_to:
+        tables = reduced(tables, reported_applications(tables, team), reduce_up_to, *CHILDREN)
     by_application = loan_frame(tables, clock).groupBy("application_id").agg(
         F.min_by("display", "loan_id").alias("display"),
         F.bit_or(LOAN_MASK).alias(LOAN_MASK),

@@ -573,6 +573,9 @@ def oracle_queries() -> dict[str, str]:
     queries["application_report_several_loans"] = shared.sql(report)
     queries["application_report_rows"] = shared.sql("SELECT * FROM report_by_loan")
 
+    for key in ("closing_kpi", "title_follow_up_kpi", "cda_kpi", "application_report"):
+        queries[f"{key}_reduced"] = queries[key]
+
     # Several legal records and stage dates of an application, joined as they are.
     recorded = Oracle(day, second_loans=True, repeated_records=True)
     for key, relation in RECORD_KEYS.items():
