@@ -10,6 +10,7 @@ import re
 import string
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -386,6 +387,35 @@ def test_toxicity_of_few_short_texts(spark):
     assert len(got) > 30 and all(r.predicted == int(r.doc_id < 60) for r in got)
 
 
+def test_stretches_join_telling_grams():
+    telling = np.sort(np.unique(np.concatenate([toxicity.packed(w, toxicity.GRAM) for w in (b" idiot ", b"moron of")])))
+    text = b"such an idiot or a moron of sorts, idiot"
+    assert toxicity.stretches(text, telling) == {b" idiot ", b"moron of", b" idiot"}
+    assert toxicity.stretches(b"", telling) == set() == toxicity.stretches(b"short", telling)
+    assert toxicity.packed(b"abcdefgh", 6).tolist() == [int.from_bytes(b"abcdefgh"[i : i + 6], "big") for i in range(3)]
+
+
+def test_near_copies_do_not_fill_a_dictionary(spark):
+    """A toxic text in 200 near copies counts once; the words of the 40 others are learned."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 7))) for _ in range(500)]
+    copied = rng.choices(words, k=80)
+
+    def text(i):
+        if i < 200:
+            return " ".join([*copied[:-1], f"copy{i}"])
+        found = rng.choices(words, k=80)
+        if i < 240:
+            found[rng.randrange(80)] = rng.choice(["wretched", "repulsive"])
+        return " ".join(found)
+
+    rows = [(i, text(i), int(i < 240)) for i in range(500)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("text_hash", F.xxhash64("text"))
+    toxic, ordinary = toxicity.trained(texts.select("doc_id", "text_hash", "toxic", "text"))
+    assert b"wretched" in toxic and b"repulsive" in toxic and " ".join(copied[:6]).encode() not in toxic
+    assert b"wretched" not in ordinary
+
+
 # 9
 
 
