@@ -36,6 +36,8 @@ SHARD_BLOCKS = 8192
 CHUNKS = 256
 #: Slots made from one row at a time.
 SPREAD = 4096
+#: Slots made in one task, as long as there are not too many tasks; beyond that tasks make more.
+TASK_SLOTS, MOST_TASKS = 1 << 18, 20_000
 #: Fixed value: a prime above any number of blocks, so prime to it, as are its powers.
 PRIME = (1 << 61) - 1
 
@@ -85,9 +87,10 @@ def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 0) -> DataFrame:
     """(number, slot, shard, block, take): the block of every slot, and its words to take."""
-    total = quota.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots")).scalar()
+    total = quota.agg(F.sum("slots").alias("slots")).first().slots or 0
     spread = quota.where("slots > 0").withColumn("group", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SPREAD})")))
-    spread = spread.repartition("number", "group")
+    # The rows are few now and many slots later: a stated number keeps them from being merged into one task.
+    spread = spread.repartition(min(MOST_TASKS, max(1, -(-total // TASK_SLOTS))), "number", "group")
     last = F.least(F.lit(SPREAD), F.col("slots") - F.col("group") * SPREAD) - 1
     each = spread.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.col("group") * SPREAD + i)))
     each = each.withColumn("pass", F.expr("slot div n")).withColumn("i", F.expr("slot % n"))
@@ -99,7 +102,7 @@ def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int =
     each = each.withColumn("a", F.expr(step))
     block = f"cast((({whole.format('a')} * (i + 1)) + n - 1) % n AS bigint)"
     take = f"if(pass < passes, {block_words}L, least({block_words}L, part - i * {block_words}))"
-    shard = F.pmod(F.xxhash64(F.lit(seed), "number", "slot"), F.greatest(F.lit(1), F.ceil(total / F.lit(shard_blocks))))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "number", "slot"), F.lit(max(1, -(-total // shard_blocks))))
     return each.select("number", "slot", shard.alias("shard"), F.expr(block).alias("block"), F.expr(take).alias("take"))
 
 
