@@ -32,7 +32,7 @@ from closeline.operators.extracts import (
     served_reviews,
     stage_rows,
 )
-from closeline.operators.joins import left_join_chain
+from closeline.operators.joins import left_join_salted
 
 Tables = Mapping[str, DataFrame]
 Facts = dict[str, str]
@@ -235,18 +235,20 @@ def loan_rows(
 def with_valuation_rows(tables: Tables, clock: Clock, apps: DataFrame) -> DataFrame:
     """A row per application, loan, property and valuation, with valuation facts.
 
-    Joined from the application down, so that a filter on it thins every step.
+    Joined from the application down, so that a filter on it thins every step.  Hot
+    applications, loans and properties are split by the children's ids; valuations have
+    none and are numbered where they are read, which a second run of a task repeats.
     """
     loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
     properties = tables["properties"].selectExpr("id AS property_id", "loan_id")
     valuations = clock.attach(tables["property_valuations"]).selectExpr(
         "property_id", "appraisal_received_date", pack(valuation_facts(clock), VALUATION_MASK)
     )
-    return left_join_chain(
+    return left_join_salted(
         apps,
-        (loans, "application_id"),
-        (properties, "loan_id"),
-        (valuations, "property_id"),
+        (loans, "application_id", F.col("loan_id")),
+        (properties, "loan_id", F.col("property_id")),
+        (valuations, "property_id", F.monotonically_increasing_id()),
     )
 
 

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from closeline.operators import copies
 from closeline.operators import kpis as k
 from closeline.operators.extracts import latest_follow_ups
-from closeline.operators.joins import left_join_hot_right
+from closeline.operators.joins import left_join_hot_right, left_join_salted
 from closeline.plans import closings, forecast, report
 from closeline.sources.schemas import SCHEMAS
 from closeline.sources.tables import from_catalog, from_files, from_frames
@@ -306,6 +306,49 @@ def test_left_join_keeps_rows_without_a_key(spark):
     assert sorted(map(str, found.select("n", "k", "v").collect())) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("heavy", [1, 2, 100])
+def test_salted_left_joins_are_plain_ones(spark, heavy):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, None), (5, "c")], "n int, k string")
+    rows = [("b", v) for v in (7, 7, 8, None)] + [(None, 9), ("x", 5), ("c", 1)]
+    right = spark.createDataFrame(rows, "k string, v int")
+    below = spark.createDataFrame([(7, i) for i in range(5)] + [(1, 0), (None, 1)], "v int, w int")
+    expected = left.join(right, "k", "left").join(below, "v", "left").select("n", "k", "v", "w")
+    found = left_join_salted(
+        left,
+        (right, "k", F.monotonically_increasing_id()),
+        (below, "v", F.col("w")),
+        heavy=heavy,
+    )
+    assert found.columns == ["v", "k", "n", "w"]
+    assert Counter(found.select("n", "k", "v", "w").collect()) == Counter(expected.collect())
+    for empty in (left.limit(0), left):
+        rights = right if empty.isEmpty() else right.limit(0)
+        found = left_join_salted(empty, (rights, "k", F.col("v")), heavy=heavy)
+        assert found.count() == empty.count()
+
+
+def test_a_heavy_application_is_dealt_to_several_tasks(spark, small_partitions):
+    tables = hot_loans(spark)
+    applications = tables["applications"].selectExpr("id AS application_id")
+    loans = tables["loans"].selectExpr("application_id", "id AS loan_id")
+    step = (loans, "application_id", F.col("loan_id"))
+    for heavy, tasks in ((1 << 20, 1), (1 << 12, 2)):
+        joined = left_join_salted(applications, step, heavy=heavy).filter("application_id = 1")
+        dealt = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in dealt) == 66_668
+        assert len(dealt) >= tasks
+        if tasks > 1:
+            assert max(r["count"] for r in dealt) < 66_668 / 2
+
+
+def test_appraisal_rows_join_each_table_once(spark, stored, clock):
+    df = k.classify(from_files(spark, stored), clock(), k.CDA)
+    text = plan(df)
+    assert "Union" not in text
+    joins = re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[\w+#\d+L?, _part", text)
+    assert len(joins) == 3
+
+
 def test_a_hot_application_reaches_the_shuffle_combined(spark, clock):
     """Per application grain, no task sees more than a row per map task of it."""
     tables = hot_loans(spark, 30_000)
