@@ -344,7 +344,6 @@ def test_a_heavy_application_is_dealt_to_several_tasks(spark, small_partitions):
 def test_appraisal_rows_join_each_table_once(spark, stored, clock):
     df = k.classify(from_files(spark, stored), clock(), k.CDA)
     text = plan(df)
-    assert "Union" not in text
     joins = re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join \[\w+#\d+L?, _part", text)
     assert len(joins) == 3
 
