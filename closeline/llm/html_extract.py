@@ -7,9 +7,12 @@ tags negative.  One linear scan finds the contiguous run with the largest sum: t
 Words in elements that are never content (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) score a little below zero anywhere, and are left
 out of the run's text; tags in such elements do not score.  An element is such by its
-name or by a whole word of its class, id or role, articles and mains by none; where only a
-part of such a word says so, as in `header-large`, its words score half as well and are
-shown.  Elements whose end tag may be left out (`OPTIONAL`) end as HTML says.
+name or by a whole word of its class, id or role; by the first or last part of such a word
+where the part is plain (`PLAIN`), as in `comment-list` or `postComments`, unless another one
+turns it into a remark (`REMARKS`), as in `with-comments`; else, as in `header-large`, its
+words score half as well and are shown.  The page's first article and mains are never such;
+later articles are by their class, and in such elements stay so, as readers' comments do.
+Elements whose end tag may be left out (`OPTIONAL`) end as HTML says.
 
 At most `LABELLED_PAGES` pages train the weights, the first by hash of the id; every page
 is extracted from the whole of its HTML.  The driver gets a score per known tag and kind.
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closeline.llm.common import joined
+from closeline.llm.common import checkpointed, first_by, joined
 
 #: Pages the weights are fitted on.
 LABELLED_PAGES = 2000
@@ -54,10 +57,20 @@ RESTART = ("article", "main")
 #: Words of class, id and role attributes that mark such elements.
 MARKS = (
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment "
-    "comments consent cookie cookies disqus footer gdpr header menu menubar modal nav "
+    "commentlist comments consent cookie cookies disqus footer gdpr header menu menubar modal nav "
     "navbar navigation newsletter notice notices notification popup promo promoted related "
     "replies reply share sharing sidebar social sponsor sponsored subscribe toolbar widget"
 ).split()
+#: Marks that as the first or last part of a word say the same, and parts that
+#: make such a word a remark about the content.
+PLAIN = frozenset(
+    "ad ads advert advertisement breadcrumb breadcrumbs comment commentlist comments consent "
+    "cookie cookies disqus gdpr newsletter notice notices related replies reply share sharing "
+    "social sponsored subscribe".split()
+)
+REMARKS = frozenset(
+    "allow and closed disabled enabled has hide is no not off on open show with without".split()
+)
 
 #: Fixed values of HTML: elements without content, elements whose end tag may be left out,
 #: tags that end an open p, and for other tags the elements they end, up to which one.
@@ -88,7 +101,8 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 #: Kinds of blocks and tags the weights know.
 KNOWN = frozenset(
@@ -98,14 +112,19 @@ KNOWN = frozenset(
 
 
 def _mark(attributes: str) -> str:
-    """never where a whole word of class, id or role is a mark, marked where a part of one is, else empty."""
+    """never where a word of class, id or role is a mark, marked where a part of one is, else empty."""
     found = ""
-    for value in ATTRIBUTE.findall(attributes):
-        value = value.lower()
-        if not set(value.strip("\"'").split()).isdisjoint(MARKS):
-            return "never"
-        if not set(re.split(r"[^a-z0-9]+", value)).isdisjoint(MARKS):
-            found = "marked"
+    for name, value in ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        for word in value.strip("\"'").split():
+            if word.lower() in MARKS:
+                return "never"
+            parts = [part.lower() for part in PART.findall(word)]
+            if parts and not PLAIN.isdisjoint((parts[0], parts[-1])) and REMARKS.isdisjoint(parts):
+                return "never"
+            if not set(parts).isdisjoint(MARKS):
+                found = "marked"
     return found
 
 
@@ -148,6 +167,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     edge a tag in or around it; marked is text in an element that a part of a word marks.
     """
     never, marked, block = Region(), Region(), "body"
+    later = False
     for m in TOKEN.finditer(page):
         if m["text"] is not None:
             yield ("never" if never.open else "marked" if marked.open else "text", block, m["text"])
@@ -157,7 +177,7 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
             hidden = bool(never.open)
             for region in (never, marked):
                 if region.open:
-                    if not ends and name in RESTART:
+                    if not ends and name in RESTART and not (later and region is never):
                         region.open.clear()
                     elif ends:
                         region.end(name)
@@ -167,13 +187,14 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
                         region.open.append(name)
             if not ends:
                 hidden = bool(never.open)
-                if not hidden and name not in ("body", "html", *RESTART):
+                if not hidden and (name not in ("body", "html", *RESTART) or later and name == "article"):
                     mark = "never" if name in NEVER else _mark(m["attributes"])
                     hidden = mark == "never" and opens
                     if hidden:
                         never.open.append(name)
-                    elif mark == "marked" and opens and not marked.open:
+                    elif mark == "marked" and opens and not marked.open and name != "article":
                         marked.open.append(name)
+                later = later or name == "article"
             if hidden:
                 yield "edge", name, ""
             elif name in INLINE:
@@ -212,11 +233,11 @@ def _marked_article(page: str) -> str:
 def fitted(pages: DataFrame, most: int = LABELLED_PAGES) -> dict[tuple[str, str], float]:
     """Scores by (word or tag, kind), from pages with one marked article."""
     labelled = pages.select("page_id", "html").where(F.regexp_count("html", F.lit("(?i)<article[ >]")) == 1)
-    keyed = labelled.withColumn("place", F.xxhash64("page_id"))
-    # Ids are sorted before the pages of the first few are fetched.
-    first = keyed.select("place", "page_id").orderBy("place", "page_id").limit(most).distinct()
-    chosen = joined(keyed, F.broadcast(first), ["place", "page_id"], "left_semi")
-    sample = chosen.orderBy("place", "page_id").limit(most).select("html")
+    labelled = labelled.withColumn("html_hash", F.xxhash64("html"))
+    key = ["page_id", "html_hash"]
+    # Pages are chosen by hash before they are fetched.
+    first = first_by(checkpointed(labelled.select(key).distinct()), key, most)
+    sample = joined(labelled, F.broadcast(first), key, "left_semi").dropDuplicates(key).select("html")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()

@@ -118,12 +118,31 @@ def test_extraction_of_odd_pages(spark):
         ("<article><dl><dt class=ad>Buy<dd>one two three</dl><p>four five six</article>", "one two three four five six"),
         ("<article><table><tr><td class=ad>Buy<td>one two three<tr class=promo><td>Get<tr><td>four five</table></article>", "one two three four five"),
         ("<article><p>one two three<span class=ad><span>a</span> b</span> four</p></article>", "one two three four"),
+        ("<article><p>one two three<section class='comment-list'><p>I like it</section></article>", "one two three"),
+        ("<article><p>one two three<div id='comments-area'><p>I like it</div></article>", "one two three"),
+        ("<article><p>one two three<ol class=commentlist><li>I like it<li>So do I</ol></article>", "one two three"),
+        ("<article><p>one two three<article class='comment'><p>I like it</article> four</article>", "one two three four"),
+        ("<article><p>one two three</article><section class=comments><article><p>I like it very much</article></section>", "one two three"),
+        ("<article><p>one two three</article><article class='comment reply'><p>I like it very much</article>", "one two three"),
+        ("<article><div class='cookie-banner'>We use some</div><p>one two three</article>", "one two three"),
+        ("<article><p>one two three<div class='relatedPosts'><a href=x>Four more</a></div></article>", "one two three"),
+        ("<article><p>one two three<ul class='post-comments'>" + "<li>I like it" * 40 + "</ul></article>", "one two three"),
+        ("<article><p data-id='share'>one two</p><div data-role=banner>three</div></article>", "one two three"),
+        ("<article><p title='a class=ad b'>one two</p><div class='article-with-comments'>three</div></article>", "one two three"),
+        ("<header class=ad><article><p>one two three</article>", "one two three"),
+        ("<body class='comments-open'><article class='comments-closed'><p>one two three</article>", "one two three"),
     ],
 )
 def test_extraction_beside_marked_elements(page, text):
     assert html_extract.extracted(page, {}) == text
 
 
+def test_extraction_of_a_long_page():
+    words = " ".join(f"w{i}" for i in range(300_000))
+    page = f"<nav>Home</nav><article><p>{words.replace(' w150000 ', '</p><p>w150000 ')}</p></article><div class='comment-list'>{'<p>No</p>' * 50_000}</div>"
+    assert html_extract.extracted(page, {}) == words
+
+
 # 2
 
 
