@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closeline.llm.common import joined
+from closeline.llm.common import checkpointed, first_by, joined
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters a window shows, and how far the next one is.
@@ -323,11 +323,11 @@ def spans_of(texts: list[str], w: Weights | None) -> list[tuple[list[Span], list
 def fitted(docs: DataFrame) -> Weights | None:
     """Weights trained on a bounded sample of windows, or None without windows."""
     texts = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
-    keyed = texts.withColumn("place", F.xxhash64("doc_id", "text"))
-    # Ids are sorted before the texts of the first few are fetched.
-    first = keyed.select("place", "doc_id").orderBy("place", "doc_id").limit(TRAIN_TEXTS).distinct()
-    chosen = joined(keyed, F.broadcast(first), ["place", "doc_id"], "left_semi")
-    sample = chosen.orderBy("place", "doc_id").limit(TRAIN_TEXTS).select("text")
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "text_hash"]
+    # Texts are chosen by hash before they are fetched.
+    first = first_by(checkpointed(texts.select(key).distinct()), key, TRAIN_TEXTS)
+    sample = joined(texts, F.broadcast(first), key, "left_semi").dropDuplicates(key).select("text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -338,7 +338,8 @@ def fitted(docs: DataFrame) -> Weights | None:
                 rows, marks = window_rows(encoded(text), at), window_rows(labels, at)
                 yield pd.DataFrame({"ids": rows.tolist(), "labels": marks.tolist()})
 
-    rows = sample.mapInPandas(cut, "ids array<int>, labels array<int>").limit(TRAIN_WINDOWS).collect()
+    cuts = sample.mapInPandas(cut, "ids array<int>, labels array<int>")
+    rows = cuts.orderBy(F.xxhash64("ids", "labels"), "ids", "labels").limit(TRAIN_WINDOWS).collect()
     if not rows:
         return None
     rows.sort()
