@@ -28,24 +28,77 @@ def _newest(kind: str) -> Column:
     return F.max(F.when(F.col("type") == kind, rank))
 
 
-def latest_follow_up(follow_ups: DataFrame, kind: str) -> DataFrame:
-    """Newest follow-up of one kind per loan: (loan_id, date, via, row_num)."""
-    newest = (
-        follow_ups.filter(F.col("type") == kind)
-        .groupBy("loan_id")
-        .agg(_newest(kind).alias("newest"))
-    )
-    return newest.select(
-        "loan_id", "newest.date", "newest.via", F.lit(1).alias("row_num")
-    )
+# Most values of `via` that have a newest date of their own in `latest_follow_ups`.
+MOST_VIAS = 8
 
 
-def latest_follow_ups(follow_ups: DataFrame) -> DataFrame:
-    """Newest title and borrower follow-up per loan, in one pass."""
-    newest = (
-        follow_ups.filter(F.col("type").isin(TITLE, BORROWER))
-        .groupBy("loan_id")
-        .agg(_newest(TITLE).alias("title"), _newest(BORROWER).alias("borrower"))
+def via_values(follow_ups: DataFrame) -> list[str] | None:
+    """All values of `via` in order, if there are at most `MOST_VIAS`; reads that column."""
+    vias = follow_ups.select("via").filter("via IS NOT NULL").distinct()
+    found = [r.via for r in vias.limit(MOST_VIAS + 1).collect()]
+    return sorted(found, key=str.encode) if len(found) <= MOST_VIAS else None
+
+
+def _newest_by_via(follow_ups: DataFrame, kinds: Mapping[str, str], vias: list[str]) -> DataFrame:
+    """(loan_id, <kind>_date, <kind>_via, ...): what `_newest` gives, from a newest date per via.
+
+    Dates and a bit per via for follow-ups without one have buffers of fixed width, so the
+    aggregate hashes where one of a text sorts.
+    """
+    place = F.when(F.col("via").isNull(), 0)
+    for i, via in enumerate(vias, 1):
+        place = place.when(F.col("via") == via, i)
+    place = place.otherwise(F.raise_error(F.lit("via is not in vias"))).cast("int")
+    rows = follow_ups.select("loan_id", "type", "date", place.alias("place"))
+    places = range(len(vias), -1, -1)
+    aggregates = []
+    for name, kind in kinds.items():
+        ours = F.col("type") == kind
+        bit = F.when(ours & F.col("date").isNull(), F.expr("shiftleft(1, place)"))
+        aggregates.append(F.bit_or(bit).alias(f"{name}_undated"))
+        for i in places:
+            aggregates.append(F.max(F.when(ours & (F.col("place") == i), F.col("date"))).alias(f"{name}_{i}"))
+    newest = rows.groupBy("loan_id").agg(*aggregates)
+    shown = []
+    for name in kinds:
+        undated = F.col(f"{name}_undated")
+        dates = [F.col(f"{name}_{i}") for i in places]
+        last = F.greatest(*dates) if len(dates) > 1 else dates[0]
+        via = F.when(F.lit(False), F.lit(""))
+        for i in places:
+            value = F.lit(vias[i - 1] if i else None)
+            via = via.when(undated.bitwiseAND(F.lit(1 << i)) != 0, value)
+        for i, date in zip(places, dates):
+            value = F.lit(vias[i - 1] if i else None)
+            via = via.when(date == last, value)
+        shown += [F.when(undated.isNull(), last).alias(f"{name}_date"), via.alias(f"{name}_via")]
+    return newest.select("loan_id", *shown)
+
+
+def latest_follow_up(
+    follow_ups: DataFrame, kind: str, vias: list[str] | None = None
+) -> DataFrame:
+    """Newest follow-up of one kind per loan: (loan_id, date, via, row_num).
+
+    With `vias`, all values of `via` in order (`via_values`), it need not sort.
+    """
+    rows = follow_ups.filter(F.col("type") == kind)
+    if vias is not None:
+        newest = _newest_by_via(rows, {"newest": kind}, vias)
+        columns = ("newest_date AS date", "newest_via AS via")
+    else:
+        newest = rows.groupBy("loan_id").agg(_newest(kind).alias("newest"))
+        columns = ("newest.date", "newest.via")
+    return newest.selectExpr("loan_id", *columns, "1 AS row_num")
+
+
+def latest_follow_ups(follow_ups: DataFrame, vias: list[str] | None = None) -> DataFrame:
+    """Newest title and borrower follow-up per loan, in one pass; `vias` as above."""
+    rows = follow_ups.filter(F.col("type").isin(TITLE, BORROWER))
+    if vias is not None:
+        return _newest_by_via(rows, {"title": TITLE, "borrower": BORROWER}, vias)
+    newest = rows.groupBy("loan_id").agg(
+        _newest(TITLE).alias("title"), _newest(BORROWER).alias("borrower")
     )
     return newest.select(
         "loan_id",

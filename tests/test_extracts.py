@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from closeline.operators import extracts
 
 from .conftest import at_noon, labels
@@ -53,6 +55,37 @@ def test_both_kinds_in_one_pass(lending):
     }
 
 
+def test_hashed_follow_ups_are_the_sorted_ones(spark):
+    """Dates over all years, on the microsecond, in gaps of daylight saving, and none."""
+    dates = [
+        "0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "1970-01-01 00:00:00",
+        "2024-03-31 02:30:00.000001", "2024-03-31 03:30:00", "9999-12-31 23:59:59.999999", None,
+    ]
+    vias = ["", "A", "a", "z", "\uffee", "\U0001f600", None]
+    rows = [(d, v) for d in dates for v in vias]
+    rows = [(n * 10 + i % 4, *rows[i], t) for n, t in enumerate(("title", "borrower", "x")) for i in range(len(rows))]
+    rows += [(100 + i, d, v, "title") for i, (d, v) in enumerate((d, v) for d in dates for v in vias)]
+    plain = spark.createDataFrame(rows, "loan_id long, date string, via string, type string")
+    follow_ups = plain.withColumn("date", plain.date.cast("timestamp_ntz"))
+    known = extracts.via_values(follow_ups)
+    assert known == ["", "A", "a", "z", "\uffee", "\U0001f600"]
+    for build in (
+        lambda vias: extracts.latest_follow_up(follow_ups, "title", vias),
+        lambda vias: extracts.latest_follow_ups(follow_ups, vias),
+    ):
+        hashed, sorting = build(known), build(None)
+        assert hashed.schema.simpleString() == sorting.schema.simpleString()
+        assert sorted(map(str, hashed.collect())) == sorted(map(str, sorting.collect()))
+        text = hashed._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and "HashAggregate" in text
+    none = extracts.latest_follow_up(follow_ups.limit(0), "title", [])
+    assert none.count() == 0 and extracts.via_values(follow_ups.limit(0)) == []
+    many = spark.range(32).selectExpr("CAST(id AS string) AS via")
+    assert extracts.via_values(many) is None
+    with pytest.raises(Exception, match="via is not in vias"):
+        extracts.latest_follow_up(follow_ups, "title", ["a"]).collect()
+
+
 def test_initial_terms_date(lending):
     sheet = "TermSheet::InitialTerms"
     tables = lending(
