@@ -108,7 +108,7 @@ def slots(quota: DataFrame, block_words: int = BLOCK_WORDS, shard_blocks: int =
 
 def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """`sizes` with its source's columns and `start`, the words before it in the stream."""
-    leaf = f"pmod(coalesce(doc_id, 0L), {CHUNKS * CHUNKS}L)"
+    leaf = f"pmod(coalesce(doc_id, text_hash), {CHUNKS * CHUNKS}L)"
     rows = joined(sizes, sources, ["source"]).withColumn("leaf", F.expr(leaf))
     rows = rows.withColumn("top", F.expr(f"leaf div {CHUNKS}"))
     leaves = rows.groupBy("number", "top", "leaf").agg(F.sum("size").alias("words"))
