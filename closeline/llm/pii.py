@@ -19,8 +19,9 @@ training windows there are only base spans.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STEP = 64, 32
 TRAIN_TEXTS, TRAIN_WINDOWS = 2000, 4000
 EMBEDDING, HIDDEN, STEPS, BATCH, RATE = 12, 16, 160, 48, 0.02
+#: Windows decoded together.
+DECODED = 512
 #: O, then B and I of every kind.
 LABELS = 1 + 2 * len(KINDS)
 #: Padding, ASCII, other letters, all else.
@@ -109,8 +112,7 @@ def starts(text: str) -> list[int]:
 
 
 def window_rows(codes: np.ndarray, at: list[int]) -> np.ndarray:
-    padded = np.zeros(max(WINDOW, len(codes)), dtype=np.int64)
-    padded[: len(codes)] = codes
+    padded = codes if len(codes) >= WINDOW else np.pad(codes, (0, WINDOW - len(codes)))
     return np.stack([padded[s : s + WINDOW] for s in at])
 
 
@@ -253,9 +255,9 @@ def best_paths(ids: np.ndarray, w: Weights) -> np.ndarray:
 # ---- reconciling -------------------------------------------------------------
 
 
-def reconciled(length: int, at: list[int], paths: np.ndarray) -> np.ndarray:
+def reconciled(length: int, at: list[int], paths: Iterable[np.ndarray]) -> np.ndarray:
     """Labels of a text: each character as its most central window has it, else 0."""
-    labels, depth = np.zeros(length, dtype=np.int64), np.full(length, -1)
+    labels, depth = np.zeros(length, dtype=np.int8), np.full(length, -1, dtype=np.int8)
     place = np.arange(WINDOW)
     central = np.minimum(place, WINDOW - 1 - place)
     for s, path in zip(at, paths):
@@ -297,26 +299,57 @@ def all_spans(text: str, base: list[Span], labels: np.ndarray) -> list[Span]:
     return sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def decoded(texts: list[str], w: Weights) -> Iterator[np.ndarray]:
+    """Labels of each text's characters.
+
+    Windows of all texts are decoded `DECODED` at a time; of the others of a text, only
+    their labels, a byte a character, are held.
+    """
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    rows: list[np.ndarray] = []
+    waiting: list[tuple[int, list[int], list[np.ndarray]]] = []
+    held = 0
+
+    def decode() -> np.ndarray:
+        paths = best_paths(np.concatenate(rows), w).astype(np.int8)
+        rows.clear()
+        return paths
+
+    def hand_out(paths: np.ndarray) -> None:
+        done = 0
+        for _, at, parts in waiting:
+            missing = len(at) - sum(map(len, parts))
+            parts.append(paths[done : done + missing])
+            done += len(parts[-1])
+
+    for text in texts:
+        at = starts(text) if text else []
+        waiting.append((len(text), at, []))
+        codes = encoded(text) if at else None
+        place = 0
+        while place < len(at):
+            part = at[place : place + DECODED - held]
+            rows.append(window_rows(codes, part))
+            place, held = place + len(part), held + len(part)
+            if held == DECODED:
+                hand_out(decode())
+                held = 0
+        if not held:
+            yield from (reconciled(n, at, itertools.chain(*parts)) for n, at, parts in waiting)
+            waiting.clear()
+    if held:
+        hand_out(decode())
+    yield from (reconciled(n, at, itertools.chain(*parts)) for n, at, parts in waiting)
+
+
 def spans_of(texts: list[str], w: Weights | None) -> list[tuple[list[Span], list[Span]]]:
-    """(base, all) spans of each text; windows of all texts are decoded in batches."""
-    base = [base_spans(t) for t in texts]
+    """(base, all) spans of each text."""
     if w is None:
-        return [(b, b) for b in base]
-    w = {k: v.astype(np.float32) for k, v in w.items()}
-    places = [starts(t) if t else [] for t in texts]
-    every = [window_rows(encoded(t), at) for t, at in zip(texts, places) if at]
-    paths = np.empty((0, WINDOW), dtype=np.int64)
-    if every:
-        rows = np.concatenate(every)
-        paths = np.concatenate([best_paths(rows[i : i + 512], w) for i in range(0, len(rows), 512)])
-    out, done = [], 0
-    for text, b, at in zip(texts, base, places):
-        if at:
-            labels = reconciled(len(text), at, paths[done : done + len(at)])
-            done += len(at)
-            out.append((b, all_spans(text, b, labels)))
-        else:
-            out.append((b, b))
+        return [(base, base) for base in map(base_spans, texts)]
+    out = []
+    for text, labels in zip(texts, decoded(texts, w)):
+        base = base_spans(text)
+        out.append((base, all_spans(text, base, labels)))
     return out
 
 

@@ -627,3 +627,18 @@ def test_stages_of_edge_rows(spark, edge):
             assert len(out) == len(rows)
         elif name == "mixing":
             assert all(any(r.text in " ".join((t or "").split()) for t in texts[r.doc_id]) for r in out)
+
+
+def test_windows_decoded_together_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    weights = {k: v.astype(np.float32) for k, v in pii.initial(rng).items()}
+    texts = ["".join(rng.choice(list("ab1@. +2345"), size=n)) for n in (0, 1, 60_000, 9, 64, 65, *rng.integers(1, 3000, 40), 1)]
+    texts.insert(3, "no sign")
+    found = list(pii.decoded(texts, weights))
+    assert len(found) == len(texts)
+    for text, labels in zip(texts, found):
+        at = pii.starts(text)
+        paths = pii.best_paths(pii.window_rows(pii.encoded(text), at), weights) if at else []
+        alone = pii.reconciled(len(text), at, paths)
+        # Sums in single precision may differ by the batch they are in.
+        assert len(labels) == len(text) and (labels != alone).sum() <= len(text) // 1000
