@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from closeline.llm.common import bind, checkpointed, first_by, one_space, space_words
+from closeline.llm.common import bind, broadcast_if_few, checkpointed, one_space, space_words
 
 #: Least words, and the largest share of words in repeated windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -27,16 +27,15 @@ THRESHOLD = -0.25
 SMOOTHING = 1.0
 #: Bits for a window's place beside its hash.
 PLACE_BITS = 20
-#: The target is fitted on at most so many trusted documents, the first by hash of the id.
-TARGET_DOCUMENTS = 50_000
+#: Trusted ids up to so many are broadcast; more meet the documents by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
-    """Ids whose labels all say quality 1, at most `most`, in the order of a hash."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids whose labels all say quality 1, each once."""
     ids = labels.where("doc_id IS NOT NULL").groupBy("doc_id")
     good = ids.agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
-    good = checkpointed(good.where("least = 1 AND most = 1").select("doc_id"))
-    return first_by(good, ["doc_id"], most)
+    return checkpointed(good.where("least = 1 AND most = 1").select("doc_id"))
 
 
 def _with_grams(docs: DataFrame) -> DataFrame:
@@ -56,11 +55,12 @@ def _from(array: str, place: int) -> Column:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row with an array of `buckets` weights, in micro-nats.
 
-    `trusted` holds a bounded number of ids and is broadcast.  The counts cover every
-    document and combine before the shuffle; `buckets` rows reach the last step.
+    The counts cover every document and every trusted one, and combine before the shuffle;
+    `buckets` rows reach the last step.
     """
-    mark = F.broadcast(trusted.select("doc_id").distinct().withColumn("is_target", F.lit(1)))
-    marked = _with_grams(docs.select("doc_id", "text")).join(mark, "doc_id", "left")
+    ids = broadcast_if_few(trusted.select("doc_id").distinct(), BROADCAST_IDS)
+    marked = docs.select("doc_id", "text").join(ids.withColumn("is_target", F.lit(1)), "doc_id", "left")
+    marked = _with_grams(marked)
     each = marked.select("is_target", F.explode("_grams").alias("gram"))
     counts = each.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"))
     counts = counts.agg(F.count("*").alias("raw"), F.count("is_target").alias("target"))

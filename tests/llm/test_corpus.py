@@ -570,6 +570,18 @@ def test_log_ratio_is_that_of_brute_force(spark, texts):
             assert got[i].kept == (not got[i].base_failed and got[i].log_ratio >= quality.THRESHOLD)
 
 
+def test_target_is_counted_over_every_trusted_document(spark, monkeypatch):
+    more = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(more).count() == 60_000
+    docs = spark.range(60_010).selectExpr("IF(id < 60000, id, NULL) AS doc_id", "IF(id < 60000, 'good', 'other') AS text")
+    few = quality.bucket_weights(docs, quality.trusted_ids(more)).first()["weights"]
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    many = quality.bucket_weights(docs, quality.trusted_ids(more)).first()["weights"]
+    even = quality.BUCKETS
+    weight = round(1e6 * math.log((120_020 + even) / (120_000 + even)))
+    assert few.count(weight) == even - 2 and few == many
+
+
 def test_quality_of_edge_rows(edge, none, labels):
     assert quality.judged(edge, labels).count() == 9
     assert all(r.kept == (not r.base_failed) for r in quality.judged(edge, labels.limit(0)).collect())
