@@ -61,7 +61,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     ids = broadcast_if_few(trusted.select("doc_id").distinct(), BROADCAST_IDS)
     marked = docs.select("doc_id", "text").join(ids.withColumn("is_target", F.lit(1)), "doc_id", "left")
     marked = _with_grams(marked)
-    each = marked.select("is_target", F.explode("_grams").alias("gram"))
+    # An inner explode would have `_grams` computed once more, by a filter on its size.
+    each = marked.select("is_target", F.explode_outer("_grams").alias("gram")).where("gram IS NOT NULL")
     counts = each.groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket"))
     counts = counts.agg(F.count("*").alias("raw"), F.count("is_target").alias("target"))
     every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket")

@@ -582,6 +582,12 @@ def test_target_is_counted_over_every_trusted_document(spark, monkeypatch):
     assert few.count(weight) == even - 2 and few == many
 
 
+def test_counts_hash_the_tokens_once(edge, labels):
+    weights = quality.bucket_weights(edge, quality.trusted_ids(labels))
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_quality_of_edge_rows(edge, none, labels):
     assert quality.judged(edge, labels).count() == 9
     assert all(r.kept == (not r.base_failed) for r in quality.judged(edge, labels.limit(0)).collect())
