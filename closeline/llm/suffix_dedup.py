@@ -5,8 +5,8 @@ the least hash among `SPACING` neighbouring ones, which the content alone select
 passages retain equal suffixes.  Every window of `least_words` words has such a suffix in its
 first `SPACING` words, and the `prefix` words from there still lie in the window.  Retained
 suffixes of all texts are sorted by the hash of that prefix; those that another document
-holds too select the windows around them, and these are sorted by the hash of the whole
-window.  Neighbours with equal windows are pairs of documents, whose texts are compared along
+holds too select the windows around them, and these are sorted by that hash and the hash of
+the whole window.  Neighbours with equal windows are pairs of documents, whose texts are compared along
 every diagonal (the difference of the two places) that brings a shared window together:
 runs of `least_words` equal words or more are returned.
 
@@ -68,25 +68,27 @@ def suffixes(docs: DataFrame, least_words: int) -> DataFrame:
         return np.unique(whole[minimisers(runs(hashes, RUN)[: len(whole)])]).view(np.int64)
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["doc_id", "text_hash"])
-    return hashed.mapInPandas(_by_text(of_text, "prefix", "text"), "prefix long, doc_id long, text_hash long")
+    return hashed.mapInPandas(_by_text(of_text, ["prefix"], "text"), "prefix long, doc_id long, text_hash long")
 
 
 def shared_windows(texts: DataFrame, least_words: int) -> DataFrame:
-    """(window, doc_id, text_hash), each once, of the windows around the suffixes `prefixes` of each text.
+    """(prefix, window, doc_id, text_hash), each once, of the windows around the suffixes `prefixes` of each text.
 
     A window of `least_words` words has one retained suffix that begins in its first
-    `SPACING` words: the minimiser of those.
+    `SPACING` words: the minimiser of those.  `prefix` is that one's.
     """
     prefix = _prefix_words(least_words)
 
     def of_text(text: str | None, prefixes: np.ndarray) -> np.ndarray:
         hashes = words(text)
-        whole = runs(hashes, prefix)
-        at = selected(runs(hashes, RUN)[: len(whole)])
-        held = np.isin(whole.view(np.int64)[at], prefixes)
-        return np.unique(runs(hashes, least_words)[held]).view(np.int64)
+        whole = runs(hashes, prefix).view(np.int64)
+        at = whole[selected(runs(hashes, RUN)[: len(whole)])]
+        held = np.isin(at, prefixes)
+        windows, first = np.unique(runs(hashes, least_words)[held], return_index=True)
+        return np.stack([at[held][first], windows.view(np.int64)], axis=1)
 
-    return texts.mapInPandas(_by_text(of_text, "window", "text", "prefixes"), "window long, doc_id long, text_hash long")
+    schema = "prefix long, window long, doc_id long, text_hash long"
+    return texts.mapInPandas(_by_text(of_text, ["prefix", "window"], "text", "prefixes"), schema)
 
 
 def _prefix_words(least_words: int) -> int:
@@ -96,8 +98,8 @@ def _prefix_words(least_words: int) -> int:
     return prefix
 
 
-def _by_text(of_text: Callable[..., np.ndarray], name: str, *columns: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows (`name`, doc_id, text_hash) of what `of_text` finds in the texts of a batch."""
+def _by_text(of_text: Callable[..., np.ndarray], names: list[str], *columns: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows (`names`, doc_id, text_hash) of what `of_text` finds in the texts of a batch."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole_batch in batches:
@@ -105,7 +107,7 @@ def _by_text(of_text: Callable[..., np.ndarray], name: str, *columns: str) -> Ca
                 batch = whole_batch.iloc[i : i + TEXTS]
                 found = [of_text(*values) for values in zip(*(batch[c] for c in columns))]
                 counts = [len(f) for f in found]
-                out = pd.DataFrame({name: np.concatenate(found)})
+                out = pd.DataFrame(np.concatenate(found).reshape(-1, len(names)), columns=names)
                 out["doc_id"] = batch["doc_id"].astype("Int64").repeat(counts).array
                 out["text_hash"] = batch["text_hash"].repeat(counts).array
                 yield out
@@ -126,12 +128,16 @@ def _holders(chunk: pd.DataFrame) -> pd.DataFrame:
 
 
 def _matches(chunk: pd.DataFrame) -> pd.DataFrame:
-    """For each row the one before it with the same window, in sorted rows; documents have it once."""
-    window = chunk["window"].to_numpy()
-    at = np.flatnonzero(window[1:] == window[:-1])
+    """For each row the one before it with the same window, in sorted rows; documents have it once.
+
+    The windows around one suffix stand together and return a pair once, so the number of
+    pairs does not grow with the number of chunks that the rows are cut into.
+    """
+    prefix, window = chunk["prefix"].to_numpy(), chunk["window"].to_numpy()
+    at = np.flatnonzero((window[1:] == window[:-1]) & (prefix[1:] == prefix[:-1]))
     doc, text_hash = chunk["doc_id"].astype("Int64"), chunk["text_hash"].to_numpy()
     pairs = {"doc_a": doc.iloc[at].array, "hash_a": text_hash[at], "doc_b": doc.iloc[at + 1].array, "hash_b": text_hash[at + 1]}
-    return pd.DataFrame(pairs).drop_duplicates()
+    return pd.DataFrame({"prefix": prefix[at], **pairs}).drop_duplicates().drop(columns="prefix")
 
 
 def equal_runs(one: np.ndarray, two: np.ndarray, shift: int, least: int) -> list[tuple[int, int]]:
@@ -169,7 +175,7 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     needed = held.toDF("doc_id", "text_hash", "prefixes")
     texts = joined(plain, needed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
     texts = checkpointed(texts)
-    order = ["window", "doc_id", "text_hash"]
+    order = ["prefix", "window", "doc_id", "text_hash"]
     rows = checkpointed(shared_windows(texts, least_words).select(*order))
     pairs = neighbour_pairs(rows, order, _matches, 2, PAIR)
     one, two = ("doc_a", "hash_a"), ("doc_b", "hash_b")

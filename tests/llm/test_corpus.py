@@ -187,6 +187,21 @@ def test_passages_of_edge_rows(edge, none):
     assert suffix_dedup.repeated_passages(none).count() == 0
 
 
+def test_windows_around_one_suffix_return_a_pair_once(spark):
+    """Two documents share 2,000 words: a pair for each suffix, not for each chunk that holds some of the windows."""
+    shared = [str(i) for i in range(2000)]
+    docs = documents(spark, [(i, " ".join([f"own{i}", *shared])) for i in (1, 2)])
+    held = suffix_dedup.suffixes(docs, 50).groupBy("doc_id", "text_hash").agg(F.collect_set("prefix").alias("prefixes"))
+    texts = docs.select("doc_id", "text").join(held, "doc_id").select("doc_id", "text_hash", "text", "prefixes")
+    found = suffix_dedup.shared_windows(texts, 50).toPandas()
+    rows = found.sort_values([*found.columns[:-2], "doc_id"], ignore_index=True)
+    chunks = [rows.iloc[max(0, i - 2) : i + 40] for i in range(0, len(rows), 40)]
+    each = sum(len(suffix_dedup._matches(chunk)) for chunk in chunks)
+    suffixes = found["prefix"].nunique()
+    assert len(rows) >= 2 * 1951 and suffixes <= each <= suffixes + len(chunks)
+    assert found.drop_duplicates(["prefix", "window"])["window"].is_unique
+
+
 def test_passages_behind_a_common_boilerplate(spark):
     """45 words that 100 documents of 1,000 each hold; two of each go on alike, one document holds a passage twice."""
     rng = random.Random(3)
