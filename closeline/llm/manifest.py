@@ -116,14 +116,18 @@ def placed(nodes: DataFrame, above: DataFrame, top: DataFrame, carried: list[str
 
 
 def climbed(nodes: DataFrame, parents: list[DataFrame], top: DataFrame, carried: list[str]) -> DataFrame:
-    """`nodes` as `placed`, made from the top level down."""
+    """`nodes` as `placed`, made from the top level down, a level at a time.
+
+    Each level of parents is written before the next one meets it: joined in one plan, the
+    stages of all levels would run side by side and hold their tables together.
+    """
     if not parents:
         return nodes.join(top.select("tree", "steps", *carried), "tree")
-    above = parents[-1].join(top.select("tree", "steps", *carried), "tree")
+    above = checkpointed(parents[-1].join(top.select("tree", "steps", *carried), "tree"))
     for level in parents[-2::-1]:
         # The level's own children by slot keep other names while its parent's are read.
         own = level.withColumnsRenamed({c: f"_{c}" for c in SLOTS})
-        above = placed(own, above, top, carried).withColumnsRenamed({f"_{c}": c for c in SLOTS})
+        above = checkpointed(placed(own, above, top, carried).withColumnsRenamed({f"_{c}": c for c in SLOTS}))
     return placed(nodes, above, top, carried)
 
 
@@ -137,11 +141,12 @@ def manifest(docs: DataFrame, tampered: Column) -> DataFrame:
 
     `tampered` tells which rows are presented with another text than the manifest was made of.
     """
-    nodes = numbered(leaves(docs.select(*FIELDS), tampered), "tree", ["doc_id", "leaf"])
+    nodes = checkpointed(numbered(leaves(docs.select(*FIELDS), tampered), "tree", ["doc_id", "leaf"]))
     nodes = nodes.withColumn("digest", F.col("leaf"))
     parents = levels(nodes)
     subroots = checkpointed(tops(nodes, parents))
     sources = numbered(subroots.select(F.lit(0).alias("tree"), F.col("tree").alias("source_tree"), "digest"), "tree", ["source_tree"])
+    sources = checkpointed(sources)
     over = levels(sources)
     root = tops(sources, over).select("tree", F.col("digest").alias("root"), F.array().cast(STEPS).alias("steps"))
     ends = climbed(sources, over, root, ["root"]).select(

@@ -20,6 +20,7 @@ from closeline.llm import (
     decontaminate,
     html_extract,
     license_scan,
+    manifest,
     mixing,
     near_dedup,
     pii,
@@ -609,6 +610,15 @@ def test_quality_of_edge_rows(edge, none, labels):
     assert quality.judged(none, labels).count() == 0
 
 
+def test_manifest_joins_a_level_at_a_time(spark):
+    """The leaves are numbered once, and the last plan holds the join of the leaves with their parents alone."""
+    docs = documents(spark, [(i, f"text {i}") for i in range(300)])
+    found = manifest.manifest(docs, manifest.every_fifth())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and len(re.findall(r"\w+Join ", plan)) <= 2
+    assert found.where("doc_id % 5 >= 0").count() == 300
+
+
 # pipeline
 
 
