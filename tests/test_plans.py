@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from closeline.operators import copies
+from closeline.operators import copies, extracts
 from closeline.operators import kpis as k
 from closeline.operators.extracts import latest_follow_ups
 from closeline.operators.joins import left_join_hot_right, left_join_salted
@@ -126,6 +126,41 @@ def test_reviews_scan_each_stage_table_once(spark, stored, clock):
     assert len(found["deal_stage_dates"]) == len(found["deal_stage_time_stamps"]) == 1
 
 
+def held_by_stage(spark, df) -> list[int]:
+    """Sorts and aggregates of each stage, all of which one task of it holds."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        # Planned anew, under these settings.
+        node = df.select("*")._jdf.queryExecution().executedPlan()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    stages, heads = [], [node]
+    while heads:
+        held, nodes = 0, [heads.pop()]
+        while nodes:
+            node = nodes.pop()
+            held += node.nodeName() in ("Sort", "HashAggregate", "SortAggregate", "ObjectHashAggregate")
+            for below in (node.children().apply(i) for i in range(node.children().size())):
+                if below.nodeName() == "ReusedExchange":
+                    continue
+                if "Exchange" in below.nodeName():
+                    heads.append(below.children().apply(0))
+                else:
+                    nodes.append(below)
+        stages.append(held)
+    return stages
+
+
+def test_review_dates_are_not_all_joined_and_counted_by_one_task(spark, stored):
+    df = extracts.prelim_review_date(from_files(spark, stored))
+    # At most the applications' count and the three sides of two joins.
+    assert max(held_by_stage(spark, df)) <= 4
+
+
 def test_report_scans_each_table_once(spark, stored, clock):
     found = scans(report.application_report(from_files(spark, stored), clock()))
     counts = {table: len(lines) for table, lines in found.items()}

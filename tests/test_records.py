@@ -75,6 +75,32 @@ def test_review_dates_are_the_product_of_the_stage_tables(lending):
     assert found == {n: Counter(review_dates(*case)) for n, case in enumerate(CASES)}
 
 
+def test_review_dates_of_repeated_applications_and_ids_of_none(lending):
+    """An application's rows each show all its dates; rows without an id show none."""
+    dates = [[], [None], [day(-4), None, day(-4)]]
+    ids = [0, 0, 1, 2, 2, 2, None, 7]
+    tables = lending(
+        applications=[{"id": n, "state": PRELIMINARY_REVIEW} for n in ids],
+        deal_stage_dates=[
+            {"application_id": n, "preliminary_review_date": d and at_noon(d)}
+            for n, found in [*enumerate(dates), (None, [day(-4)]), (7, [None]), (8, [None])]
+            for d in found
+        ],
+        deal_stage_time_stamps=[
+            {"application_id": n, "preliminary_review_date": at_noon(day(-2))} for n in (1, 2, None)
+        ],
+        deal_product_channel=[
+            {"application_id": n, "ops_channel": "Retail"} for n in (0, 1, 2, 2, None, 8)
+        ],
+    )
+    found = Counter(
+        (r.id, r.preliminary_review_date and r.preliminary_review_date.date())
+        for r in extracts.prelim_review_date(tables).collect()
+    )
+    cases = {0: review_dates(dates[0], []), **{n: review_dates(dates[n], [day(-2)]) for n in (1, 2)}}
+    assert found == Counter((n, d) for n in ids if n in cases for d in cases[n])
+
+
 FIRST = {-2: "Due Tomorrow", -3: "Due Today", -4: "Past Due"}
 SECOND = {-5: "Due Today", -6: "Past Due"}
 
